@@ -1,7 +1,7 @@
 """Publication dates, recency and score blending.
 
-A pattern decides whether a text is one of the accepted forms, a split gives
-its numbers and ``try_make_timestamp_ntz`` the stamp: no formatter, no dependence on the session's time zone, null for what does not
+A pattern decides whether a text is one of the accepted forms and rewrites it
+as a plain stamp, which is cast without a time zone: no formatter, no dependence on the session's time zone, null for what does not
 parse. An offset is accepted and dropped, the wall clock is kept.
 """
 
@@ -9,11 +9,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from ..config import DECAY_DAYS, RECENCY_WEIGHT
-from .stages import staged
-from .text import truthy
 
 # Names accepted in feed dates, in calendar order.
 WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
@@ -21,8 +19,9 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 _GAP = r"[\s\x1c-\x1f\x85\p{Z}]+"
 _CLOCK = r"(?:2[0-3]|[01]?\d):[0-5]?\d:[0-5]?\d"
-_DAY = r"(?:3[01]|[12]\d|0[1-9]|[1-9]| [1-9])"
+_YEAR = r"(?!0000)\d{4}"
 _MONTH = r"(?:1[0-2]|0[1-9]|[1-9])"
+_DAY = r"(?:3[01]|[12]\d|0[1-9]|[1-9]| [1-9])"
 _HOURS = r"(?:[01]\d|2[0-3])"
 _SIXTY = r"[0-5]\d"
 _OFFSET = (
@@ -30,53 +29,30 @@ _OFFSET = (
 )
 
 RFC_PATTERN = (
-    rf"(?i)^(?:{'|'.join(WEEKDAYS)}),{_GAP}{_DAY}{_GAP}(?:{'|'.join(MONTHS)}){_GAP}\d{{4}}"
-    rf"{_GAP}{_CLOCK}{_GAP}(?:gmt|utc)\z"
+    rf"(?i)^(?:{'|'.join(WEEKDAYS)}),{_GAP}({_DAY}){_GAP}({'|'.join(MONTHS)}){_GAP}({_YEAR})"
+    rf"{_GAP}({_CLOCK}){_GAP}(?:gmt|utc)\z"
 )
 ISO_PATTERN = (
-    rf"(?i)^\d{{4}}-{_MONTH}-{_DAY}"
-    rf"(?:T{_CLOCK}(?:Z|{_OFFSET})|{_GAP}{_CLOCK})?\z"
+    rf"(?i)^({_YEAR}-{_MONTH}-{_DAY})(?:T({_CLOCK})(?:Z|{_OFFSET})|{_GAP}({_CLOCK}))?\z"
 )
 
 
-def with_parsed_date(df: DataFrame, text: str, out: str = "published_at") -> DataFrame:
-    """Add the TIMESTAMP_NTZ of a feed date, null when no accepted form matches.
+def parse_date(text: Column) -> Column:
+    """TIMESTAMP_NTZ of a feed date, null when no accepted form matches.
 
-    The weekday must be a weekday name but need not be the right one.
+    The weekday must be a weekday name but need not be the right one. The
+    expression names ``text`` a few times only, so a filter on the result can
+    move below a projection without growing.
     """
-    source = F.col(text)
-
-    def fields(v):
-        def pick(in_rfc: int, in_iso: int) -> Column:
-            return F.try_element_at(v("parts"), F.when(v("rfc"), F.lit(in_rfc)).otherwise(F.lit(in_iso)))
-
-        # Three letters per name, so the position gives the month.
-        named = (F.instr(F.lit(" ".join(MONTHS)), F.lower(F.try_element_at(v("parts"), F.lit(3)))) + 3) / 4
-        return {
-            "y": pick(4, 1).cast("int"),
-            "m": F.when(v("rfc"), named.cast("int")).otherwise(F.try_element_at(v("parts"), F.lit(2)).cast("int")),
-            "d": pick(2, 3).cast("int"),
-            "h": F.coalesce(truthy(pick(5, 4)).cast("int"), F.lit(0)),
-            "i": F.coalesce(truthy(pick(6, 5)).cast("int"), F.lit(0)),
-            "s": F.coalesce(truthy(pick(7, 6)).cast("decimal(16,6)"), F.lit(0)),
-        }
-
-    return staged(
-        df,
-        "__date_",
-        lambda v: {"rfc": source.rlike(RFC_PATTERN), "iso": source.rlike(ISO_PATTERN)},
-        lambda v: {
-            "parts": F.when(v("rfc"), F.split(source, r"[,:\s\x1c-\x1f\x85\p{Z}]+"))
-            .when(v("iso"), F.split(source, r"[-+:tTzZ\s\x1c-\x1f\x85\p{Z}]+"))
-        },
-        fields,
-        lambda v: {
-            "stamp": F.when(
-                v("y") > 0, F.try_make_timestamp_ntz(v("y"), v("m"), v("d"), v("h"), v("i"), v("s"))
-            )
-        },
-        keep={"stamp": out},
+    # Three letters per name, so the position gives the month.
+    name = F.lower(F.regexp_extract(text, RFC_PATTERN, 2))
+    month = ((F.instr(F.lit(" ".join(MONTHS)), name) + 3) / 4).cast("int").cast("string")
+    from_rfc = F.concat(
+        F.regexp_replace(text, RFC_PATTERN, "$3-"), month, F.regexp_replace(text, RFC_PATTERN, "-$1 $4")
     )
+    from_iso = F.regexp_replace(text, ISO_PATTERN, "$1 $2$3")
+    plain = F.when(text.rlike(RFC_PATTERN), from_rfc).when(text.rlike(ISO_PATTERN), from_iso)
+    return F.replace(plain, F.lit("- "), F.lit("-")).try_cast("timestamp_ntz")
 
 
 def iso_text(stamp: Column) -> Column:

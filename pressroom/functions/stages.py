@@ -3,7 +3,9 @@
 A Column that uses an intermediate value five times evaluates it five times,
 and nesting multiplies that. Steps keep every intermediate value in a column
 of its own: the optimizer leaves such projections apart when a costly value
-has several readers, and the generated code computes each once.
+has several readers, and the generated code computes each once. A filter on a
+kept value would be moved below all steps and undo that, so such results are
+written (``runtime.Scratch.cut``) before they are filtered on.
 """
 
 from __future__ import annotations

@@ -29,7 +29,7 @@ def added(spark, values, step):
 
 
 def parse(df):
-    return dates.with_parsed_date(df, "v", "stamp")
+    return df.withColumn("stamp", dates.parse_date(F.col("v")))
 
 
 def all_characters():
