@@ -20,7 +20,7 @@ from ..runtime import Scratch
 from ..sources.feed import is_valid
 from .skew import FLOOR_ROWS, heavy_values, join_unique
 
-# What is left after the first rounds may end in one task if it has no more
+# What is left after the first round may end in one task if it has no more
 # rows than this (some megabytes). More than this always takes another round.
 TAIL_ROWS = 50_000
 
@@ -76,7 +76,7 @@ def first_accepts(
         left = live.count()  # from the footers of the written table
         if left == 0 and rounds:
             break
-        if rounds >= 2 and left <= tail_rows:
+        if rounds and left <= tail_rows:
             _finish(live).write.parquet(f"{won_path}/round={rounds}")
             break
         by_key = live.groupBy("composite_key").agg(

@@ -37,11 +37,12 @@ def tokens(articles: DataFrame) -> DataFrame:
             "first": F.size(v("title")),
             "second": F.size(v("title")) + F.size(v("summary")) + 1,
         },
-        keep={"all": "words", "first": "gap_1", "second": "gap_2"},
-    )
-    rows = split.select(
-        "id", (F.size("words") - 2).alias("d"), "gap_1", "gap_2", F.posexplode("words").alias("pos", "token")
+        lambda v: {"d": F.size(v("all")) - 2},
+        keep={"all": "words", "d": "d", "first": "gap_1", "second": "gap_2"},
     )
+    # The list always holds the two separators. The outer form says so: for
+    # the plain one Spark adds a size test and computes the list a second time.
+    rows = split.select("id", "d", "gap_1", "gap_2", F.posexplode_outer("words").alias("pos", "token"))
     place = F.when(F.col("pos") < F.col("gap_1"), 0).when(F.col("pos") < F.col("gap_2"), 1).otherwise(2)
     head = F.col("pos") == F.col("gap_1")
     return rows.select("id", "d", place.alias("col"), "pos", "token", head.alias("is_head"))
@@ -71,7 +72,7 @@ def build_index(articles: DataFrame, scratch: Scratch) -> Index:
     file, so a lookup skips nearly all row groups and a frequent word loads no
     single task.
     """
-    return open_index(scratch.cut(tokens(articles), "tokens", sort_within=["token", "id", "pos"]))
+    return open_index(scratch.cut(tokens(articles), "tokens", sort_within=["token"]))
 
 
 def open_index(rows: DataFrame) -> Index:
