@@ -3,16 +3,18 @@
 A Column that uses an intermediate value five times evaluates it five times,
 and nesting multiplies that. Steps keep every intermediate value in a column
 of its own: the optimizer leaves such projections apart when a costly value
-has several readers, and the generated code computes each once. A filter on a
-kept value would be moved below all steps and undo that, so such results are
-written (``runtime.Scratch.cut``) before they are filtered on.
+has several readers, and the generated code computes each once.
+
+The results leave through a one-row ``inline``. A filter on them stays above
+it instead of being moved below the steps, where each use would be spelled out
+again; filters on all other columns still move down to the scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 Step = Callable[[Callable[[str], Column]], dict[str, Column]]
 
@@ -27,5 +29,6 @@ def staged(df: DataFrame, prefix: str, *steps: Step, keep: dict[str, str]) -> Da
         values = step(lambda name: df[f"{prefix}{name}"])
         names += values
         df = df.withColumns({f"{prefix}{name}": value for name, value in values.items()})
-    df = df.withColumns({out: df[f"{prefix}{name}"] for name, out in keep.items()})
-    return df.drop(*(f"{prefix}{name}" for name in names))
+    others = [c for c in df.columns if c not in keep.values() and c not in {f"{prefix}{n}" for n in names}]
+    results = F.struct(*[df[f"{prefix}{name}"].alias(out) for name, out in keep.items()])
+    return df.select(*[df[c] for c in others], F.inline_outer(F.array(results)))
