@@ -359,4 +359,9 @@ regs as (select user_id, event_type as topic, (count(*) * 10)::integer as thresh
   from events where user_id % 3 <> 0 group by user_id, event_type)
 select topic, threshold, webhook_url, max(articles) as articles, count(*) as registrations
 from regs join counts using (topic) where articles >= threshold group by topic, threshold, webhook_url""",
+    "streamed_ingest": f"""{WITH_ACCEPT} select id, title, url_hash, composite_key, 8::integer as dim
+from keyed join accepted using (ord)""",
+    "streamed_daily_counts": """select event_type as topic, strftime(ts, '%Y-%m-%d') as date, count(*) as articles
+from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 2 day
+group by topic, date""",
 }

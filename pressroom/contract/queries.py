@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..config import Settings
 from ..functions import text as T
 from ..functions.dates import iso_text, recency_score, parse_date
 from ..functions.replies import SENTIMENT_REPLY, with_parsed_reply
@@ -24,9 +25,11 @@ from ..operators.search import hydrate, latest_for_topic, project, search, searc
 from ..operators.timeline import corpus_stats, timeline, timeline_all_topics
 from ..plans.ingest import ingest_batch, vector_rows
 from ..runtime import Scratch, spread
-from ..sources.corpus import as_json
-from ..sources.derived import AS_OF, DIM, MODEL, SEARCH_AS_OF, raw_feed, table
+from ..sources.corpus import Corpus, as_json
+from ..sources.derived import AS_OF, DIM, MODEL, SEARCH_AS_OF, feed_from, raw_feed, table
 from ..sources.feed import is_valid, method_counts
+from ..streaming.alert_stream import daily_counts
+from ..streaming.ingest_stream import ingest_stream
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -533,3 +536,35 @@ def alerts(spark, sf_dir):
     return found.groupBy("topic", "threshold", "webhook_url").agg(
         F.max("articles").alias("articles"), F.count("*").alias("registrations")
     )
+
+
+# ---- streams -------------------------------------------------------------------
+
+@query
+def streamed_ingest(spark, sf_dir):
+    """The feed as a file stream, ingested into a new corpus by micro-batches."""
+    scratch = Scratch(spark, "stream")
+    events, pages = table(spark, sf_dir, "events"), table(spark, sf_dir, "pages")
+    stored = table(spark, sf_dir, "documents")
+    documents = spark.readStream.schema(stored.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    raw = feed_from(documents, events, pages, events.count() // stored.count(), pages.count())
+    corpus = Corpus.create(spark, scratch.path("corpus"))
+    embed = lambda df: df.withColumn("embedding", hash_embedding(F.col("document"), 8))
+    settings = Settings(embed_model="hash", embed_dim=8)
+    ingest_stream(raw, corpus, scratch.path("state"), AS_OF, embed, settings).awaitTermination()
+    vectors = corpus.read("vectors").select("id", F.size("embedding").alias("dim"))
+    return corpus.read("articles").select("id", "title", "url_hash", "composite_key").join(vectors, "id")
+
+
+@query
+def streamed_daily_counts(spark, sf_dir):
+    """Topic volumes per closed day of a stream; open days are still held back."""
+    scratch = Scratch(spark, "stream")
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    counts = daily_counts(events.select(F.col("event_type").alias("topic"), F.col("ts").alias("published_at")))
+    out = scratch.path("counts")
+    counts.writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", scratch.path("state")
+    ).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(out)

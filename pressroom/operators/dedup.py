@@ -45,6 +45,15 @@ def with_keys(feed: DataFrame, empty_slug: str = "keep") -> DataFrame:
     return keyed.withColumn("is_valid", is_valid() & F.col("url_hash").isNotNull())
 
 
+def heavy_pair(
+    rows: DataFrame, scratch: Scratch, floor_rows: int = FLOOR_ROWS
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Heavy keys and heavy URLs of the records."""
+    total = rows.count()
+    keys, urls = (heavy_values(rows, c, scratch, floor_rows, total) for c in ("composite_key", "url_hash"))
+    return keys, urls
+
+
 def first_accepts(
     rows: DataFrame,
     scratch: Scratch,
@@ -53,14 +62,16 @@ def first_accepts(
     tail_rows: int = TAIL_ROWS,
     floor_rows: int = FLOOR_ROWS,
     heavy_keys: DataFrame | None = None,
+    heavy_urls: DataFrame | None = None,
 ) -> DataFrame:
     """Accepted records as (ord, composite_key, url_hash).
 
     ``rows`` holds valid records with a unique, total ``ord``; known keys and
-    URLs are those of earlier batches, each at most once.
+    URLs are those of earlier batches, each at most once. Keys and hashes may
+    be of any type, the same on both sides.
     """
-    heavy_keys = heavy_keys or heavy_values(rows, "composite_key", scratch, floor_rows)
-    heavy_urls = heavy_values(rows, "url_hash", scratch, floor_rows)
+    if heavy_keys is None and heavy_urls is None:
+        heavy_keys, heavy_urls = heavy_pair(rows, scratch, floor_rows)
     # Copies with equal key and URL: all but the first are always refused.
     live = rows.groupBy("composite_key", "url_hash").agg(F.min("ord").alias("ord"))
     if known_keys is not None:
@@ -70,7 +81,7 @@ def first_accepts(
     live = scratch.cut(live, "live")
 
     won_path = scratch.path("won")
-    schema = "composite_key string, url_hash string, ord bigint"
+    reader = rows.sparkSession.read
     rounds = 0
     while True:
         left = live.count()  # from the footers of the written table
@@ -79,20 +90,17 @@ def first_accepts(
         if rounds and left <= tail_rows:
             _finish(live).write.parquet(f"{won_path}/round={rounds}")
             break
-        by_key = live.groupBy("composite_key").agg(
-            F.min_by("url_hash", "ord").alias("url_hash"), F.min("ord").alias("ord")
-        )
-        by_url = live.groupBy("url_hash").agg(F.min("ord").alias("first"))
-        join_unique(by_key, by_url, "url_hash", heavy_urls, "inner").where("ord = first").select(
-            "composite_key", "url_hash", "ord"
-        ).write.parquet(f"{won_path}/round={rounds}")
-        won = rows.sparkSession.read.schema(schema).parquet(f"{won_path}/round={rounds}")
+        # Smallest numbers only: they fit the hash aggregation, and what the
+        # two sides have in common is found on one long per key and URL.
+        by_key = live.groupBy("composite_key").agg(F.min("ord").alias("ord")).select("ord")
+        by_url = live.groupBy("url_hash").agg(F.min("ord").alias("ord")).select("ord")
+        live.join(by_key.join(by_url, "ord"), "ord", "left_semi").write.parquet(f"{won_path}/round={rounds}")
+        won = reader.schema(live.schema).parquet(f"{won_path}/round={rounds}")
         rest = join_unique(live, won.select("composite_key"), "composite_key", heavy_keys, "left_anti")
         rest = join_unique(rest, won.select("url_hash"), "url_hash", heavy_urls, "left_anti")
-        live = scratch.cut(rest.select("composite_key", "url_hash", "ord"), "live")
+        live = scratch.cut(rest.select(*live.columns), "live")
         rounds += 1
-    won = rows.sparkSession.read.schema(f"{schema}, round int").parquet(won_path)
-    return won.select("ord", "composite_key", "url_hash")
+    return reader.schema(live.schema).parquet(won_path).select("ord", "composite_key", "url_hash")
 
 
 def _finish(live: DataFrame) -> DataFrame:

@@ -22,19 +22,25 @@ def hash_embedding(text: Column, dim: int = 8) -> Column:
     """
     if not 1 <= dim <= 32:
         raise EmbeddingMismatch("a SHA-256 digest gives 1 to 32 dimensions")
-    digest = F.sha2(text, 256)
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0,
-    )
-    # The one-element list binds the bytes, so they are computed once.
+    # One-element lists bind the digest and the bytes, so each is computed once.
+    def raw_bytes(digest: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)),
+            lambda i: F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0,
+        )
+
+    raw = F.element_at(F.transform(F.array(F.sha2(text, 256)), raw_bytes), 1)
     return F.element_at(F.transform(F.array(raw), _to_unit), 1).cast("array<float>")
 
 
 def _to_unit(vector: Column) -> Column:
     squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x)
-    norm = F.when(squares == 0.0, F.lit(1.0)).otherwise(F.sqrt(squares))
-    return F.transform(vector, lambda x: x / norm)
+
+    def scaled(square: Column) -> Column:
+        norm = F.when(square == 0.0, F.lit(1.0)).otherwise(F.sqrt(square))
+        return F.transform(vector, lambda x: x / norm)
+
+    return F.element_at(F.transform(F.array(squares), scaled), 1)
 
 
 def embed_texts(

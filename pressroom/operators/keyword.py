@@ -39,6 +39,7 @@ def tokens(articles: DataFrame) -> DataFrame:
         },
         lambda v: {"d": F.size(v("all")) - 2},
         keep={"all": "words", "d": "d", "first": "gap_1", "second": "gap_2"},
+        sealed=False,
     )
     # The list always holds the two separators. The outer form says so: for
     # the plain one Spark adds a size test and computes the list a second time.

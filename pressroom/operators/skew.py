@@ -13,14 +13,14 @@ FLOOR_ROWS = 200_000
 
 
 def heavy_values(
-    rows: DataFrame, column: str, scratch: Scratch, floor_rows: int = FLOOR_ROWS
+    rows: DataFrame, column: str, scratch: Scratch, floor_rows: int = FLOOR_ROWS, total: int | None = None
 ) -> DataFrame | None:
     """Values with more rows than ``max(floor_rows, total / SHARE)``; None if there are none.
 
     Counts are combined before the shuffle, so a heavy value costs no more
     than any other. Small inputs cannot hold one and are not counted at all.
     """
-    total = rows.count()
+    total = rows.count() if total is None else total
     if total <= floor_rows:
         return None
     limit = max(floor_rows, total // SHARE)

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import Settings
 from ..functions.dates import moment, parse_date
 from ..functions.text import enriched_text
 from ..operators.crawl import close_runs, topic_summary, with_header
-from ..operators.dedup import FLOOR_ROWS, TAIL_ROWS, first_accepts, sightings, with_keys
+from ..operators.dedup import FLOOR_ROWS, TAIL_ROWS, first_accepts, heavy_pair, sightings, with_keys
 from ..operators.numbering import number_rows
-from ..operators.skew import heavy_values
 from ..runtime import Scratch
 from ..sources.corpus import Corpus
 from ..sources.feed import check_methods, normalise_feed
@@ -53,26 +52,39 @@ def ingest_batch(
     narrow = scratch.cut(
         keyed.select(
             "ord", "batch", "topic", "method", "is_valid", "title_slug", "publisher_norm",
-            "composite_key", "url_hash", moment(as_of).alias("seen_at"),
+            *_as_bytes("composite_key", "url_hash"), moment(as_of).alias("seen_at"),
         ),
         "keyed",
     )
+    known_keys = None if known_keys is None else known_keys.select(*_as_bytes("composite_key"))
+    known_urls = None if known_urls is None else known_urls.select(*_as_bytes("url_hash"))
     valid = narrow.where("is_valid")
-    heavy = heavy_values(valid, "composite_key", scratch, floor_rows)
+    heavy, heavy_urls = heavy_pair(valid, scratch, floor_rows)
     won = first_accepts(
         valid, scratch, known_keys, known_urls,
-        tail_rows=tail_rows, floor_rows=floor_rows, heavy_keys=heavy,
+        tail_rows=tail_rows, floor_rows=floor_rows, heavy_keys=heavy, heavy_urls=heavy_urls,
     )
     accepted = number_rows(won, ["ord"], scratch, start_id)
-    stored = feed.join(accepted, "ord").withColumn("published_at", parse_date(F.col("published_date")))
+    stored = feed.join(_as_hex(accepted, "composite_key", "url_hash"), "ord").withColumn("published_at", parse_date(F.col("published_date")))
     return Ingested(
         articles=stored.withColumn("ingested_at", moment(as_of)),
-        sightings=sightings(valid, accepted, known_keys, heavy),
+        sightings=_as_hex(sightings(valid, accepted, known_keys, heavy), "composite_key"),
         summary=topic_summary(narrow, accepted, list(by)),
-        decisions=narrow.join(accepted.select("ord", "id"), "ord", "left"),
+        decisions=_as_hex(
+            narrow.join(accepted.select("ord", "id"), "ord", "left"), "composite_key", "url_hash"
+        ),
     )
 
 
+def _as_bytes(*columns: str) -> list[Column]:
+    """Hex digests as 32 bytes: half of what every shuffle has to carry."""
+    return [F.unhex(c).alias(c) for c in columns]
+
+
+def _as_hex(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.lower(F.hex(c)) for c in columns})
+
+
 def vector_rows(articles: DataFrame, embed: Embed, dim: int) -> DataFrame:
     """Vector table rows of articles; ``embed`` adds ``embedding`` for ``document``."""
     document = enriched_text(
