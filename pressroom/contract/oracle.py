@@ -209,7 +209,7 @@ from (select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as s, strftime(ts, '%Y-
     when 8 then strftime(ts, '%Y-%m-%dT%H:%M:%S')
     else strftime(ts, '%d/%m/%Y') end as published_date
   from events)""",
-    "recency": f"""select event_id, round(case when event_id % 10 = 0 then 0.5 else
+    "recency_score": f"""select event_id, round(case when event_id % 10 = 0 then 0.5 else
   {_RECENCY.replace('published_at', "(ts + interval 10 day)").replace(SEARCH_AS_OF, AS_OF)} end, 6) as recency from events""",
     "context_header": f"""with {FEED} select ord, '[Topic: ' || topic || ' | Publisher: ' || publisher_name ||
   ' | Date: ' || published_date || ' | ' || country || ']' as header from feed""",
@@ -241,7 +241,7 @@ select event_id, webhook_url, case event_id % 8
     "articles_build": f"""{WITH_ACCEPT} select id, title, url, url_hash, publisher_name, publisher_href,
   published_date, strftime(published_at, '%Y-%m-%dT%H:%M:%S') as published_at, summary, country, language, topic,
   embed_model, embed_dim, composite_key from keyed join accepted using (ord)""",
-    "seen_ledger_counts": f"""{WITH_ACCEPT}, firsts as (select k.composite_key, a.ord, a.id from accepted a join keyed k using (ord))
+    "seen_ledger": f"""{WITH_ACCEPT}, firsts as (select k.composite_key, a.ord, a.id from accepted a join keyed k using (ord))
 select k.composite_key, any_value(title_slug) as title_slug, any_value(publisher_norm) as publisher_norm,
   max(f.id) as article_id, count(*) as seen_count, '{AS_OF.replace(" ", "T")}' as first_seen,
   '{AS_OF.replace(" ", "T")}' as last_seen
@@ -253,13 +253,13 @@ from keyed k join firsts f on f.composite_key = k.composite_key and k.ord >= f.o
   where regexp_extract(publisher_norm, '(\d+)', 1)::integer % 2 = 0)
 select ord, composite_key in (select composite_key from held) as is_known from keyed""",
     "crawl_run_log": f"{RUNS} select * from log",
-    "crawl_rollup_by_status": f"""{RUNS} select topic, status, count(*) as runs, sum(fetched)::bigint as fetched,
+    "crawl_rollup": f"""{RUNS} select topic, status, count(*) as runs, sum(fetched)::bigint as fetched,
   sum(new_articles)::bigint as new_articles, sum(skipped_dupes)::bigint as skipped_dupes from log group by topic, status""",
     "hydrate_articles": f"""with {ARTICLES} select id, title, url, publisher_name as publisher, published_date, summary,
   country, language, topic from articles where id in (select vec_id * 3 from embeddings)""",
     "results_to_json": f"""with {ARTICLES} select id::varchar as id, title, url, publisher_name as publisher, summary, topic
 from articles""",
-    "hash_embeddings": "with " + ARTICLES + rf""",
+    "hash_embedding": "with " + ARTICLES + rf""",
 texts as (select id, publisher_name as publisher, sha256(regexp_replace('[Topic: ' || topic || ' | Publisher: ' ||
   publisher_name || ' | Date: ' || published_date || ' | ' || country || ']' || chr(10) || title || chr(10) ||
   summary, '^\s+|\s+$', '', 'g')) as h from articles),
@@ -282,7 +282,7 @@ where country = 'US' and language = 'en' order by {_COSINE} desc, x.id limit 20"
 pairs as (select a.id as query_id, b.id, list_cosine_similarity(a.v, b.v) as s from v a, v b)
 select query_id, row_number() over (partition by query_id order by s desc, id)::integer as place, id,
   round(s, 6) as similarity from pairs qualify place <= 10""",
-    "semantic_search_recent": f"""with {VECTORS},
+    "semantic_search": f"""with {VECTORS},
 hits as (select x.id, {_COSINE} as s from vectors x, q where country = 'US' and language = 'en'
   order by s desc, x.id limit 30),
 scored as (select a.*, h.s, (1 - 0.3::double) * h.s + 0.3::double * {_RECENCY} as score
@@ -294,7 +294,7 @@ hits as (select x.id, {_L2} as s from vectors x, q
   where x.id in (select id from articles where published_at >= timestamp '2024-01-03') order by s desc, x.id limit 30)
 select id, round((1 - 0.3::double) * s + 0.3::double * 0.5, 6) as score, 'semantic' as search_mode
 from hits join articles using (id) order by (1 - 0.3::double) * s + 0.3::double * 0.5 desc, s desc, id limit 10""",
-    "search_many": f"""with {ARTICLES}, v as (select vec_id as id, embedding::double[] as v from embeddings),
+    "search_batch": f"""with {ARTICLES}, v as (select vec_id as id, embedding::double[] as v from embeddings),
 pairs as (select a.id as query_id, b.id, list_cosine_similarity(a.v, b.v) as s from v a, v b),
 near as (select *, row_number() over (partition by query_id order by s desc, id) as n from pairs qualify n <= 15),
 scored as (select query_id, id, title, topic, s, (1 - 0.3::double) * s + 0.3::double * {_RECENCY} as score
@@ -305,7 +305,7 @@ select query_id, row_number() over (partition by query_id order by score desc, s
 select id, title, publisher_name as publisher, 0.0::double as score, 'keyword' as search_mode, round(rank, 6) as rank
 from scored join articles using (id) where len(terms) = 2 and language = 'en'
   and published_at >= timestamp '2024-01-11' order by scored.rank, id limit 10""".replace("title, publisher_name", "articles.title, publisher_name"),
-    "latest_for_topic_by_rank": f"""with {_bm25(_ONE_WORD.format("'ing'"))}
+    "latest_for_topic": f"""with {_bm25(_ONE_WORD.format("'ing'"))}
 select id, articles.title, 0.0::double as score, round(rank, 6) as rank from scored join articles using (id)
 order by scored.rank, id limit 10""",
     "tokens": f"with {TOKENS} select token, count(*) as occurrences, count(distinct id) as articles from tok group by token",
@@ -328,9 +328,9 @@ where topic = 'click' and published_at >= timestamp '2024-01-10' and published_a
     "timeline_range_observed": f"""with {ARTICLES} select strftime(published_at, '%Y-%m-%d') as date, count(*) as count
 from articles where strftime(published_at, '%Y-%m-%dT%H:%M:%S') >= '2024-01-11'
   and strftime(published_at, '%Y-%m-%dT%H:%M:%S') <= '2024-01-25' group by date""",
-    "timeline_topics": f"""with {ARTICLES} select topic, strftime(published_at, '%Y-%m-%d') as date, count(*) as count
+    "timeline_all_topics": f"""with {ARTICLES} select topic, strftime(published_at, '%Y-%m-%d') as date, count(*) as count
 from articles group by topic, date""",
-    "stats": f"""select (select count(*) from documents) as total_articles, (select count(*) from embeddings) as vector_count,
+    "corpus_stats": f"""select (select count(*) from documents) as total_articles, (select count(*) from embeddings) as vector_count,
   '{MODEL}' as embed_model, {DIM}::integer as embed_dim""",
     "brief_block": f"with {_briefs()} select topic, block, article_count, urls from blocks",
     "brief_prompt": f"with {_briefs()} select topic, {_fill(BRIEF_PROMPT, 7)} as prompt from blocks",
@@ -351,9 +351,9 @@ select topic, {_fill(SENTIMENT_PROMPT)} as prompt, article_count from blocks""",
 select topic, coalesce(overall, 'neutral') as overall, coalesce(round(score, 6), 0.0) as score,
   coalesce(rationale, 'no articles') as rationale, coalesce(article_count, 0) as article_count, true as reply_ok
 from topics left join verdicts using (topic)""",
-    "sentiment_by_day": f"""with {_verdicts('topic, date')}
+    "sentiment_timeline": f"""with {_verdicts('topic, date')}
 select topic, date, overall, round(score, 6) as score, rationale, article_count from verdicts""",
-    "alerts": f"""with {FEED}, counts as (select topic, count(*) as articles from feed group by topic),
+    "topic_alerts": f"""with {FEED}, counts as (select topic, count(*) as articles from feed group by topic),
 regs as (select user_id, event_type as topic, (count(*) * 10)::integer as threshold,
     case user_id % 3 when 1 then 'https://hooks.example.com/' || user_id end as webhook_url
   from events where user_id % 3 <> 0 group by user_id, event_type)

@@ -41,6 +41,16 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def query_as(name: str) -> Callable[[Query], Query]:
+    """Register under the name of the operator, which is imported here itself."""
+
+    def register(fn: Query) -> Query:
+        QUERIES[name] = fn
+        return fn
+
+    return register
+
+
 def _r6(column: str):
     return F.round(F.col(column), 6).alias(column)
 
@@ -106,7 +116,7 @@ def published_at(spark, sf_dir):
     return dated.select("event_id", "published_date", iso_text(F.col("published_at")).alias("published_at"))
 
 
-@query
+@query_as("recency_score")
 def recency(spark, sf_dir):
     """Recency of every event, a tenth undated, with dates ten days on either side of now."""
     shifted = F.col("ts").cast("timestamp_ntz") + F.expr("interval 10 days")
@@ -196,7 +206,7 @@ def articles_build(spark, sf_dir):
     )
 
 
-@query
+@query_as("seen_ledger")
 def seen_ledger_counts(spark, sf_dir):
     got = _ingest(spark, sf_dir)
     return seen_ledger(got.sightings).select(
@@ -256,7 +266,7 @@ def crawl_run_log(spark, sf_dir):
     return runs.withColumn("started_at", iso_text(F.col("started_at")))
 
 
-@query
+@query_as("crawl_rollup")
 def crawl_rollup_by_status(spark, sf_dir):
     return crawl_rollup(_runs(spark, sf_dir))
 
@@ -276,7 +286,7 @@ def results_to_json(spark, sf_dir):
     return rows.select(*[F.get_json_object("json", f"$.{f}").alias(f) for f in fields])
 
 
-@query
+@query_as("hash_embedding")
 def hash_embeddings(spark, sf_dir):
     """Vector table of the feed with the hash model: enriched text to unit vector."""
     embed = lambda df: df.withColumn("embedding", hash_embedding(F.col("document"), 8))
@@ -352,7 +362,7 @@ def knn_batch(spark, sf_dir):
 
 # ---- search ------------------------------------------------------------------
 
-@query
+@query_as("semantic_search")
 def semantic_search_recent(spark, sf_dir):
     hits = semantic_search(
         views.vectors(spark, sf_dir), views.articles(spark, sf_dir), views.query_vector(spark, sf_dir),
@@ -384,13 +394,13 @@ def search_fallback(spark, sf_dir):
     return hits.select("id", "title", "publisher", "score", "search_mode", _r6("rank"))
 
 
-@query
+@query_as("latest_for_topic")
 def latest_for_topic_by_rank(spark, sf_dir):
     hits = latest_for_topic("ing", _index(spark, sf_dir), views.articles(spark, sf_dir))
     return hits.select("id", "title", "score", _r6("rank"))
 
 
-@query
+@query_as("search_batch")
 def search_many(spark, sf_dir):
     """Five recent results for every stored vector as a query."""
     queries = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -457,12 +467,12 @@ def timeline_range_observed(spark, sf_dir):
     return timeline(views.articles(spark, sf_dir), days=20, end="2024-01-25", as_of=AS_OF, compat="observed")
 
 
-@query
+@query_as("timeline_all_topics")
 def timeline_topics(spark, sf_dir):
     return timeline_all_topics(views.articles(spark, sf_dir))
 
 
-@query
+@query_as("corpus_stats")
 def stats(spark, sf_dir):
     return corpus_stats(views.articles(spark, sf_dir), table(spark, sf_dir, "embeddings"), MODEL, DIM)
 
@@ -514,13 +524,13 @@ def sentiment_overall(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query
+@query_as("sentiment_timeline")
 def sentiment_by_day(spark, sf_dir):
     found = B.sentiment_timeline(_ranked(spark, sf_dir, 15), B.scripted_scorer)
     return found.withColumn("score", F.round("score", 6))
 
 
-@query
+@query_as("topic_alerts")
 def alerts(spark, sf_dir):
     """A registration per user and topic; the threshold follows the user's own activity."""
     user = F.col("user_id").cast("string")
