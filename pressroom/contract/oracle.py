@@ -354,7 +354,7 @@ from topics left join verdicts using (topic)""",
     "sentiment_timeline": f"""with {_verdicts('topic, date')}
 select topic, date, overall, round(score, 6) as score, rationale, article_count from verdicts""",
     "topic_alerts": f"""with {FEED}, counts as (select topic, count(*) as articles from feed group by topic),
-regs as (select user_id, event_type as topic, (count(*) * 10)::integer as threshold,
+regs as (select user_id, event_type as topic, count(*)::integer as threshold,
     case user_id % 3 when 1 then 'https://hooks.example.com/' || user_id end as webhook_url
   from events where user_id % 3 <> 0 group by user_id, event_type)
 select topic, threshold, webhook_url, max(articles) as articles, count(*) as registrations

@@ -16,7 +16,7 @@ from ..operators import brief as B
 from ..operators import keyword as K
 from ..operators import vectors as V
 from ..operators.crawl import (
-    check_statuses, close_runs, crawl_rollup, latest_runs, open_runs, topic_summary, with_header,
+    check_statuses, close_runs, crawl_rollup, latest_runs, open_runs, with_header,
 )
 from ..operators.dedup import is_duplicate, seen_ledger, with_keys
 from ..operators.embed import hash_embedding
@@ -532,10 +532,10 @@ def sentiment_by_day(spark, sf_dir):
 
 @query_as("topic_alerts")
 def alerts(spark, sf_dir):
-    """A registration per user and topic; the threshold follows the user's own activity."""
+    """A registration per user and topic; the threshold is how active the user is on it."""
     user = F.col("user_id").cast("string")
     registrations = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("topic")).agg(
-        (F.count("*") * 10).cast("int").alias("threshold")
+        F.count("*").cast("int").alias("threshold")
     ).withColumn(
         "webhook_url",
         F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("https://10.0.0.1/"), user))
