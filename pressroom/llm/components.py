@@ -1,0 +1,35 @@
+"""Connected components of links between documents, as joins and aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..runtime import Scratch
+
+MOST_ROUNDS = 60
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component): the smallest node reachable over ``links`` (a, b), for nodes that have links.
+
+    Rounds of the large-star and small-star steps: each node's neighbours are tied to the smallest of
+    them, first those above it, then those below. A round halves the depth of what is left; nothing is
+    collected but one number. Every round's links are a written table.
+    """
+    links = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = scratch.cut(links, "links")
+    for _ in range(MOST_ROUNDS):
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        # large star: neighbours above a node go to the smallest neighbour (or the node)
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        # small star: neighbours below a node, and the node, go to the smallest neighbour
+        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b")).where("a != b").distinct()
+        after = scratch.cut(small, "links")
+        size = [x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first() for x in (links, after)]
+        links = after
+        if size[0] == size[1]:
+            tops = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops)
+    raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds")
