@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
+from pressroom.contract.queries import QUERIES as OWN
 from tests.compare import connect, differences
 
 QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
@@ -17,7 +18,7 @@ def test_entry(spark):
     assert contract.entry(spark).count() == 5
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(OWN))
 def test_query(spark, db, sf_dir, name):
     assert name in ORACLE
     assert differences(spark, db, sf_dir, QUERIES[name], ORACLE[name]) is None
