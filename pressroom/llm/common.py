@@ -155,6 +155,12 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, width: int, n_docs: int) -> tu
     return got[order], of[order]
 
 
+def arrays(rows: DataFrame) -> list[np.ndarray]:
+    """The columns of a small result, over Arrow whatever the session's settings."""
+    table = rows.toArrow()
+    return [table.column(c).to_numpy() for c in rows.columns]
+
+
 BITMAP_BITS = 26  # 8 MB, whatever the input
 
 
@@ -167,9 +173,10 @@ def bitmap(marks: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     cell = F.shiftrightunsigned("mark", 64 - bits)
     held = marks.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")
-    ).toPandas()
+    )
+    word, set_ = arrays(held)
     out = np.zeros(1 << (bits - 6), np.int64)
-    out[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
+    out[word] = set_
     return out.view(np.uint64)
 
 

@@ -224,10 +224,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     few = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "label")
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", F.col("label").cast("int").alias("label"))
-    held = rows.mapInArrow(_measure, "label int, x array<double>").toPandas()
-    x = np.array(held["x"].tolist(), np.float64).reshape(len(held), len(FEATURES))
-    order = np.lexsort((*x.T, held["label"].to_numpy())) if len(x) else np.zeros(0, np.int64)  # the same sums whatever the order of tasks
-    return fit(x[order], held["label"].to_numpy(np.float64)[order])
+    held = rows.mapInArrow(_measure, "label int, x array<double>").toArrow()
+    label = held.column("label").to_numpy()
+    x = held.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(label), len(FEATURES))
+    order = np.lexsort((*x.T, label)) if len(x) else np.zeros(0, np.int64)  # the same sums whatever the order of tasks
+    return fit(x[order], label[order].astype(np.float64))
 
 
 def _score(shared):

@@ -110,14 +110,11 @@ def _bundle(dimension: int):
 def profiles(labelled: DataFrame, dimension: int = DIMENSION) -> dict[str, np.ndarray]:
     """Prototype of each language of (text, lang) as a unit vector; null languages are left out."""
     rows = labelled.where("lang is not null").select("text", "lang").mapInArrow(_bundle(dimension), "lang string, at int, sum long")
-    held = rows.groupBy("lang", "at").agg(F.sum("sum").alias("sum")).toPandas()  # languages x dimension
-    out = {}
-    for lang, part in held.groupby("lang"):
-        v = np.zeros(dimension)
-        v[part["at"].to_numpy()] = part["sum"].to_numpy(np.float64)
-        if v.any():
-            out[str(lang)] = v / np.linalg.norm(v)
-    return dict(sorted(out.items()))
+    held = rows.groupBy("lang", "at").agg(F.sum("sum").alias("sum"))
+    sums: dict[str, np.ndarray] = {}
+    for lang, at, value in zip(*(c.tolist() for c in common.arrays(held))):  # languages x dimension
+        sums.setdefault(lang, np.zeros(dimension))[at] = value
+    return {lang: v / np.linalg.norm(v) for lang, v in sorted(sums.items()) if v.any()}
 
 
 def _predict(shared, dimension: int, extra: list[str]):

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.numbering import number_rows
 from ..runtime import Scratch
+from . import common
 
 BUCKETS = 8
 TOKEN_BUDGET = 65_536
@@ -78,9 +79,9 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
     """
     scratch = scratch or Scratch(docs.sparkSession, "pack")
     rows = scratch.cut(docs.select("doc_id", tokens(F.col("text")).alias("n_tokens")), "lengths")
-    held = rows.groupBy(cell("n_tokens").alias("cell")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).orderBy("cell").toPandas()
-    cells, counts = held["cell"].to_numpy(np.int64), held["n"].to_numpy(np.int64)
-    plan = optimal(cells, counts, held["tokens"].to_numpy(np.int64), buckets)
+    held = rows.groupBy(cell("n_tokens").alias("cell")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).orderBy("cell")
+    cells, counts, sums = common.arrays(held)
+    plan = optimal(cells, counts, sums, buckets)
     placed = number_rows(rows, ["n_tokens", "doc_id"], scratch, start=0, name="place")
     ends = plan.boundaries or [1]
     of = np.searchsorted(ends, cells)

@@ -42,6 +42,7 @@ NOT_WORDS = set(
     "breadcrumb breadcrumbs footer foot masthead topbar toolbar notice notices cookie cookies consent gdpr alert popup modal overlay comment comments commentlist reply replies respond disqus "
     "discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login paywall widget widgets pagination pager skip complementary contentinfo "
     "dialog search hidden".split())
+HOLDERS = {"html", "body", "div", "section", "center", "table", "tbody", "tr", "td"}
 MAIN_WORDS = {"article", "post", "entry", "story", "content", "main", "articlebody"}
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))""", re.S)
@@ -299,9 +300,10 @@ def rules(wrapper: list) -> dict:
                     total += text
                     if len(p) > len(top):
                         own[p[:len(top) + 1]] = own.get(p[:len(top) + 1], 0) + text
-            if not own or not total or max(own.values()) < 0.9 * total:
+            best = max(own, key=lambda k: (own[k], k), default=())
+            if not best or not total or own[best] < 0.9 * total or best[-1].split(".")[0] not in HOLDERS:
                 break
-            top = max(own, key=lambda k: (own[k], k))
+            top = best
         keep = [p for p, s in good if p[:len(top)] == top and 2 * s[3][1] <= s[3][0]]
     pages = wrapper[3][0]
     fixed = [[list(p), s[3][2]] for p, s in good if s[3][2] is not None and s[3][3] >= max(5, 0.9 * pages) and s[1] == "1"]
