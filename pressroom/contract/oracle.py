@@ -64,6 +64,10 @@ keyed as materialized (
     sha256({_canonical('url')}) as url_hash
   from feed)"""
 
+# Runs that store nothing: errors of every seventh day are rate-limited, clicks of every ninth day fail.
+_LIMITED = "(day % 7 = 0 and topic = 'error')"
+_FAILED = "(day % 9 = 0 and topic = 'click')"
+
 ACCEPT = KEYED + """,
 lined as materialized (select row_number() over (order by ord) as rn, ord, composite_key as k, url_hash as u from keyed),
 walk as (
@@ -78,21 +82,28 @@ accepted as (select ord, row_number() over (order by ord) as id from walk where
 
 WITH_ACCEPT = "with recursive " + ACCEPT
 
-RUNS = WITH_ACCEPT + """,
+def _accepted_without(stopped: str) -> str:
+    """The sequential pass over the records of runs that are not ``stopped``."""
+    of = f"(select *, extract(day from batch::date) as day from keyed) where not ({stopped})"
+    return WITH_ACCEPT.replace("url_hash as u from keyed)", f"url_hash as u from {of})")
+
+
+RUNS = _accepted_without(f"day % 13 <> 0 and ({_LIMITED} or {_FAILED})") + f""",
 runs as (
   select batch || '/' || topic as run_id, batch, topic, method, count(*) as fetched, count(id) as new,
     count(*) - count(id) as skipped, extract(day from batch::date) as day
   from keyed left join accepted using (ord) group by batch, topic, method),
 log as (
   select run_id, topic, method,
-    case when day % 11 = 0 or lim then 0 else fetched end::bigint as fetched,
-    case when day % 11 = 0 or lim then 0 else new end::bigint as new_articles,
-    case when day % 11 = 0 or lim then 0 else skipped end::bigint as skipped_dupes,
-    case when day % 11 = 0 then 'partial' when lim then 'rate_limited' else 'success' end as status,
-    case when day % 11 <> 0 and lim then '429' end as error_message,
+    case when stopped or open then 0 else fetched end::bigint as fetched,
+    case when stopped or open then 0 else new end::bigint as new_articles,
+    case when stopped or open then 0 else skipped end::bigint as skipped_dupes,
+    case when open then 'partial' when told and {_LIMITED} then 'rate_limited' when told and {_FAILED} then 'failed' else 'success' end as status,
+    case when not open and told and {_LIMITED} then '429' when not open and told and {_FAILED} then 'timeout' end as error_message,
     batch || 'T00:00:00' as started_at,
-    case when day % 11 <> 0 then fetched / 8 end::double as duration_seconds
-  from (select *, day % 7 = 0 and topic = 'error' as lim from runs))"""
+    case when not open and told then fetched / 8 end::double as duration_seconds
+  from (select *, day % 13 <> 0 as told, day % 11 = 0 as open, day % 13 <> 0 and ({_LIMITED} or {_FAILED}) as stopped from runs)
+  where told or not open)"""
 
 # Articles as stored: the id is the arrival number.
 ARTICLES = FEED + ", articles as (select ord as id, * exclude (ord) from feed)"
@@ -255,6 +266,14 @@ select ord, composite_key in (select composite_key from held) as is_known from k
     "crawl_run_log": f"{RUNS} select * from log",
     "crawl_rollup": f"""{RUNS} select topic, status, count(*) as runs, sum(fetched)::bigint as fetched,
   sum(new_articles)::bigint as new_articles, sum(skipped_dupes)::bigint as skipped_dupes from log group by topic, status""",
+    "stored_per_status": _accepted_without(f"{_LIMITED} or {_FAILED}") + f""",
+runs as (select batch, topic, method, extract(day from batch::date) as day, count(id) as articles
+  from keyed left join accepted using (ord) group by batch, topic, method)
+select case when {_LIMITED} then 'rate_limited' when {_FAILED} then 'failed' else 'success' end as status,
+  count(*) as runs, sum(articles)::bigint as articles from runs group by 1""",
+    "feed_order": f"{WITH_ACCEPT} select id, url, composite_key from keyed join accepted using (ord)",
+    # In a chain every second record is accepted, from the first.
+    "dedup_chains": "select doc_id as ord from documents where doc_id % 100 % 2 = 0",
     "hydrate_articles": f"""with {ARTICLES} select id, title, url, publisher_name as publisher, published_date, summary,
   country, language, topic from articles where id in (select vec_id * 3 from embeddings)""",
     "results_to_json": f"""with {ARTICLES} select id::varchar as id, title, url, publisher_name as publisher, summary, topic

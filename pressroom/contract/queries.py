@@ -18,8 +18,9 @@ from ..operators import vectors as V
 from ..operators.crawl import (
     check_statuses, close_runs, crawl_rollup, latest_runs, open_runs, with_header,
 )
-from ..operators.dedup import is_duplicate, seen_ledger, with_keys
+from ..operators.dedup import first_accepts, is_duplicate, seen_ledger, with_keys
 from ..operators.embed import hash_embedding
+from ..operators.skew import heavy_values
 from ..operators.monitor import screen_registrations, topic_alerts
 from ..operators.search import hydrate, latest_for_topic, project, search, search_batch, semantic_search
 from ..operators.timeline import corpus_stats, timeline, timeline_all_topics
@@ -27,7 +28,7 @@ from ..plans.ingest import ingest_batch, vector_rows
 from ..runtime import Scratch, spread
 from ..sources.corpus import Corpus, as_json
 from ..sources.derived import AS_OF, DIM, MODEL, SEARCH_AS_OF, feed_from, raw_feed, table
-from ..sources.feed import is_valid, method_counts
+from ..sources.feed import is_valid, method_counts, read_feed
 from ..streaming.alert_stream import daily_counts
 from ..streaming.ingest_stream import ingest_stream
 from . import views
@@ -239,25 +240,64 @@ def known_keys(spark, sf_dir):
         with_keys(views.feed(spark, sf_dir)).select("ord", "publisher_norm", "composite_key"), "keyed"
     )
     even = F.regexp_extract("publisher_norm", r"(\d+)", 1).cast("int") % 2 == 0
-    return is_duplicate(keyed, keyed.where(even).select("composite_key")).select("ord", "is_known")
+    heavy = heavy_values(keyed, "composite_key", Scratch(spark, "contract"))
+    return is_duplicate(keyed, keyed.where(even).select("composite_key"), heavy).select("ord", "is_known")
 
 
 def _runs(spark, sf_dir):
-    """Run log of one run per day, topic and method: some limited, some never closed."""
-    got = _ingest(spark, sf_dir, by=("batch", "topic", "method"))
-    counted = got.summary.withColumnRenamed("fetched", "n_fetched")
+    """Run log of one run per day, topic and method: some limited, some failed, some never closed, some not announced."""
+    run, scratch = ["batch", "topic", "method"], Scratch(spark, "contract")
+    header = scratch.cut(_header(spark, sf_dir).where("day % 13 != 0"), "header")
+    got = _ingest(spark, sf_dir, by=tuple(run), header=header)
+    run_id, started = F.concat_ws("/", "batch", "topic"), F.col("batch").cast("timestamp_ntz")
+    closed = with_header(got.summary, header, run).withColumns({
+        "run_id": F.coalesce("run_id", run_id), "started_at": F.coalesce("started_at", started)})
+    finished = close_runs(closed).where(F.dayofmonth("started_at") % 11 != 0)
+    return latest_runs(open_runs(header).unionByName(finished))
+
+
+def _header(spark, sf_dir):
+    """What is announced for every day and topic: errors of every seventh day are limited, clicks of every ninth fail."""
     day = F.substring("batch", 9, 2).cast("int")
-    header = counted.select(
-        "batch", "topic", "method",
-        ((day % 7 == 0) & (F.col("topic") == "error")).alias("rate_limited"),
-        F.when((day % 7 == 0) & (F.col("topic") == "error"), "429").alias("error"),
-        F.col("batch").cast("timestamp_ntz").alias("started_at"),
-        (F.col("n_fetched") / 8).alias("duration_seconds"),
-        F.concat_ws("/", "batch", "topic").alias("run_id"),
+    limited, failed = (day % 7 == 0) & (F.col("topic") == "error"), (day % 9 == 0) & (F.col("topic") == "click")
+    runs = raw_feed(spark, sf_dir).groupBy("batch", "topic", "method").agg(F.count("*").alias("n"))
+    return runs.select(
+        F.concat_ws("/", "batch", "topic").alias("run_id"), "batch", "topic", "method", day.alias("day"), limited.alias("rate_limited"),
+        F.when(limited, "429").when(failed, "timeout").alias("error"), F.col("batch").cast("timestamp_ntz").alias("started_at"),
+        (F.col("n") / 8).alias("duration_seconds"),
     )
-    closed = close_runs(with_header(got.summary, header, ["batch", "topic", "method"]))
-    finished = closed.where(F.dayofmonth("started_at") % 11 != 0)
-    return latest_runs(open_runs(header).unionByName(finished))
+
+
+@query
+def stored_per_status(spark, sf_dir):
+    """Articles that runs of each status store: none if rate-limited or failed."""
+    run, header = ["batch", "topic", "method"], _header(spark, sf_dir)
+    got = _ingest(spark, sf_dir, header=header)
+    held = got.articles.groupBy(*run).agg(F.count("*").alias("articles"))
+    runs = with_header(got.summary.limit(0).select(*[F.lit(None).cast("string").alias(c) for c in run], "fetched", "new", "skipped"), header, run)
+    return runs.select(*run, "status").join(held, run, "left").groupBy("status").agg(
+        F.count("*").alias("runs"), F.coalesce(F.sum("articles"), F.lit(0)).alias("articles"))
+
+
+@query
+def feed_order(spark, sf_dir):
+    """The feed written as files without ``ord``, read back, numbered as it arrives and deduplicated."""
+    scratch = Scratch(spark, "contract")
+    path = scratch.path("feed")
+    rows = raw_feed(spark, sf_dir).withColumn("batch", F.lit("all")).withColumn("topic", F.lit("all"))
+    rows.repartitionByRange(4, "ord").sortWithinPartitions("ord").drop("ord").write.parquet(path)
+    got = ingest_batch(read_feed(spark, path, "parquet"), scratch, AS_OF, views.SETTINGS)
+    return got.articles.select("id", "url", "composite_key")
+
+
+@query
+def dedup_chains(spark, sf_dir):
+    """Chains of a hundred records in which each shares its key or its URL with the next, one chain per hundred documents."""
+    n = F.col("doc_id")
+    links = table(spark, sf_dir, "documents").select(
+        n.alias("ord"), F.concat_ws("-", F.lit("k"), (n - n % 100), F.floor((n % 100 + 1) / 2)).alias("composite_key"),
+        F.concat_ws("-", F.lit("u"), (n - n % 100), F.floor(n % 100 / 2)).alias("url_hash"))
+    return first_accepts(links, Scratch(spark, "contract")).select("ord")
 
 
 @query

@@ -12,7 +12,7 @@ class EmbeddingMismatch(PressroomError):
 
 
 class FeedError(PressroomError):
-    """A raw feed breaks the contract (unknown fetch method, bad status)."""
+    """A raw feed breaks the contract (unknown fetch method, no order, bad status)."""
 
 
 class WebhookRefused(PressroomError):

@@ -23,11 +23,15 @@ def topic_summary(rows: DataFrame, accepted: DataFrame, by: list[str]) -> DataFr
 
 
 def with_header(summary: DataFrame, header: DataFrame, by: list[str]) -> DataFrame:
-    """Counts of every announced run; failed and rate-limited runs count nothing.
+    """Counts of every run, announced in the header or only found in the feed.
 
-    A rate limit or an error in the header sets the status and zeroes counts.
+    A rate limit or an error in the header sets the status; such runs store
+    nothing (see ``stopped_runs``) and count nothing.
     """
-    joined = header.join(summary, by, "left")
+    names = {c: f"__{c}" for c in by}
+    counted = summary.withColumnsRenamed(names)
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    joined = header.join(counted, same, "full_outer").withColumns({c: F.coalesce(c, n) for c, n in names.items()}).drop(*names.values())
     limited, failed = F.coalesce("rate_limited", F.lit(False)), F.col("error").isNotNull()
     status = F.when(limited, "rate_limited").when(failed, "failed").otherwise("success")
     counts = {
@@ -37,6 +41,11 @@ def with_header(summary: DataFrame, header: DataFrame, by: list[str]) -> DataFra
     return joined.withColumns({**counts, "status": status})
 
 
+def stopped_runs(header: DataFrame, by: list[str]) -> DataFrame:
+    """The runs whose records must not be stored: rate-limited or failed."""
+    return header.where(F.coalesce("rate_limited", F.lit(False)) | F.col("error").isNotNull()).select(*by).distinct()
+
+
 def open_runs(header: DataFrame) -> DataFrame:
     """The log entry written before a run starts."""
     zero = F.lit(0).cast("bigint")

@@ -6,6 +6,11 @@ matching a sequential pass would find. In parallel: an edge that comes first
 both for its key and for its URL is certain; take those, drop what they rule
 out, repeat. Two window ranks do not do this: a record refused for its URL
 must leave its key free.
+
+A round takes one link off each end of a chain, so after some rounds the
+remainder is cut into connected components, which do not touch each other.
+Small components are walked in order, many at a time; only a component that
+is too large for one task goes through further rounds.
 """
 
 from __future__ import annotations
@@ -16,13 +21,15 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.stages import staged
 from ..functions.text import key_of, publisher_norm, title_slug
 from ..functions.urls import with_canonical_url
+from ..errors import FeedError
 from ..runtime import Scratch
 from ..sources.feed import is_valid
+from .components import components
 from .skew import FLOOR_ROWS, heavy_values, join_unique
 
-# What is left after the first round may end in one task if it has no more
-# rows than this (some megabytes). More than this always takes another round.
-TAIL_ROWS = 50_000
+ROUNDS = 3  # before the remainder is cut into components
+# A component of at most so many rows (of some 100 bytes) is walked by one task.
+COMPONENT_ROWS = 500_000
 
 
 def with_keys(feed: DataFrame, empty_slug: str = "keep") -> DataFrame:
@@ -59,16 +66,16 @@ def first_accepts(
     scratch: Scratch,
     known_keys: DataFrame | None = None,
     known_urls: DataFrame | None = None,
-    tail_rows: int = TAIL_ROWS,
+    component_rows: int = COMPONENT_ROWS,
     floor_rows: int = FLOOR_ROWS,
     heavy_keys: DataFrame | None = None,
     heavy_urls: DataFrame | None = None,
 ) -> DataFrame:
     """Accepted records as (ord, composite_key, url_hash).
 
-    ``rows`` holds valid records with a unique, total ``ord``; known keys and
-    URLs are those of earlier batches, each at most once. Keys and hashes may
-    be of any type, the same on both sides.
+    ``rows`` holds valid records with a unique, total ``ord`` (see
+    ``check_order``); known keys and URLs are those of earlier batches, each at
+    most once. Keys and hashes may be of any type, the same on both sides.
     """
     if heavy_keys is None and heavy_urls is None:
         heavy_keys, heavy_urls = heavy_pair(rows, scratch, floor_rows)
@@ -79,45 +86,82 @@ def first_accepts(
     if known_urls is not None:
         live = join_unique(live, known_urls.select("url_hash"), "url_hash", heavy_urls, "left_anti")
     live = scratch.cut(live, "live")
+    schema = live.schema
 
     won_path = scratch.path("won")
     reader = rows.sparkSession.read
-    rounds = 0
+    rounds, before = 0, -1
     while True:
         left = live.count()  # from the footers of the written table
         if left == 0 and rounds:
             break
-        if rounds and left <= tail_rows:
-            _finish(live).write.parquet(f"{won_path}/round={rounds}")
-            break
+        if left == before:
+            raise FeedError("no record comes first for its key and its URL: ord is null or repeated")
+        before = left
+        if rounds and rounds % ROUNDS == 0:
+            small, live = _components(live, scratch, component_rows)
+            _walk(small).write.parquet(f"{won_path}/round={rounds}-small")
+            if live is None:
+                break
         # Smallest numbers only: they fit the hash aggregation, and what the
         # two sides have in common is found on one long per key and URL.
         by_key = live.groupBy("composite_key").agg(F.min("ord").alias("ord")).select("ord")
         by_url = live.groupBy("url_hash").agg(F.min("ord").alias("ord")).select("ord")
         live.join(by_key.join(by_url, "ord"), "ord", "left_semi").write.parquet(f"{won_path}/round={rounds}")
-        won = reader.schema(live.schema).parquet(f"{won_path}/round={rounds}")
+        won = reader.schema(schema).parquet(f"{won_path}/round={rounds}")
         rest = join_unique(live, won.select("composite_key"), "composite_key", heavy_keys, "left_anti")
         rest = join_unique(rest, won.select("url_hash"), "url_hash", heavy_urls, "left_anti")
         live = scratch.cut(rest.select(*live.columns), "live")
         rounds += 1
-    return reader.schema(live.schema).parquet(won_path).select("ord", "composite_key", "url_hash")
+    return reader.schema(schema).parquet(won_path).select("ord", "composite_key", "url_hash")
+
+
+def check_order(rows: DataFrame) -> None:
+    """Raise unless every row has an ``ord`` of its own; ``rows`` is a written, narrow table."""
+    found = rows.agg(F.count("*").alias("rows"), F.count("ord").alias("numbered"), F.count_distinct("ord").alias("numbers")).first()
+    if found["numbered"] < found["rows"]:
+        raise FeedError(f"{found['rows'] - found['numbered']} records have no ord")
+    if found["numbers"] < found["rows"]:
+        raise FeedError(f"{found['rows'] - found['numbers']} records repeat the ord of another")
 
 
-def _finish(live: DataFrame) -> DataFrame:
-    """The sequential pass over a remainder of proven size."""
+def _components(live: DataFrame, scratch: Scratch, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of components with at most ``most`` rows, with their component, and the other rows (None if none).
+
+    Keys and URLs are nodes numbered by hash; two nodes with one number would
+    only be walked together, which changes nothing.
+    """
+    nodes = live.withColumn("a", F.xxhash64(F.lit("key"), "composite_key"))
+    links = nodes.select("a", F.xxhash64(F.lit("url"), "url_hash").alias("b"))
+    label = components(links, scratch)
+    placed = scratch.cut(nodes.join(label, nodes["a"] == label["node"]).select(*live.columns, "component"), "placed")
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    large = scratch.cut(sizes.select("component"), "large")
+    if large.isEmpty():
+        return placed, None
+    rest = scratch.cut(placed.join(large, "component", "left_semi").select(*live.columns), "live")
+    return placed.join(large, "component", "left_anti"), rest
+
+
+def _walk(rows: DataFrame) -> DataFrame:
+    """The sequential pass over each component."""
+    schema = rows.drop("component").schema
 
     def walk(batches):
-        keys, urls = set(), set()
+        keys, urls, at = set(), set(), None
         for pdf in batches:
             kept = []
-            for key, url, place in zip(pdf["composite_key"], pdf["url_hash"], pdf["ord"]):
+            for component, key, url, place in zip(pdf["component"], pdf["composite_key"], pdf["url_hash"], pdf["ord"]):
+                if component != at:
+                    keys, urls, at = set(), set(), component
                 if key not in keys and url not in urls:
                     keys.add(key)
                     urls.add(url)
                     kept.append((key, url, place))
             yield pd.DataFrame(kept, columns=["composite_key", "url_hash", "ord"])
 
-    return live.coalesce(1).sortWithinPartitions("ord").mapInPandas(walk, live.schema)
+    ordered = rows.repartition("component").sortWithinPartitions("component", "ord")
+    return ordered.select("component", "composite_key", "url_hash", "ord").mapInPandas(walk, schema)
 
 
 def known_repeats(rows: DataFrame, known_keys: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
@@ -174,9 +218,12 @@ def seen_ledger(log: DataFrame, articles: DataFrame | None = None) -> DataFrame:
     )
 
 
-def is_duplicate(rows: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Add ``is_known``: whether the ledger holds the record's key."""
+def is_duplicate(rows: DataFrame, ledger: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+    """Add ``is_known``: whether the ledger holds the record's key.
+
+    ``heavy``: keys that many of ``rows`` share, from ``heavy_values``.
+    """
     known = ledger.select("composite_key").distinct().withColumn("is_known", F.lit(True))
-    return rows.join(known, "composite_key", "left").withColumn(
+    return join_unique(rows, known, "composite_key", heavy, "left").withColumn(
         "is_known", F.coalesce("is_known", F.lit(False))
     )

@@ -33,15 +33,25 @@ def check_vectors(vectors: DataFrame, model: str, dim: int) -> DataFrame:
     return vectors
 
 
-def upsert(stored: DataFrame, new: DataFrame, order: str) -> DataFrame:
+def latest_by_id(rows: DataFrame, order: str) -> DataFrame:
+    """One row per id: that with the largest ``order``; of equal ones the largest row, so the choice never varies."""
+    others = [c for c in rows.columns if c not in ("id", order)]
+    row = F.struct(order, *others)
+    return rows.groupBy("id").agg(F.max(row).alias("r")).select("id", "r.*").select(*rows.columns)
+
+
+def upsert(stored: DataFrame, new: DataFrame, order: str, dim: int | None = None) -> DataFrame:
     """Stored rows with ``new`` put in by id; of several new rows the last wins.
 
     New rows of one id are combined before the shuffle. Stored rows are not
-    sorted or regrouped: those without a new version pass through.
+    sorted or regrouped: those without a new version pass through. A new row without
+    ``dim`` dimensions fails the job.
     """
     columns = stored.columns
-    row = F.struct(*[c for c in columns if c != "id"])
-    latest = new.groupBy("id").agg(F.max_by(row, order).alias("r")).select("id", "r.*")
+    if dim is not None:
+        wrong = F.raise_error(F.concat(F.lit("EmbeddingMismatch: vector "), F.col("id").cast("string"))).cast(new.schema["embedding"].dataType)
+        new = new.withColumn("embedding", F.when(F.coalesce(F.size("embedding"), F.lit(0)) == dim, F.col("embedding")).otherwise(wrong))
+    latest = latest_by_id(new.select(*dict.fromkeys([*columns, order])), order)
     return stored.join(latest.select("id"), "id", "left_anti").unionByName(latest.select(*columns))
 
 
@@ -137,14 +147,19 @@ def nearest(
     country: str | None = None,
     language: str | None = None,
     metric: str = "cosine",
+    dim: int | None = None,
 ) -> DataFrame:
     """The k most similar rows as (id, similarity), best first.
 
+    ``dim``: the dimension of the stored model; another query length is refused before any job.
+
     Filters reach the scan; similarity is 1 - distance, for unit vectors the
     dot product (cosine) or twice that minus one (l2sq).
     """
     if metric not in METRICS:
         raise EmbeddingMismatch(f"metric must be one of {METRICS}")
+    if dim is not None and len(query) != dim:
+        raise EmbeddingMismatch(f"the query has {len(query)} dimensions, the stored vectors have {dim}")
     clause = place_filter(country, language)
     rows = vectors if clause is None else vectors.where(clause)
     found = _partial_top(rows, [0], np.asarray([query], dtype="float64"), "int", k, metric)

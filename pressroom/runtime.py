@@ -52,13 +52,28 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """One run's intermediate tables, all below a folder of its own."""
+    """One run's intermediate tables, all below a folder of its own.
+
+    ``drop`` deletes the folder once results are published elsewhere; as a
+    context manager it does so at the end of the block.
+    """
 
     def __init__(self, spark: SparkSession, label: str = "run") -> None:
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._step = 0
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+    def drop(self) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(self.root)
+        folder.getFileSystem(conf).delete(folder, True)
+
     def path(self, name: str) -> str:
         self._step += 1
         return f"{self.root}/{self._step:04d}-{name}"

@@ -9,11 +9,6 @@ RAW_FEED = (
     "country STRING, language STRING, full_text STRING"
 )
 
-FEED_HEADER = (
-    "batch STRING, topic STRING, method STRING, rate_limited BOOLEAN, error STRING, "
-    "started_at TIMESTAMP, duration_seconds DOUBLE"
-)
-
 ARTICLES = (
     "id BIGINT, title STRING, url STRING, url_hash STRING, publisher_name STRING, "
     "publisher_href STRING, published_date STRING, published_at TIMESTAMP_NTZ, summary STRING, "
@@ -38,4 +33,9 @@ CRAWL_RUNS = (
     "duration_seconds DOUBLE"
 )
 
+MODEL = "embed_model STRING, embed_dim INT"
+
+# A change of stored vectors: rows put in or (with only an id) taken out.
+CHANGES = f"{VECTORS}, deleted BOOLEAN, change BIGINT"
+
 COMMITS = ("batch STRING, articles BIGINT, max_id BIGINT")

@@ -3,6 +3,11 @@
 A batch writes its part of every table below ``batch=<id>`` and then appends
 one commit row. Readers keep committed batches only, so a half-written batch
 is never seen and its rerun simply writes the same folders again.
+
+The run log is not part of that: it is appended to before and after the work, so
+a run that fails leaves its opening entry. Vectors can be put in and taken out
+after their batch: such changes are numbered and read over the batches' rows.
+The corpus is locked to the embedding model it was first used with.
 """
 
 from __future__ import annotations
@@ -11,13 +16,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..schema import ARTICLES, COMMITS, CRAWL_RUNS, SIGHTINGS, VECTORS
+from ..config import Settings
+from ..errors import EmbeddingMismatch
+from ..operators.crawl import latest_runs
+from ..operators.vectors import latest_by_id
+from ..schema import ARTICLES, CHANGES, COMMITS, CRAWL_RUNS, MODEL, SIGHTINGS, VECTORS
 
 TABLES = {
     "articles": ARTICLES,
     "vectors": VECTORS,
     "sightings": SIGHTINGS,
-    "crawl_runs": CRAWL_RUNS,
 }
 
 
@@ -30,12 +38,15 @@ class Corpus:
         self.root = root.rstrip("/")
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str) -> Corpus:
-        """Lay out empty tables; existing ones are kept."""
+    def create(cls, spark: SparkSession, root: str, settings: Settings | None = None) -> Corpus:
+        """Lay out empty tables; existing ones are kept. ``settings`` checks the model, or sets it in a new corpus."""
         corpus = cls(spark, root)
         for name, schema in TABLES.items():
             corpus._empty(schema).write.mode("ignore").parquet(f"{corpus._path(name)}/batch=__none__")
-        corpus._empty(COMMITS).write.mode("ignore").parquet(corpus._path("commits"))
+        for name, schema in (("commits", COMMITS), ("run_log", CRAWL_RUNS), ("model", MODEL), ("vector_changes", CHANGES)):
+            corpus._empty(schema).write.mode("ignore").parquet(corpus._path(name))
+        if settings is not None:
+            corpus.check_model(settings.embed_model, settings.embed_dim)
         return corpus
 
     def _empty(self, schema: str) -> DataFrame:
@@ -47,17 +58,59 @@ class Corpus:
     def commits(self) -> DataFrame:
         return self.spark.read.schema(COMMITS).parquet(self._path("commits")).dropDuplicates(["batch"])
 
-    def committed(self) -> list[str]:
-        """Ids of committed batches: one short text per batch, not per row."""
-        return sorted(row.batch for row in self.commits().select("batch").collect())
+    def check_model(self, model: str, dim: int) -> None:
+        """Raise unless the corpus holds vectors of this model and dimension; a corpus without one takes it."""
+        held = self.spark.read.schema(MODEL).parquet(self._path("model")).first()
+        if held is None:
+            self.spark.createDataFrame([(model, dim)], MODEL).coalesce(1).write.mode("append").parquet(self._path("model"))
+        elif (held.embed_model, held.embed_dim) != (model, dim):
+            raise EmbeddingMismatch(f"the corpus holds {held.embed_model!r} with {held.embed_dim} dimensions, not {model!r} with {dim}")
+
+    def is_committed(self, batch: str) -> bool:
+        return not self.commits().where(F.col("batch") == batch).isEmpty()
+
+    def log_runs(self, entries: DataFrame) -> None:
+        """Append entries to the run log; they are visible at once."""
+        entries.select(*self._empty(CRAWL_RUNS).columns).write.mode("append").parquet(self._path("run_log"))
+
+    def runs(self, batch: str | None = None) -> DataFrame:
+        """The latest entry of each run, of one batch or all."""
+        log = self.spark.read.schema(CRAWL_RUNS).parquet(self._path("run_log"))
+        return latest_runs(log if batch is None else log.where(F.col("run_id").startswith(f"{batch}/")))
+
+    def put_vectors(self, rows: DataFrame) -> None:
+        """Insert or replace stored vectors by id; of several rows of one id the one with the largest embedding wins."""
+        held = self.spark.read.schema(MODEL).parquet(self._path("model")).first()
+        if held is not None:
+            right = (F.size("embedding") == held.embed_dim) & F.col("embed_model").eqNullSafe(held.embed_model)
+            wrong = F.raise_error(F.concat(F.lit("EmbeddingMismatch: vector "), F.col("id").cast("string"))).cast("boolean")
+            rows = rows.withColumn("deleted", F.when(F.coalesce(right, F.lit(False)), False).otherwise(wrong))
+        else:
+            rows = rows.withColumn("deleted", F.lit(False))
+        self._change(rows)
+
+    def delete_vectors(self, ids: DataFrame) -> None:
+        """Take stored vectors out by id; unknown ids are ignored."""
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in self._empty(VECTORS).schema if f.name != "id"]
+        self._change(ids.select("id").distinct().select("id", *empty, F.lit(True).alias("deleted")))
+
+    def _change(self, rows: DataFrame) -> None:
+        last = self.spark.read.schema(CHANGES).parquet(self._path("vector_changes")).agg(F.max("change")).first()[0] or 0
+        numbered = rows.withColumn("change", F.lit(last + 1).cast("bigint"))
+        numbered.select(*self._empty(CHANGES).columns).write.mode("append").parquet(self._path("vector_changes"))
 
     def next_id(self) -> int:
         return (self.commits().agg(F.max("max_id")).first()[0] or 0) + 1
 
     def read(self, table: str) -> DataFrame:
-        """All committed rows of a table; other batches are pruned unread."""
+        """All committed rows of a table; folders of other batches are pruned by the join with the commits."""
         stored = self.spark.read.schema(f"{TABLES[table]}, batch STRING").parquet(self._path(table))
-        return stored.where(F.col("batch").isin(self.committed())).drop("batch")
+        rows = stored.join(self.commits().select("batch"), "batch", "left_semi").drop("batch")
+        if table != "vectors":
+            return rows
+        changes = latest_by_id(self.spark.read.schema(CHANGES).parquet(self._path("vector_changes")), "change")
+        kept = rows.join(changes.select("id"), "id", "left_anti")
+        return kept.unionByName(changes.where("not deleted").select(*rows.columns))
 
     def publish(self, batch: str, tables: dict[str, Part]) -> bool:
         """Store a batch and commit it; False if it was committed before.
@@ -65,7 +118,7 @@ class Corpus:
         A table is given as rows, or as a function of the parts written so far,
         so that later tables can be built from stored rows of earlier ones.
         """
-        if batch in self.committed():
+        if self.is_committed(batch):
             return False
         written: dict[str, DataFrame] = {}
         for name, schema in TABLES.items():

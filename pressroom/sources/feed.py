@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Sequence
 
-from ..config import FETCH_METHODS, Settings
-from ..errors import FeedError
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from ..config import Settings
 from ..functions.text import truthy
 from ..schema import RAW_FEED
 
@@ -14,11 +15,44 @@ def read_feed(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Raw feed files with the declared schema.
 
     In JSON the publisher is an object or a plain string; it is read as text
-    and told apart here, so neither form is lost.
+    and told apart here, so neither form is lost. Each record carries its place
+    (file, split and row), from which ``arrival_order`` numbers feeds without ``ord``.
     """
     if fmt != "json":
-        return spark.read.schema(RAW_FEED).format(fmt).load(path)
-    return split_publisher(spark.read.schema(json_schema()).json(path))
+        return with_place(spark.read.schema(RAW_FEED).format(fmt).load(path))
+    return split_publisher(with_place(spark.read.schema(json_schema()).json(path)))
+
+
+PLACE = ("feed_file", "feed_split", "feed_row")
+_ROW_BITS = 33  # monotonically_increasing_id keeps the partition above
+
+
+def with_place(raw: DataFrame) -> DataFrame:
+    """Add where a record stands: its file, its split of the file, and a number that grows inside the split."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return raw.withColumns({"feed_file": F.col("_metadata.file_path"), "feed_split": F.col("_metadata.file_block_start"), "feed_row": row})
+
+
+def arrival_order(raw: DataFrame, topics: Sequence[str] = ()) -> DataFrame:
+    """Fill ``ord`` in the order of arrival: batch, place of the topic in ``topics``, file, row in the file.
+
+    Topics that are not listed come after those that are, by name. Numbers grow but are not consecutive: what is ranked is one
+    row per split of a file and topic, and the row inside the split is appended. A feed that brings ``ord`` in every record
+    keeps it; one that brings it in some records only is refused when it is ingested.
+    """
+    if not set(PLACE) <= set(raw.columns):
+        return raw
+    listed = F.lit(len(topics))
+    for i, topic in reversed(list(enumerate(topics))):
+        listed = F.when(F.col("topic") == topic, F.lit(i)).otherwise(listed)
+    by = ["batch", "topic", "feed_file", "feed_split"]
+    groups = raw.groupBy(*by).agg(F.count("ord").alias("__given"))
+    order = Window.orderBy("batch", listed, "topic", "feed_file", "feed_split")
+    ranks = groups.withColumn("__rank", F.row_number().over(order)).withColumn("__any", F.sum("__given").over(Window.partitionBy()) > 0)
+    ranks = ranks.drop("__given").withColumnsRenamed({c: f"__{c}" for c in by})
+    match = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    number = F.when(F.col("__any"), F.col("ord")).otherwise(F.col("__rank") * (1 << _ROW_BITS) + F.col("feed_row"))
+    return raw.join(ranks, match).withColumn("ord", number).select(*raw.columns)
 
 
 def json_schema() -> str:
@@ -64,18 +98,5 @@ def is_valid() -> Column:
     return truthy(F.col("title")).isNotNull() & truthy(F.col("url")).isNotNull()
 
 
-def unknown_methods(feed: DataFrame) -> DataFrame:
-    """Rows whose fetch method is not one of the accepted five."""
-    return feed.where(F.col("method").isNull() | ~F.col("method").isin(*FETCH_METHODS))
-
-
-def check_methods(feed: DataFrame) -> DataFrame:
-    """The feed itself; raises when a row names an unknown method."""
-    bad = unknown_methods(feed).select("method").limit(1).collect()
-    if bad:
-        raise FeedError(f"unknown fetch method: {bad[0].method!r}")
-    return feed
-
-
 def method_counts(feed: DataFrame) -> DataFrame:
     return feed.groupBy("method").agg(F.count("*").alias("records"))
