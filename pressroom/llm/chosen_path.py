@@ -3,8 +3,8 @@
 1. One pass makes each text's shingle set, its digest, and SKETCH minwise tokens.
    Texts with equal sets become one document with the smallest id.
 2. TREES independent trees: the root of each branches the documents by one selected minwise
-   token; a node with more than LEAF documents branches again by two more tokens that the node
-   selects, up to DEPTH times. Documents of Jaccard similarity s share a root branch with
+   token; in a node with more than LEAF documents those close to its first document are tied to
+   it, and the others branch again by two more tokens that the node selects, up to DEPTH times. Documents of Jaccard similarity s share a root branch with
    probability s in each tree, so at 0.8 and ten trees one pair in ten million is missed.
 3. Leaves are compared exhaustively on their sketches, in arrays, never as emitted pairs: what
    leaves a leaf is one link per document to the smallest of its candidates. Nodes that are still
@@ -38,6 +38,8 @@ TREES = 10
 LEAF = 256
 DEPTH = 3
 SURE = 35  # equal minwise tokens of 64; at similarity 0.8 fewer come up about twice in a million
+BEHIND = 48  # similarity 0.75 to a node's first document: its near duplicates have 0.55 or more,
+TIED = 26  # and are tied to it from 0.4 on
 BLOCK_DOCS = 500
 BLOCK_BYTES = 24 << 20
 
@@ -87,6 +89,14 @@ def token(sketch, place):
     return F.substring(sketch, place * 4 + 1, 4)
 
 
+def equal_tokens(a: str, b: str):
+    """How many of the SKETCH minwise tokens two sketches share."""
+    out = F.lit(0)
+    for k in range(SKETCH):
+        out = out + (token(F.col(a), F.lit(k)) == token(F.col(b), F.lit(k))).cast("int")
+    return out
+
+
 def smallest_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Component label (smallest row) of rows 0..n-1 under links a-b."""
     label = np.arange(n)
@@ -170,14 +180,21 @@ def candidates(sets: DataFrame, scratch: Scratch, trees: int = TREES) -> DataFra
         leaves.append(rows.where(F.col("size") <= LEAF).select("node", "id"))
         large = rows.where(F.col("size") > LEAF)
         if depth == DEPTH:
+            # near copies of each other after so many equal tokens
             links.append(large.where("id != low").select(F.col("id").alias("a"), F.col("low").alias("b")))
             break
         if large.isEmpty():
             break
-        # every member of a node branches by the two tokens the node selects
+        # Members close to the node's first document stand behind it: by the triangle inequality of the Jaccard
+        # distance, whoever is a near duplicate of one of them comes near the first document as well and is tied to it.
+        seen = large.select("node", "id", "low").join(sets, "id")
+        first = seen.where("id = low").select("node", F.col("sketch").alias("lead"))
+        seen = scratch.cut(seen.join(first, "node").withColumn("equal", equal_tokens("sketch", "lead")).drop("lead"), "led")
+        links.append(seen.where((F.col("equal") >= TIED) & (F.col("id") != F.col("low"))).select(F.col("id").alias("a"), F.col("low").alias("b")))
+        # every other member branches by the two tokens the node selects
         places = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(SKETCH)) for k in range(2)]
         children = F.explode(F.array(*[F.xxhash64("node", p, token(F.col("sketch"), p.cast("int"))) for p in places]))
-        rows = large.select("node", "id").join(sets, "id").select(children.alias("node"), "id")
+        rows = seen.where(F.col("equal") < BEHIND).select(children.alias("node"), "id")
     every = leaves[0]
     for more in leaves[1:]:
         every = every.unionByName(more)
