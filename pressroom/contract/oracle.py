@@ -176,21 +176,6 @@ blocks as (
   from ranked group by topic)"""
 
 
-def _verdicts(by: str) -> str:
-    """Scripted verdicts: score and label come from the first byte of the prompt's hash."""
-    return _ranked(15) + f""",
-dated as (select *, strftime(published_at, '%Y-%m-%d') as date from ranked),
-prompts as (
-  select {by}, sha256({_fill(SENTIMENT_PROMPT)}) as h, article_count
-  from (select {by}, string_agg({_SENTIMENT_LINE}, chr(10) order by place) as block, count(*) as article_count
-        from dated group by {by})),
-scores as (select *, round(('0x' || h[1:2])::integer / 127.5 - 1, 2) as score from prompts),
-verdicts as (
-  select *, case when score > 0.25 then 'positive' when score < -0.25 then 'negative' else 'neutral' end as overall,
-    'scripted ' || h[1:8] as rationale from scores)"""
-
-
-
 ORACLE: dict[str, str] = {
     "feed_normalize": f"""with {FEED}
 select batch, method, topic, ord, title, url, summary, published_date, publisher_name, publisher_href,
@@ -278,13 +263,6 @@ select case when {_LIMITED} then 'rate_limited' when {_FAILED} then 'failed' els
   country, language, topic from articles where id in (select vec_id * 3 from embeddings)""",
     "results_to_json": f"""with {ARTICLES} select id::varchar as id, title, url, publisher_name as publisher, summary, topic
 from articles""",
-    "hash_embedding": "with " + ARTICLES + rf""",
-texts as (select id, publisher_name as publisher, sha256(regexp_replace('[Topic: ' || topic || ' | Publisher: ' ||
-  publisher_name || ' | Date: ' || published_date || ' | ' || country || ']' || chr(10) || title || chr(10) ||
-  summary, '^\s+|\s+$', '', 'g')) as h from articles),
-bytes as (select *, list_transform(range(0, 8), lambda i: ('0x' || h[2*i+1:2*i+2])::integer / 255.0::double) as b from texts),
-unit as (select *, list_transform(b, lambda x: (x / sqrt(list_sum(list_transform(b, lambda y: y * y))))::float::double) as e from bytes)
-select id, publisher, 8::integer as embed_dim, """ + ", ".join(f"round(e[{i + 1}], 6) as e{i}" for i in range(8)) + " from unit",
     "vector_upsert": """with s as (select vec_id as id, embedding as e, label from embeddings),
 allv as (
   select id, e, label from s where label % 3 <> 0
@@ -366,12 +344,6 @@ from topics left join blocks using (topic)""",
   select topic, string_agg({_SENTIMENT_LINE}, chr(10) order by place) as block, count(*) as article_count
   from ranked group by topic)
 select topic, {_fill(SENTIMENT_PROMPT)} as prompt, article_count from blocks""",
-    "sentiment_overall": f"""with {_verdicts('topic')}, {_TOPICS}
-select topic, coalesce(overall, 'neutral') as overall, coalesce(round(score, 6), 0.0) as score,
-  coalesce(rationale, 'no articles') as rationale, coalesce(article_count, 0) as article_count, true as reply_ok
-from topics left join verdicts using (topic)""",
-    "sentiment_timeline": f"""with {_verdicts('topic, date')}
-select topic, date, overall, round(score, 6) as score, rationale, article_count from verdicts""",
     "topic_alerts": f"""with {FEED}, counts as (select topic, count(*) as articles from feed group by topic),
 regs as (select user_id, event_type as topic, count(*)::integer as threshold,
     case user_id % 3 when 1 then 'https://hooks.example.com/' || user_id end as webhook_url

@@ -19,11 +19,14 @@ from ..operators.crawl import (
     check_statuses, close_runs, crawl_rollup, latest_runs, open_runs, with_header,
 )
 from ..operators.dedup import first_accepts, is_duplicate, seen_ledger, with_keys
-from ..operators.embed import hash_embedding
+from ..operators.embed import embed_query, word_embed
 from ..operators.skew import heavy_values
 from ..operators.monitor import screen_registrations, topic_alerts
-from ..operators.search import hydrate, latest_for_topic, project, search, search_batch, semantic_search
+from ..operators.search import (
+    hydrate, latest_for_topic, project, search, search_batch, search_news, semantic_search,
+)
 from ..operators.timeline import corpus_stats, timeline, timeline_all_topics
+from ..plans import brief as P
 from ..plans.ingest import ingest_batch, vector_rows
 from ..runtime import Scratch, spread
 from ..sources.corpus import Corpus, as_json
@@ -328,9 +331,8 @@ def results_to_json(spark, sf_dir):
 
 @query_as("hash_embedding")
 def hash_embeddings(spark, sf_dir):
-    """Vector table of the feed with the hash model: enriched text to unit vector."""
-    embed = lambda df: df.withColumn("embedding", hash_embedding(F.col("document"), 8))
-    rows = vector_rows(views.articles(spark, sf_dir), embed, 8)
+    """Vector table of the feed with the hashed-words model: enriched text to unit vector."""
+    rows = vector_rows(views.articles(spark, sf_dir), word_embed(8), 8)
     parts = [F.round(F.col("embedding")[i].cast("double"), 6).alias(f"e{i}") for i in range(8)]
     return rows.select("id", "publisher", "embed_dim", *parts)
 
@@ -440,6 +442,32 @@ def latest_for_topic_by_rank(spark, sf_dir):
     return hits.select("id", "title", "score", _r6("rank"))
 
 
+def _embedded(spark, sf_dir):
+    """All articles with vectors of their enriched text, stored once."""
+    rows = vector_rows(views.articles(spark, sf_dir), word_embed(DIM), DIM)
+    return Scratch(spark, "contract").cut(rows.select("id", "embedding", "country", "language"), "embedded")
+
+
+@query
+def search_text(spark, sf_dir):
+    """A query text embedded, searched and ranked, over all articles."""
+    hits = search(
+        "Tion of the erble, 2024!", _embedded(spark, sf_dir), views.articles(spark, sf_dir), lambda: _index(spark, sf_dir),
+        lambda text: embed_query(text, DIM), AS_OF, days=20, language="en", limit=10,
+    )
+    return hits.select("id", "title", _r6("score"), "search_mode")
+
+
+@query_as("search_news")
+def search_news_text(spark, sf_dir):
+    """The preset: seven days, US, English, ten results."""
+    hits = search_news(
+        "Click and view", _embedded(spark, sf_dir), views.articles(spark, sf_dir), lambda: _index(spark, sf_dir),
+        lambda text: embed_query(text, DIM), AS_OF,
+    )
+    return hits.select("id", "title", _r6("score"), "search_mode")
+
+
 @query_as("search_batch")
 def search_many(spark, sf_dir):
     """Five recent results for every stored vector as a query."""
@@ -553,6 +581,14 @@ def brief_result(spark, sf_dir):
     return result.withColumn("citations", F.array_join("citations", " "))
 
 
+def _scorer(spark, sf_dir):
+    """Word log-odds of the labelled documents: toxic ones speak against."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = Scratch(spark, "contract").cut(B.fit_polarity(texts.join(labels, "doc_id")), "weights")
+    return B.polarity_scorer(weights)
+
+
 @query
 def sentiment_prompt(spark, sf_dir):
     return B.sentiment_prompts(_ranked(spark, sf_dir, 15)).select("topic", "prompt", "article_count")
@@ -560,14 +596,43 @@ def sentiment_prompt(spark, sf_dir):
 
 @query
 def sentiment_overall(spark, sf_dir):
-    found = B.sentiment(views.topics(spark, sf_dir), _ranked(spark, sf_dir, 15), B.scripted_scorer)
-    return found.withColumn("score", F.round("score", 6))
+    return B.sentiment(views.topics(spark, sf_dir), _ranked(spark, sf_dir, 15), _scorer(spark, sf_dir))
 
 
 @query_as("sentiment_timeline")
 def sentiment_by_day(spark, sf_dir):
-    found = B.sentiment_timeline(_ranked(spark, sf_dir, 15), B.scripted_scorer)
-    return found.withColumn("score", F.round("score", 6))
+    """Fifteen articles of every topic and day."""
+    rows = project(views.articles(spark, sf_dir), "published_at").withColumn("day", B.day_bucket())
+    ranked = B.top_articles(rows, ["topic", "day"], [F.desc("published_at"), F.col("id")], 15)
+    return B.sentiment_timeline(ranked, _scorer(spark, sf_dir))
+
+
+def _searched(spark, sf_dir):
+    """What briefs and sentiment from search start with."""
+    return (views.topics(spark, sf_dir), _embedded(spark, sf_dir), views.articles(spark, sf_dir), word_embed(DIM), _scorer(spark, sf_dir), AS_OF,
+            Scratch(spark, "contract"))
+
+
+@query
+def brief_from_search(spark, sf_dir):
+    """A brief per topic of the last week: searched by the topic's text, cut, prompted, scored and parsed."""
+    return P.brief_last_week(*_searched(spark, sf_dir)).withColumn("citations", F.array_join("citations", " "))
+
+
+@query
+def sentiment_from_search(spark, sf_dir):
+    return P.sentiment_last_fortnight(*_searched(spark, sf_dir))
+
+
+@query
+def sentiment_timeline_full(spark, sf_dir):
+    """One record per topic: overall verdict, days, article count."""
+    found = P.sentiment_last_week(*_searched(spark, sf_dir), timeline=True)
+    day = lambda d: F.concat_ws(" ", d["date"], d["overall"], F.format_number(d["score"], 3), d["article_count"].cast("string"))
+    return found.select(
+        "topic", F.col("overall")["label"].alias("label"), F.col("overall")["score"].alias("score"),
+        F.array_join(F.transform("timeline", day), "; ").alias("timeline"), "article_count",
+    )
 
 
 @query_as("topic_alerts")
@@ -599,9 +664,8 @@ def streamed_ingest(spark, sf_dir):
     documents = spark.readStream.schema(stored.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     raw = feed_from(documents, events, pages, events.count() // stored.count(), pages.count())
     corpus = Corpus.create(spark, scratch.path("corpus"))
-    embed = lambda df: df.withColumn("embedding", hash_embedding(F.col("document"), 8))
-    settings = Settings(embed_model="hash", embed_dim=8)
-    ingest_stream(raw, corpus, scratch.path("state"), AS_OF, embed, settings).awaitTermination()
+    settings = Settings(embed_model="hashed-words-8", embed_dim=8)
+    ingest_stream(raw, corpus, scratch.path("state"), AS_OF, word_embed(8), settings).awaitTermination()
     vectors = corpus.read("vectors").select("id", F.size("embedding").alias("dim"))
     return corpus.read("articles").select("id", "title", "url_hash", "composite_key").join(vectors, "id")
 

@@ -9,22 +9,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..errors import ScorerMissing
 from ..functions.replies import BRIEF_REPLY, SENTIMENT_REPLY, has_field, with_parsed_reply
-from ..functions.text import truthy
+from ..functions.text import truthy, words
 
 Scorer = Callable[[DataFrame], DataFrame]  # adds ``reply`` to rows with ``prompt``
 
 BRIEF_PROMPT = (
-    "Write a factual news brief from the numbered articles below. Support each statement with a "
-    "markdown link to one of their URLs, add nothing they do not say, and point out where they "
-    "disagree.\n\nTopic: {topic}\nPeriod: last {days} days\n\nArticles, best match first:\n{block}\n\n"
-    'Answer with one JSON object and nothing else: {"summary": text of 200 to 400 words, '
-    '"citations": list of URLs, "sentiment": "positive", "negative", "neutral" or "mixed"}'
+    "You are preparing a desk note on {topic}, covering the past {days} days.\n\nSources (the number in brackets is the rank):\n"
+    "{block}\n\nReturn a single JSON object. Field summary: 200-400 words; each claim carries a markdown link to its source URL, and "
+    "where sources differ, say so. Field citations: the URLs used. Field sentiment: positive, negative, neutral or mixed."
 )
 SENTIMENT_PROMPT = (
-    "Judge the overall attitude of the articles below towards the topic.\n\nTopic: {topic}\n"
-    "Articles:\n{block}\n\n"
-    'Answer with one JSON object and nothing else: {"overall": "positive", "negative", "neutral" or '
-    '"mixed", "score": number from -1.0 to 1.0, "rationale": one or two sentences naming evidence}'
+    "How do these reports speak about {topic}?\n\n{block}\n\n"
+    "Return a single JSON object. Field overall: positive, negative, neutral or mixed. Field score: -1.0 (hostile) "
+    "up to 1.0 (favourable). Field rationale: at most two sentences that point to the reports."
 )
 
 
@@ -117,18 +114,44 @@ def model_scorer(load_model: Callable[[], Callable[[list[str]], list[str]]]) ->
     return score
 
 
-def scripted_scorer(prompts: DataFrame) -> DataFrame:
-    """Deterministic stand-in for a model: a verdict drawn from the prompt's hash."""
-    byte = F.conv(F.substring(F.sha2("prompt", 256), 1, 2), 16, 10).cast("int")
-    score = F.round(byte / 127.5 - 1, 2)
-    verdict = F.when(score > 0.25, "positive").when(score < -0.25, "negative").otherwise("neutral")
-    reply = F.to_json(F.struct(
-        verdict.alias("overall"), score.alias("score"),
-        F.concat(F.lit("scripted "), F.substring(F.sha2("prompt", 256), 1, 8)).alias("rationale"),
-        F.concat(F.lit("Scripted brief "), F.substring(F.sha2("prompt", 256), 1, 8)).alias("summary"),
-        verdict.alias("sentiment"),
-    ))
-    return prompts.withColumn("reply", reply)
+def fit_polarity(labelled: DataFrame, least: int = 5) -> DataFrame:
+    """(word, weight): smoothed log-odds of words in texts of label 1 against label 0, from (text, label).
+
+    Each text counts a word once; words of fewer than ``least`` texts are left out.
+    """
+    rows = labelled.where(F.col("label").isin(0, 1)).select("label", F.array_distinct(words(F.col("text"))).alias("words"))
+    totals = rows.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("ones"), F.count("*").alias("all"))
+    seen = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("one"), F.count("*").alias("both"))
+    kept = seen.where(F.col("both") >= least).join(F.broadcast(totals))  # one row
+
+    def share(n, of):
+        return F.log((n + 1) / (of + 2))
+
+    weight = share(F.col("one"), F.col("ones")) - share(F.col("both") - F.col("one"), F.col("all") - F.col("ones"))
+    return kept.select("word", weight.alias("weight"))
+
+
+def polarity_scorer(weights: DataFrame, sure: float = 0.1) -> Scorer:
+    """Scorer from word weights (word, weight; positive weights speak against): no language model is called.
+
+    The score of a prompt is minus the hyperbolic tangent of the mean weight of its known words. The reply has the
+    fields of both tasks.
+    """
+
+    def score(prompts: DataFrame) -> DataFrame:
+        keyed = prompts.withColumn("__prompt", F.sha2("prompt", 256))
+        told = keyed.select("__prompt", F.explode(words(F.col("prompt"))).alias("word")).join(weights, "word")
+        found = told.groupBy("__prompt").agg(F.avg("weight").alias("mean"), F.count("*").alias("known"))
+        value = F.round(-F.tanh(F.coalesce("mean", F.lit(0.0))), 3)
+        verdict = F.when(value > sure, "positive").when(value < -sure, "negative").otherwise("neutral")
+        why = F.concat(F.coalesce("known", F.lit(0)).cast("string"), F.lit(" known words"))
+        reply = F.to_json(F.struct(
+            verdict.alias("overall"), value.alias("score"), why.alias("rationale"),
+            F.concat(F.lit("Reports on "), F.col("topic"), F.lit(": "), why).alias("summary"), verdict.alias("sentiment"),
+        ))
+        return keyed.join(found, "__prompt", "left").withColumn("reply", reply).select(*prompts.columns, "reply")
+
+    return score
 
 
 def _need(scorer: Scorer | None) -> Scorer:
@@ -228,3 +251,23 @@ def overall_label(verdicts: DataFrame) -> DataFrame:
         "topic", F.coalesce("overall", F.lit("neutral")).alias("label"),
         F.coalesce("score", F.lit(0.0)).alias("score"), "rationale",
     )
+
+
+BRIEF_DAYS, BRIEF_ARTICLES = 7, 20
+SENTIMENT_DAYS, SENTIMENT_ARTICLES = 14, 15
+
+
+def found_for_topics(hits: DataFrame) -> DataFrame:
+    """Rows of a batch search whose query ids are topics, as ranked rows of these topics."""
+    return hits.withColumn("topic", F.col("query_id"))
+
+
+def sentiment_record(topics: DataFrame, ranked: DataFrame, scorer: Scorer | None, compat: str = "documented") -> DataFrame:
+    """(topic, overall, timeline, article_count): the verdict on all articles of a topic and those of its days."""
+    whole = sentiment(topics, ranked, scorer)
+    label = overall_label(whole).select("topic", F.struct("label", "score", "rationale").alias("overall"))
+    day = F.struct("date", "overall", "score", "rationale", "article_count")
+    days = sentiment_timeline(ranked, scorer, compat).groupBy("topic").agg(F.sort_array(F.collect_list(day)).alias("timeline"))
+    joined = label.join(whole.select("topic", "article_count"), "topic").join(days, "topic", "left")
+    none = F.array().cast(days.schema["timeline"].dataType)
+    return joined.select("topic", "overall", F.coalesce("timeline", none).alias("timeline"), "article_count")

@@ -2,45 +2,61 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from ..errors import EmbeddingMismatch
 
 Encoder = Callable[[list[str]], "np.ndarray | Sequence[Sequence[float]]"]
 
+_WORD = re.compile(r"\w+")
 _MODELS: dict[str, Encoder] = {}  # one per Python worker, filled on first use
 
 
-def hash_embedding(text: Column, dim: int = 8) -> Column:
-    """Deterministic stand-in model: leading SHA-256 bytes, scaled to length one.
+def hashed_words(dim: int) -> Callable[[], Encoder]:
+    """Loader of a model that needs no weights: signed feature hashing of a text's words to a unit vector.
 
-    Pure expressions, up to 32 dimensions; for tests and dry runs.
+    A word's MD5 gives its place (first eight digits) and its sign (the ninth).
+    A text without words has the zero vector.
     """
-    if not 1 <= dim <= 32:
-        raise EmbeddingMismatch("a SHA-256 digest gives 1 to 32 dimensions")
-    # One-element lists bind the digest and the bytes, so each is computed once.
-    def raw_bytes(digest: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0,
-        )
 
-    raw = F.element_at(F.transform(F.array(F.sha2(text, 256)), raw_bytes), 1)
-    return F.element_at(F.transform(F.array(raw), _to_unit), 1).cast("array<float>")
+    def load() -> Encoder:
+        held: dict[str, tuple[int, float]] = {}
 
+        def code(word: str) -> tuple[int, float]:
+            if (known := held.get(word)) is None:
+                if len(held) > 200_000:
+                    held.clear()
+                digest = hashlib.md5(word.encode()).hexdigest()
+                known = held[word] = int(digest[:8], 16) % dim, 1.0 if digest[8] < "8" else -1.0
+            return known
 
-def _to_unit(vector: Column) -> Column:
-    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x)
+        def encode(texts: list[str]) -> np.ndarray:
+            out = np.zeros((len(texts), dim))
+            for row, text in zip(out, texts):
+                for word in _WORD.findall(text.lower()):
+                    place, sign = code(word)
+                    row[place] += sign
+            return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
 
-    def scaled(square: Column) -> Column:
-        norm = F.when(square == 0.0, F.lit(1.0)).otherwise(F.sqrt(square))
-        return F.transform(vector, lambda x: x / norm)
+        return encode
 
-    return F.element_at(F.transform(F.array(squares), scaled), 1)
+    return load
+
+
+def word_embed(dim: int) -> Callable[[DataFrame], DataFrame]:
+    """The ``embed`` step of an ingest with hashed words."""
+    return lambda df: embed_texts(df, "document", hashed_words(dim), f"hashed-words-{dim}", dim)
+
+
+def embed_query(text: str, dim: int) -> list[float]:
+    """One query text, on the driver."""
+    return np.asarray(hashed_words(dim)()([text]), dtype="float32")[0].tolist()
 
 
 def embed_texts(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pressroom.config import Settings
 from pressroom.errors import EmbeddingMismatch, FeedError
 from pressroom.operators import crawl, dedup, vectors
-from pressroom.operators.embed import embed_texts, hash_embedding
+from pressroom.operators.embed import embed_query, embed_texts, hashed_words
 from pressroom.operators.numbering import number_rows
 from pressroom.operators.skew import heavy_values, join_unique
 from pressroom.plans.ingest import ingest_batch, ingest_into
@@ -19,6 +19,7 @@ from pressroom.sources import feed as feeds
 from pressroom.sources.corpus import Corpus, as_json, export
 from pressroom.streaming.alert_stream import alert_stream, daily_counts
 from pressroom.streaming.ingest_stream import ingest_stream, stream_feed
+from tests.standins import hash_embedding
 
 AS_OF = "2026-06-20 00:00:00"
 SETTINGS = Settings(embed_model="hash", embed_dim=8)
@@ -302,6 +303,8 @@ def test_embedding(spark):
         assert r.e == pytest.approx([x / norm for x in raw_], abs=1e-6)
     with pytest.raises(EmbeddingMismatch):
         hash_embedding(F.col("v"), 33)
+    assert embed_query("Tea, tea and TEA", 16) == hashed_words(16)()(["tea tea  and tea"])[0].astype("float32").tolist()
+    assert sum(x * x for x in embed_query("Tea and more", 64)) == pytest.approx(1) and embed_query("", 4) == [0.0] * 4
     model = embed_texts(rows, "v", lambda: lambda texts: [[float(len(t)), 1.0] for t in texts], "len", 2, "m")
     assert [r.m for r in model.collect()] == [[1.0, 1.0], [1.0, 1.0]]
     assert embed_texts(rows.limit(0), "v", lambda: None, "none", 2, "m").count() == 0
