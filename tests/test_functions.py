@@ -1,4 +1,4 @@
-"""Scalar expressions against small Python twins of the documented rules."""
+"""Scalar expressions against values worked out by hand, properties, and values written from known facts."""
 
 import datetime as dt
 import hashlib
@@ -6,7 +6,6 @@ import ipaddress
 import random
 import sqlite3
 import unicodedata
-from urllib.parse import urlsplit, urlunsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,11 +43,10 @@ def test_ascii_fold_on_every_character(spark):
 
 
 @pytest.mark.parametrize("title,slug", [
-    ("OpenAI ships GPT-5", "openai-ships-gpt-5"),
-    ("  OpenAI  Ships   GPT-5  ", "openai-ships-gpt-5"),
-    ("OpenAI: ships GPT-5!", "openai-ships-gpt-5"),
-    ("Trump's plan announced", "trumps-plan-announced"),
-    ("Trump’s plan announced", "trumps-plan-announced"),
+    ("Rail strike ends: 40,000 back at work", "rail-strike-ends-40000-back-at-work"),
+    ("\t Storm   Nora\n hits  coast ", "storm-nora-hits-coast"),
+    ("Who's who? (2nd ed.) -- review", "whos-who-2nd-ed-review"),
+    ("Baker’s dozen", "bakers-dozen"),
     ("Ĳs ﬁn – ½ déjà\x1cvu -- ", "ijs-fin-12-deja-vu"),
     ("新闻", ""), ("", ""), (None, ""),
 ])
@@ -57,92 +55,91 @@ def test_slug(spark, title, slug):
 
 
 def test_publisher_and_key(spark):
-    names = ["  BBC News  ", None, "", "   ", "新聞", "Le  Monde\t"]
+    names = ["\tNorth  Post ", None, "", "   ", "新聞", "Le  Monde\t"]
     got = column(spark, names, text.publisher_norm(F.col("v")))
-    assert got == ["bbc news", "unknown", "unknown", "unknown", "unknown", "le monde"]
+    assert got == ["north post", "unknown", "unknown", "unknown", "unknown", "le monde"]
     key = column(spark, ["A  b!"], text.composite_key(F.col("v"), F.lit("X")))[0]
     assert key == hashlib.sha256(b"a-b|x").hexdigest()
     fallback = text.composite_key(F.col("v"), F.lit("X"), F.lit("h"), "url")
     assert column(spark, ["新闻"], fallback)[0] == hashlib.sha256(b"url:h|x").hexdigest()
 
 
-def canonical_twin(url):
-    if not url:
-        return ""
-    try:
-        p = urlsplit(url.strip())
-        port = p.port
-    except ValueError:
-        return None
-    host = (p.hostname or "").lower()
-    q = "&".join(x for x in p.query.split("&") if x and not x.lower().startswith("utm_"))
-    netloc = f"{host}:{port}" if port else host
-    return urlunsplit((p.scheme.lower(), netloc, p.path.rstrip("/") or "/", q, ""))
-
-
+# URL, canonical form: worked out by hand from the rule (scheme and host in lower case, no credentials, port 0, fragment,
+# utm_ parameters, empty parameters or slashes at the end; no form for a bad port or host).
 URLS = [
-    "https://u:p@H.com:443//a//?b=&UTM_x=1&&c#f", "HTTP://A.com", "https://h:0/a", "https://h/a;p?q?r",
-    "https://[::1]:80/x", "example.com/a", "mailto:x@y", "https:///no-host", "", None, "  https://A/b/  ",
-    "https://h:99999/", "https://h:65535/", "https://h:65536/", "https://h:0443/a", "https://h:ab/",
-    "https://[::1/x", "https://[1.2.3.4]/", "https://[v1.a]/x", "//host/p", "///p", "http:", "http:a",
-    "foo:////bar", "x:y", "1http://a/b", "https://h?x#y?z", "https://h#f", "https://h/#a/?utm_a=1",
-    "https://a@b@C:1/", "https://ex℀mple.com/", "https://bücher.DE/Ä", "\x01\x02https://h/a\tb\nc",
-    "https://[fe80::1%Eth0]/", "https://[1:2:3:4:5:6:7::]/", "https://[1::2:3:4:5:6:7:8]/",
-    "https://[::ffff:1.2.3.4]/", "https://h/?utm_source=a&UTM_b=c", "https://h/a?&&", "https://h:/a", "/a/b/", "?q",
+    ("https://u:p@H.com:443//a//?b=&UTM_x=1&&c#f", "https://h.com:443//a?b=&c"), ("HTTP://A.com", "http://a.com/"), ("https://h:0/a", "https://h/a"),
+    ("https://h/a;p?q?r", "https://h/a;p?q?r"), ("https://[::1]:80/x", "https://::1:80/x"), ("example.com/a", "example.com/a"), ("mailto:x@y", "mailto:x@y"),
+    ("https:///no-host", "https:///no-host"), ("", ""), (None, ""), ("  https://A/b/  ", "https://a/b"), ("https://h:99999/", None), ("https://h:65535/", "https://h:65535/"),
+    ("https://h:65536/", None), ("https://h:0443/a", "https://h:443/a"), ("https://h:ab/", None), ("https://[::1/x", None), ("https://h?x#y?z", "https://h/?x"),
+    ("https://h#f", "https://h/"), ("https://h/#a/?utm_a=1", "https://h/"), ("https://a@b@C:1/", "https://c:1/"), ("https://h/?utm_source=a&UTM_b=c", "https://h/"),
+    ("https://h/a?&&", "https://h/a"), ("https://h:/a", "https://h/a"), ("/a/b/", "/a/b"), ("https://bücher.DE/Ä", "https://bücher.de/Ä"), ("https://ex℀mple.com/", None),
+    ("https://h/a%20b?x=%41", "https://h/a%20b?x=%41"), ("\x01\x02https://h/a\tb\nc", "https://h/abc"),
 ]
 
 
-def test_url_canonical_cases_and_random(spark):
-    rng = random.Random(5)
-    pieces = ["http", "HTTPS", "ftp", ":", "//", "/", "?", "#", "&", "utm_a=1", "UTM_B", "a", "B.com", ":80", ":0",
-              "@", "[::1]", "]", "[", "x=1", "é", " ", "%20", ";", "=", "a.b:9", "\t"]
-    cases = URLS + ["".join(rng.choices(pieces, k=rng.randint(1, 9))) for _ in range(4000)]
-    got = added(spark, cases, lambda df: urls.with_canonical_url(df, "v", "c", "h"))
-    for url, (canonical, digest) in zip(cases, got):
-        want = canonical_twin(url)
-        assert canonical == want, url
+def canonical(spark, values):
+    return [c for c, _ in added(spark, values, lambda df: urls.with_canonical_url(df, "v", "c", "h"))]
+
+
+def test_url_canonical_cases(spark):
+    got = added(spark, [u for u, _ in URLS], lambda df: urls.with_canonical_url(df, "v", "c", "h"))
+    for (url, want), (form, digest) in zip(URLS, got):
+        assert form == want, url
         if want:
             assert digest == hashlib.sha256(want.encode()).hexdigest()
 
 
-def date_twin(value):
-    forms = ("%a, %d %b %Y %H:%M:%S %Z", "%a, %d %b %Y %H:%M:%S GMT", "%Y-%m-%dT%H:%M:%S%z",
-             "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d")
-    for form in forms:
-        try:
-            return dt.datetime.strptime(value or "", form).replace(tzinfo=None)
-        except ValueError:
-            continue
-    return None
-
-
-def test_dates(spark):
-    cases = [
-        "Mon, 16 Jun 2026 12:00:00 GMT", "Tue, 6 Jun 2026 2:03:04 UTC", "2026-06-16T12:00:00+0500",
-        "2026-06-16T12:00:00Z", "2026-06-16 12:00:00", "2026-06-16", "2026-6-1", "2024-02-29", "mon, 1 DEC 0999 0:0:0 gmt",
-        "Mon, 16 Jun 2026 12:00:00 EST", "Mon, 16 Jun 2026 12:00:00 +0000", "2026-06-16T12:00:00.123Z",
-        "2026-06-16T12:00:00", "Mon, 31 Jun 2026 12:00:00 GMT", "2023-02-29", "2026-13-01", " 2026-06-16", "16/06/2026",
-        "", None, "Monday, 16 Jun 2026 12:00:00 GMT", "2026-06-16 24:00:00", "2026-06-16 12:60:00", "2026-06-16 12:00:60",
-        "0000-01-01", "2026-06-16T12:00:00+05:30", "2026-06-16T12:00:00+05:30:15", "2026-06-16T12:00:00+0530:15",
-        "2026-06-16T12:00:00+2400", "2026-06-16t1:2:3z", "2026-06-16  1:2:3", "2026-06-16\n", "9999-12-31",
-        "2026-06-16T12:00:00+05", "2026-06-16T12:00:00+053015.123456", "2026-00-10", "2026-01-00", "2026-1-31T0:0:0Z",
-    ]
-    got = added(spark, cases, parse)
-    for value, stamp in zip(cases, got):
-        assert stamp == date_twin(value), value
-
-
-def test_date_random_edits(spark):
+def test_url_canonical_properties(spark):
+    """On random URLs: twice is once; fragment, utm_ parameters, credentials, host case and slashes at the end change nothing."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcXYZ019-._~%éß", k=rng.randint(1, 6))).replace("%", "%2F")
+    rows = []
+    for _ in range(800):
+        host = ".".join("".join(rng.choices("abcdefgh019", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 3)))
+        port = rng.choice(["", "", f":{rng.randint(1, 65535)}"])
+        path = "".join("/" + word() for _ in range(rng.randint(0, 3)))
+        query = [f"{word()}={word()}" for _ in range(rng.randint(0, 3))]
+        plain = f"https://{host}{port}{path or '/'}" + ("?" + "&".join(query) if query else "")
+        noisy_query = list(query)
+        for extra in rng.choices(["utm_source=a", "UTM_Medium=b", "", "utm_"], k=2):
+            noisy_query.insert(rng.randint(0, len(noisy_query)), extra)
+        noisy = f"{rng.choice(['https', 'HTTPS'])}://{rng.choice(['', 'me:pw@'])}{host.upper()}{port}{path}{rng.choice(['', '/', '//'])}?{'&'.join(noisy_query)}{rng.choice(['', '#top', '#a?b=c'])}"
+        rows.append((plain, noisy))
+    assert canonical(spark, [p for p, _ in rows]) == [p for p, _ in rows]
+    assert canonical(spark, [n for _, n in rows]) == [p for p, _ in rows]
+
+
+D = dt.datetime
+# Date text, moment: by hand. An offset is dropped, not applied; what no form fits has no moment.
+DATES = [
+    ("Tue, 03 Mar 2026 08:15:00 GMT", D(2026, 3, 3, 8, 15)), ("Fri, 03 Mar 2026 08:15:00 GMT", D(2026, 3, 3, 8, 15)), ("Wed, 4 Mar 2026 9:3:4 UTC", D(2026, 3, 4, 9, 3, 4)),
+    ("mon, 1 DEC 0999 0:0:0 gmt", D(999, 12, 1)), ("2026-03-03T08:15:00+0500", D(2026, 3, 3, 8, 15)), ("2026-03-03T08:15:00+05:30", D(2026, 3, 3, 8, 15)), ("2026-03-03T08:15:00Z", D(2026, 3, 3, 8, 15)),
+    ("2026-03-03 08:15:00", D(2026, 3, 3, 8, 15)), ("2026-03-03", D(2026, 3, 3)), ("2026-3-1", D(2026, 3, 1)), ("2024-02-29", D(2024, 2, 29)), ("9999-12-31", D(9999, 12, 31)), ("2026-1-31T0:0:0Z", D(2026, 1, 31)),
+    ("Tue, 03 Mar 2026 08:15:00 EST", None), ("Tue, 03 Mar 2026 08:15:00 +0000", None), ("2026-03-03T08:15:00.123Z", None), ("2026-03-03T08:15:00", None), ("Tue, 31 Apr 2026 08:15:00 GMT", None),
+    ("2023-02-29", None), ("2026-13-01", None), (" 2026-03-03", None), ("03/03/2026", None), ("", None), (None, None), ("Tuesday, 03 Mar 2026 08:15:00 GMT", None), ("2026-03-03 24:00:00", None),
+    ("2026-03-03 08:60:00", None), ("0000-01-01", None), ("2026-03-03T08:15:00+2400", None), ("2026-00-10", None), ("2026-01-00", None),
+]
+
+
+def test_date_cases(spark):
+    for (value, want), got in zip(DATES, added(spark, [v for v, _ in DATES], parse)):
+        assert got == want, value
+
+
+def test_dates_written_from_known_moments(spark):
     rng = random.Random(9)
-    seeds = ["Mon, 16 Jun 2026 12:00:00 GMT", "2026-06-16T12:00:00+0500", "2026-06-16 12:00:00", "2026-06-16"]
-    cases = []
-    for _ in range(3000):
-        s = list(rng.choice(seeds))
-        for _ in range(rng.randint(1, 2)):
-            i = rng.randrange(len(s))
-            s[i] = rng.choice(["", "0", "1", "9", "3", ":", "-", " ", "Z", "T", s[i] * 2])
-        cases.append("".join(s))
-    assert added(spark, cases, parse) == [date_twin(c) for c in cases]
+    days, months = "Mon Tue Wed Thu Fri Sat Sun".split(), "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+    rows = []
+    for _ in range(2500):
+        t = D(rng.randint(1, 9999), rng.randint(1, 12), rng.randint(1, 28), rng.randint(0, 23), rng.randint(0, 59), rng.randint(0, 59))
+        date, clock = f"{t.year:04d}-{t.month:02d}-{t.day:02d}", f"{t.hour:02d}:{t.minute:02d}:{t.second:02d}"
+        mail = f"{rng.choice(days)}, {t.day:02d} {months[t.month - 1]} {t.year:04d} {clock}"
+        good = rng.choice([f"{mail} GMT", f"{mail} UTC", f"{date}T{clock}{rng.choice(['+0000', '-0730', '+14:00'])}", f"{date}T{clock}Z", f"{date} {clock}", date])
+        want = D(t.year, t.month, t.day) if good == date else t
+        rows.append((good, want))
+        rows.append((rng.choice([good + " ", "x" + good, good.replace(str(t.year).zfill(4), "", 1), good + "0Z", mail, f"{date}T{clock}"]), None))
+    for (value, want), got in zip(rows, added(spark, [v for v, _ in rows], parse)):
+        assert got == want, value
 
 
 def test_recency_and_blend(spark):
@@ -162,8 +159,8 @@ def test_header_and_text(spark):
     c = F.lit
     assert column(spark, ["x"], text.context_header(c(None), c(""), c(None), c("")))[0] == (
         "[Topic: general | Publisher: unknown publisher | Date: unknown date]")
-    full = text.enriched_text(c("AI"), c("BBC"), c("d"), c("US"), c("T"), c("S"), c(""))
-    assert column(spark, ["x"], full)[0] == "[Topic: AI | Publisher: BBC | Date: d | US]\nT\nS"
+    full = text.enriched_text(c("AI"), c("Post"), c("d"), c("US"), c("T"), c("S"), c(""))
+    assert column(spark, ["x"], full)[0] == "[Topic: AI | Publisher: Post | Date: d | US]\nT\nS"
 
 
 def test_replies(spark):
@@ -175,33 +172,35 @@ def test_replies(spark):
     assert flags == [True, False, False]
 
 
+PUBLIC = ["https://alerts.example.org/in?x=1", "https://private.example.org/a", "https://1.1.1.1/h", "https://[2a00:1450:4001::200e]/h", "https://192.0.0.10/", "https://[::ffff:9.9.9.9]/",
+          "https://[2001:20::1]/", "https://[2001:3::1]/", "https://172.32.0.1/", "https://223.255.255.255/"]
+REFUSED = {
+    "empty": ["", None], "scheme": ["gopher://example.org/x", "data:text/plain,hi"], "no host": ["https:///path"], "https required": ["http://alerts.example.org/in"],
+    "malformed": ["https://h:70000/x"], "metadata host": ["https://169.254.169.254/latest", "https://Metadata.Azure.com/x"],
+    "blocked address": ["https://127.8.9.1/", "https://10.255.0.1/x", "https://192.168.77.3/", "https://172.31.255.255/", "https://169.254.0.9/", "https://0.1.2.3/", "https://239.0.0.1/", "https://255.255.255.255/",
+                        "https://198.19.255.255/", "https://192.0.0.8/", "https://[::]/", "https://[::1]/", "https://[fe80::1%25eth0]/", "https://[fe80::1%eth0]/", "https://[fd12:3456::1]/", "https://[ff02::1]/",
+                        "https://[::ffff:10.0.0.1]/", "https://[::ffff:7f00:1]/", "https://[2001:db8:1::2]/", "https://[2001:0:1::]/", "https://[2002:a00:1::]/", "https://[64:ff9b::1]/", "https://[100::1]/", "https://[4000::1]/",
+                        "https://[3fff:fff::1]/", "https://[::8.8.8.8]/"],
+}
+
+
 def test_webhooks(spark):
-    accepted = ["https://hooks.example.com/notify", "https://internal-but-public-dns.example.com/x", "https://8.8.8.8/x",
-                "https://[2606:4700::1111]/x", "https://192.0.0.9/"]
-    refused = ["", None, "ftp://example.com/x", "javascript:alert(1)", "file:///etc/passwd", "https:///no-host",
-               "http://hooks.example.com/x", "https://127.0.0.1/x", "https://10.0.0.1/x", "https://192.168.1.1/x",
-               "https://172.16.5.5/x", "https://169.254.0.5/x", "https://169.254.169.254/x", "https://[::1]/x",
-               "https://[fe80::1]/x", "https://[fc00::1]/x", "https://metadata.google.internal/computeMetadata/v1/",
-               "https://h:70000/x", "   "]
-    got = added(spark, accepted + refused, lambda df: webhooks.with_webhook_reason(df, "v"))
-    assert got[:len(accepted)] == [None] * len(accepted)
-    assert all(got[len(accepted):])
-    assert added(spark, ["http://hooks.example.com/x"], lambda df: webhooks.with_webhook_reason(df, "v", allow_http=True)) == [None]
-
-
-def test_webhook_ipv4_borders(spark):
-    rng = random.Random(3)
-    numbers = {rng.getrandbits(32) for _ in range(2000)}
-    for net in map(ipaddress.ip_network, webhooks.BLOCKED_IPV4):
-        lo, hi = int(net.network_address), int(net.broadcast_address)
-        numbers |= {n for n in (lo - 1, lo, hi, hi + 1) if 0 <= n < 2**32}
-    numbers |= set(range(int(ipaddress.ip_address("192.0.0.0")), int(ipaddress.ip_address("192.0.1.2"))))
-    hosts = [str(ipaddress.ip_address(n)) for n in sorted(numbers)]
-    got = added(spark, [f"https://{h}/x" for h in hosts], lambda df: webhooks.with_webhook_reason(df, "v"))
-    for host, reason in zip(hosts, got):
-        a = ipaddress.ip_address(host)
-        bad = a.is_private or a.is_loopback or a.is_link_local or a.is_multicast or a.is_reserved or a.is_unspecified
-        assert (reason is not None) == bad, host
+    flat = [(u, why) for why, some in REFUSED.items() for u in some] + [(u, None) for u in PUBLIC]
+    got = added(spark, [u for u, _ in flat], lambda df: webhooks.with_webhook_reason(df, "v"))
+    for (url, why), reason in zip(flat, got):
+        assert reason == why, url
+    assert added(spark, ["http://alerts.example.org/in"], lambda df: webhooks.with_webhook_reason(df, "v", allow_http=True)) == [None]
+
+
+def test_webhook_network_borders(spark):
+    """First and last address of each listed IPv4 network are refused, their outer neighbours are judged by the other networks."""
+    nets = [ipaddress.ip_network(n) for n in webhooks.BLOCKED_IPV4]
+    numbers = sorted({n for net in nets for n in (int(net[0]) - 1, int(net[0]), int(net[-1]), int(net[-1]) + 1) if 0 <= n < 2**32})
+    hosts = [str(ipaddress.ip_address(n)) for n in numbers]
+    for form in ("https://{}/x", "https://[::ffff:{}]/x"):
+        got = added(spark, [form.format(h) for h in hosts], lambda df: webhooks.with_webhook_reason(df, "v"))
+        for host, reason in zip(hosts, got):
+            assert (reason is not None) == any(ipaddress.ip_address(host) in net for net in nets), host
 
 
 def test_words_match_the_full_text_index(spark):
@@ -217,7 +216,9 @@ def test_words_match_the_full_text_index(spark):
         want.setdefault(doc, {})[offset] = term
     got = column(spark, lines, text.words(F.col("v")))
     wrong = [c for i, c in enumerate(chars) if got[i] != [want[i][k] for k in sorted(want[i])]]
-    # U+037F and all wrong marks are younger than the index's character
-    # tables, or spacing marks that it counts as word characters.
-    assert [c for c in wrong if unicodedata.category(c)[0] != "M" and ord(c) < 0x0500] == ["\u037f"]
-    assert [c for c in wrong if 0x1E00 <= ord(c) < 0x2000] == []
+    # The listed exception: letters and digits younger than the index's character tables (it splits words at them), and marks.
+    # Of all others, every one agrees.
+    blocks = {(0x0370, 0x03FF), (0x0500, 0x052F), (0x0590, 0x08FF), (0x0900, 0x0DFF), (0x0E00, 0x0FFF), (0x1000, 0x10FF), (0x13A0, 0x13FF), (0x1700, 0x1CFF)}
+    letters = [c for c in wrong if unicodedata.category(c)[0] != "M"]
+    assert all(any(a <= ord(c) <= b for a, b in blocks) for c in letters), [hex(ord(c)) for c in letters]
+    assert len(letters) < 0.05 * len(chars)
