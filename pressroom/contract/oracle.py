@@ -7,7 +7,9 @@ from ..sources.derived import AS_OF, DIM, METHOD_OF_TOPIC, MODEL, SEARCH_AS_OF
 
 _METHODS = " ".join(f"when '{t}' then '{m}'" for t, m in METHOD_OF_TOPIC.items())
 
-FEED = rf"""feed as materialized (
+FEED = rf"""runs_of as (select greatest(1, (select count(*) from events) // (select count(*) from documents)) as stride),
+slots as materialized (select event_id // stride as slot, max(ts) as ts, min_by(event_type, event_id) as event_type from events, runs_of group by 1),
+feed as materialized (
   select strftime(e.ts, '%Y-%m-%d') as batch, case e.event_type {_METHODS} end as method, e.event_type as topic,
     d.doc_id as ord, trim(regexp_extract(d.text, '^[^.\n!?]*', 0)) as title,
     case when d.doc_id % 10 = 0 then p.url
@@ -20,8 +22,8 @@ FEED = rf"""feed as materialized (
     d.lang as language, '{MODEL}' as embed_model, {DIM}::integer as embed_dim,
     date_trunc('second', e.ts) as published_at
   from documents d
-  join events e on e.event_id = d.doc_id * ((select count(*) from events) // (select count(*) from documents))
-  join pages p on p.page_id = d.doc_id % (select count(*) from pages))"""
+  join slots e on e.slot = d.doc_id % (select count(*) from slots)
+  join pages p on p.page_id = d.doc_id // 10 % (select count(*) from pages))"""
 
 
 def _slug(t: str) -> str:
@@ -325,6 +327,11 @@ where topic = 'click' and published_at >= timestamp '2024-01-10' and published_a
     "timeline_range_observed": f"""with {ARTICLES} select strftime(published_at, '%Y-%m-%d') as date, count(*) as count
 from articles where strftime(published_at, '%Y-%m-%dT%H:%M:%S') >= '2024-01-11'
   and strftime(published_at, '%Y-%m-%dT%H:%M:%S') <= '2024-01-25' group by date""",
+    "timeline_presets": f"""with {ARTICLES}, dated as (select *, strftime(published_at, '%Y-%m-%d') as date from articles)
+select 'month' as preset, date, count(*) as count from dated where published_at >= timestamp '2024-01-01' group by date
+union all select 'week', date, count(*) from dated where published_at >= timestamp '2024-01-24' group by date
+union all select 'clicks', date, count(*) from dated where published_at >= timestamp '2024-01-24' and topic = 'click' group by date""",
+    "exported_articles": f"""with {ARTICLES} select id, title, url, publisher_name as publisher, published_date, summary, country, language, topic from articles""",
     "timeline_all_topics": f"""with {ARTICLES} select topic, strftime(published_at, '%Y-%m-%d') as date, count(*) as count
 from articles group by topic, date""",
     "corpus_stats": f"""select (select count(*) from documents) as total_articles, (select count(*) from embeddings) as vector_count,
@@ -352,6 +359,10 @@ select topic, threshold, webhook_url, max(articles) as articles, count(*) as reg
 from regs join counts using (topic) where articles >= threshold group by topic, threshold, webhook_url""",
     "streamed_ingest": f"""{WITH_ACCEPT} select id, title, url_hash, composite_key, 8::integer as dim
 from keyed join accepted using (ord)""",
+    "streamed_alerts": """with days as (select event_type as topic, strftime(ts, '%Y-%m-%d') as date, count(*) as articles
+  from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 2 day group by topic, date),
+regs as (select event_type as topic, ((count(*) + 9) // 10)::integer as threshold from events group by user_id, event_type)
+select topic, date, articles, count(*) as alerts, min(threshold) as least from days join regs using (topic) where articles >= threshold group by topic, date, articles""",
     "streamed_daily_counts": """select event_type as topic, strftime(ts, '%Y-%m-%d') as date, count(*) as articles
 from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 2 day
 group by topic, date""",

@@ -25,14 +25,14 @@ from ..operators.monitor import screen_registrations, topic_alerts
 from ..operators.search import (
     hydrate, latest_for_topic, project, search, search_batch, search_news, semantic_search,
 )
-from ..operators.timeline import corpus_stats, timeline, timeline_all_topics
+from ..operators.timeline import corpus_stats, timeline, timeline_all_topics, timeline_last_month, timeline_last_week
 from ..plans import brief as P
 from ..plans.ingest import ingest_batch, vector_rows
 from ..runtime import Scratch, spread
-from ..sources.corpus import Corpus, as_json
-from ..sources.derived import AS_OF, DIM, MODEL, SEARCH_AS_OF, feed_from, raw_feed, table
+from ..sources.corpus import Corpus, as_json, export
+from ..sources.derived import AS_OF, DIM, MODEL, SEARCH_AS_OF, feed_from, raw_feed, sizes, table
 from ..sources.feed import is_valid, method_counts, read_feed
-from ..streaming.alert_stream import daily_counts
+from ..streaming.alert_stream import alert_stream, daily_counts
 from ..streaming.ingest_stream import ingest_stream
 from . import views
 
@@ -396,7 +396,7 @@ def knn_l2(spark, sf_dir):
 @query
 def knn_batch(spark, sf_dir):
     """Ten neighbours of every stored vector."""
-    stored = views.vectors(spark, sf_dir)
+    stored = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     queries = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     hits = V.nearest_batch(stored, queries, 10, Scratch(spark, "contract"))
     return hits.select("query_id", "place", "id", _r6("similarity"))
@@ -473,7 +473,7 @@ def search_many(spark, sf_dir):
     """Five recent results for every stored vector as a query."""
     queries = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     hits = search_batch(
-        queries, views.vectors(spark, sf_dir).select("id", "embedding"), views.articles(spark, sf_dir),
+        queries, queries.withColumnRenamed("query_id", "id"), views.articles(spark, sf_dir),
         SEARCH_AS_OF, Scratch(spark, "contract"), days=5, limit=5,
     )
     return hits.select("query_id", "place", "id", "title", "topic", _r6("score"))
@@ -481,8 +481,8 @@ def search_many(spark, sf_dir):
 
 @query
 def tokens(spark, sf_dir):
-    rows = K.tokens(views.articles(spark, sf_dir)).where("token is not null")
-    return rows.groupBy("token").agg(F.count("*").alias("occurrences"), F.countDistinct("id").alias("articles"))
+    rows = K.postings(K.tokens(views.articles(spark, sf_dir)))
+    return rows.groupBy("token").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("articles"))
 
 
 @query
@@ -535,6 +535,24 @@ def timeline_range_observed(spark, sf_dir):
     return timeline(views.articles(spark, sf_dir), days=20, end="2024-01-25", as_of=AS_OF, compat="observed")
 
 
+@query
+def timeline_presets(spark, sf_dir):
+    """The presets of a month and of a week, of all topics and of one."""
+    rows = views.articles(spark, sf_dir)
+    made = {"month": timeline_last_month(rows, AS_OF), "week": timeline_last_week(rows, AS_OF), "clicks": timeline_last_week(rows, AS_OF, "click")}
+    parts = [df.select(F.lit(name).alias("preset"), "date", "count") for name, df in made.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def exported_articles(spark, sf_dir):
+    """Search rows exported as JSON files and read back."""
+    path = Scratch(spark, "contract").path("export")
+    rows = project(views.articles(spark, sf_dir))
+    export(rows, path, "json")
+    return spark.read.schema(rows.schema).json(path)
+
+
 @query_as("timeline_all_topics")
 def timeline_topics(spark, sf_dir):
     return timeline_all_topics(views.articles(spark, sf_dir))
@@ -647,7 +665,7 @@ def alerts(spark, sf_dir):
         .when(F.col("user_id") % 3 == 1, F.concat(F.lit("https://hooks.example.com/"), user)),
     )
     screened = Scratch(spark, "contract").cut(screen_registrations(registrations), "screened")
-    found = topic_alerts(screened, views.feed(spark, sf_dir).where(is_valid()))
+    found = topic_alerts(screened, views.feed(spark, sf_dir).where(is_valid()), Scratch(spark, "contract"))
     return found.groupBy("topic", "threshold", "webhook_url").agg(
         F.max("articles").alias("articles"), F.count("*").alias("registrations")
     )
@@ -662,7 +680,7 @@ def streamed_ingest(spark, sf_dir):
     events, pages = table(spark, sf_dir, "events"), table(spark, sf_dir, "pages")
     stored = table(spark, sf_dir, "documents")
     documents = spark.readStream.schema(stored.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    raw = feed_from(documents, events, pages, events.count() // stored.count(), pages.count())
+    raw = feed_from(documents, events, pages, *sizes(events, stored, pages))
     corpus = Corpus.create(spark, scratch.path("corpus"))
     settings = Settings(embed_model="hashed-words-8", embed_dim=8)
     ingest_stream(raw, corpus, scratch.path("state"), AS_OF, word_embed(8), settings).awaitTermination()
@@ -670,6 +688,23 @@ def streamed_ingest(spark, sf_dir):
     return corpus.read("articles").select("id", "title", "url_hash", "composite_key").join(vectors, "id")
 
 
+@query
+def streamed_alerts(spark, sf_dir):
+    """Alerts of a stream: closed days on which a topic has a tenth or more of the events a user has on all days, per user and topic."""
+    scratch = Scratch(spark, "stream")
+    stored = table(spark, sf_dir, "events")
+    registered = stored.groupBy("user_id", F.col("event_type").alias("topic")).agg(F.expr("cast((count(1) + 9) div 10 as int)").alias("threshold")).select(
+        "topic", "threshold", F.concat(F.lit("https://hooks.example.com/"), F.col("user_id").cast("string")).alias("webhook_url"))
+    screened = scratch.cut(screen_registrations(registered), "screened")
+    events = spark.readStream.schema(stored.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    found = alert_stream(events.select(F.col("event_type").alias("topic"), F.col("ts").alias("published_at")), screened)
+    out = scratch.path("alerts")
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.path("state")).outputMode("append").trigger(
+        availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(out)
+    return rows.groupBy("topic", "date", "articles").agg(F.count("*").alias("alerts"), F.min("threshold").alias("least"))
+
+
 @query
 def streamed_daily_counts(spark, sf_dir):
     """Topic volumes per closed day of a stream; open days are still held back."""

@@ -50,7 +50,7 @@ def tokens(articles: DataFrame) -> DataFrame:
 
 
 def postings(index: DataFrame) -> DataFrame:
-    """(token, id, tf): occurrences per word and article."""
+    """(token, id, tf): occurrences per word and article, counted in the task that holds the article before they are shuffled."""
     return index.where("token is not null").groupBy("token", "id").agg(F.count("*").alias("tf"))
 
 
@@ -91,12 +91,17 @@ class Term:
 
 def parse_terms(spark: SparkSession, text: str) -> list[Term]:
     """Terms of plain query text: a hyphenated word is a phrase, ``word*`` a prefix."""
-    chunks = text.split()
-    if not chunks:
-        return []
-    folded = F.array(*[words(F.lit(chunk)) for chunk in chunks])
-    found = spark.range(1).select(folded.alias("t")).first()["t"]
-    return [Term(tuple(w), c.endswith("*")) for w, c in zip(found, chunks) if w]
+    return parse_groups(spark, [[text]])[0]
+
+
+def parse_groups(spark: SparkSession, groups: Sequence[Sequence[str]]) -> list[list[Term]]:
+    """Terms of several groups of texts, folded in one job."""
+    chunks = [[c for text in group for c in text.split()] for group in groups]
+    flat = [c for some in chunks for c in some]
+    if not flat:
+        return [[] for _ in groups]
+    folded = iter(spark.range(1).select(F.array(*[words(F.lit(c)) for c in flat]).alias("t")).first()["t"])
+    return [[Term(tuple(w), c.endswith("*")) for c in some if (w := next(folded))] for some in chunks]
 
 
 def _word_test(term: Term, place: int) -> Column:
@@ -192,7 +197,9 @@ def keyword_search(
     ``order="date"`` lists the newest matches instead of the best.
     """
     spark = articles.sparkSession
-    listed = [[t for text_ in group for t in parse_terms(spark, text_)] for group in ((text,), any_of, none_of)]
+    from .search import pick  # search builds on this module
+
+    listed = parse_groups(spark, ((text,), any_of, none_of))
     ranked = score(index, *listed, columns=columns)
     if ranked is None:
         return articles.limit(0).withColumn("rank", F.lit(0.0))
@@ -208,7 +215,6 @@ def keyword_search(
             ranked = ranked.join(facts.select("id"), "id", "left_semi")
         sort = [F.col("rank"), F.col("id")]
     top = ranked.orderBy(*sort).limit(limit).select("id", "rank")
-    found = articles.join(F.broadcast(top), "id")
-    return found.orderBy(*sort)
+    return pick(articles, top, limit).orderBy(*sort)
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..errors import WebhookRefused
 from ..functions.text import truthy
 from ..functions.webhooks import with_webhook_reason
+from ..runtime import Scratch
+from .skew import heavy_values, join_unique
 
 DEFAULT_THRESHOLD = 5
 
@@ -32,16 +34,17 @@ def check_registrations(registrations: DataFrame, allow_http: bool = False) -> D
     return screened
 
 
-def topic_alerts(screened: DataFrame, new_articles: DataFrame) -> DataFrame:
+def topic_alerts(screened: DataFrame, new_articles: DataFrame, scratch: Scratch) -> DataFrame:
     """Accepted registrations whose topic has at least ``threshold`` new articles.
 
     ``screened`` is the stored outcome of ``screen_registrations``: webhooks
-    are judged once, when they are registered.
+    are judged once, when they are registered. Topics with many registrations
+    meet their count by broadcast.
     """
     counts = new_articles.groupBy("topic").agg(F.count("*").alias("articles"))
+    wanted = screened.where("accepted")
     return (
-        screened.where("accepted")
-        .join(counts, "topic")
+        join_unique(wanted, counts, "topic", heavy_values(wanted, "topic", scratch), "inner")
         .where(F.col("articles") >= F.col("threshold"))
         .select("topic", "threshold", "webhook_url", "articles")
     )

@@ -10,8 +10,11 @@ from ..config import RECENCY_WEIGHT, WINDOW_FACTOR
 from ..functions.dates import blend, recency_score, since_day
 from ..runtime import Scratch
 from .keyword import Index, keyword_search
+from .skew import heavy_values, join_unique
 from .vectors import nearest, nearest_batch
 
+MOST_IDS = 10_000  # ids that a scan filter may name
+
 RESULT = (
     "id", "title", "url", "publisher", "published_date", "summary", "country", "language", "topic",
 )
@@ -28,6 +31,19 @@ def hydrate(articles: DataFrame, ids: DataFrame) -> DataFrame:
     return articles.join(ids.select("id").distinct(), "id", "left_semi")
 
 
+def pick(articles: DataFrame, hits: DataFrame, most: int) -> DataFrame:
+    """Articles of at most ``most`` hits, with the hits' columns.
+
+    A result page names its ids in the scan's filter, so only row groups that can
+    hold them are read; ids are consecutive in arrival order. A larger request joins.
+    """
+    if most > MOST_IDS:
+        return articles.join(hits, "id")
+    rows = hits.collect()
+    found = articles.sparkSession.createDataFrame(rows, hits.schema)
+    return articles.where(F.col("id").isin([r["id"] for r in rows])).join(F.broadcast(found), "id")
+
+
 def _in_window(since: str | None) -> Column:
     """Date cut; undated articles fall out when there is one."""
     if since is None:
@@ -63,9 +79,8 @@ def semantic_search(
     since = since_day(as_of, days)
     if date_filter == "pre" and since is not None:
         vectors = vectors.join(articles.where(_in_window(since)).select("id"), "id", "left_semi")
-    hits = nearest(vectors, query, max(limit * WINDOW_FACTOR, limit), country, language, metric)
-    # As many rows as the caller's limit asks for, whatever the corpus size.
-    found = articles.join(F.broadcast(hits), "id").where(_in_window(since))
+    hits = nearest(vectors, query, limit * WINDOW_FACTOR, country, language, metric)
+    found = pick(articles, hits, limit * WINDOW_FACTOR).where(_in_window(since))
     scored = found.withColumn("score", _score(as_of, compat, recency_weight))
     top = scored.orderBy(F.desc("score"), F.desc("similarity"), "id").limit(limit)
     return project(top, "score", F.lit("semantic").alias("search_mode"))
@@ -130,10 +145,12 @@ def search_batch(
 ) -> DataFrame:
     """Semantic search for a table of (query_id, embedding), ``place`` from 1.
 
-    A query hits an article at most once, so no article id dominates the join.
+    One article may be a neighbour of most queries: such ids are found by a
+    count and meet their article by broadcast.
     """
-    hits = nearest_batch(vectors, queries, max(limit * WINDOW_FACTOR, limit), scratch, metric)
-    found = hits.drop("place").join(articles, "id").where(_in_window(since_day(as_of, days)))
+    hits = scratch.cut(nearest_batch(vectors, queries, limit * WINDOW_FACTOR, scratch, metric).drop("place"), "hits")
+    needed = articles.select(*[c for c in (*RESULT, "publisher_name", "published_at") if c in articles.columns])
+    found = join_unique(hits, needed, "id", heavy_values(hits, "id", scratch), "inner").where(_in_window(since_day(as_of, days)))
     scored = found.withColumn("score", _score(as_of, compat, recency_weight))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("similarity"), "id")
     ranked = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)

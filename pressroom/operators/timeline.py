@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import iso_text, since_day
 
 
+_DATE = re.compile(r"\d{4}-\d{1,2}-\d{1,2}")
+
+
 def stamped() -> Column:
     """When an article counts: its publication, else its ingest."""
     return F.coalesce("published_at", "ingested_at")
@@ -28,20 +33,28 @@ def timeline(
     """
     begin = start or (since_day(as_of, days) if days is not None else None)
     when = stamped()
+
+    def each(test):
+        """``test`` of the time that counts, written so that the scan can use it."""
+        return test(F.col("published_at")) | (F.col("published_at").isNull() & test(F.col("ingested_at")))
+
     rows = articles
     if topic:
         rows = rows.where(F.col("topic") == topic)
     if begin:
-        rows = rows.where(when >= F.lit(begin).cast("timestamp_ntz"))
+        first = F.lit(begin).cast("timestamp_ntz")
+        rows = rows.where(each(lambda at: at >= first))
     if end:
         if compat == "observed":
             rows = rows.where(iso_text(when) <= end)
-        elif len(end) == 10:
-            rows = rows.where(when < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
+        elif _DATE.fullmatch(end):
+            after = F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz")
+            rows = rows.where(each(lambda at: at < after))
         else:
-            rows = rows.where(when <= F.lit(end).cast("timestamp_ntz"))
-    day = F.date_format(when, "yyyy-MM-dd").alias("date")
-    return rows.groupBy(day).agg(F.count("*").alias("count")).where("date is not null").orderBy("date")
+            last = F.lit(end).cast("timestamp_ntz")
+            rows = rows.where(each(lambda at: at <= last))
+    counted = rows.groupBy(when.cast("date").alias("day")).agg(F.count("*").alias("count")).where("day is not null")
+    return counted.select(F.date_format("day", "yyyy-MM-dd").alias("date"), "count").orderBy("date")
 
 
 def timeline_last_month(articles: DataFrame, as_of: str, topic: str | None = None) -> DataFrame:

@@ -1,7 +1,9 @@
 """A news feed derived from the general test tables.
 
-Documents become feed records dated by events. Every document is used with
-its whole text; the joins are on equality, so the feed grows with the tables.
+Documents become feed records dated by events: all events are dealt out to the
+documents in equal runs, of which the last time and the first type count. Every
+document is used with its whole text; the joins are on equality, so the feed
+grows with the tables.
 """
 
 from __future__ import annotations
@@ -41,12 +43,14 @@ def _method() -> Column:
     return choice
 
 
-def feed_from(documents: DataFrame, events: DataFrame, pages: DataFrame, stride: int, n_pages: int) -> DataFrame:
-    """Raw feed of ``documents``; ``stride`` spreads it over all event dates."""
+def feed_from(documents: DataFrame, events: DataFrame, pages: DataFrame, stride: int, n_slots: int, n_pages: int) -> DataFrame:
+    """Raw feed of ``documents``; each gets a run of ``stride`` events, each tenth a page."""
+    runs = events.groupBy(F.expr(f"event_id div {stride}").alias("slot")).agg(
+        F.max("ts").alias("ts"), F.min_by("event_type", "event_id").alias("event_type"))
     dated = documents.withColumns({
-        "event_id": F.col("doc_id") * F.lit(stride),
-        "page_id": F.col("doc_id") % F.lit(n_pages),
-    }).join(events.select("event_id", "ts", "event_type"), "event_id").join(
+        "slot": F.col("doc_id") % F.lit(n_slots),
+        "page_id": F.expr("doc_id div 10") % F.lit(n_pages),
+    }).join(runs, "slot").join(
         pages.select("page_id", F.col("url").alias("page_url")), "page_id"
     )
     own_url = F.concat(
@@ -78,6 +82,11 @@ def feed_from(documents: DataFrame, events: DataFrame, pages: DataFrame, stride:
 
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, events, pages = (table(spark, sf_dir, n) for n in ("documents", "events", "pages"))
-    # Row counts come from file footers.
-    n_events, n_documents, n_pages = events.count(), documents.count(), pages.count()
-    return feed_from(spread(documents), events, pages, n_events // n_documents, n_pages)
+    return feed_from(spread(documents), events, pages, *sizes(events, documents, pages))
+
+
+def sizes(events: DataFrame, documents: DataFrame, pages: DataFrame) -> tuple[int, int, int]:
+    """Events per document, runs of events, and pages; row counts come from file footers."""
+    n_events = events.count()
+    stride = max(1, n_events // max(1, documents.count()))
+    return stride, -(-n_events // stride), pages.count()

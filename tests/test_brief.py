@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pressroom.errors import ScorerMissing, WebhookRefused
 from pressroom.operators import brief as B
 from pressroom.operators import monitor as M
+from pressroom.runtime import Scratch
 
 
 def ranked(spark, n=2):
@@ -102,7 +103,7 @@ def test_alerts(spark):
     screened = M.screen_registrations(registrations)
     assert screened.where("not accepted").count() == 1
     new = spark.createDataFrame([("AI",)] * 6, "topic string")
-    got = sorted((r.threshold, r.webhook_url, r.articles) for r in M.topic_alerts(screened, new).collect())
+    got = sorted((r.threshold, r.webhook_url, r.articles) for r in M.topic_alerts(screened, new, Scratch(spark)).collect())
     assert got == [(5, None, 6), (6, "https://h/x", 6)]
     with pytest.raises(WebhookRefused):
         M.check_registrations(registrations)
