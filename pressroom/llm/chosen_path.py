@@ -38,8 +38,8 @@ TREES = 10
 LEAF = 256
 DEPTH = 3
 SURE = 35  # equal minwise tokens of 64; at similarity 0.8 fewer come up about twice in a million
-BEHIND = 48  # similarity 0.75 to a node's first document: its near duplicates have 0.55 or more,
-TIED = 26  # and are tied to it from 0.4 on
+BEHIND = 40  # similarity 0.62 to a node's first document: its near duplicates have 0.42 or more,
+TIED = 18  # and are tied to it from 0.28 on
 BLOCK_DOCS = 500
 BLOCK_BYTES = 24 << 20
 
