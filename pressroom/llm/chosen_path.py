@@ -27,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.components import components
 from ..runtime import Scratch
 from . import common
-from .components import components
 
 WIDTH = 5
 SIMILARITY = 80  # per cent

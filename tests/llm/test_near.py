@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from pressroom.llm import chosen_path
-from pressroom.llm.components import components
+from pressroom.operators.components import components
 from pressroom.runtime import Scratch
 
 
