@@ -1,15 +1,15 @@
 """Language-model scoring by prediction by partial matching.
 
 The model is a trie of byte contexts of up to ORDER bytes over the lower-cased words of a
-text, joined by one blank and closed by an end symbol. Escape estimation is method C: a
-context seen T times with d different successors gives a successor c / (T + d) and
-escape d / (T + d). After an escape the symbols of the longer context are excluded from the
+text, joined by one blank and closed by an end symbol. Escape estimation is method D: a
+context seen T times with d different successors gives a successor (2c - 1) / 2T and
+escape d / 2T. After an escape the symbols of the longer context are excluded from the
 shorter one. In a trained trie the excluded set depends on the longer context alone, so
 every probability is a few table entries: one per node, and two pairs per context.
 
 Counts cover all training texts: tasks count (ORDER + 1)-byte strings and words, Spark adds
 them. Only nodes with at least ``floor`` sightings are kept, the smallest power of two that
-leaves at most MAX_NODES nodes: this bounds what is broadcast (some 50 MB) for any corpus. A
+leaves at most MAX_NODES nodes: this bounds what is broadcast (16 MB) for any corpus. A
 pruned node costs an escape to the shorter context, and suffixes of a kept node are always kept.
 
 The word model (base score) is exact for all words: the HEAD_WORDS most frequent are looked
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,10 @@ from ..runtime import Scratch
 from . import common
 
 ORDER = 5
-MAX_NODES = 1 << 21
-HEAD_WORDS = 1 << 17
-FLUSH_WORDS = 400_000
+MAX_NODES = 1 << 20
+HEAD_WORDS = 1 << 18
+FLUSH_WORDS = 300_000
+FLUSH_GRAMS = 800_000
 END = 0xFF  # no byte of UTF-8
 U8 = np.uint64(8)
 
@@ -44,20 +46,24 @@ def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ORDER + 1)-byte strings that end at each coded symbol, as numbers, and their text."""
-    n = len(data) - ORDER
-    key = np.zeros(max(n, 0), np.uint64)
+    n = max(len(data) - ORDER, 0)
+    key = np.zeros(n, np.uint64)
     for k in range(ORDER + 1):
-        key = (key << U8) | data[k:n + k]
-    last = np.arange(len(key)) + ORDER
-    doc = np.searchsorted(borders, last, "right") - 1
-    inside = last - borders[doc] >= ORDER
-    return key[inside], doc[inside]
+        key <<= U8
+        key |= data[k:n + k]
+    inside = np.ones(n, bool)  # by the place of the first byte: those that reach over a border do not count
+    for k in range(1, ORDER + 1):
+        inside[borders[1:-1] - k] = False
+    sizes = np.diff(borders) - ORDER
+    return key[inside], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
 
-def _norms(batch: pa.RecordBatch) -> list[bytes]:
+def _norms(batch: pa.RecordBatch, limit: int = common.PIECE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Lower-cased texts of runs [i, j) of the batch's rows."""
     data, at = common.flat(batch.column("text"))
     whole = memoryview(data)
-    return [bytes(whole[at[i]:at[i + 1]]).lower() for i in range(len(batch))]
+    for i, j in common.pieces(at, limit):
+        yield i, j, [bytes(whole[at[k]:at[k + 1]]).lower() for k in range(i, j)]
 
 
 COUNT_ROW = pa.schema([("gram", pa.int64()), ("token", pa.binary()), ("n", pa.int64())])
@@ -83,21 +89,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for batch in batches:
-        norms = _norms(batch)
-        lengths = np.concatenate([[0], np.cumsum([len(x) for x in norms])])
-        for i, j in common.pieces(lengths, 4 << 20):
-            for x in norms[i:j]:
+        for i, j, norms in _norms(batch):
+            for x in norms:
                 tokens.update(x.split())
                 if len(tokens) > FLUSH_WORDS:
                     yield row([None] * len(tokens), list(tokens), list(tokens.values()))
                     tokens = Counter()
             tokens[b""] += j - i
-            held.append(np.unique(grams(*stream(norms[i:j]))[0], return_counts=True))
+            held.append(np.unique(grams(*stream(norms))[0], return_counts=True))
             size += len(held[-1][0])
-            if size > 2_000_000:
+            if size > 2 * FLUSH_GRAMS:
                 held = [sum_up(held)]
                 size = len(held[0][0])
-                if size > 1_000_000:
+                if size > FLUSH_GRAMS:
                     yield from spill(held)
                     held, size = [], 0
     if tokens:
@@ -106,37 +110,41 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from spill(held)
 
 
-def nodes_of(counts: DataFrame, scratch: Scratch, max_nodes: int = MAX_NODES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per order 0..ORDER: (gram, count) of the kept trie nodes, in order of gram."""
-    tags = F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"gram & {(1 << 8 * (k + 1)) - 1}L").alias("gram")) for k in range(ORDER + 1)])
-    nodes = scratch.cut(
-        counts.where("gram is not null").select(F.explode(tags).alias("x"), "n").groupBy("x.k", "x.gram").agg(F.sum("n").alias("n")), "nodes")
+def floor_of(rows: DataFrame, most: int) -> int:
+    """The smallest power of two so that at most ``most`` rows have a count ``n`` of it or more."""
     level = F.length(F.bin("n")) - 1  # counts of 2^level or more
-    sizes = {r["level"]: r["nodes"] for r in nodes.groupBy(level.alias("level")).agg(F.count("*").alias("nodes")).collect()}
+    sizes = {r["level"]: r["rows"] for r in rows.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()}
     floor, kept = 1 << 62, 0
     for lev in range(62, -1, -1):
         kept += sizes.get(lev, 0)
-        if kept > max_nodes:
+        if kept > most:
             break
         floor = 1 << lev
-    table = nodes.where(F.col("n") >= floor).toPandas()
+    return floor
+
+
+def nodes_of(counts: DataFrame, scratch: Scratch, max_nodes: int = MAX_NODES) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per order 0..ORDER: (gram, count) of the kept trie nodes, in order of gram."""
+    tags = F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"gram & {(1 << 8 * (k + 1)) - 1}L").alias("gram")) for k in range(ORDER + 1)])
+    nodes = scratch.cut(
+        counts.where("gram is not null").select(F.explode(tags).alias("x"), "n").groupBy("x.k", "x.gram").agg(F.sum("n").alias("n")), "nodes")
+    floor = floor_of(nodes, max_nodes)
     out = []
     for k in range(ORDER + 1):
-        own = table[table["k"] == k]
-        gram, n = own["gram"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64)
-        order = np.argsort(gram)
-        out.append((gram[order], n[order]))
+        gram, n = common.arrays(nodes.where((F.col("k") == k) & (F.col("n") >= floor)).select("gram", "n"))
+        order = np.argsort(gram.view(np.uint64))
+        out.append((gram.view(np.uint64)[order], n[order]))
     return out
 
 
 class Table:
-    """Hash table from 64-bit keys to rows of float32, searched for whole arrays at once.
+    """Hash table from 64-bit keys to columns of float32, searched for whole arrays at once.
 
     Linear probing; all keys are placed in one pass in the order of their home slots.
     """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(4, int(2 * len(keys)).bit_length())
+        bits = max(4, int(1.4 * len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
         home = self._home(keys)
         order = np.argsort(home, kind="stable")
@@ -144,9 +152,12 @@ class Table:
         place = step + np.maximum.accumulate(home[order] - step) if len(keys) else step
         size = max(1 << bits, int(place[-1]) + 1 if len(keys) else 0) + 1
         self.keys = np.zeros(size, np.uint64)
-        self.values = np.zeros((size, values.shape[1]), np.float32)
         self.keys[place] = keys[order]
-        self.values[place] = values[order]
+        self.columns = []
+        for column in values.T:
+            held = np.zeros(size, np.float32)
+            held[place] = column[order]
+            self.columns.append(held)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -189,43 +200,47 @@ class Trie:
                     excluded = np.bincount(own, below[1][inner], len(context)).astype(np.int64)
                     parent = np.searchsorted(below_t[0], context & (mask >> U8))
                     rest, others = below_t[1][parent] - excluded, below_t[2][parent] - distinct
-                # seen plainly: c / den, escape; after an escape from this context: the shorter one without these symbols
-                den, esc = np.log10(total + distinct), np.log10(distinct / np.maximum(total + distinct, 1))
+                # seen plainly: (2c - 1) / den, escape; after an escape from this context: the shorter one without these symbols
+                den, esc = np.log10(2 * total), np.log10(distinct / np.maximum(2 * total, 1))
                 if k == 0:
                     den1, esc1 = np.log10(np.maximum(others, 1)), np.zeros(len(context))
                 else:
-                    den1 = np.log10(np.maximum(rest + others, 1))
-                    esc1 = np.where(rest + others > 0, np.log10(np.maximum(others, 1e-9) / np.maximum(rest + others, 1)), 0.0)
+                    den1 = np.log10(np.maximum(2 * rest, 1))
+                    esc1 = np.where(rest > 0, np.log10(np.maximum(others, 1e-9) / np.maximum(2 * rest, 1)), 0.0)
                 one = np.uint64(1) << np.uint64(56)
-                self.grams.append(Table(gram | one, np.stack([np.log10(n), np.log10(n) - den[own]], 1) if len(gram) else np.zeros((0, 2))))
+                log = np.log10(2 * n - 1)
+                self.grams.append(Table(gram | one, np.stack([log, log - den[own]], 1) if len(gram) else np.zeros((0, 2))))
                 self.contexts.append(Table(context | one, np.stack([den, esc, den1, esc1], 1)))
                 below, below_t = (gram, n), (context, total, distinct)
 
     def logs(self, key: np.ndarray) -> np.ndarray:
         """Log10 probability of the last byte of each gram of ORDER + 1 bytes."""
         one = np.uint64(1) << np.uint64(56)
-        out = np.zeros(len(key))
-        todo = np.arange(len(key))  # not coded yet
-        after = np.zeros((len(key), 2), np.float32)  # den and escape for the next shorter context, if something is excluded
-        fresh = np.ones(len(key), bool)
+        at = self.grams[ORDER].find(key | one)
+        out = self.grams[ORDER].columns[1][at].astype(np.float64)  # most are found in the longest context
+        todo = np.flatnonzero(at < 0)  # not coded yet
+        out[todo] = 0
+        den, esc = np.zeros(len(todo), np.float32), np.zeros(len(todo), np.float32)  # for the next shorter context, if something is excluded
+        fresh = np.ones(len(todo), bool)
         for k in range(ORDER, -1, -1):
-            if not len(todo):
-                break
             own = key[todo] & np.uint64((1 << 8 * (k + 1)) - 1)
-            at = self.grams[k].find(own | one)
-            found = at >= 0
-            value = self.grams[k].values[at[found]]
-            plain = fresh[found]
-            out[todo[found]] += np.where(plain, value[:, 1], value[:, 0] - after[found, 0])
-            left = ~found
-            todo, own, fresh, after = todo[left], own[left], fresh[left], after[left]
+            if k < ORDER:
+                at = self.grams[k].find(own | one)
+                found = at >= 0
+                spot = at[found]
+                log, plain = (c[spot] for c in self.grams[k].columns)
+                out[todo[found]] += np.where(fresh[found], plain, log - den[found])
+                left = ~found
+                todo, own, fresh, den, esc = todo[left], own[left], fresh[left], den[left], esc[left]
+            if not len(todo):
+                return out
             at = self.contexts[k].find((own >> U8) | one)
             there = at >= 0
-            value = self.contexts[k].values[at[there]]
-            out[todo[there]] += np.where(fresh[there], value[:, 1], after[there, 1])
-            after[there] = value[:, 2:]
-            fresh[there] = False
-        out[todo] -= np.where(fresh, np.log10(256.0), after[:, 0])
+            spot = at[there]
+            _, escape, den1, esc1 = (c[spot] for c in self.contexts[k].columns)
+            out[todo[there]] += np.where(fresh[there], escape, esc[there])
+            den[there], esc[there], fresh[there] = den1, esc1, False
+        out[todo] -= np.where(fresh, np.log10(256.0), den)
         return out
 
 
@@ -237,30 +252,25 @@ def _score(shared, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, common_words = Trie(shared.value), head.value
         for batch in batches:
-            norms = _norms(batch)
-            lengths = np.concatenate([[0], np.cumsum([len(x) for x in norms])])
             uids = batch.column("uid").to_numpy()
-            for i, j in common.pieces(lengths):
-                key, doc = grams(*stream(norms[i:j]))
+            for i, j, norms in _norms(batch, 1 << 19):
+                key, doc = grams(*stream(norms))
                 score = np.bincount(doc, trie.logs(key), j - i)
                 n, known, logs = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64), np.zeros(j - i)
                 rare_uid, rare, rare_n = [], [], []
                 for d in range(j - i):
-                    words = norms[i + d].split()
+                    words = norms[d].split()
                     n[d] = len(words) + 1
                     seen = Counter(words)
                     seen[b""] = 1
-                    uid, total, hit = int(uids[i + d]), 0.0, 0
-                    for word, times in seen.items():
-                        log = common_words.get(word)
-                        if log is None:
-                            rare_uid.append(uid)
-                            rare.append(word)
-                            rare_n.append(times)
-                        else:
-                            total += times * log
-                            hit += times
-                    known[d], logs[d] = hit, total
+                    times = np.fromiter(seen.values(), np.int64, len(seen))
+                    log = np.fromiter(map(common_words.get, seen, repeat(-1.0)), np.float64, len(seen))
+                    far = log < 0  # outside the head
+                    known[d], logs[d] = times[~far].sum(), times[~far] @ log[~far]
+                    if far.any():
+                        rare += compress(seen, far)
+                        rare_n += times[far].tolist()
+                        rare_uid += [int(uids[i + d])] * int(far.sum())
                 size, more = j - i, len(rare)
                 nulls = [None] * more
                 yield pa.RecordBatch.from_arrays([
@@ -290,13 +300,14 @@ def score(docs: DataFrame, held_out, max_nodes: int = MAX_NODES, scratch: Scratc
     words = counts.where("token is not null").select("token", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     shared = spark.sparkContext.broadcast(nodes_of(counts, scratch, max_nodes))
-    top = words.orderBy(F.desc("n"), "token").limit(HEAD_WORDS).toPandas()
-    head = spark.sparkContext.broadcast(dict(zip((bytes(t) for t in top["token"]), np.log10(top["n"].to_numpy(np.float64) + 1).tolist())))
+    least = floor_of(words, HEAD_WORDS)
+    top = words.where(F.col("n") >= least).toArrow()
+    often = top.column("n").to_numpy()
+    head = spark.sparkContext.broadcast(dict(zip(top.column("token").to_pylist(), np.log10(often + 1.0).tolist())))
     marked = rows.withColumn("uid", F.monotonically_increasing_id())
     scored = scratch.cut(marked.mapInArrow(
         _score(shared, head), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double, token binary, k long"), "scored")
-    least = int(top["n"].min()) if len(top) else 0  # rarer words, and those of this count, may be outside the head
-    rare = scored.where("token is not null").select("uid", "token", "k").join(words.where(F.col("n") <= least), "token")
+    rare = scored.where("token is not null").select("uid", "token", "k").join(words.where(F.col("n") < least), "token")
     rare = rare.groupBy("uid").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_log"))
     whole = scored.where("token is null").drop("token", "k").join(rare, "uid", "left")
     base = F.col("known_log") + F.coalesce("more_log", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total["n"] + total["v"] + 1)))
