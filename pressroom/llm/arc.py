@@ -17,13 +17,14 @@ neither executors nor the driver touch a local path.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import Scratch
 
@@ -68,7 +69,7 @@ def pages_to_arc(pages: DataFrame, path: str, version: int, per_file: int = PER_
     block = f"filedesc://pages.arc 0.0.0.0 20100101000000 text/plain {'200 - - 0 pages.arc ' if version == 2 else ''}{len(head)}\n{head}\n"
     number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) % per_file
     pages.select(F.concat(F.when(number == 0, block).otherwise(""), record).alias("value")).write.option("lineSep", "\n").option(
-        "compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+        "compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
 
 
 def _line(data: bytes, at: int) -> tuple[str, int]:
@@ -143,6 +144,30 @@ ARC_ROW = pa.schema([("arc_version", pa.int32()), ("record_id", pa.string()), ("
                      ("content_type", pa.string()), ("http", pa.binary()), ("payload", pa.binary())])
 
 
+ARC_INDEX = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string())])
+PAGE_ID = re.compile(rb"(?m)^X-Page-Id: (-?\d+)\r?$")
+
+
+def _page_id(http: bytes) -> int | None:
+    found = PAGE_ID.search(http)
+    return int(found[1]) if found else None
+
+
+def _index_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same walk without payloads: their lengths and digests."""
+
+    def rows():
+        for batch in batches:
+            for path, blob in zip(batch.column("path"), batch.column("content")):
+                place = path.as_py().rsplit("/", 1)[-1]
+                for _, url, _, date, _, block, offset in arc_records(_gunzip(blob.as_py())):
+                    cut = max(block.find(b"\r\n\r\n") + 4 if block[:5] == b"HTTP/" else 0, 0)
+                    payload = block[cut:]
+                    yield record_id(url, date, f"{place}:{offset}"), _page_id(block[:cut]), url, iso_date(date), len(payload), hashlib.sha1(payload).hexdigest()
+
+    yield from _batches(rows(), ARC_INDEX, 2)
+
+
 def _walk_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for batch in batches:
@@ -156,25 +181,29 @@ def _walk_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(rows(), ARC_ROW, 7)
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def index_arc(spark: SparkSession, path: str) -> DataFrame:
+    """(record_id, page_id, url, date, payload_bytes, digest) of all records below ``path``; no payload leaves its task."""
+    return _files(spark, path).mapInArrow(_index_arc, "record_id string, page_id long, url string, date string, payload_bytes long, digest string")
+
+
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """Records of all ARC files below ``path``: version, synthesised id and timestamp, HTTP header, payload."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = _files(spark, path)
     return files.mapInArrow(_walk_arc, "arc_version int, record_id string, url string, ip string, date string, content_type string, http binary, payload binary")
 
 
-def page_id_of(http: Column) -> Column:
-    return F.regexp_extract(http.cast("string"), r"(?m)^X-Page-Id: (-?\d+)\r?$", 1).try_cast("long")
-
-
-def arc_to_warc(records: DataFrame, path: str, scratch: Scratch, per_file: int = PER_FILE, revisit_bytes: int = REVISIT_BYTES) -> None:
-    """Write ARC records as WARC 1.1: response, or revisit where a payload of ``revisit_bytes`` or more has a later page.
+def arc_to_warc(source: str, path: str, scratch: Scratch, per_file: int = PER_FILE, revisit_bytes: int = REVISIT_BYTES) -> None:
+    """Write the ARC archives below ``source`` as WARC 1.1: response, or revisit where a payload of ``revisit_bytes`` or more has a later page.
 
     Payloads meet by SHA-1 and length in a narrow aggregate (largest page id and its record id per
     digest, combined before the shuffle); the payloads themselves are not shuffled.
     """
-    rows = records.withColumn("page_id", page_id_of(F.col("http"))).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn(
-        "digest", F.sha1("payload"))
-    narrow = scratch.cut(rows.select("record_id", "page_id", "url", "date", "payload_bytes", "digest"), "arc-index")
+    narrow = scratch.cut(index_arc(scratch.spark, source), "arc-index")
+    rows = read_arc(scratch.spark, source).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
     large = narrow.where(F.col("payload_bytes") >= revisit_bytes)
     best = large.groupBy("digest", "payload_bytes").agg(F.max(F.struct("page_id", "record_id", "url", "date")).alias("of"), F.count("*").alias("n"))
     revisits = scratch.cut(
@@ -196,7 +225,7 @@ def arc_to_warc(records: DataFrame, path: str, scratch: Scratch, per_file: int =
         name("Content-Type", F.lit("application/http; msgtype=response")), name("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
     rows.select(F.concat(head.cast("binary"), block).cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option(
-        "compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+        "compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -221,6 +250,35 @@ WARC_ROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()),
                       ("payload_bytes", pa.int64()), ("refers_to_record", pa.string()), ("refers_to", pa.int64()), ("http", pa.binary()), ("payload", pa.binary())])
 
 
+WARC_INDEX = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()),
+                        ("payload_bytes", pa.int64()), ("refers_to_record", pa.string()), ("refers_to", pa.int64()), ("page_id", pa.int64())])
+
+
+def _index_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Header fields of all records; the payload of a response must have the length and digest that its header says."""
+
+    def rows():
+        for batch in batches:
+            for blob in batch.column("content"):
+                for f, block in warc_records(_gunzip(blob.as_py())):
+                    cut = max(block.find(b"\r\n\r\n") + 4, 0)
+                    digest, size = f["warc-payload-digest"].removeprefix("sha1:"), int(f["x-payload-length"])
+                    if f["warc-type"] == "response" and (len(block) - cut != size or hashlib.sha1(block[cut:]).hexdigest() != digest):
+                        raise ArchiveError(f"payload differs from its digest: {f['warc-record-id']}")
+                    page = f.get("x-refers-to-page-id", "-")
+                    yield (f["warc-record-id"], f["warc-type"], f["warc-target-uri"], f["warc-date"], digest, size, f.get("warc-refers-to"),
+                           None if page == "-" else int(page), _page_id(block[:cut]))
+
+    yield from _batches(rows(), WARC_INDEX, 2)
+
+
+def index_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Header fields of all records below ``path``, payloads checked in the task that reads them."""
+    return _files(spark, path).select("content").mapInArrow(
+        _index_warc, "record_id string, record_type string, url string, date string, payload_digest string, payload_bytes long, "
+                     "refers_to_record string, refers_to long, page_id long")
+
+
 def _walk_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for batch in batches:
@@ -238,8 +296,7 @@ def _walk_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of all WARC files below ``path``. The payload of a revisit is null: its response holds it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInArrow(_walk_warc, "record_id string, record_type string, url string, date string, payload_digest string, payload_bytes long, "
+    return _files(spark, path).select("content").mapInArrow(_walk_warc, "record_id string, record_type string, url string, date string, payload_digest string, payload_bytes long, "
                                         "refers_to_record string, refers_to long, http binary, payload binary")
 
 
@@ -258,8 +315,5 @@ def convert_pages(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame
     first = F.coalesce(F.pmod("page_id", F.lit(2)), F.lit(1)) == 0
     pages_to_arc(pages.where(first), f"{old}/v1", 1)
     pages_to_arc(pages.where(~first), f"{old}/v2", 2)
-    arc_to_warc(read_arc(spark, old), new, scratch)
-    rows = read_warc(spark, new)
-    right = F.col("payload").isNull() | ((F.sha1("payload") == F.col("payload_digest")) & (F.octet_length("payload") == F.col("payload_bytes")))
-    checked = F.when(right, F.col("payload_bytes")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), "record_id")).cast("long"))
-    return rows.select(page_id_of(F.col("http")).alias("page_id"), checked.alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url", "record_id", "refers_to_record")
+    arc_to_warc(old, new, scratch)
+    return index_warc(spark, new).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "refers_to_record")

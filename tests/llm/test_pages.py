@@ -4,6 +4,7 @@ import pytest
 
 from pressroom.llm import arc, url_terms, wrappers
 from pressroom.llm.queries import RULES
+from pressroom.runtime import Scratch
 
 PAGES = "page_id long, url string, html string, host string, rules string, record_id string, text string"
 BIG = "<p>" + "long enough " * 200 + "</p>"
@@ -16,7 +17,7 @@ def pages(spark):
     return spark.createDataFrame([(*r, "h", "r", "x", "t") for r in rows], PAGES).repartition(3).cache()
 
 
-def test_archive_round_trip(pages):
+def test_archive_round_trip(spark, pages):
     got = arc.convert_pages(pages).collect()
     rows = pages.collect()
     assert len(got) == len(rows)
@@ -27,6 +28,11 @@ def test_archive_round_trip(pages):
         [("1", "revisit", 2), ("None", "revisit", 2), ("2", "revisit", 2), ("2", "response", None)])
     assert all(r.record_type == "response" and r.refers_to is None for r in got if r.payload_bytes < 1000)
     ids = {r.record_id for r in got}
+    scratch = Scratch(spark)
+    arc.pages_to_arc(pages.select("page_id", "url", "html"), scratch.path("arc"), 2)
+    arc.arc_to_warc(f"{scratch.root}/0001-arc", f"{scratch.root}/warc", scratch)
+    back = arc.read_warc(spark, f"{scratch.root}/warc").where("record_type = 'response'").collect()
+    assert all(hashlib.sha1(r.payload).hexdigest() == r.payload_digest and len(r.payload) == r.payload_bytes for r in back) and len(back) == len(rows) - 3
     assert len(ids) == len(rows) and all(r.refers_to_record in ids for r in got if r.record_type == "revisit")
 
 
