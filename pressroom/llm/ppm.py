@@ -5,12 +5,14 @@ text, joined by one blank and closed by an end symbol. Escape estimation is meth
 context seen T times with d different successors gives a successor (2c - 1) / 2T and
 escape d / 2T. After an escape the symbols of the longer context are excluded from the
 shorter one. In a trained trie the excluded set depends on the longer context alone, so
-every probability is a few table entries: one per node, and two pairs per context.
+the probability of a symbol is a number of its (ORDER + 1)-byte string.
 
-Counts cover all training texts: tasks count (ORDER + 1)-byte strings and words, Spark adds
-them. Only nodes with at least ``floor`` sightings are kept, the smallest power of two that
-leaves at most MAX_NODES nodes: this bounds what is broadcast (16 MB) for any corpus. A
-pruned node costs an escape to the shorter context, and suffixes of a kept node are always kept.
+Counts cover all texts: tasks count (ORDER + 1)-byte strings (in training texts, and in all) and
+words, Spark adds them. The trie is a written table of all nodes, none is pruned. Each distinct
+string gets its exact log by joins on (order, gram): one that was trained on from its node, any
+other by the escapes from its longest known context down. The MAX_NODES strings most frequent in
+all texts are broadcast (16 MB for any corpus) and looked up in the task; the others, counted per
+document, meet their logs by a join.
 
 The word model (base score) is exact for all words: the HEAD_WORDS most frequent are looked
 up in the task, all others meet their counts by a join.
@@ -24,7 +26,7 @@ from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import Scratch
 from . import common
@@ -66,38 +68,46 @@ def _norms(batch: pa.RecordBatch, limit: int = common.PIECE_BYTES) -> Iterator[t
         yield i, j, [bytes(whole[at[k]:at[k + 1]]).lower() for k in range(i, j)]
 
 
-COUNT_ROW = pa.schema([("gram", pa.int64()), ("token", pa.binary()), ("n", pa.int64())])
+COUNT_ROW = pa.schema([("gram", pa.int64()), ("token", pa.binary()), ("n", pa.int64()), ("seen", pa.int64())])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of byte strings and of words (the end token is the empty word) of the training rows."""
+    """Counts of byte strings and of words (the end token is the empty word) of the training rows; ``seen``: of byte strings in all rows."""
 
-    def row(gram, token, n):
-        return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(token, pa.binary()), pa.array(n, pa.int64())], schema=COUNT_ROW)
+    def row(gram, token, n, seen):
+        return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(token, pa.binary()), pa.array(n, pa.int64()), pa.array(seen, pa.int64())], schema=COUNT_ROW)
 
     def sum_up(held):
-        keys, order = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return keys, np.bincount(order, np.concatenate([n for _, n in held])).astype(np.int64)
+        keys, order = np.unique(np.concatenate([k for k, _, _ in held]), return_inverse=True)
+        return keys, *(np.bincount(order, np.concatenate([h[c] for h in held])).astype(np.int64) for c in (1, 2))
 
     def spill(held):
-        keys, n = sum_up(held)
+        keys, n, seen = sum_up(held)
         for i in range(0, len(keys), 200_000):
             k = keys[i:i + 200_000]
-            yield row(k.view(np.int64), [None] * len(k), n[i:i + 200_000])
+            yield row(k.view(np.int64), [None] * len(k), n[i:i + 200_000], seen[i:i + 200_000])
 
     tokens: Counter[bytes] = Counter()
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
     for batch in batches:
+        apart = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         for i, j, norms in _norms(batch):
-            for x in norms:
+            for x, out in zip(norms, apart[i:j]):
+                if out:
+                    continue
                 tokens.update(x.split())
+                tokens[b""] += 1
                 if len(tokens) > FLUSH_WORDS:
-                    yield row([None] * len(tokens), list(tokens), list(tokens.values()))
+                    yield row([None] * len(tokens), list(tokens), list(tokens.values()), [0] * len(tokens))
                     tokens = Counter()
-            tokens[b""] += j - i
-            held.append(np.unique(grams(*stream(norms))[0], return_counts=True))
-            size += len(held[-1][0])
+            key, doc = grams(*stream(norms))
+            out = apart[i:j][doc]
+            for some, trained in ((key[~out], 1), (key[out], 0)):
+                if len(some):
+                    keys, n = np.unique(some, return_counts=True)
+                    held.append((keys, n * trained, n))
+                    size += len(keys)
             if size > 2 * FLUSH_GRAMS:
                 held = [sum_up(held)]
                 size = len(held[0][0])
@@ -105,7 +115,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from spill(held)
                     held, size = [], 0
     if tokens:
-        yield row([None] * len(tokens), list(tokens), list(tokens.values()))
+        yield row([None] * len(tokens), list(tokens), list(tokens.values()), [0] * len(tokens))
     if held:
         yield from spill(held)
 
@@ -123,22 +133,56 @@ def floor_of(rows: DataFrame, most: int) -> int:
     return floor
 
 
-def nodes_of(counts: DataFrame, scratch: Scratch, max_nodes: int = MAX_NODES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per order 0..ORDER: (gram, count) of the kept trie nodes, in order of gram."""
-    tags = F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"gram & {(1 << 8 * (k + 1)) - 1}L").alias("gram")) for k in range(ORDER + 1)])
-    nodes = scratch.cut(
-        counts.where("gram is not null").select(F.explode(tags).alias("x"), "n").groupBy("x.k", "x.gram").agg(F.sum("n").alias("n")), "nodes")
-    floor = floor_of(nodes, max_nodes)
-    out = []
+def _tail(gram: str, bytes_: int) -> Column:
+    return F.expr(f"{gram} & {(1 << 8 * bytes_) - 1}L")
+
+
+def logs_of(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(gram, seen, log): the log10 probability of the last byte of every string counted, under the trie of all nodes.
+
+    ``counts``: gram, n in training texts, seen in all texts; each gram once. No key of a join but those of the shortest
+    contexts, which are broadcast, has more than 256 rows on the side of the model.
+    """
+    tags = F.array(*[F.struct(F.lit(k).alias("k"), _tail("gram", k + 1).alias("gram")) for k in range(ORDER + 1)])
+    nodes = scratch.cut(counts.where("n > 0").select(F.explode(tags).alias("x"), "n").groupBy("x.k", "x.gram").agg(F.sum("n").alias("n")), "nodes")
+    # of each context: sightings t, successors d, and the sightings x that these successors have in the shorter context
+    shorter = nodes.select((F.col("k") + 1).alias("k"), F.col("gram").alias("suffix"), F.col("n").alias("x"))
+    suffix = F.expr("case k " + " ".join(f"when {k} then gram & {(1 << 8 * k) - 1}L" for k in range(1, ORDER + 1)) + " end")
+    contexts = scratch.cut(
+        nodes.withColumn("suffix", suffix).join(shorter, ["k", "suffix"], "left").groupBy("k", F.shiftright("gram", 8).alias("context")).agg(
+            F.sum("n").alias("t"), F.count("*").alias("d"), F.coalesce(F.sum("x"), F.lit(0)).alias("x")), "contexts")
+    sizes = [{r["k"]: r["count"] for r in t.groupBy("k").count().collect()} for t in (nodes, contexts)]
+
+    def short(table: DataFrame, size: int) -> DataFrame:
+        return F.broadcast(table) if size <= common.BROADCAST_ROWS // 4 else table
+
+    longest = contexts.where(F.col("k") == ORDER).select("context", "t")
+    trained = counts.where("n > 0").withColumn("context", F.shiftright("gram", 8)).join(longest, "context").select(
+        "gram", "seen", (F.log10(2 * F.col("n") - 1) - F.log10(2 * F.col("t"))).alias("log"))
+    rows = counts.where("n = 0").select("gram", "seen")
+    for k in range(ORDER, -1, -1):
+        if k < ORDER:
+            level = nodes.where(F.col("k") == k).select(F.col("gram").alias("own"), F.col("n").alias(f"n{k}"))
+            rows = rows.withColumn("own", _tail("gram", k + 1)).join(short(level, sizes[0].get(k, 0)), "own", "left").drop("own")
+        level = contexts.where(F.col("k") == k).select("context", F.col("t").alias(f"t{k}"), F.col("d").alias(f"d{k}"), F.col("x").alias(f"x{k}"))
+        rows = rows.withColumn("context", F.shiftright(_tail("gram", k + 1), 8)).join(short(level, sizes[1].get(k, 0)), "context", "left").drop("context")
+    # from the shortest context up: what a string costs from order k down; suffixes of a known context are known
+    cost = F.when(F.col("t0").isNull(), -F.log10(F.lit(256.0))).otherwise(-F.log10(F.greatest(256 - F.col("d0"), F.lit(1))))
     for k in range(ORDER + 1):
-        gram, n = common.arrays(nodes.where((F.col("k") == k) & (F.col("n") >= floor)).select("gram", "n"))
-        order = np.argsort(gram.view(np.uint64))
-        out.append((gram.view(np.uint64)[order], n[order]))
-    return out
+        t, d = F.col(f"t{k}"), F.col(f"d{k}")
+        den, escape = F.log10(2 * t), F.log10(d / (2 * t))
+        if k < ORDER:
+            rest, others, longer = t - F.col(f"x{k + 1}"), d - F.col(f"d{k + 1}"), F.col(f"t{k + 1}").isNotNull()
+            den = F.when(longer, F.log10(F.greatest(2 * rest, F.lit(1)))).otherwise(den)
+            escape = F.when(~longer, escape).otherwise(F.when(rest > 0, F.log10(others / (2 * rest))).otherwise(0.0))
+        cost = F.when(t.isNull(), 0.0).otherwise(escape) + cost
+        if k < ORDER:
+            cost = F.when(F.col(f"n{k}").isNotNull(), F.log10(2 * F.col(f"n{k}") - 1) - den).otherwise(cost)
+    return scratch.cut(trained.unionByName(rows.select("gram", "seen", cost.alias("log"))), "logs")
 
 
 class Table:
-    """Hash table from 64-bit keys to columns of float32, searched for whole arrays at once.
+    """Hash table from 64-bit keys to columns of float64, searched for whole arrays at once.
 
     Linear probing; all keys are placed in one pass in the order of their home slots.
     """
@@ -155,7 +199,7 @@ class Table:
         self.keys[place] = keys[order]
         self.columns = []
         for column in values.T:
-            held = np.zeros(size, np.float32)
+            held = np.zeros(size, np.float64)
             held[place] = column[order]
             self.columns.append(held)
 
@@ -177,7 +221,7 @@ class Table:
 
 
 class Trie:
-    """Log10 probabilities of symbols in context, from the kept nodes of all orders."""
+    """Log10 probabilities of symbols in context, from the nodes of all orders: the model of ``logs_of`` in one memory, for small corpora."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.grams: list[Table] = []
@@ -245,17 +289,27 @@ class Trie:
 
 
 SCORE_ROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                       ("known_log", pa.float64()), ("score", pa.float64()), ("token", pa.binary()), ("k", pa.int64())])
+                       ("known_log", pa.float64()), ("score", pa.float64()), ("token", pa.binary()), ("gram", pa.int64()), ("k", pa.int64())])
+ONE = np.uint64(1) << np.uint64(56)  # keys of a table are never 0
 
 
 def _score(shared, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, common_words = Trie(shared.value), head.value
+        gram, log = shared.value
+        known_grams, common_words = Table(gram.view(np.uint64) | ONE, log[:, None]), head.value
         for batch in batches:
             uids = batch.column("uid").to_numpy()
             for i, j, norms in _norms(batch, 1 << 19):
                 key, doc = grams(*stream(norms))
-                score = np.bincount(doc, trie.logs(key), j - i)
+                at = known_grams.find(key | ONE)
+                here = at >= 0
+                score = np.bincount(doc[here], known_grams.columns[0][at[here]], j - i).astype(np.float64)
+                # the strings outside the head, each once per document
+                far_key, far_doc = key[~here].view(np.int64), doc[~here]
+                order = np.lexsort((far_key, far_doc))
+                far_key, far_doc = far_key[order], far_doc[order]
+                new = np.flatnonzero(np.concatenate([[True], (far_key[1:] != far_key[:-1]) | (far_doc[1:] != far_doc[:-1])])) if len(order) else order
+                far_n = np.diff(np.append(new, len(order)))
                 n, known, logs = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64), np.zeros(j - i)
                 rare_uid, rare, rare_n = [], [], []
                 for d in range(j - i):
@@ -271,15 +325,17 @@ def _score(shared, head):
                         rare += compress(seen, far)
                         rare_n += times[far].tolist()
                         rare_uid += [int(uids[i + d])] * int(far.sum())
-                size, more = j - i, len(rare)
-                nulls = [None] * more
+                size, more, grams_more = j - i, len(rare), len(new)
+                nulls = [None] * (more + grams_more)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([uids[i:j], np.array(rare_uid, np.int64)])),
+                    pa.array(np.concatenate([uids[i:j], np.array(rare_uid, np.int64), uids[i:j][far_doc[new]]])),
                     pa.concat_arrays([batch.column("doc_id").slice(i, size), pa.array(nulls, pa.int64())]),
                     pa.concat_arrays([batch.column("held_out").slice(i, size), pa.array(nulls, pa.bool_())]),
                     pa.concat_arrays([pa.array(n), pa.array(nulls, pa.int64())]), pa.concat_arrays([pa.array(known), pa.array(nulls, pa.int64())]),
                     pa.concat_arrays([pa.array(logs), pa.array(nulls, pa.float64())]), pa.concat_arrays([pa.array(score), pa.array(nulls, pa.float64())]),
-                    pa.array([None] * size + rare, pa.binary()), pa.array([None] * size + rare_n, pa.int64()),
+                    pa.array([None] * size + rare + [None] * grams_more, pa.binary()),
+                    pa.concat_arrays([pa.array([None] * (size + more), pa.int64()), pa.array(far_key[new])]),
+                    pa.concat_arrays([pa.array([None] * size + rare_n, pa.int64()), pa.array(far_n.astype(np.int64))]),
                 ], schema=SCORE_ROW)
 
     return run
@@ -290,26 +346,31 @@ def score(docs: DataFrame, held_out, max_nodes: int = MAX_NODES, scratch: Scratc
 
     ``held_out``: a boolean column; the models learn from rows where it is false or null. Columns: doc_id, held_out,
     n_tokens, n_known, train_tokens, base_score, score, n_bytes of the coded stream excluded. Null text is empty: one
-    end token. Rows with one doc_id are scored apart. Without training rows all symbols are equally likely.
+    end token. ``max_nodes``: the most byte strings to broadcast; scores do not depend on it. Rows with one doc_id are scored apart. Without training rows all symbols are equally likely.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "ppm")
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counted = rows.where("not held_out").select("text").mapInArrow(_count, "gram long, token binary, n long")
-    counts = scratch.cut(counted.groupBy("gram", "token").agg(F.sum("n").alias("n")), "counts")
+    counted = rows.select("text", "held_out").mapInArrow(_count, "gram long, token binary, n long, seen long")
+    counts = scratch.cut(counted.groupBy("gram", "token").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")), "counts")
     words = counts.where("token is not null").select("token", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    shared = spark.sparkContext.broadcast(nodes_of(counts, scratch, max_nodes))
+    grams_logs = logs_of(counts.where("gram is not null").select("gram", "n", "seen"), scratch)
+    fewest = floor_of(grams_logs.select(F.col("seen").alias("n")), max_nodes)
+    shared = spark.sparkContext.broadcast(tuple(common.arrays(grams_logs.where(F.col("seen") >= fewest).select("gram", "log"))))
     least = floor_of(words, HEAD_WORDS)
     top = words.where(F.col("n") >= least).toArrow()
     often = top.column("n").to_numpy()
     head = spark.sparkContext.broadcast(dict(zip(top.column("token").to_pylist(), np.log10(often + 1.0).tolist())))
     marked = rows.withColumn("uid", F.monotonically_increasing_id())
     scored = scratch.cut(marked.mapInArrow(
-        _score(shared, head), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double, token binary, k long"), "scored")
-    rare = scored.where("token is not null").select("uid", "token", "k").join(words.where(F.col("n") < least), "token")
-    rare = rare.groupBy("uid").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_log"))
-    whole = scored.where("token is null").drop("token", "k").join(rare, "uid", "left")
+        _score(shared, head), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double, token binary, gram long, k long"), "scored")
+    rare = scored.where("token is not null").select("uid", "token", "k").join(words.where(F.col("n") < least), "token").select(
+        "uid", F.col("k").alias("more"), (F.col("k") * F.log10(F.col("n") + 1)).alias("more_log"), F.lit(0.0).alias("more_score"))
+    far = scored.where("gram is not null").select("uid", "gram", "k").join(grams_logs.where(F.col("seen") < fewest), "gram").select(
+        "uid", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("more_log"), (F.col("k") * F.col("log")).alias("more_score"))
+    rest = rare.unionByName(far).groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("more", "more_log", "more_score")])
+    whole = scored.where("token is null and gram is null").drop("token", "gram", "k").join(rest, "uid", "left")
     base = F.col("known_log") + F.coalesce("more_log", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total["n"] + total["v"] + 1)))
     return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-                        F.lit(total["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+                        F.lit(total["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))

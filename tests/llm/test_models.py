@@ -86,6 +86,15 @@ def test_ppm_rare_words_and_pruning(docs, monkeypatch):
     assert all(r.score <= 0 for r in some)
 
 
+def test_ppm_scores_do_not_depend_on_the_head(docs):
+    """Strings outside the head meet the same logs by a join: no node is pruned."""
+    held = F.col("doc_id").isin(2, 6, 15, 16)
+    key = lambda r: (r.doc_id or 0, r.n_tokens, round(r.score, 3))
+    whole, some, none = (sorted(ppm.score(docs, held, **kw).collect(), key=key) for kw in ({}, {"max_nodes": 50}, {"max_nodes": 0}))
+    for a, b, c in zip(whole, some, none, strict=True):
+        assert a.doc_id == b.doc_id == c.doc_id and b.score == pytest.approx(a.score, rel=1e-9) == c.score
+
+
 def test_ppm_beats_words_on_held_out_texts(spark, sf_dir):
     rows = QUERIES["op3_ppm_score"](spark, "/root/testdata/sf0.1").where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
