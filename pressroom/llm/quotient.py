@@ -206,13 +206,13 @@ def exact_dedup(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(docs.sparkSession, "exact")
     marked = scratch.cut(exact_groups(docs, scratch), "marked")
     gone = scratch.cut(marked.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    left = marked.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    left = marked.where("doc_id is not null").groupBy("doc_id").agg(F.count_if("kept").alias("n"), F.count("*").alias("all")).where("n > 1 or n = 1 and all > 1")
     nulls = marked.where("doc_id is null")
     again = scratch.cut(left.select("doc_id").union(nulls.select("doc_id").limit(1)), "again")
     rest = common.without(docs, gone, "doc_id")
     if again.isEmpty():
         return rest
-    # Repeated ids, or none: these few rows are settled one by one through their digest.
+    # Repeated ids with a kept row, or none: these few rows are settled one by one through their digest.
     listed = again.where("doc_id is not null")
     norm = F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
     some = docs.join(listed, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

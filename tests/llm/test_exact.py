@@ -48,6 +48,13 @@ def test_stage_keeps_one_row_of_each_text(docs, rows):
     assert (13, [r[1] for r in rows if r[0] == 13][0]) in kept and 9 not in [i for i, _ in kept]
 
 
+def test_repeated_ids_with_other_texts_lose_no_text(spark):
+    rows = [(1, "x"), (1, "y"), (2, "y"), (3, "z"), (3, "Z"), (3, "w"), (4, "w"), (5, "only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted((r.doc_id, r.text.lower()) for r in quotient.exact_dedup(docs).collect())
+    assert got == [(1, "x"), (2, "y"), (3, "z"), (4, "w"), (5, "only")]
+
+
 def test_empty(no_docs):
     assert quotient.exact_groups(no_docs).collect() == []
     assert quotient.exact_dedup(no_docs).collect() == []
