@@ -106,6 +106,24 @@ def parse(page: str) -> tuple[list, list[Block]]:
                 return False
         return False
 
+    def marked(tag: str) -> int | None:
+        """Place of the innermost open inline element of that tag on the stack (only marked ones are there); p ends with it, other blocks hold it open."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] == tag:
+                return k
+            if stack[k][0] not in INLINE and stack[k][0] != "p":
+                return None
+        return None
+
+    def close_inline(tag: str) -> None:
+        k = marked(tag)
+        if k is not None and nested.get(k):
+            nested[k] -= 1
+        elif k is not None:
+            flush()
+            del stack[k:]
+
+    nested: dict[int, int] = {}  # by place on the stack: plain inline elements of the same tag open inside a marked one
     at = 0
     while at < len(page):
         m = TAG.search(page, at)
@@ -123,7 +141,9 @@ def parse(page: str) -> tuple[list, list[Block]]:
         if end:
             if tag == "a":
                 in_link = 0
-            if tag not in INLINE and tag != "br":
+            if tag in INLINE:
+                close_inline(tag)
+            elif tag != "br":
                 if tag == "p" and not any(t == "p" for t, _ in stack):
                     flush()
                 else:
@@ -142,14 +162,18 @@ def parse(page: str) -> tuple[list, list[Block]]:
                 flush()
             continue
         if tag == "a":
+            close_inline("a")  # links do not nest
             in_link = 1
         if tag in INLINE:
             words = label_of(tag, m.group(3))
             if not words.startswith("!"):
+                if (k := marked(tag)) is not None:
+                    nested[k] = nested.get(k, 0) + 1
                 continue
             # an inline element that marks an advert or the like is cut out as a block of its own
             flush()
             stack[-1][1][1].append(node := [words, []])
+            nested[len(stack)] = 0
             stack.append((tag, node))
             continue
         flush()

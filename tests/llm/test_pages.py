@@ -92,3 +92,13 @@ def test_alignment_finds_optional_and_repeated_groups():
     both = wrappers.merge(a, b)
     assert wrappers.regex(both) == '<div> <h1> "same" </h1> (<ul> (<li> #PCDATA </li>)+ </ul>)? <p> #PCDATA </p> (<table> <tr> <td> #PCDATA </td> </tr> </table>)? </div>'
     assert wrappers.regex(wrappers.merge(b, a)).count("?") == 2
+
+
+def test_text_after_marked_inline_elements():
+    text = lambda page: wrappers.article_text(page, None)
+    assert text('<p>Text <span class="ad">x</span> rest</p>') == "Text\nrest"
+    assert text('<p>Text <span class="ad">x <span>y</span> z</span> rest <span>more</span></p>') == "Text\nrest more"
+    assert text('<div class="article"><span class="share">s</span><p>One</p><p>Two</p></div>') == "One\nTwo"
+    assert text('<body><a class="skip-link" href="#m">Skip</a><div><p>One</p><p>Two</p></div>') == "One\nTwo"
+    assert text('<div><p>One <span class="ad">x</p><p>Two</p></div>') == "One\nTwo"
+    assert text('<div><a class="share">s <a href="x">Link</a> and much more text after it</div>') == "Link and much more text after it"
