@@ -1,6 +1,7 @@
 """Main-text extraction with inferred wrappers.
 
-The wrapper of a host is a union-free regular expression over its pages' block tags: a tree whose
+The wrapper of a host (one for its pages with an element that says it holds the article, one for the
+others) is a union-free regular expression over its pages' block tags: a tree whose
 items are tags and text slots, each once, optional (?), repeated (+) or both (*). A page is first folded:
 neighbouring blocks of one kind become a repeated group whose bodies are aligned with each other. Then its
 children are aligned with the wrapper's by longest common subsequence: what both have is merged, what one
@@ -281,6 +282,23 @@ def regex(x: list) -> str:
     return inner if not tag else f"(<{tag}> {inner} </{tag}>){mark}" if mark else f"<{tag}> {inner} </{tag}>"
 
 
+def article(path: tuple[str, ...]) -> int:
+    """Depth of the outermost element that says it holds the article; 0 if none does."""
+    for tags in (("article",), ("main",)):
+        for k, w in enumerate(path):
+            if w.split(".")[0] in tags:
+                return k + 1
+    for k, w in enumerate(path):
+        if MAIN_WORDS & set(w.split(".")[1:]) and w.split(".")[0] not in ("html", "body"):
+            return k + 1
+    return 0
+
+
+def layout(blocks: list[Block]) -> int:
+    """1 for a page with an element that says it holds the article and has text there that is no link, 0 for others."""
+    return int(any(b.links < len(b.text) and article(b.path) and not any(w.startswith("!") for w in b.path) for b in blocks))
+
+
 def rules(wrapper: list) -> dict:
     """What to take from pages of a wrapper: the paths of the article's slots, and template texts to leave out there."""
     slots: list[tuple[tuple[str, ...], list, int]] = []
@@ -295,22 +313,11 @@ def rules(wrapper: list) -> dict:
     walk(wrapper, ())
     good = [(p, s) for p, s, _ in slots if not any(w.startswith("!") for w in p)]
 
-    def article(path: tuple[str, ...]) -> int:
-        """Depth of the outermost element that says it holds the article; 0 if none does."""
-        for tags in (("article",), ("main",)):
-            for k, w in enumerate(path):
-                if w.split(".")[0] in tags:
-                    return k + 1
-        for k, w in enumerate(path):
-            if MAIN_WORDS & set(w.split(".")[1:]) and w.split(".")[0] not in ("html", "body"):
-                return k + 1
-        return 0
-
     weight: dict[tuple[str, ...], int] = {}
     for p, s in good:
         if k := article(p):
             weight[p[:k]] = weight.get(p[:k], 0) + s[3][0] - s[3][1]
-    if weight:
+    if any(w > 0 for w in weight.values()):
         keep = [p for p, _ in good if article(p) and weight[p[:article(p)]] > 0]
     else:
         # no element says so: go down from the root while one child holds nearly all text that is no link
@@ -335,19 +342,18 @@ def rules(wrapper: list) -> dict:
     return {"keep": sorted({"/".join(p) for p in keep}), "fixed": sorted("/".join(p) + "\n" + t for p, t in fixed) if varies else []}
 
 
-def article_text(page: str, rule: dict | None) -> str:
-    """Blocks of the page that its host's rules take, joined by line ends."""
-    _, blocks = parse(page)
-    if rule is None:
-        root, _ = parse(page)
-        rule = rules([*item(root)])
+def article_text(page: str, known: dict[str, dict] | None) -> str:
+    """Blocks of the page that the rules of its host's layout take, joined by line ends.
+
+    A page without any of the rules' slots is built in another way: its own wrapper says what to take.
+    """
+    root, blocks = parse(page)
+    rule = known.get(str(layout(blocks))) if known else None
+    paths = ["/".join(b.path) for b in blocks]
+    if rule is None or not any(path in rule["keep"] for path in paths):
+        rule = rules(item(root))
     keep, fixed = rule["keep"], rule["fixed"]
-    out = []
-    for b in blocks:
-        path = "/".join(b.path)
-        if path in keep and (not fixed or f"{path}\n{b.text}" not in fixed):
-            out.append(b.text)
-    return "\n".join(out)
+    return "\n".join(b.text for path, b in zip(paths, blocks) if path in keep and (not fixed or f"{path}\n{b.text}" not in fixed))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[str]:
@@ -358,16 +364,19 @@ HELD_HOSTS = 2000
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One wrapper for each host of the task."""
-    held: dict[str, list] = {}
+    """One wrapper for each host and layout of the task."""
+    held: dict[tuple[str, int], list] = {}
 
     def emit():
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], names=["host", "wrapper"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([h for h, _ in held], pa.string()), pa.array([k for _, k in held], pa.int32()), pa.array([json.dumps(w) for w in held.values()], pa.string())],
+            names=["host", "layout", "wrapper"])
 
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), _texts(batch)):
-            own = item(parse(page)[0])
-            held[host] = merge(held[host], own) if host in held else own
+            root, blocks = parse(page)
+            own, key = item(root), (host, layout(blocks))
+            held[key] = merge(held[key], own) if key in held else own
             if len(held) > HELD_HOSTS:
                 yield emit()
                 held = {}
@@ -383,15 +392,15 @@ def _merge_all(table: pa.Table) -> list:
 
 
 def _merge_some(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(_merge_all(table))]})
+    return pa.table({"host": [key[0].as_py()], "layout": pa.array([key[1].as_py()], pa.int32()), "wrapper": [json.dumps(_merge_all(table))]})
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON): the wrapper of each host, from all its pages (host, html)."""
-    schema = "host string, wrapper string"
+    """(host, layout, wrapper as JSON): the wrapper of each layout of a host, from all its pages (host, html)."""
+    schema = "host string, layout int, wrapper string"
     some = pages.select("host", "html").mapInArrow(_infer, schema).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(64)))
-    part = some.groupBy("host", "salt").applyInArrow(_merge_some, schema)
-    return part.groupBy("host").applyInArrow(_merge_some, schema)
+    part = some.groupBy("host", "layout", "salt").applyInArrow(_merge_some, schema)
+    return part.groupBy("host", "layout").applyInArrow(_merge_some, schema)
 
 
 @F.pandas_udf(T.StringType())
@@ -407,26 +416,29 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for raw, page in zip(batch.column("rules").to_pylist(), _texts(batch)):
-            rule = known.get(raw)
-            if rule is None and raw is not None:
+            both = known.get(raw)
+            if both is None and raw is not None:
                 got = json.loads(raw)
                 if len(known) > HELD_HOSTS:
                     known.clear()
-                rule = known[raw] = {k: frozenset(v) for k, v in got.items()}
-            texts.append(article_text(page, rule))
+                both = known[raw] = {kind: {k: frozenset(v) for k, v in json.loads(rule).items()} for kind, rule in got.items()}
+            texts.append(article_text(page, both))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url").cast(pa.string()), pa.array(texts, pa.string())], schema=EXTRACT_ROW)
 
 
 def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
-    The host is what stands after ``://`` in the URL; pages without one share the host ''. Null html is empty. A page
+    The host is what stands after ``://`` in the URL; pages without one share the host ''. A host has a wrapper for its pages
+    with an element that says it holds the article, and one for those without. Null html is empty. A page
     whose blocks are all left out has an empty text.
     """
     scratch = scratch or Scratch(pages.sparkSession, "wrappers")
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    known = scratch.cut(infer(rows).select("host", _rules("wrapper").alias("rules")), "rules")
+    known = infer(rows).select("host", F.col("layout").cast("string").alias("layout"), _rules("wrapper").alias("rules"))
+    known = known.groupBy("host").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("layout", "rules")))).alias("rules"))  # two layouts at most
+    known = scratch.cut(known, "rules")
     few = known.limit(20_001).count() <= 20_000  # rules of a host are some kilobytes
     read = rows.join(F.broadcast(known) if few else known, "host", "left").select("page_id", "url", "html", "rules")
     return read.mapInArrow(_extract, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))

@@ -102,3 +102,23 @@ def test_text_after_marked_inline_elements():
     assert text('<body><a class="skip-link" href="#m">Skip</a><div><p>One</p><p>Two</p></div>') == "One\nTwo"
     assert text('<div><p>One <span class="ad">x</p><p>Two</p></div>') == "One\nTwo"
     assert text('<div><a class="share">s <a href="x">Link</a> and much more text after it</div>') == "Link and much more text after it"
+
+
+def test_hosts_of_mixed_layouts_lose_no_page(spark):
+    """Pages with an article element, pages without one, and one built like no other, on one host and without a URL."""
+    def page(i):
+        if i == 5:
+            return "<table><tr><td>Lone %d words in a table</td></tr></table>" % i
+        if i % 2:
+            return f'<div id="wrap"><div class="text"><h1>Title {i}</h1><p>Body {i} of the other layout, rather long</p></div><ul class="nav"><li>n</li></ul></div>'
+        return f'<nav><a>Home</a></nav><article><h1>Title {i}</h1><p>Body {i} of the first layout</p></article>'
+
+    rows = [(i + 100 * k, url, page(i)) for k, url in enumerate(("http://h.org/x", None)) for i in range(12)]
+    # a list of links that looks like an article is no article
+    rows += [(300 + i, "http://l.org/", f'<div class="post"><a href="x">Other {i}</a></div><div class="b"><p>Text {i} itself</p></div>') for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    for i in range(12):
+        want = "Lone 5 words in a table" if i == 5 else f"Title {i}\nBody {i} of the " + ("other layout, rather long" if i % 2 else "first layout")
+        assert got[i] == got[100 + i] == want
+    assert [got[300 + i] for i in range(3)] == [f"Text {i} itself" for i in range(3)]
