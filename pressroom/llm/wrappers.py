@@ -53,7 +53,7 @@ BLANK = re.compile(r"\s+")
 
 
 def label_of(tag: str, attributes: str) -> str:
-    """Tag and the words of its class, id and role, without numbers; ``!`` marks what is no article text."""
+    """Tag and the first six words of its class, id and role, without numbers, and those that say it holds the article; ``!`` marks what is no article text."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         words = []
     else:
@@ -66,7 +66,7 @@ def label_of(tag: str, attributes: str) -> str:
                 words += WORD.findall(value)
     words = sorted(set(words))
     bad = tag in NOT_TEXT or any(w in NOT_WORDS for w in words) and tag not in ("html", "body")
-    return ("!" if bad else "") + tag + ("." + ".".join(words[:6]) if words else "")
+    return ("!" if bad else "") + tag + ("." + ".".join(words[:6] + [w for w in words[6:] if w in MAIN_WORDS]) if words else "")
 
 
 class Block:

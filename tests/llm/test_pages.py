@@ -122,3 +122,11 @@ def test_hosts_of_mixed_layouts_lose_no_page(spark):
         want = "Lone 5 words in a table" if i == 5 else f"Title {i}\nBody {i} of the " + ("other layout, rather long" if i % 2 else "first layout")
         assert got[i] == got[100 + i] == want
     assert [got[300 + i] for i in range(3)] == [f"Text {i} itself" for i in range(3)]
+
+
+def test_article_words_behind_many_classes():
+    """The list of teasers has an article word too, so the container's must be seen."""
+    page = ('<div class="bg-white col-md-8 flex mb-4 relative story"><p>The article itself</p></div>'
+            '<div class="post"><p>A teaser</p></div>')
+    assert wrappers.label_of("div", ' class="bg-white col-md-8 flex mb-4 relative story"').endswith(".story")
+    assert wrappers.article_text(page, None).startswith("The article itself")
