@@ -8,8 +8,11 @@ benchmark item. A second template keeps capitalised words as words, for copies
 whose case was changed. Windows need LEAST_WORDS words that are no placeholder.
 
 Of the matches of a document and an item, the slots must be consistent: each value of
-the item stands for one value of the document. A document is reported for an item when enough of
-the item's windows match and its slots are consistent.
+the item stands for one value of the document. A document may hold an item more than once, with
+other values each time, so this is asked of three kinds of alignments: windows at one distance from their
+place in the item, windows that follow each other in the order of the item, and each window's first place in the
+document. A document is reported for an item when in one of them enough of the item's windows match and
+their slots are consistent; the figures are those of the best one.
 
 Documents are read once. A bitmap of the benchmark's window hashes (fixed 8 MB) lets a
 task emit only windows that may match; the exact hash join follows.
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..runtime import Scratch
 from . import common
@@ -108,13 +111,13 @@ def windows(codes: np.ndarray, word: np.ndarray, doc: np.ndarray, n_docs: int, w
 
 
 def _emit(batches: Iterator[pa.RecordBatch], key: str, widths: list[int], held: np.ndarray | None, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, mark, pos, slots, n): windows of the batches; ``held``: only those that hit this bitmap.
+    """Rows (key, row, mark, pos, home, slots, n): windows of the batches; ``held``: only those that hit this bitmap.
 
-    ``whole``: each text's own width, which is WINDOW or its number of tokens if smaller.
+    ``home``: the first place of an equal window in the text. ``whole``: each text's own width, which is WINDOW or its number of tokens if smaller.
     """
     for batch in batches:
         data, at = common.flat(batch.column("text"))
-        ids = batch.column(key)
+        ids, numbers = batch.column(key), batch.column("row")
         for i, j in common.pieces(at):
             part, borders = data[at[i]:at[j]], at[i:j + 1] - at[i]
             word, named, plain, doc = template(part, borders)
@@ -136,17 +139,21 @@ def _emit(batches: Iterator[pa.RecordBatch], key: str, widths: list[int], held:
             marks = np.concatenate([r[0] for r in rows])
             spot = np.concatenate([r[1] for r in rows])
             width = np.concatenate([np.full(len(r[0]), r[2]) for r in rows])
-            # each hash once per document, at its first place
+            # each hash once at every place
             order = np.lexsort((spot, marks, doc[spot]))
             marks, spot, width = marks[order], spot[order], width[order]
-            new = np.ones(len(marks), bool)
-            new[1:] = (marks[1:] != marks[:-1]) | (doc[spot[1:]] != doc[spot[:-1]])
-            marks, spot, width = marks[new], spot[new], width[new]
+            first_one = np.ones(len(marks), bool)
+            first_one[1:] = (marks[1:] != marks[:-1]) | (doc[spot[1:]] != doc[spot[:-1]])
+            home = spot[np.maximum.accumulate(np.where(first_one, np.arange(len(marks)), 0))]
+            new = first_one.copy()
+            new[1:] |= spot[1:] != spot[:-1]
+            marks, spot, width, home = marks[new], spot[new], width[new], home[new]
             slots = [[int(x) if named[p + k] != word[p + k] else None for k, x in enumerate(word[p:p + w].view(np.int64).tolist())] for p, w in zip(spot, width)]
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(doc[spot] + i)), pa.array(marks.view(np.int64)), pa.array((spot - first[doc[spot]]).astype(np.int32)),
+                [ids.take(pa.array(doc[spot] + i)), numbers.take(pa.array(doc[spot] + i)), pa.array(marks.view(np.int64)),
+                 pa.array((spot - first[doc[spot]]).astype(np.int32)), pa.array((home - first[doc[spot]]).astype(np.int32)),
                  pa.array(slots, pa.list_(pa.int64())), pa.array((first[doc[spot] + 1] - first[doc[spot]]).astype(np.int64))],
-                names=[key, "mark", "pos", "slots", "n"],
+                names=[key, "row", "mark", "pos", "home", "slots", "n"],
             )
 
 
@@ -160,27 +167,42 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None)
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "leaks")
-    schema = "{} long, mark long, pos int, slots array<long>, n long"
-    items = scratch.cut(benchmark.select("item_id", "text").mapInArrow(
+    schema = "{} long, row long, mark long, pos int, home int, slots array<long>, n long"
+    numbered = F.monotonically_increasing_id().alias("row")
+    items = scratch.cut(benchmark.select("item_id", numbered, "text").mapInArrow(
         lambda b: _emit(b, "item_id", list(range(1, WINDOW + 1)), None, True), schema.format("item_id")), "items")
     shared = spark.sparkContext.broadcast(common.bitmap(items))
     widths = sorted(r[0] for r in items.select(F.size("slots")).distinct().collect())  # at most WINDOW values
-    found = docs.select("doc_id", "text").mapInArrow(lambda b: _emit(b, "doc_id", widths, shared.value, False), schema.format("doc_id"))
-    sizes = items.groupBy("item_id").agg(F.countDistinct("pos").alias("item_windows"))
-    found = scratch.cut(found, "found").withColumnsRenamed({"pos": "doc_pos", "slots": "doc_slots"}).drop("n")
-    pairs = found.join(items.drop("n"), "mark").select(
-        "doc_id", "item_id", "pos",
+    found = docs.select("doc_id", numbered, "text").mapInArrow(lambda b: _emit(b, "doc_id", widths, shared.value, False), schema.format("doc_id"))
+    sizes = items.groupBy("item_id").agg(F.countDistinct("home").alias("item_windows"))
+    found = scratch.cut(found, "found").withColumnsRenamed({"pos": "doc_pos", "home": "doc_home", "slots": "doc_slots"}).drop("n")
+    pairs = found.join(items.drop("n", "row"), "mark").select(
+        "doc_id", "row", "item_id", "pos", "home", "doc_pos", (F.col("pos") == F.col("home")).alias("main"), (F.col("doc_pos") == F.col("doc_home")).alias("first"),
         F.expr("filter(arrays_zip(slots, doc_slots), x -> x.slots is not null and x.doc_slots is not null)").alias("slots"),
     )
-    seen = pairs.groupBy("doc_id", "item_id").agg(
-        F.countDistinct("pos").alias("matched_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    # a run goes on while later places are later in the item
+    run = Window.partitionBy("row", "item_id", "main").orderBy("doc_pos", "pos")
+    pairs = pairs.withColumn("back", (F.col("pos") < F.lag("pos").over(run)).cast("int"))
+    pairs = pairs.withColumn("run", F.sum(F.coalesce("back", F.lit(0))).over(run.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+
+    def among(kind: int, row, at) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), row.alias("row"), at.alias("at"))
+
+    # rows that repeat a doc_id count as one document: the first places are those of all its rows
+    alignments = F.array_compact(F.array(
+        F.when(F.col("main") & F.col("first"), among(0, F.lit(0).cast("long"), F.lit(0))), among(1, F.col("row"), F.col("doc_pos") - F.col("pos")),
+        F.when(F.col("main"), among(2, F.col("row"), F.col("run")))))
+    seen = pairs.select("doc_id", "item_id", "home", "slots", F.explode(alignments).alias("alignment")).groupBy("doc_id", "item_id", "alignment").agg(
+        F.size(F.collect_set("home")).cast("long").alias("matched_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     seen = seen.join(F.broadcast(sizes) if sizes.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS else sizes, "item_id")
     seen = seen.withColumn("values", F.expr("size(array_distinct(slots.slots))")).withColumn(
         "slot_consistency", F.when(F.col("values") == 0, 1.0).otherwise(F.col("values") / F.size("slots")))
     enough = F.greatest(F.lit(1), F.least(F.lit(ENOUGH_WINDOWS), F.ceil(F.col("item_windows") / 2)))
-    return seen.where((F.col("matched_windows") >= enough) & (F.col("slot_consistency") >= CONSISTENT)).select(
-        "doc_id", "item_id", "matched_windows", "item_windows", (F.col("matched_windows") / F.col("item_windows")).alias("coverage"), "slot_consistency",
-        F.expr("forall(slots, x -> x.slots = x.doc_slots)").alias("verbatim"),
+    seen = seen.where((F.col("matched_windows") >= enough) & (F.col("slot_consistency") >= CONSISTENT))
+    best = F.max(F.struct("matched_windows", "slot_consistency", F.expr("forall(slots, x -> x.slots = x.doc_slots)").alias("verbatim"), "item_windows")).alias("best")
+    return seen.groupBy("doc_id", "item_id").agg(best).select(
+        "doc_id", "item_id", "best.matched_windows", "best.item_windows", (F.col("best.matched_windows") / F.col("best.item_windows")).alias("coverage"),
+        "best.slot_consistency", "best.verbatim",
     )
 
 

@@ -35,3 +35,15 @@ def test_inconsistent_slots_do_not_count(spark):
     docs = spark.createDataFrame([(1, item), (2, other)], "doc_id long, text string")
     got = templates.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert [r.doc_id for r in got] == [1]
+
+
+def test_copies_with_other_values_in_one_document(spark):
+    """An earlier passage with the item's template does not hide a later copy."""
+    names = iter(["Ann", "Eve", "Joe", "Tim", "Kim"])
+    bob = " ".join(f"then Bob met the old {w} again" for w in "baker miller tailor smith cooper".split())
+    mixed = " ".join(x if x != "Bob" else next(names) for x in bob.split())
+    filler = "Rain fell on the hills for many weeks and the small streams were full of brown water. "
+    docs = spark.createDataFrame([(1, other_numbers(ITEM) + " " + filler + ITEM), (2, other_numbers(ITEM) + " " + ITEM + " " + other_numbers(ITEM)), (3, mixed + " " + filler + bob), (4, mixed)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in templates.leaks(docs, spark.createDataFrame([(1, ITEM), (2, bob)], "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2)}
+    assert all(r.slot_consistency == 1 and r.coverage == 1 and r.verbatim for r in got.values())
