@@ -5,7 +5,8 @@ commas). Numbers, units after a number, and capitalised words become typed
 placeholders; the rest is lower-cased. Windows of WINDOW tokens of this template
 meet by hash join, so a question with other numbers, units or names still meets its
 benchmark item. A second template keeps capitalised words as words, for copies
-whose case was changed. Windows need LEAST_WORDS words that are no placeholder.
+whose case was changed. Windows need LEAST_WORDS words that are no placeholder; those with fewer,
+but at least one, meet by their very tokens instead, so short arithmetic items are found verbatim.
 
 Of the matches of a document and an item, the slots must be consistent: each value of
 the item stands for one value of the document. A document may hold an item more than once, with
@@ -96,22 +97,29 @@ def template(data: np.ndarray, at: np.ndarray):
     return word, np.where(name & ~unit, NAME, plain), plain, doc
 
 
-def windows(codes: np.ndarray, word: np.ndarray, doc: np.ndarray, n_docs: int, width: int):
-    """Hash and first token of each window of ``width`` tokens with enough words that are no placeholder."""
+def windows(codes: np.ndarray, word: np.ndarray, doc: np.ndarray, n_docs: int, width: int, exact: bool = False):
+    """Hash and first token of each window of ``width`` tokens with enough words that are no placeholder.
+
+    ``exact``: of those with fewer but at least one, hashed by their tokens.
+    """
     total = len(codes)
     if total < width:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     out = np.zeros(total - width + 1, np.uint64)
+    hashed = word if exact else codes
     for k in range(width):
-        out = out * common._MIX[33] + codes[k:total - width + 1 + k] * common._MIX[k]
+        out = out * common._MIX[33] + hashed[k:total - width + 1 + k] * common._MIX[k]
     literal = np.concatenate([[0], np.cumsum(codes == word)])
-    enough = literal[width:] - literal[:-width] >= min(LEAST_WORDS, (width + 1) // 2)
+    literal = literal[width:] - literal[:-width]
+    enough = literal >= min(LEAST_WORDS, (width + 1) // 2)
+    if exact:
+        enough = ~enough & (literal > 0)
     spot = np.flatnonzero(enough & (doc[width - 1:] == doc[:total - width + 1]))
-    return common.mixed(out[spot] + np.uint64(width)), spot
+    return common.mixed(out[spot] + np.uint64(width + (WINDOW + 1) * exact)), spot
 
 
 def _emit(batches: Iterator[pa.RecordBatch], key: str, widths: list[int], held: np.ndarray | None, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, row, mark, pos, home, slots, n): windows of the batches; ``held``: only those that hit this bitmap.
+    """Rows (key, row, mark, pos, home, exact, slots, n): windows of the batches; ``held``: only those that hit this bitmap.
 
     ``home``: the first place of an equal window in the text. ``whole``: each text's own width, which is WINDOW or its number of tokens if smaller.
     """
@@ -122,10 +130,10 @@ def _emit(batches: Iterator[pa.RecordBatch], key: str, widths: list[int], held:
             part, borders = data[at[i]:at[j]], at[i:j + 1] - at[i]
             word, named, plain, doc = template(part, borders)
             first = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=j - i))])
-            rows: list[tuple[np.ndarray, np.ndarray, int]] = []
+            rows: list[tuple[np.ndarray, np.ndarray, int, bool]] = []
             for width in widths:
-                for codes in (named, plain):
-                    marks, spot = windows(codes, word, doc, j - i, width)
+                for codes, exact in ((named, False), (plain, False), (plain, True)):
+                    marks, spot = windows(codes, word, doc, j - i, width, exact)
                     if whole and len(spot):
                         fits = np.minimum(WINDOW, first[doc[spot] + 1] - first[doc[spot]]) == width
                         marks, spot = marks[fits], spot[fits]
@@ -133,27 +141,27 @@ def _emit(batches: Iterator[pa.RecordBatch], key: str, widths: list[int], held:
                         keep = common.hits(marks, held)
                         marks, spot = marks[keep], spot[keep]
                     if len(marks):
-                        rows.append((marks, spot, width))
+                        rows.append((marks, spot, width, exact))
             if not rows:
                 continue
             marks = np.concatenate([r[0] for r in rows])
             spot = np.concatenate([r[1] for r in rows])
-            width = np.concatenate([np.full(len(r[0]), r[2]) for r in rows])
+            width, exact = (np.concatenate([np.full(len(r[0]), r[c]) for r in rows]) for c in (2, 3))
             # each hash once at every place
             order = np.lexsort((spot, marks, doc[spot]))
-            marks, spot, width = marks[order], spot[order], width[order]
+            marks, spot, width, exact = marks[order], spot[order], width[order], exact[order]
             first_one = np.ones(len(marks), bool)
             first_one[1:] = (marks[1:] != marks[:-1]) | (doc[spot[1:]] != doc[spot[:-1]])
             home = spot[np.maximum.accumulate(np.where(first_one, np.arange(len(marks)), 0))]
             new = first_one.copy()
             new[1:] |= spot[1:] != spot[:-1]
-            marks, spot, width, home = marks[new], spot[new], width[new], home[new]
+            marks, spot, width, exact, home = marks[new], spot[new], width[new], exact[new], home[new]
             slots = [[int(x) if named[p + k] != word[p + k] else None for k, x in enumerate(word[p:p + w].view(np.int64).tolist())] for p, w in zip(spot, width)]
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(doc[spot] + i)), numbers.take(pa.array(doc[spot] + i)), pa.array(marks.view(np.int64)),
                  pa.array((spot - first[doc[spot]]).astype(np.int32)), pa.array((home - first[doc[spot]]).astype(np.int32)),
-                 pa.array(slots, pa.list_(pa.int64())), pa.array((first[doc[spot] + 1] - first[doc[spot]]).astype(np.int64))],
-                names=[key, "row", "mark", "pos", "home", "slots", "n"],
+                 pa.array(exact), pa.array(slots, pa.list_(pa.int64())), pa.array((first[doc[spot] + 1] - first[doc[spot]]).astype(np.int64))],
+                names=[key, "row", "mark", "pos", "home", "exact", "slots", "n"],
             )
 
 
@@ -161,23 +169,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None)
     """Pairs of document (doc_id, text) and benchmark item (item_id, text) that share the item's template.
 
     Columns: doc_id, item_id, matched_windows, item_windows, coverage, slot_consistency, verbatim (all slot
-    values equal). Enough windows: ENOUGH_WINDOWS or half of the item's, if that is less. Null or empty
+    values equal). Enough windows: ENOUGH_WINDOWS or half of the item's, if that is less, of all or of
+    those of its template. Windows of numbers and units alone match nothing. Null or empty
     texts on either side match nothing; items with fewer than WINDOW tokens are one window. Rows
     that repeat a doc_id (or a null one) count as one document.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "leaks")
-    schema = "{} long, row long, mark long, pos int, home int, slots array<long>, n long"
+    schema = "{} long, row long, mark long, pos int, home int, exact boolean, slots array<long>, n long"
     numbered = F.monotonically_increasing_id().alias("row")
     items = scratch.cut(benchmark.select("item_id", numbered, "text").mapInArrow(
         lambda b: _emit(b, "item_id", list(range(1, WINDOW + 1)), None, True), schema.format("item_id")), "items")
     shared = spark.sparkContext.broadcast(common.bitmap(items))
     widths = sorted(r[0] for r in items.select(F.size("slots")).distinct().collect())  # at most WINDOW values
     found = docs.select("doc_id", numbered, "text").mapInArrow(lambda b: _emit(b, "doc_id", widths, shared.value, False), schema.format("doc_id"))
-    sizes = items.groupBy("item_id").agg(F.countDistinct("home").alias("item_windows"))
-    found = scratch.cut(found, "found").withColumnsRenamed({"pos": "doc_pos", "home": "doc_home", "slots": "doc_slots"}).drop("n")
+    sizes = items.groupBy("item_id").agg(F.countDistinct("home").alias("item_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("home"))).alias("item_templates"))
+    found = scratch.cut(found, "found").withColumnsRenamed({"pos": "doc_pos", "home": "doc_home", "slots": "doc_slots"}).drop("n", "exact")
     pairs = found.join(items.drop("n", "row"), "mark").select(
-        "doc_id", "row", "item_id", "pos", "home", "doc_pos", (F.col("pos") == F.col("home")).alias("main"), (F.col("doc_pos") == F.col("doc_home")).alias("first"),
+        "doc_id", "row", "item_id", "pos", "home", "exact", "doc_pos", (F.col("pos") == F.col("home")).alias("main"), (F.col("doc_pos") == F.col("doc_home")).alias("first"),
         F.expr("filter(arrays_zip(slots, doc_slots), x -> x.slots is not null and x.doc_slots is not null)").alias("slots"),
     )
     # a run goes on while later places are later in the item
@@ -192,13 +201,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None)
     alignments = F.array_compact(F.array(
         F.when(F.col("main") & F.col("first"), among(0, F.lit(0).cast("long"), F.lit(0))), among(1, F.col("row"), F.col("doc_pos") - F.col("pos")),
         F.when(F.col("main"), among(2, F.col("row"), F.col("run")))))
-    seen = pairs.select("doc_id", "item_id", "home", "slots", F.explode(alignments).alias("alignment")).groupBy("doc_id", "item_id", "alignment").agg(
-        F.size(F.collect_set("home")).cast("long").alias("matched_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    seen = pairs.select("doc_id", "item_id", "home", "exact", "slots", F.explode(alignments).alias("alignment")).groupBy("doc_id", "item_id", "alignment").agg(
+        F.size(F.collect_set("home")).cast("long").alias("matched_windows"), F.size(F.collect_set(F.when(~F.col("exact"), F.col("home")))).alias("matched_templates"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     seen = seen.join(F.broadcast(sizes) if sizes.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS else sizes, "item_id")
     seen = seen.withColumn("values", F.expr("size(array_distinct(slots.slots))")).withColumn(
         "slot_consistency", F.when(F.col("values") == 0, 1.0).otherwise(F.col("values") / F.size("slots")))
-    enough = F.greatest(F.lit(1), F.least(F.lit(ENOUGH_WINDOWS), F.ceil(F.col("item_windows") / 2)))
-    seen = seen.where((F.col("matched_windows") >= enough) & (F.col("slot_consistency") >= CONSISTENT))
+
+    def enough(windows: str) -> Column:
+        return F.greatest(F.lit(1), F.least(F.lit(ENOUGH_WINDOWS), F.ceil(F.col(windows) / 2)))
+
+    # a copy with other values has none of the windows that meet by their tokens: those of the template are enough
+    matched = (F.col("matched_windows") >= enough("item_windows")) | (F.col("matched_templates") >= enough("item_templates"))
+    seen = seen.where(matched & (F.col("slot_consistency") >= CONSISTENT))
     best = F.max(F.struct("matched_windows", "slot_consistency", F.expr("forall(slots, x -> x.slots = x.doc_slots)").alias("verbatim"), "item_windows")).alias("best")
     return seen.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "best.matched_windows", "best.item_windows", (F.col("best.matched_windows") / F.col("best.item_windows")).alias("coverage"),

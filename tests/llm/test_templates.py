@@ -47,3 +47,12 @@ def test_copies_with_other_values_in_one_document(spark):
     got = {(r.doc_id, r.item_id): r for r in templates.leaks(docs, spark.createDataFrame([(1, ITEM), (2, bob)], "item_id long, text string")).collect()}
     assert set(got) == {(1, 1), (2, 1), (3, 2)}
     assert all(r.slot_consistency == 1 and r.coverage == 1 and r.verbatim for r in got.values())
+
+
+def test_items_with_few_words_match_verbatim(spark):
+    """Too few words for a template: the very tokens count, and only they."""
+    sums, terms = "What is 12 + 30 - 7 + 9 * 4 / 2?", "Solve 3 x 2 + 5 x 7 = 0"
+    filler = "Rain fell on the hills for many weeks. "
+    docs = spark.createDataFrame([(1, filler + sums + " " + filler), (2, filler + terms), (3, filler + sums.replace("30", "31")), (4, filler)], "doc_id long, text string")
+    got = templates.leaks(docs, spark.createDataFrame([(1, sums), (2, terms)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.verbatim) for r in got} == {(1, 1, True), (2, 2, True)}
