@@ -72,4 +72,19 @@ def _op8() -> str:
         from numbered join batches using (bucket)"""
 
 
-ORACLE: dict[str, str] = {"op2_arc_to_warc": _op2(), "op5_quotient_dedup": _op5(), "op6_url_vocabulary": _op6(), "op8_length_buckets": _op8()}
+def _op13() -> str:
+    blank = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
+    return f"""
+        with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+        l as (select r, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as place from d),
+        k as (select *, {_LOWER.format(f"trim(line, {blank})")} as key from l),
+        held as (select key, min(coalesce(doc_id, 9223372036854775807)) as keep from k where length(key) >= 10
+                 group by key having min(coalesce(doc_id, 9223372036854775807)) != max(coalesce(doc_id, 9223372036854775807))),
+        marked as (select k.*, held.key is not null and keep != coalesce(doc_id, 9223372036854775807) as gone from k left join held on held.key = k.key)
+        select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by place) filter (not gone), '')) as kept_sha256
+        from marked group by r"""
+
+
+ORACLE: dict[str, str] = {"op2_arc_to_warc": _op2(), "op5_quotient_dedup": _op5(), "op6_url_vocabulary": _op6(), "op8_length_buckets": _op8(),
+                          "op13_line_index": _op13()}

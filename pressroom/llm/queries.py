@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import arc, chosen_path, gam, hyperdim, length_buckets, ppm, quotient, templates, url_terms, wrappers
+from . import arc, chosen_path, gam, hyperdim, length_buckets, line_index, ppm, quotient, templates, url_terms, wrappers
 from .common import read, remainder
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -57,7 +57,12 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.quality(read(spark, sf_dir, "documents", "doc_id", "text"), labels, remainder("doc_id", 4) == 2)
 
 
+def op13_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_index.line_dedup(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_template_leaks, op2_arc_to_warc, op3_ppm_score, op4_wrapper_text, op5_quotient_dedup, op6_url_vocabulary,
-                            op7_hyperdimensional_language, op8_length_buckets, op9_chosen_path, op10_quality_gam)
+                            op7_hyperdimensional_language, op8_length_buckets, op9_chosen_path, op10_quality_gam, op13_line_index)
 }
