@@ -244,36 +244,43 @@ def _shard(bits: int) -> Column:
     return F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def line_dedup(docs: DataFrame, least: int = LEAST_POINTS, scratch: Scratch | None = None) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_lines, n_dropped, kept_text.
-
-    A line's key is the line without white space at its ends, A-Z lower-cased. A key of at least ``least`` code points
-    that two doc_ids hold loses all its lines but those of the smallest doc_id. Null and empty texts are one empty line,
-    which stays. Rows that repeat a doc_id are one document: they lose no line to one another. Rows with a null doc_id are
-    one document behind all others. Other columns of ``docs`` are not read.
-    """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "lines")
-    k = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.select("doc_id", "text", k.alias("k"), F.xxhash64("text").alias("t"))
-    held = scratch.cut(rows.select("k", "t", "text").mapInArrow(_lines(least), "k long, t long, h long, g long"), "held")
+def _drops(rows: DataFrame, least: int, work: Scratch, scratch: Scratch):
+    """The broadcast arrays of the most frequent keys, and (k, t, gone) with the other lines that a text loses."""
+    held = work.cut(rows.select("k", "t", "text").mapInArrow(_lines(least), "k long, t long, h long, g long"), "held")
     n = F.when(F.min("k") == F.max("k"), F.lit(1)).otherwise(F.greatest(F.count("*"), F.lit(2))).cast("long")
-    distinct = scratch.cut(held.groupBy("h", "g").agg(n.alias("n"), F.min("k").alias("keep")), "distinct")
+    distinct = work.cut(held.groupBy("h", "g").agg(n.alias("n"), F.min("k").alias("keep")), "distinct")
 
     total, keys = held.count(), distinct.count()
     top = distinct.where(F.col("n") > max(1, total // HEAD_KEYS))
     h, g, counts, keeps = common.arrays(top.select("h", "g", "n", "keep"))
-    head = spark.sparkContext.broadcast(Arrays.build(h.view(np.uint64), g.view(np.uint64), counts, keeps).packed())
+    packed = Arrays.build(h.view(np.uint64), g.view(np.uint64), counts, keeps).packed()
+    head = rows.sparkSession.sparkContext.broadcast(packed)
     bits = (max(1, keys // SHARD_KEYS, total // SHARD_PROBES) - 1).bit_length()
 
     arrays = distinct.select(_shard(bits).alias("shard"), "h", "g", "n", "keep").groupBy("shard").applyInArrow(
         _built, "shard long, " + ", ".join(f"{c} binary" for c in BLOBS))
     probes = held.mapInArrow(_not_in_head(head), held.schema).withColumn("shard", _shard(bits))
-    stream = scratch.cut(arrays, "arrays").unionByName(probes, allowMissingColumns=True)
+    stream = work.cut(arrays, "arrays").unionByName(probes, allowMissingColumns=True)
     stream = stream.repartition("shard").sortWithinPartitions("shard", F.col("words").isNull())
     drops = stream.mapInArrow(_probed, "k long, t long, h long, g long")
     # copies of a row send the same list, so a set stays as small as one text
-    drops = scratch.cut(drops.groupBy("k", "t").agg(F.collect_set(F.struct("h", "g")).alias("gone")), "drops")
+    return head, scratch.cut(drops.groupBy("k", "t").agg(F.collect_set(F.struct("h", "g")).alias("gone")), "drops")
+
+
+def line_dedup(docs: DataFrame, least: int = LEAST_POINTS, scratch: Scratch | None = None) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_lines, n_dropped, kept_text.
+
+    A line's key is the line without white space at its ends, A-Z lower-cased. A key of at least ``least`` code points
+    that two doc_ids hold loses all its lines but those of the smallest doc_id. Null and empty texts are one empty line,
+    which stays. Rows that repeat a doc_id are one document: they lose no line to one another. Rows with a null doc_id are
+    one document behind all others. Other columns of ``docs`` are not read.
+    """
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark, "lines")
+    k = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = docs.select("doc_id", "text", k.alias("k"), F.xxhash64("text").alias("t"))
+    with Scratch(spark, "line-index") as work:
+        head, drops = _drops(rows, least, work, scratch)
 
     # only texts that may lose a line travel to their list; the bitmap has a fixed size
     rows = rows.withColumn("mark", F.xxhash64("k", "t"))
