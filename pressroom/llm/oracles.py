@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import ns_kmeans
 from .length_buckets import BUCKETS, SIGNIFICANT_BITS, TOKEN_BUDGET
 from .queries import RULES
 from .url_terms import SOFT, STRICT, THRESHOLD, UPPER, LOW
@@ -72,6 +73,28 @@ def _op8() -> str:
         from numbered join batches using (bucket)"""
 
 
+def _op11() -> str:
+    steps = []
+    for t in range(ns_kmeans.ROUNDS + 1):
+        pair = "cast(list_sum(list_transform(range(1, 65), lambda i: (q[i] - c[i]) * (q[i] - c[i]))) as bigint)"
+        steps.append(f"""p{t} as materialized (select r, j, {pair} as d from v cross join c{t}),
+        a{t} as materialized (select r, vec_id, q, d, j from (select *, row_number() over (partition by r order by d, j) as k from p{t}) join v using (r) where k = 1)""")
+        if t < ns_kmeans.ROUNDS:
+            steps.append(f"""s{t} as (select j, i, sum(x) as s, count(*) as n from (select j, unnest(q) as x, unnest(range(64)) as i from a{t}) group by j, i),
+        m{t} as (select j, list(cast((s - (s % n + n) % n) // n as bigint) order by i) as c from s{t} group by j),
+        c{t + 1} as materialized (select j, coalesce(m{t}.c, c{t}.c) as c from c{t} left join m{t} using (j))""")
+    return f"""
+        with v as materialized (
+            select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+        c0 as materialized (select row_number() over (order by sha256('{ns_kmeans.SEED}:' || vec_id) nulls last, q) - 1 as j, q as c from v qualify j < {ns_kmeans.CLUSTERS}),
+        {", ".join(steps)},
+        total as (select cast(sum(d) as bigint) as inertia from a{ns_kmeans.ROUNDS}),
+        parts as (select j, cast(sum(d) as bigint) as cluster_inertia from a{ns_kmeans.ROUNDS} group by j)
+        select vec_id, cast(j as integer) as cluster, d as distance, cluster_inertia, inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+        from a{ns_kmeans.ROUNDS} join c{ns_kmeans.ROUNDS} using (j) join parts using (j) cross join total"""
+
+
 def _op13() -> str:
     blank = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
     return f"""
@@ -87,4 +110,4 @@ def _op13() -> str:
 
 
 ORACLE: dict[str, str] = {"op2_arc_to_warc": _op2(), "op5_quotient_dedup": _op5(), "op6_url_vocabulary": _op6(), "op8_length_buckets": _op8(),
-                          "op13_line_index": _op13()}
+                          "op11_ns_kmeans": _op11(), "op13_line_index": _op13()}
