@@ -95,6 +95,34 @@ def _op11() -> str:
         from a{ns_kmeans.ROUNDS} join c{ns_kmeans.ROUNDS} using (j) join parts using (j) cross join total"""
 
 
+def _crc32(number: str) -> str:
+    """crc32 of a number's decimal digits, bit by bit."""
+    steps = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: case when s % 2 = 1 then xor(s // 2, 3988292384) else s // 2 end)"
+    codes = f"list_transform(string_split(cast({number} as varchar), ''), lambda x: cast(ascii(x) as bigint))"
+    return f"xor(list_reduce({codes}, lambda a, b: {steps}, 4294967295), 4294967295)"
+
+
+def _op12() -> str:
+    return f"""
+        with raw as (select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+        named as (select *, md5(length(role) || ':' || role || text) as m, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as w from raw),
+        turns as (select c, row_number() over (partition by c order by turn nulls first, role, m) as i, m, w from named),
+        ids as (select c, {_crc32('c')} % 4 as h from (select distinct c from turns)),
+        rows as (select c, 1 as part, i, m, w from turns join ids using (c) where i > h
+                 union all select ids.c, 0, i, m, w from ids join turns on turns.c = ids.c - ids.c % 20 and i <= h),
+        paths as (select c, row_number() over v as depth, string_agg(m, '') over v as key, w from rows window v as (partition by c order by part, i)
+                  union all select c, 0, '', 0 from ids),
+        nodes as (select key, any_value(depth) as depth, min(c) as owner, count(*) as n, any_value(w) as w from paths group by key),
+        children as (select left(key, length(key) - 32) as key, count(*) as n from nodes where depth > 0 group by 1),
+        subtrees as (select p.key, count(*) filter (children.key is null) as leaves, sum((y.n - 1) * y.w) as saved
+                     from nodes y left join children on children.key = y.key join paths p on p.c = y.owner and p.depth <= y.depth group by p.key),
+        ends as (select key, string_agg(c, ',' order by c) as ids from (select c, max_by(key, depth) as key from paths group by c) group by key)
+        select x.owner as conv_id, cast(x.depth as bigint) as depth, up.owner as parent_conv_id, x.n as n_convs, coalesce(children.n, 0) as n_children,
+               cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(coalesce(ends.ids, '')) as ends_sha256
+        from nodes x left join nodes up on x.depth > 0 and up.key = left(x.key, length(x.key) - 32) left join children on children.key = x.key
+        join subtrees on subtrees.key = x.key left join ends on ends.key = x.key"""
+
+
 def _op13() -> str:
     blank = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
     return f"""
@@ -110,4 +138,4 @@ def _op13() -> str:
 
 
 ORACLE: dict[str, str] = {"op2_arc_to_warc": _op2(), "op5_quotient_dedup": _op5(), "op6_url_vocabulary": _op6(), "op8_length_buckets": _op8(),
-                          "op11_ns_kmeans": _op11(), "op13_line_index": _op13()}
+                          "op11_ns_kmeans": _op11(), "op12_prefix_trie": _op12(), "op13_line_index": _op13()}

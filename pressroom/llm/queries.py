@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import arc, chosen_path, gam, hyperdim, length_buckets, line_index, ns_kmeans, ppm, quotient, templates, url_terms, wrappers
+from . import arc, chosen_path, gam, hyperdim, length_buckets, line_index, ns_kmeans, ppm, prefix_trie, quotient, templates, url_terms, wrappers
 from .common import read, remainder
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -61,6 +61,10 @@ def op11_ns_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ns_kmeans.clustered(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op13_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_index.line_dedup(read(spark, sf_dir, "documents", "doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -68,5 +72,5 @@ def op13_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_template_leaks, op2_arc_to_warc, op3_ppm_score, op4_wrapper_text, op5_quotient_dedup, op6_url_vocabulary,
-                            op7_hyperdimensional_language, op8_length_buckets, op9_chosen_path, op10_quality_gam, op11_ns_kmeans, op13_line_index)
+                            op7_hyperdimensional_language, op8_length_buckets, op9_chosen_path, op10_quality_gam, op11_ns_kmeans, op12_prefix_trie, op13_line_index)
 }
