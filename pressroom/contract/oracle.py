@@ -145,6 +145,20 @@ scored as (
 
 _ONE_WORD = "select token as term, id, count(*) as f from tok where token in ({}) group by token, id"
 
+_OF_THE = """select 'p' as term, id, f from (select id,
+    len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' and t[i + 1] = 'the')) +
+    len(list_filter(range(1, len(s)), lambda i: s[i] = 'of' and s[i + 1] = 'the')) as f from lists) where f > 0
+  union all select 'w' as term, id, count(*) as f from tok where starts_with(token, 'wh') group by id"""
+
+
+def _upkeep() -> str:
+    """Three searches over what is left: a seventh of the articles is gone, of which the even ids came back with another title."""
+    left = "(select * replace (title || case when id % 14 = 0 then ' renewed' else '' end as title) from articles where id % 7 <> 0 or id % 14 = 0)"
+    part = "(with {} select '{}' as search, id, round(rank, 6) as rank from scored where len(terms) = 2)"
+    hits = (("tion ble", _ONE_WORD.format("'tion', 'ble'")), ("of-the wh*", _OF_THE), ("renewed tion", _ONE_WORD.format("'renewed', 'tion'")))
+    return " union all ".join(part.format(_bm25(sql).replace("from articles),\nsizes", f"from {left}),\nsizes"), text) for text, sql in hits)
+
+
 _TOPICS = """topics as (select distinct unnest([event_type, upper(event_type)]) as topic from events)"""
 
 
@@ -313,13 +327,13 @@ order by scored.rank, id limit 10""",
     "keyword_search": f"""with {_bm25(_ONE_WORD.format("'tion', 'ble'"))}
 select id, articles.title, topic, round(rank, 6) as rank from scored join articles using (id)
 where len(terms) = 2 and country = 'US' and published_at >= timestamp '2024-01-05' order by scored.rank, id limit 20""",
-    "keyword_phrase": f"""with {_bm25('''select 'p' as term, id, f from (select id,
-    len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' and t[i + 1] = 'the')) +
-    len(list_filter(range(1, len(s)), lambda i: s[i] = 'of' and s[i + 1] = 'the')) as f from lists) where f > 0
-  union all select 'w' as term, id, count(*) as f from tok where starts_with(token, 'wh') group by id''')}
+    "keyword_phrase": f"""with {_bm25(_OF_THE)}
 select id, round(rank, 6) as rank from scored where len(terms) = 2 order by scored.rank, id limit 50""",
     "keyword_any": f"""with {_bm25("select token as term, id, count(*) as f from tok where col = 0 and token in ('tion', 'ing', 'ble') group by token, id")}
 select id, round(rank, 6) as rank from scored where not list_contains(terms, 'ble') order by scored.rank, id limit 50""",
+    "index_upkeep": _upkeep(),
+    "keyword_blockmax": f"""with {_bm25(_ONE_WORD.format("'tion', 'ble'"))}
+select id, round(rank, 6) as rank from scored where len(terms) = 2 order by scored.rank, id limit 20""",
     "timeline_daily": f"""with {ARTICLES} select strftime(published_at, '%Y-%m-%d') as date, count(*) as count
 from articles group by date""",
     "timeline_range": f"""with {ARTICLES} select strftime(published_at, '%Y-%m-%d') as date, count(*) as count from articles

@@ -20,6 +20,7 @@ from ..operators.crawl import (
 )
 from ..operators.dedup import first_accepts, is_duplicate, seen_ledger, with_keys
 from ..operators.embed import embed_query, word_embed
+from ..operators.segments import KeywordIndex
 from ..operators.skew import heavy_values
 from ..operators.monitor import screen_registrations, topic_alerts
 from ..operators.search import (
@@ -481,13 +482,13 @@ def search_many(spark, sf_dir):
 
 @query
 def tokens(spark, sf_dir):
-    rows = K.postings(K.tokens(views.articles(spark, sf_dir)))
+    rows = K.postings(views.articles(spark, sf_dir))
     return rows.groupBy("token").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("articles"))
 
 
 @query
 def postings(spark, sf_dir):
-    return K.postings(K.tokens(views.articles(spark, sf_dir)))
+    return K.postings(views.articles(spark, sf_dir))
 
 
 @query
@@ -518,6 +519,33 @@ def keyword_any(spark, sf_dir):
     return hits.select("id", _r6("rank"))
 
 
+@query
+def index_upkeep(spark, sf_dir):
+    """Three batches indexed as they come, a seventh of the articles removed, half of those changed and put back, two segments merged."""
+    rows = views.articles(spark, sf_dir).select("id", *K.COLUMNS)
+    third = table(spark, sf_dir, "documents").count() // 3
+    index = KeywordIndex.create(spark, Scratch(spark, "contract").path("index"))
+    for no, test in enumerate((F.col("id") < third, F.col("id").between(third, 2 * third - 1), F.col("id") >= 2 * third)):
+        index.add(f"batch-{no}", rows.where(test))
+    index.remove(rows.where("id % 7 = 0"))
+    index.add("changed", rows.where("id % 14 = 0").withColumn("title", F.concat("title", F.lit(" renewed"))))
+    index.compact("merged", ["batch-0", "batch-1"])
+    now = index.open()
+    found = [
+        K.score(now, K.parse_terms(spark, text)).select(F.lit(text).alias("search"), "id", _r6("rank"))
+        for text in ("tion ble", "of-the wh*", "renewed tion")
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def keyword_blockmax(spark, sf_dir):
+    """The twenty best articles by blocks' bounds, over a stored index."""
+    index = KeywordIndex.create(spark, Scratch(spark, "contract").path("index"), window=256)
+    index.add("all", views.articles(spark, sf_dir))
+    return index.open().best("tion ble", 20).rows.select("id", _r6("rank"))
+
+
 # ---- aggregations ------------------------------------------------------------
 
 @query

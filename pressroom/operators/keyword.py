@@ -6,9 +6,12 @@ their own words only; frequencies, phrases and scores are aggregations.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.stages import staged
@@ -21,13 +24,9 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 COLUMNS = ("title", "summary", "full_text")
 
 
-def tokens(articles: DataFrame) -> DataFrame:
-    """(id, d, col, pos, token): one row per word, d the words of the article.
-
-    A row with a null token stands between two columns, so positions of
-    different columns are never adjacent and articles without words appear.
-    """
-    split = staged(
+def split_words(articles: DataFrame) -> DataFrame:
+    """(id, words, d, gap_1, gap_2): the words of an article in one list, d of them, with a null at gap_1 and gap_2 between the columns."""
+    return staged(
         articles.select("id", *COLUMNS),
         "__word_",
         lambda v: {name: words(F.col(name)) for name in COLUMNS},
@@ -41,17 +40,57 @@ def tokens(articles: DataFrame) -> DataFrame:
         keep={"all": "words", "d": "d", "first": "gap_1", "second": "gap_2"},
         sealed=False,
     )
+
+
+def column_of(pos: Column, gap_1: Column, gap_2: Column) -> Column:
+    """Which of COLUMNS a position stands in."""
+    return F.when(pos < gap_1, 0).when(pos < gap_2, 1).otherwise(2)
+
+
+def tokens(articles: DataFrame) -> DataFrame:
+    """(id, d, col, pos, token): one row per word, d the words of the article.
+
+    A row with a null token stands between two columns, so positions of
+    different columns are never adjacent and articles without words appear.
+    """
     # The list always holds the two separators. The outer form says so: for
     # the plain one Spark adds a size test and computes the list a second time.
-    rows = split.select("id", "d", "gap_1", "gap_2", F.posexplode_outer("words").alias("pos", "token"))
-    place = F.when(F.col("pos") < F.col("gap_1"), 0).when(F.col("pos") < F.col("gap_2"), 1).otherwise(2)
+    rows = split_words(articles).select("id", "d", "gap_1", "gap_2", F.posexplode_outer("words").alias("pos", "token"))
     head = F.col("pos") == F.col("gap_1")
-    return rows.select("id", "d", place.alias("col"), "pos", "token", head.alias("is_head"))
+    return rows.select("id", "d", column_of(F.col("pos"), F.col("gap_1"), F.col("gap_2")).alias("col"), "pos", "token", head.alias("is_head"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("words")
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(lists)), sizes)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        flat = lists.flatten()
+        real = flat.is_valid().to_numpy(zero_copy_only=False)
+        coded = flat.filter(pa.array(real)).dictionary_encode()
+        row, pos, code = row[real], pos[real], coded.indices.to_numpy().astype(np.int64)
+        key = row * max(1, len(coded.dictionary)) + code
+        order = np.argsort(key, kind="stable")  # positions of one word of one article stay in order
+        starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
+        first = order[starts]
+        places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.array(pos[order], pa.int32()))
+        kept = batch.select(["id", "d", "gap_1", "gap_2"]).take(pa.array(row[first]))
+        yield pa.RecordBatch.from_arrays([*kept.columns, coded.dictionary.take(pa.array(code[first])), places], names=["id", "d", "gap_1", "gap_2", "token", "places"])
+
+
+def entries(articles: DataFrame) -> DataFrame:
+    """(id, d, gap_1, gap_2, token, places): one row per article and distinct word, with the word's positions.
+
+    The words of an article are sorted and cut into runs in the batch that holds it, so nothing is shuffled.
+    """
+    return split_words(articles).select("id", "d", "gap_1", "gap_2", "words").mapInArrow(
+        _runs, "id long, d int, gap_1 int, gap_2 int, token string, places array<int>")
 
 
-def postings(index: DataFrame) -> DataFrame:
-    """(token, id, tf): occurrences per word and article, counted in the task that holds the article before they are shuffled."""
-    return index.where("token is not null").groupBy("token", "id").agg(F.count("*").alias("tf"))
+def postings(articles: DataFrame) -> DataFrame:
+    """(token, id, tf): occurrences per word and article, counted inside the article's row."""
+    return entries(articles).select("token", "id", F.size("places").cast("long").alias("tf"))
 
 
 def lengths(index: DataFrame) -> DataFrame:
@@ -65,6 +104,10 @@ class Index:
     articles: int
     words: int
 
+    def narrowed(self, terms: Sequence[Term]) -> Index:
+        """The index as far as ``terms`` need it; stored indexes open only those words."""
+        return self
+
 
 def build_index(articles: DataFrame, scratch: Scratch) -> Index:
     """Write the token table and count it.
@@ -134,6 +177,19 @@ def _occurrences(rows: DataFrame, terms: list[Term]) -> DataFrame:
     return whole.where(F.col("n") == length).select("term", "id", "d")
 
 
+def idf_of(articles: int, n: Column) -> Column:
+    """Weight of a term that ``n`` of all articles hold."""
+    idf = F.log((F.lit(articles) - n + 0.5) / (n + 0.5))
+    return F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
+
+
+def part_of(idf: Column, f: Column, d: Column, articles: int, total: int) -> Column:
+    """What ``f`` occurrences in an article of ``d`` words add; grows with f and falls with d."""
+    average = total / articles if articles else 1.0
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * d / F.lit(average))
+    return idf * f * F.lit(K1 + 1) / (f + norm)
+
+
 def score(
     index: Index,
     all_of: Sequence[Term] = (),
@@ -149,6 +205,7 @@ def score(
     terms = [*all_of, *any_of, *none_of]
     if not all_of and not any_of:
         return None
+    index = index.narrowed(terms)
     rows = index.rows
     if columns:
         rows = rows.where(F.col("col").isin([COLUMNS.index(c) for c in columns]))
@@ -156,11 +213,8 @@ def score(
         F.count("*").alias("f"), F.max("d").alias("d")
     )
     spread_of = per_article.groupBy("term").agg(F.count("*").alias("n"))
-    idf = F.log((F.lit(index.articles) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
-    average = index.words / index.articles if index.articles else 1.0
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("d") / F.lit(average))
-    part = F.col("idf") * F.col("f") * F.lit(K1 + 1) / (F.col("f") + norm)
+    idf = idf_of(index.articles, F.col("n"))
+    part = part_of(F.col("idf"), F.col("f"), F.col("d"), index.articles, index.words)
     # One row per query term, so its broadcast has the size of the query.
     scored = per_article.join(F.broadcast(spread_of.select("term", idf.alias("idf"))), "term")
     must, may = len(all_of), len(all_of) + len(any_of)

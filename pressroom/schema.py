@@ -38,4 +38,6 @@ MODEL = "embed_model STRING, embed_dim INT"
 # A change of stored vectors: rows put in or (with only an id) taken out.
 CHANGES = f"{VECTORS}, deleted BOOLEAN, change BIGINT"
 
+REMOVALS = "id BIGINT"
+
 COMMITS = ("batch STRING, articles BIGINT, max_id BIGINT")

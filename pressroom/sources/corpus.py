@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import Settings
 from ..errors import EmbeddingMismatch
 from ..operators.crawl import latest_runs
+from ..operators.segments import KeywordIndex, Opened
 from ..operators.vectors import latest_by_id
-from ..schema import ARTICLES, CHANGES, COMMITS, CRAWL_RUNS, MODEL, SIGHTINGS, VECTORS
+from ..schema import ARTICLES, CHANGES, COMMITS, CRAWL_RUNS, MODEL, REMOVALS, SIGHTINGS, VECTORS
 
 TABLES = {
     "articles": ARTICLES,
@@ -43,7 +44,7 @@ class Corpus:
         corpus = cls(spark, root)
         for name, schema in TABLES.items():
             corpus._empty(schema).write.mode("ignore").parquet(f"{corpus._path(name)}/batch=__none__")
-        for name, schema in (("commits", COMMITS), ("run_log", CRAWL_RUNS), ("model", MODEL), ("vector_changes", CHANGES)):
+        for name, schema in (("commits", COMMITS), ("run_log", CRAWL_RUNS), ("model", MODEL), ("vector_changes", CHANGES), ("article_removals", REMOVALS)):
             corpus._empty(schema).write.mode("ignore").parquet(corpus._path(name))
         if settings is not None:
             corpus.check_model(settings.embed_model, settings.embed_dim)
@@ -94,6 +95,26 @@ class Corpus:
         empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in self._empty(VECTORS).schema if f.name != "id"]
         self._change(ids.select("id").distinct().select("id", *empty, F.lit(True).alias("deleted")))
 
+    def remove_articles(self, ids: DataFrame) -> None:
+        """Take stored articles out by id, with their vectors; unknown ids are ignored. The sighting ledger keeps their keys."""
+        ids.select("id").distinct().write.mode("append").parquet(self._path("article_removals"))
+        self.delete_vectors(ids)
+
+    def keyword_index(self) -> Opened:
+        """The keyword index of what is stored now: batches it does not hold are added, removed articles taken out."""
+        index = KeywordIndex.create(self.spark, f"{self.root}/keyword")
+        held = {c.segment for c in index.segments()} | {s for c in index.segments() for s in c.replaces}
+        for row in self.commits().where("articles > 0").orderBy("max_id").collect():
+            if row.batch not in held:
+                index.add(row.batch, self._stored("articles").where(F.col("batch") == row.batch))
+        gone = self._removals()
+        if not gone.isEmpty():
+            index.remove(gone)
+        return index.open()
+
+    def _removals(self) -> DataFrame:
+        return self.spark.read.schema(REMOVALS).parquet(self._path("article_removals")).distinct()
+
     def _change(self, rows: DataFrame) -> None:
         last = self.spark.read.schema(CHANGES).parquet(self._path("vector_changes")).agg(F.max("change")).first()[0] or 0
         numbered = rows.withColumn("change", F.lit(last + 1).cast("bigint"))
@@ -104,14 +125,18 @@ class Corpus:
 
     def read(self, table: str) -> DataFrame:
         """All committed rows of a table; folders of other batches are pruned by the join with the commits."""
-        stored = self.spark.read.schema(f"{TABLES[table]}, batch STRING").parquet(self._path(table))
-        rows = stored.join(self.commits().select("batch"), "batch", "left_semi").drop("batch")
+        rows = self._stored(table).join(self.commits().select("batch"), "batch", "left_semi").drop("batch")
+        if table == "articles":
+            return rows.join(self._removals(), "id", "left_anti")
         if table != "vectors":
             return rows
         changes = latest_by_id(self.spark.read.schema(CHANGES).parquet(self._path("vector_changes")), "change")
         kept = rows.join(changes.select("id"), "id", "left_anti")
         return kept.unionByName(changes.where("not deleted").select(*rows.columns))
 
+    def _stored(self, table: str) -> DataFrame:
+        return self.spark.read.schema(f"{TABLES[table]}, batch STRING").parquet(self._path(table))
+
     def publish(self, batch: str, tables: dict[str, Part]) -> bool:
         """Store a batch and commit it; False if it was committed before.
 
