@@ -346,6 +346,9 @@ select 'month' as preset, date, count(*) as count from dated where published_at
 union all select 'week', date, count(*) from dated where published_at >= timestamp '2024-01-24' group by date
 union all select 'clicks', date, count(*) from dated where published_at >= timestamp '2024-01-24' and topic = 'click' group by date""",
     "exported_articles": f"""with {ARTICLES} select id, title, url, publisher_name as publisher, published_date, summary, country, language, topic from articles""",
+    "timeline_stored": f"""with {ARTICLES}, dated as (select topic, strftime(published_at, '%Y-%m-%d') as date from articles where id % 7 <> 0)
+select 'all topics' as topic, date, count(*) as count from dated where date between '2024-01-05' and '2024-01-25' group by date
+union all select topic, date, count(*) from dated group by topic, date""",
     "timeline_all_topics": f"""with {ARTICLES} select topic, strftime(published_at, '%Y-%m-%d') as date, count(*) as count
 from articles group by topic, date""",
     "corpus_stats": f"""select (select count(*) from documents) as total_articles, (select count(*) from embeddings) as vector_count,
@@ -373,6 +376,16 @@ select topic, threshold, webhook_url, max(articles) as articles, count(*) as reg
 from regs join counts using (topic) where articles >= threshold group by topic, threshold, webhook_url""",
     "streamed_ingest": f"""{WITH_ACCEPT} select id, title, url_hash, composite_key, 8::integer as dim
 from keyed join accepted using (ord)""",
+    "streamed_accepted_alerts": f"""{WITH_ACCEPT},
+dated as (select topic, published_at::date as day, ord >= (select max(doc_id) // 2 from documents) as second from keyed join accepted using (ord)),
+first as (select max(day) - 2 as closed from dated where not second),
+last as (select greatest(max(day) - 2, (select closed from first)) as closed from dated),
+days as (select topic, day, count(*) filter (not second or day > first.closed) as articles, count(*) filter (second and day <= first.closed) as late
+  from dated, first group by topic, day),
+regs as (select event_type as topic, ((count(*) + 9) // 10)::integer as threshold from events group by user_id, event_type)
+select topic, strftime(day, '%Y-%m-%d') as date, articles, late,
+  (select count(*) from regs where regs.topic = days.topic and threshold <= articles) as alerts
+from days where day <= (select closed from last)""",
     "streamed_alerts": """with days as (select event_type as topic, strftime(ts, '%Y-%m-%d') as date, count(*) as articles
   from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 2 day group by topic, date),
 regs as (select event_type as topic, ((count(*) + 9) // 10)::integer as threshold from events group by user_id, event_type)

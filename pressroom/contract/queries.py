@@ -26,15 +26,16 @@ from ..operators.monitor import screen_registrations, topic_alerts
 from ..operators.search import (
     hydrate, latest_for_topic, project, search, search_batch, search_news, semantic_search,
 )
-from ..operators.timeline import corpus_stats, timeline, timeline_all_topics, timeline_last_month, timeline_last_week
+from ..operators.timeline import corpus_stats, timeline, timeline_all_topics, timeline_last_month, timeline_last_week, topics_of_parts
 from ..plans import brief as P
-from ..plans.ingest import ingest_batch, vector_rows
+from ..plans.ingest import ingest_batch, ingest_into, vector_rows
 from ..runtime import Scratch, spread
 from ..sources.corpus import Corpus, as_json, export
-from ..sources.derived import AS_OF, DIM, MODEL, SEARCH_AS_OF, feed_from, raw_feed, sizes, table
+from ..sources.derived import AS_OF, DIM, MODEL, SEARCH_AS_OF, raw_feed, table
 from ..sources.feed import is_valid, method_counts, read_feed
 from ..streaming.alert_stream import alert_stream, daily_counts
-from ..streaming.ingest_stream import ingest_stream
+from ..streaming.commit_stream import AcceptedAlerts
+from ..streaming.ingest_stream import ingest_stream, stream_feed
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -572,6 +573,18 @@ def timeline_presets(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def timeline_stored(spark, sf_dir):
+    """Timelines from the daily counts of two stored batches, a seventh of whose articles was removed; articles are not read."""
+    corpus = Corpus.create(spark, Scratch(spark, "contract").path("corpus"))
+    rows = views.articles(spark, sf_dir)
+    for name, test in (("odd", F.col("id") % 2 == 1), ("even", F.col("id") % 2 == 0)):
+        corpus.publish(name, {"articles": rows.where(test).withColumn("url_hash", F.lit(None).cast("string")).withColumn("composite_key", F.lit(None).cast("string"))})
+    corpus.remove_articles(rows.where("id % 7 = 0").select("id"))
+    days = corpus.timeline(start="2024-01-05", end="2024-01-25").select(F.lit("all topics").alias("topic"), "date", "count")
+    return days.unionByName(topics_of_parts(corpus.daily()))
+
+
 @query
 def exported_articles(spark, sf_dir):
     """Search rows exported as JSON files and read back."""
@@ -701,29 +714,60 @@ def alerts(spark, sf_dir):
 
 # ---- streams -------------------------------------------------------------------
 
+def _halves(spark, sf_dir):
+    """The number at which the feed is cut into two batches."""
+    return (table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or 0) // 2
+
+
 @query
 def streamed_ingest(spark, sf_dir):
-    """The feed as a file stream, ingested into a new corpus by micro-batches."""
+    """The feed as files without ``ord``, two at a time, ingested into a new corpus by micro-batches."""
     scratch = Scratch(spark, "stream")
-    events, pages = table(spark, sf_dir, "events"), table(spark, sf_dir, "pages")
-    stored = table(spark, sf_dir, "documents")
-    documents = spark.readStream.schema(stored.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    raw = feed_from(documents, events, pages, *sizes(events, stored, pages))
+    path, half = scratch.path("feed"), _halves(spark, sf_dir)
+    rows = raw_feed(spark, sf_dir).withColumns({"batch": F.lit("all"), "topic": F.lit("all")})
+    for no, test in enumerate((F.col("ord") < half, F.col("ord") >= half)):
+        rows.where(test).repartitionByRange(2, "ord").sortWithinPartitions("ord").drop("ord").write.parquet(f"{path}/{no}")
     corpus = Corpus.create(spark, scratch.path("corpus"))
     settings = Settings(embed_model="hashed-words-8", embed_dim=8)
+    raw = stream_feed(spark, f"{path}/*", "parquet", files_per_batch=2)
     ingest_stream(raw, corpus, scratch.path("state"), AS_OF, word_embed(8), settings).awaitTermination()
     vectors = corpus.read("vectors").select("id", F.size("embedding").alias("dim"))
     return corpus.read("articles").select("id", "title", "url_hash", "composite_key").join(vectors, "id")
 
 
+@query
+def streamed_accepted_alerts(spark, sf_dir):
+    """Accepted articles per topic and closed day, in time and late, and alerts, following the commits of two batches."""
+    scratch = Scratch(spark, "stream")
+    corpus, half = Corpus.create(spark, scratch.path("corpus")), _halves(spark, sf_dir)
+    raw = raw_feed(spark, sf_dir)
+    settings = Settings(embed_model="hashed-words-8", embed_dim=8)
+    for name, test in (("1", F.col("ord") < half), ("2", F.col("ord") >= half)):
+        ingest_into(corpus, name, raw.where(test), AS_OF, word_embed(8), settings)
+    screened = scratch.cut(_user_thresholds(spark, sf_dir), "screened")
+    alerts = AcceptedAlerts(corpus, scratch.path("alerts"), screened)
+    alerts.run(scratch.path("state"), commits_per_step=1)
+    closed = alerts.read("state").agg(F.max("closed").alias("closed"))
+    named = [alerts.read(t).select("topic", "day", F.lit(t).alias("kind"), "articles") for t in ("counts", "late")]
+    fired = alerts.read("alerts").select("topic", "day", F.lit("alerts").alias("kind"), F.lit(1).cast("long").alias("articles"))
+    rows = named[0].unionByName(named[1]).unionByName(fired).join(F.broadcast(closed), F.col("day") <= F.col("closed"))
+    total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("articles"))), F.lit(0))
+    return rows.groupBy("topic", F.date_format("day", "yyyy-MM-dd").alias("date")).agg(
+        total("counts").alias("articles"), total("late").alias("late"), total("alerts").alias("alerts"))
+
+
+def _user_thresholds(spark, sf_dir):
+    """A registration per user and topic: a tenth of the user's events."""
+    registered = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("topic")).agg(F.expr("cast((count(1) + 9) div 10 as int)").alias("threshold"))
+    return screen_registrations(registered.select("topic", "threshold", F.concat(F.lit("https://hooks.example.com/"), F.col("user_id").cast("string")).alias("webhook_url")))
+
+
 @query
 def streamed_alerts(spark, sf_dir):
     """Alerts of a stream: closed days on which a topic has a tenth or more of the events a user has on all days, per user and topic."""
     scratch = Scratch(spark, "stream")
     stored = table(spark, sf_dir, "events")
-    registered = stored.groupBy("user_id", F.col("event_type").alias("topic")).agg(F.expr("cast((count(1) + 9) div 10 as int)").alias("threshold")).select(
-        "topic", "threshold", F.concat(F.lit("https://hooks.example.com/"), F.col("user_id").cast("string")).alias("webhook_url"))
-    screened = scratch.cut(screen_registrations(registered), "screened")
+    screened = scratch.cut(_user_thresholds(spark, sf_dir), "screened")
     events = spark.readStream.schema(stored.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     found = alert_stream(events.select(F.col("event_type").alias("topic"), F.col("ts").alias("published_at")), screened)
     out = scratch.path("alerts")

@@ -116,6 +116,23 @@ def first_accepts(
     return reader.schema(schema).parquet(won_path).select("ord", "composite_key", "url_hash")
 
 
+MOST_MARKS = 2_000_000  # records of a batch whose 8-byte marks are broadcast: some 50 MB
+
+
+def touched(known: DataFrame, rows: DataFrame, column: str, scratch: Scratch, most: int = MOST_MARKS) -> DataFrame:
+    """The ``known`` values of earlier batches that ``rows`` may hold, written.
+
+    The marks of a batch go to the history, which is scanned where it lies and never shuffled; what
+    comes back is as small as the batch. Values that share a mark with one of the batch come along and
+    change nothing. A batch of more than ``most`` records, such as an initial load, meets the whole history.
+    """
+    known = known.select(column)
+    if rows.count() > most:
+        return known
+    marks = rows.select(F.xxhash64(column).alias("__mark")).distinct()
+    return scratch.cut(known.withColumn("__mark", F.xxhash64(column)).join(F.broadcast(marks), "__mark", "left_semi").select(column), f"known-{column}")
+
+
 def check_order(rows: DataFrame) -> None:
     """Raise unless every row has an ``ord`` of its own; ``rows`` is a written, narrow table."""
     found = rows.agg(F.count("*").alias("rows"), F.count("ord").alias("numbered"), F.count_distinct("ord").alias("numbers")).first()

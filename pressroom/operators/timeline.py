@@ -12,6 +12,10 @@ from ..functions.dates import iso_text, since_day
 _DATE = re.compile(r"\d{4}-\d{1,2}-\d{1,2}")
 
 
+def is_day(text: str | None) -> bool:
+    return text is None or _DATE.fullmatch(text) is not None
+
+
 def stamped() -> Column:
     """When an article counts: its publication, else its ingest."""
     return F.coalesce("published_at", "ingested_at")
@@ -57,6 +61,23 @@ def timeline(
     return counted.select(F.date_format("day", "yyyy-MM-dd").alias("date"), "count").orderBy("date")
 
 
+def daily_parts(articles: DataFrame) -> DataFrame:
+    """(topic, day, articles): what a batch adds to the timelines."""
+    return articles.groupBy("topic", stamped().cast("date").alias("day")).agg(F.count("*").alias("articles")).where("day is not null")
+
+
+def timeline_of_parts(daily: DataFrame, topic: str | None = None, days: int | None = None, start: str | None = None, end: str | None = None, as_of: str | None = None) -> DataFrame:
+    """``timeline`` from stored daily counts; ``start`` and ``end`` are whole days."""
+    begin = start or (since_day(as_of, days) if days is not None else None)
+    rows = daily if not topic else daily.where(F.col("topic") == topic)
+    if begin:
+        rows = rows.where(F.col("day") >= F.lit(begin).cast("date"))
+    if end:
+        rows = rows.where(F.col("day") <= F.lit(end).cast("date"))
+    counted = rows.groupBy("day").agg(F.sum("articles").alias("count")).where("count > 0")
+    return counted.select(F.date_format("day", "yyyy-MM-dd").alias("date"), "count").orderBy("date")
+
+
 def timeline_last_month(articles: DataFrame, as_of: str, topic: str | None = None) -> DataFrame:
     """Preset of 30 days."""
     return timeline(articles, topic, days=30, as_of=as_of)
@@ -69,8 +90,13 @@ def timeline_last_week(articles: DataFrame, as_of: str, topic: str | None = None
 
 def timeline_all_topics(articles: DataFrame) -> DataFrame:
     """(topic, date, count) for every topic in one pass."""
-    day = F.date_format(stamped(), "yyyy-MM-dd").alias("date")
-    return articles.groupBy("topic", day).agg(F.count("*").alias("count")).where("date is not null")
+    return topics_of_parts(daily_parts(articles))
+
+
+def topics_of_parts(daily: DataFrame) -> DataFrame:
+    """``timeline_all_topics`` from stored daily counts."""
+    counted = daily.groupBy("topic", "day").agg(F.sum("articles").alias("count")).where("count > 0")
+    return counted.select("topic", F.date_format("day", "yyyy-MM-dd").alias("date"), "count")
 
 
 def corpus_stats(articles: DataFrame, vectors: DataFrame, model: str, dim: int) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.text import enriched_text
 from ..config import FETCH_METHODS
 from ..errors import FeedError
 from ..operators.crawl import close_runs, open_runs, stopped_runs, topic_summary, with_header
-from ..operators.dedup import COMPONENT_ROWS, FLOOR_ROWS, check_order, first_accepts, heavy_pair, sightings, with_keys
+from ..operators.dedup import COMPONENT_ROWS, FLOOR_ROWS, check_order, first_accepts, heavy_pair, sightings, touched, with_keys
 from ..operators.numbering import number_rows
 from ..runtime import Scratch
 from ..sources.corpus import Corpus
@@ -57,7 +57,7 @@ def ingest_batch(
     they arrive (``topics``: the order of the topics); a null or repeated ``ord``
     or an unknown fetch method raises FeedError before anything is stored.
     """
-    feed = normalise_feed(arrival_order(raw, topics), settings)
+    feed = normalise_feed(arrival_order(raw, scratch, topics), settings)
     if header is not None:
         run = ["batch", "topic", "method"]
         feed = feed.join(stopped_runs(header, run), run, "left_anti")
@@ -71,9 +71,9 @@ def ingest_batch(
     )
     check_order(narrow)
     _check_methods(narrow)
-    known_keys = None if known_keys is None else known_keys.select(*_as_bytes("composite_key"))
-    known_urls = None if known_urls is None else known_urls.select(*_as_bytes("url_hash"))
     valid = narrow.where("is_valid")
+    known_keys = None if known_keys is None else touched(known_keys.select(*_as_bytes("composite_key")), valid, "composite_key", scratch)
+    known_urls = None if known_urls is None else touched(known_urls.select(*_as_bytes("url_hash")), valid, "url_hash", scratch)
     heavy, heavy_urls = heavy_pair(valid, scratch, floor_rows)
     won = first_accepts(
         valid, scratch, known_keys, known_urls,
@@ -151,34 +151,33 @@ def ingest_into(
     if corpus.is_committed(batch):
         return None
     begun = time.monotonic()
-    scratch = Scratch(corpus.spark, "ingest")
-    run = ["batch", "topic", "method"]
-    if header is None:
-        header = raw.select(*run).distinct().withColumns({
-            "rate_limited": F.lit(False), "error": F.lit(None).cast("string"),
-            "started_at": moment(as_of), "duration_seconds": F.lit(None).cast("double"),
+    with Scratch(corpus.spark, "ingest") as scratch:
+        run = ["batch", "topic", "method"]
+        if header is None:
+            header = raw.select(*run).distinct().withColumns({
+                "rate_limited": F.lit(False), "error": F.lit(None).cast("string"),
+                "started_at": moment(as_of), "duration_seconds": F.lit(None).cast("double"),
+            })
+        run_id = F.concat_ws("/", F.lit(batch), *run).alias("run_id")
+        header = scratch.cut(header.select(run_id, *run, "rate_limited", "error", F.coalesce("started_at", moment(as_of)).alias("started_at"), "duration_seconds"), "header")
+        corpus.log_runs(open_runs(header))
+        known = corpus.read("articles")
+        got = ingest_batch(
+            raw, scratch, as_of, settings,
+            known_keys=known.select("composite_key"), known_urls=known.select("url_hash"),
+            start_id=corpus.next_id(), by=tuple(run), header=header, topics=topics,
+        )
+        counted = scratch.cut(
+            with_header(got.summary, header, run).withColumns({
+                "run_id": F.coalesce("run_id", run_id), "started_at": F.coalesce("started_at", moment(as_of))}),
+            "summary",
+        )
+        corpus.publish(batch, {
+            "articles": got.articles,
+            "vectors": lambda written: vector_rows(written["articles"], embed, settings.embed_dim),
+            "sightings": got.sightings,
         })
-    run_id = F.concat_ws("/", F.lit(batch), *run).alias("run_id")
-    header = scratch.cut(header.select(run_id, *run, "rate_limited", "error", F.coalesce("started_at", moment(as_of)).alias("started_at"), "duration_seconds"), "header")
-    corpus.log_runs(open_runs(header))
-    known = corpus.read("articles")
-    got = ingest_batch(
-        raw, scratch, as_of, settings,
-        known_keys=known.select("composite_key"), known_urls=known.select("url_hash"),
-        start_id=corpus.next_id(), by=tuple(run), header=header, topics=topics,
-    )
-    counted = scratch.cut(
-        with_header(got.summary, header, run).withColumns({
-            "run_id": F.coalesce("run_id", run_id), "started_at": F.coalesce("started_at", moment(as_of))}),
-        "summary",
-    )
-    corpus.publish(batch, {
-        "articles": got.articles,
-        "vectors": lambda written: vector_rows(written["articles"], embed, settings.embed_dim),
-        "sightings": got.sightings,
-    })
-    took = F.coalesce("duration_seconds", F.lit(round(time.monotonic() - begun, 3)))
-    counted = counted.withColumn("duration_seconds", took)
-    corpus.log_runs(close_runs(counted))
-    scratch.drop()
+        took = F.coalesce("duration_seconds", F.lit(round(time.monotonic() - begun, 3)))
+        counted = counted.withColumn("duration_seconds", took)
+        corpus.log_runs(close_runs(counted))
     return corpus.runs(batch).withColumnsRenamed({"new_articles": "new", "skipped_dupes": "skipped"})

@@ -38,6 +38,8 @@ MODEL = "embed_model STRING, embed_dim INT"
 # A change of stored vectors: rows put in or (with only an id) taken out.
 CHANGES = f"{VECTORS}, deleted BOOLEAN, change BIGINT"
 
-REMOVALS = "id BIGINT"
+# Articles per topic and day of one batch, and those taken out since.
+DAILY = "topic STRING, day DATE, articles BIGINT"
+REMOVALS = "id BIGINT, topic STRING, day DATE"
 
 COMMITS = ("batch STRING, articles BIGINT, max_id BIGINT")

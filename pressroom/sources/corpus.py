@@ -20,13 +20,15 @@ from ..config import Settings
 from ..errors import EmbeddingMismatch
 from ..operators.crawl import latest_runs
 from ..operators.segments import KeywordIndex, Opened
+from ..operators.timeline import daily_parts, is_day, stamped, timeline, timeline_of_parts
 from ..operators.vectors import latest_by_id
-from ..schema import ARTICLES, CHANGES, COMMITS, CRAWL_RUNS, MODEL, REMOVALS, SIGHTINGS, VECTORS
+from ..schema import ARTICLES, CHANGES, COMMITS, CRAWL_RUNS, DAILY, MODEL, REMOVALS, SIGHTINGS, VECTORS
 
 TABLES = {
     "articles": ARTICLES,
     "vectors": VECTORS,
     "sightings": SIGHTINGS,
+    "daily": DAILY,
 }
 
 
@@ -56,6 +58,13 @@ class Corpus:
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def commits_path(self) -> str:
+        return self._path("commits")
+
+    def daily_of(self, batches: list[str]) -> DataFrame:
+        """Daily counts that came with the given committed batches."""
+        return self._stored("daily").where(F.col("batch").isin(batches)).drop("batch")
+
     def commits(self) -> DataFrame:
         return self.spark.read.schema(COMMITS).parquet(self._path("commits")).dropDuplicates(["batch"])
 
@@ -97,9 +106,21 @@ class Corpus:
 
     def remove_articles(self, ids: DataFrame) -> None:
         """Take stored articles out by id, with their vectors; unknown ids are ignored. The sighting ledger keeps their keys."""
-        ids.select("id").distinct().write.mode("append").parquet(self._path("article_removals"))
+        gone = self.read("articles").join(ids.select("id").distinct(), "id", "left_semi")
+        gone.select("id", "topic", stamped().cast("date").alias("day")).write.mode("append").parquet(self._path("article_removals"))
         self.delete_vectors(ids)
 
+    def daily(self) -> DataFrame:
+        """Daily counts of what is stored, from the parts that came with each batch; articles are not read."""
+        less = self._removals().where("day is not null").groupBy("topic", "day").agg((-F.count("*")).alias("articles"))
+        return self.read("daily").unionByName(less)
+
+    def timeline(self, topic: str | None = None, days: int | None = None, start: str | None = None, end: str | None = None, as_of: str | None = None) -> DataFrame:
+        """Articles per day; bounds inside a day need the articles, whole days only their counts."""
+        if is_day(start) and is_day(end):
+            return timeline_of_parts(self.daily(), topic, days, start, end, as_of)
+        return timeline(self.read("articles"), topic, days, start, end, as_of)
+
     def keyword_index(self) -> Opened:
         """The keyword index of what is stored now: batches it does not hold are added, removed articles taken out."""
         index = KeywordIndex.create(self.spark, f"{self.root}/keyword")
@@ -113,7 +134,7 @@ class Corpus:
         return index.open()
 
     def _removals(self) -> DataFrame:
-        return self.spark.read.schema(REMOVALS).parquet(self._path("article_removals")).distinct()
+        return self.spark.read.schema(REMOVALS).parquet(self._path("article_removals")).dropDuplicates(["id"])
 
     def _change(self, rows: DataFrame) -> None:
         last = self.spark.read.schema(CHANGES).parquet(self._path("vector_changes")).agg(F.max("change")).first()[0] or 0
@@ -127,7 +148,7 @@ class Corpus:
         """All committed rows of a table; folders of other batches are pruned by the join with the commits."""
         rows = self._stored(table).join(self.commits().select("batch"), "batch", "left_semi").drop("batch")
         if table == "articles":
-            return rows.join(self._removals(), "id", "left_anti")
+            return rows.join(self._removals().select("id"), "id", "left_anti")
         if table != "vectors":
             return rows
         changes = latest_by_id(self.spark.read.schema(CHANGES).parquet(self._path("vector_changes")), "change")
@@ -148,6 +169,8 @@ class Corpus:
         written: dict[str, DataFrame] = {}
         for name, schema in TABLES.items():
             part = tables.get(name)
+            if part is None and name == "daily":
+                part = daily_parts(written["articles"])
             if callable(part):
                 part = part(written)
             part = self._empty(schema) if part is None else part.select(*self._empty(schema).columns)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import Settings
 from ..functions.text import truthy
+from ..operators.numbering import number_rows
+from ..runtime import Scratch
 from ..schema import RAW_FEED
 
 
@@ -16,43 +18,51 @@ def read_feed(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
 
     In JSON the publisher is an object or a plain string; it is read as text
     and told apart here, so neither form is lost. Each record carries its place
-    (file, split and row), from which ``arrival_order`` numbers feeds without ``ord``.
+    (file, split and, where the format knows it, row), from which ``arrival_order`` numbers feeds without ``ord``.
     """
     if fmt != "json":
-        return with_place(spark.read.schema(RAW_FEED).format(fmt).load(path))
-    return split_publisher(with_place(spark.read.schema(json_schema()).json(path)))
+        return with_place(spark.read.schema(RAW_FEED).format(fmt).load(path), fmt)
+    return split_publisher(with_place(spark.read.schema(json_schema()).json(path), fmt))
 
 
-PLACE = ("feed_file", "feed_split", "feed_row")
+PLACE = ("feed_file", "feed_split")
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above
+FEW_SPLITS = 200_000  # splits whose ranks are broadcast: some 40 MB
 
 
-def with_place(raw: DataFrame) -> DataFrame:
-    """Add where a record stands: its file, its split of the file, and a number that grows inside the split."""
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return raw.withColumns({"feed_file": F.col("_metadata.file_path"), "feed_split": F.col("_metadata.file_block_start"), "feed_row": row})
+def with_place(raw: DataFrame, fmt: str) -> DataFrame:
+    """Add where a record of a batch or a stream stands: its file, and its row in the file (Parquet) or its split of the file."""
+    file = {"feed_file": F.col("_metadata.file_path")}
+    if fmt == "parquet":
+        return raw.withColumns({**file, "feed_split": F.lit(0).cast("long"), "feed_row": F.col("_metadata.row_index")})
+    return raw.withColumns({**file, "feed_split": F.col("_metadata.file_block_start")})
 
 
-def arrival_order(raw: DataFrame, topics: Sequence[str] = ()) -> DataFrame:
+def arrival_order(raw: DataFrame, scratch: Scratch, topics: Sequence[str] = ()) -> DataFrame:
     """Fill ``ord`` in the order of arrival: batch, place of the topic in ``topics``, file, row in the file.
 
     Topics that are not listed come after those that are, by name. Numbers grow but are not consecutive: what is ranked is one
-    row per split of a file and topic, and the row inside the split is appended. A feed that brings ``ord`` in every record
-    keeps it; one that brings it in some records only is refused when it is ingested.
+    row per split of a file and topic, and the row inside the split is appended. A feed that brings ``ord`` in any record
+    keeps it; one that brings it in some records only is refused when it is ingested. Rows of a format without row numbers
+    are numbered by the task that reads them; such a feed is written once, so that all later scans see the same numbers.
     """
     if not set(PLACE) <= set(raw.columns):
         return raw
     listed = F.lit(len(topics))
     for i, topic in reversed(list(enumerate(topics))):
         listed = F.when(F.col("topic") == topic, F.lit(i)).otherwise(listed)
-    by = ["batch", "topic", "feed_file", "feed_split"]
-    groups = raw.groupBy(*by).agg(F.count("ord").alias("__given"))
-    order = Window.orderBy("batch", listed, "topic", "feed_file", "feed_split")
-    ranks = groups.withColumn("__rank", F.row_number().over(order)).withColumn("__any", F.sum("__given").over(Window.partitionBy()) > 0)
-    ranks = ranks.drop("__given").withColumnsRenamed({c: f"__{c}" for c in by})
+    by = ["batch", "topic", *PLACE]
+    groups = scratch.cut(raw.groupBy(*by).agg(F.count("ord").alias("__given")), "splits")
+    if groups.agg(F.sum("__given")).first()[0]:
+        return raw
+    if "feed_row" not in raw.columns:
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+        raw = scratch.cut(raw.withColumn("feed_row", row), "placed")
+    ranks = number_rows(groups.withColumn("__listed", listed), ["batch", "__listed", "topic", *PLACE], scratch, name="__rank")
+    ranks = scratch.cut(ranks.select("__rank", *[F.col(c).alias(f"__{c}") for c in by]), "ranks")
     match = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
-    number = F.when(F.col("__any"), F.col("ord")).otherwise(F.col("__rank") * (1 << _ROW_BITS) + F.col("feed_row"))
-    return raw.join(ranks, match).withColumn("ord", number).select(*raw.columns)
+    joined = raw.join(F.broadcast(ranks) if ranks.count() <= FEW_SPLITS else ranks, match)
+    return joined.withColumn("ord", F.col("__rank") * (1 << _ROW_BITS) + F.col("feed_row")).select(*raw.columns)
 
 
 def json_schema() -> str:

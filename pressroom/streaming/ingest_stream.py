@@ -9,15 +9,15 @@ from ..config import Settings
 from ..plans.ingest import Embed, ingest_into
 from ..schema import RAW_FEED
 from ..sources.corpus import Corpus
-from ..sources.feed import json_schema, split_publisher
+from ..sources.feed import json_schema, split_publisher, with_place
 
 
 def stream_feed(spark: SparkSession, path: str, fmt: str = "json", files_per_batch: int = 1000) -> DataFrame:
-    """Raw feed files below ``path`` as a stream with the declared schema."""
+    """Raw feed files below ``path`` as a stream with the declared schema; each record carries its place, as in ``read_feed``."""
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
     if fmt == "json":
-        return split_publisher(reader.schema(json_schema()).json(path))
-    return reader.schema(RAW_FEED).format(fmt).load(path)
+        return split_publisher(with_place(reader.schema(json_schema()).json(path), fmt))
+    return with_place(reader.schema(RAW_FEED).format(fmt).load(path), fmt)
 
 
 def ingest_stream(
@@ -34,7 +34,9 @@ def ingest_stream(
     The micro-batch number names the corpus batch. A micro-batch that is run
     again after a failure is found committed, or overwrites its own folders,
     so every record counts once. Micro-batches give the result of one large
-    batch as long as they arrive in the order of ``ord``.
+    batch as long as they arrive in the order of ``ord``. Records without ``ord``
+    are numbered inside their micro-batch; article ids go on where the last
+    commit ended, so the order of the files holds across micro-batches.
     """
 
     def step(rows: DataFrame, number: int) -> None:

@@ -18,6 +18,7 @@ from pressroom.schema import RAW_FEED
 from pressroom.sources import feed as feeds
 from pressroom.sources.corpus import Corpus, as_json, export
 from pressroom.streaming.alert_stream import alert_stream, daily_counts
+from pressroom.streaming.commit_stream import AcceptedAlerts
 from pressroom.streaming.ingest_stream import ingest_stream, stream_feed
 from tests.standins import hash_embedding
 
@@ -346,6 +347,68 @@ def test_stream_equals_batch(spark, tmp_path):
             == dedup.seen_ledger(one.sightings).select(ledger).orderBy("composite_key").collect())
 
 
+@pytest.mark.parametrize("fmt", ["json", "parquet"])
+def test_stream_without_order(spark, tmp_path, fmt):
+    """Files without ``ord`` in micro-batches give the articles of the numbered feed in one batch."""
+    rng = random.Random(3)
+    records = [record(i, f"Story {rng.randint(1, 30)}", url=f"https://h/{rng.randint(1, 50)}", publisher=f"P{rng.randint(1, 2)}") for i in range(90)]
+    one = ingest_batch(raw(spark, tmp_path, records), Scratch(spark), AS_OF, SETTINGS)
+    folder = tmp_path / "in"
+    for part in range(3):
+        some = [{k: v for k, v in r.items() if k != "ord"} for r in records[part * 30:part * 30 + 30]]
+        where = folder / f"step-{part}"
+        if fmt == "json":
+            where.mkdir(parents=True)
+            (where / "feed.json").write_text("\n".join(json.dumps(r) for r in some))
+        else:
+            plain = tmp_path / f"plain-{part}"
+            plain.mkdir()
+            (plain / "feed.json").write_text("\n".join(json.dumps(r) for r in some))
+            feeds.read_feed(spark, str(plain)).drop("ord", *feeds.PLACE).coalesce(1).write.parquet(str(where))
+    corpus = Corpus.create(spark, str(tmp_path / "corpus"))
+    ingest_stream(stream_feed(spark, f"{folder}/*", fmt, files_per_batch=1), corpus, str(tmp_path / "state"), AS_OF, embed, SETTINGS).awaitTermination(300)
+    columns = ["id", "title", "url", "composite_key"]
+    assert corpus.read("articles").select(columns).orderBy("id").collect() == one.articles.select(columns).orderBy("id").collect()
+    assert corpus.commits().count() == 3
+
+
+def test_micro_batch_does_not_shuffle_the_history(spark):
+    known = spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("composite_key"))
+    batch = known.limit(50).unionByName(spark.createDataFrame([("new",)], "composite_key string"))
+    scratch = Scratch(spark)
+    batch = scratch.cut(batch, "batch")
+    marks = batch.select(F.xxhash64("composite_key").alias("__mark")).distinct()
+    plan = known.withColumn("__mark", F.xxhash64("composite_key")).join(F.broadcast(marks), "__mark", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") <= 1  # the batch's own distinct
+    assert dedup.touched(known, batch, "composite_key", scratch).count() == 50
+    assert dedup.touched(known, batch, "composite_key", scratch, most=10).count() == 200_000
+
+
+def test_accepted_alerts_follow_commits(spark, tmp_path):
+    """Late articles are counted apart, alerts come once, and a step that runs again changes nothing."""
+    corpus = Corpus.create(spark, str(tmp_path / "corpus"), SETTINGS)
+    screened = spark.createDataFrame([("AI", 2, "https://a", True), ("AI", 9, "https://b", True), ("AI", 1, "x", False)],
+                                     "topic string, threshold int, webhook_url string, accepted boolean")
+    alerts = AcceptedAlerts(corpus, str(tmp_path / "alerts"), screened, lateness_days=1)
+
+    def batch(name, days):
+        rows = [record(i, f"Title {name} {i}", url=f"https://h/{name}/{i}", topic="AI", date=f"2026-06-{d:02d}") for i, d in enumerate(days)]
+        folder = tmp_path / f"feed-{name}"
+        folder.mkdir()
+        ingest_into(corpus, name, raw(spark, folder, rows), AS_OF, embed, SETTINGS)
+        alerts.run(str(tmp_path / "state"))
+
+    def rows(table):
+        return sorted((r.day.day, r.articles) for r in alerts.read(table).collect())
+
+    batch("one", [1, 1, 1, 2, 4])
+    assert rows("alerts") == [(1, 3)] and rows("late") == []  # days up to the third are closed
+    batch("two", [1, 4, 4, 6])
+    assert rows("late") == [(1, 1)] and rows("alerts") == [(1, 3), (4, 3)]
+    alerts.step(corpus.commits().where("batch = 'two'"), 1)  # the second step again
+    assert rows("late") == [(1, 1)] and rows("alerts") == [(1, 3), (4, 3)]
+
+
 def test_alert_stream_equals_batch(spark, tmp_path):
     rows = [(f"t{i % 3}", f"2026-06-{1 + i % 9:02d} 10:00:00") for i in range(90)]
     folder = str(tmp_path / "articles")
