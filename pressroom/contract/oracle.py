@@ -295,6 +295,10 @@ where country = 'US' and language = 'en' order by {_COSINE} desc, x.id limit 20"
 pairs as (select a.id as query_id, b.id, list_cosine_similarity(a.v, b.v) as s from v a, v b)
 select query_id, row_number() over (partition by query_id order by s desc, id)::integer as place, id,
   round(s, 6) as similarity from pairs qualify place <= 10""",
+    "knn_grid": f"""with v as (select vec_id as id, embedding::double[] as v from embeddings),
+pairs as (select x.id as query_id, q.id, {_L2} as s from v x, v q)
+select query_id, row_number() over (partition by query_id order by s desc, id)::integer as place, id, round(s, 6) as similarity
+from pairs qualify place <= 3""",
     "semantic_search": f"""with {VECTORS},
 hits as (select x.id, {_COSINE} as s from vectors x, q where country = 'US' and language = 'en'
   order by s desc, x.id limit 30),

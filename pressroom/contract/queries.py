@@ -404,6 +404,15 @@ def knn_batch(spark, sf_dir):
     return hits.select("query_id", "place", "id", _r6("similarity"))
 
 
+@query
+def knn_grid(spark, sf_dir):
+    """Three neighbours of every stored vector by squared distance, queries and vectors meeting in a grid."""
+    stored = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    queries = stored.withColumnRenamed("id", "query_id")
+    hits = V.nearest_batch(stored, queries, 3, Scratch(spark, "contract"), "l2sq", block_queries=16, dim=DIM)
+    return hits.select("query_id", "place", "id", _r6("similarity"))
+
+
 # ---- search ------------------------------------------------------------------
 
 @query_as("semantic_search")

@@ -11,7 +11,7 @@ from ..functions.dates import blend, recency_score, since_day
 from ..runtime import Scratch
 from .keyword import Index, keyword_search
 from .skew import heavy_values, join_unique
-from .vectors import nearest, nearest_batch
+from .vectors import check_length, nearest, nearest_batch
 
 MOST_IDS = 10_000  # ids that a scan filter may name
 
@@ -69,13 +69,16 @@ def semantic_search(
     compat: str = "documented",
     date_filter: str = "post",
     recency_weight: float = RECENCY_WEIGHT,
+    dim: int | None = None,
 ) -> DataFrame:
     """Neighbours re-ranked by similarity and recency.
 
     Three times ``limit`` neighbours are taken first and the date cut follows
     (``date_filter="post"``), so old neighbours can crowd out newer ones;
-    ``"pre"`` cuts before the neighbours are chosen.
+    ``"pre"`` cuts before the neighbours are chosen. ``dim`` is the corpus'
+    dimension: a query of another length is refused before any job.
     """
+    check_length(query, dim)
     since = since_day(as_of, days)
     if date_filter == "pre" and since is not None:
         vectors = vectors.join(articles.where(_in_window(since)).select("id"), "id", "left_semi")
@@ -98,7 +101,7 @@ def search(
     language: str | None = None,
     semantic: bool = True,
     limit: int = 10,
-    **options: str,
+    **options,
 ) -> DataFrame:
     """Semantic search, or keyword search if asked for or without any vector.
 
@@ -142,13 +145,14 @@ def search_batch(
     metric: str = "cosine",
     compat: str = "documented",
     recency_weight: float = RECENCY_WEIGHT,
+    dim: int | None = None,
 ) -> DataFrame:
     """Semantic search for a table of (query_id, embedding), ``place`` from 1.
 
     One article may be a neighbour of most queries: such ids are found by a
     count and meet their article by broadcast.
     """
-    hits = scratch.cut(nearest_batch(vectors, queries, limit * WINDOW_FACTOR, scratch, metric).drop("place"), "hits")
+    hits = scratch.cut(nearest_batch(vectors, queries, limit * WINDOW_FACTOR, scratch, metric, dim=dim).drop("place"), "hits")
     needed = articles.select(*[c for c in (*RESULT, "publisher_name", "published_at") if c in articles.columns])
     found = join_unique(hits, needed, "id", heavy_values(hits, "id", scratch), "inner").where(_in_window(since_day(as_of, days)))
     scored = found.withColumn("score", _score(as_of, compat, recency_weight))

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import EmbeddingMismatch
 from ..runtime import Scratch
-from .numbering import number_rows
 
 # Queries held by every task at once. A block of 4096 queries with 384
-# dimensions is 12 MB; more queries are answered block by block.
+# dimensions is 12 MB; more queries are answered by a grid.
 BLOCK_QUERIES = 4096
+CHUNK_BYTES = 64 << 20  # vectors that one task of the grid holds, as doubles
 _STRIPE = 128  # queries multiplied with one Arrow batch at a time
 METRICS = ("cosine", "l2sq")
 
@@ -140,6 +140,11 @@ def _partial_top(
     return found.join(F.broadcast(lookup), "query_no").select("query_id", "id", "similarity")
 
 
+def check_length(query: Sequence[float], dim: int | None) -> None:
+    if dim is not None and len(query) != dim:
+        raise EmbeddingMismatch(f"the query has {len(query)} dimensions, the stored vectors have {dim}")
+
+
 def nearest(
     vectors: DataFrame,
     query: Sequence[float],
@@ -158,8 +163,7 @@ def nearest(
     """
     if metric not in METRICS:
         raise EmbeddingMismatch(f"metric must be one of {METRICS}")
-    if dim is not None and len(query) != dim:
-        raise EmbeddingMismatch(f"the query has {len(query)} dimensions, the stored vectors have {dim}")
+    check_length(query, dim)
     clause = place_filter(country, language)
     rows = vectors if clause is None else vectors.where(clause)
     found = _partial_top(rows, [0], np.asarray([query], dtype="float64"), "int", k, metric)
@@ -173,28 +177,78 @@ def nearest_batch(
     scratch: Scratch,
     metric: str = "cosine",
     block_queries: int = BLOCK_QUERIES,
+    chunk_bytes: int = CHUNK_BYTES,
+    dim: int | None = None,
 ) -> DataFrame:
     """k most similar rows for each (query_id, embedding), with their place.
 
-    Queries travel to the vectors in blocks of a fixed size, so any number of
-    them can be answered; each block reads the vectors once.
+    ``dim``: the dimension of the stored model; a query of another length is refused before the vectors are read.
+    One block of queries travels to the vectors, which stay where they are. More queries are answered in one job by a
+    grid: vectors are dealt into chunks that fit a task, every query visits every chunk, and a task keeps
+    k rows per query, which are then merged. No number of queries adds a pass or a job.
     """
-    wanted = queries.select("query_id", "embedding")
+    if metric not in METRICS:
+        raise EmbeddingMismatch(f"metric must be one of {METRICS}")
+    wanted = scratch.cut(queries.select("query_id", "embedding"), "queries")
+    if dim is not None:
+        check_queries(wanted, dim)
     query_type = wanted.schema["query_id"].dataType.simpleString()
-    blocks = -(-wanted.count() // block_queries)
-    if blocks <= 1:
-        found = _block_top(vectors, wanted, query_type, k, metric)
-    else:
-        numbered = number_rows(wanted, ["query_id"], scratch, start=0, name="no")
-        placed = scratch.cut(numbered.withColumn("block", F.expr(f"no div {block_queries}")), "queries")
-        base = scratch.path("block-hits")
-        for block in range(blocks):
-            rows = placed.where(F.col("block") == block)
-            hits = _block_top(vectors, rows, query_type, k, metric)
-            _best(hits, k).write.parquet(f"{base}/block={block}")
-        schema = f"query_id {query_type}, id bigint, similarity double, place int, block bigint"
-        return vectors.sparkSession.read.schema(schema).parquet(base).drop("block")
-    return _best(found, k)
+    number = wanted.count()
+    if number <= block_queries:
+        return _best(_block_top(vectors, wanted, query_type, k, metric), k)
+    dim = dim or wanted.agg(F.max(F.size("embedding"))).first()[0]
+    stored = scratch.cut(vectors.select("id", "embedding"), "vectors")
+    chunks = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-stored.count() * dim * 8 // chunk_bytes))
+    rows = stored.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn("kind", F.lit(0))
+    visits = wanted.select("query_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("kind"))
+    grid = rows.unionByName(visits, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    return _best(grid.mapInArrow(_grid_top(k, dim, metric), f"query_id {query_type}, id bigint, similarity double"), k)
+
+
+def check_queries(queries: DataFrame, dim: int) -> None:
+    """Raise unless every query has the dimension of the stored model."""
+    for row in queries.where(F.coalesce(F.size("embedding"), F.lit(0)) != dim).select("query_id", F.size("embedding").alias("n")).limit(1).collect():
+        raise EmbeddingMismatch(f"query {row.query_id!r} has {row.n} dimensions, the stored vectors have {dim}")
+
+
+def _matrix(column: pa.Array, count: int, dim: int) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) != count * dim:
+        raise EmbeddingMismatch(f"a vector does not have {dim} dimensions")
+    return flat.reshape(-1, dim).astype("float64")
+
+
+def _grid_top(k: int, dim: int, metric: str):
+    """The k best rows of each chunk for every query, from a stream with a chunk's vectors before its visits."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, parts, held, rows, ids = None, [], [], None, None
+        for batch in batches:
+            places = batch.column("chunk").to_numpy() * 2 + batch.column("kind").to_numpy()
+            borders = [0, *(np.flatnonzero(places[1:] != places[:-1]) + 1).tolist(), len(places)]
+            for i, j in zip(borders, borders[1:]):
+                if i == j:
+                    continue
+                part, place = batch.slice(i, j - i), int(places[i])
+                if place // 2 != chunk:
+                    chunk, parts, held, rows = place // 2, [], [], None
+                if place % 2 == 0:
+                    parts.append(_matrix(part.column("embedding"), j - i, dim))
+                    held.append(part.column("id").to_numpy())
+                    continue
+                if not parts:
+                    continue  # a chunk without vectors
+                if rows is None:
+                    rows, ids = np.vstack(parts), np.concatenate(held)
+                queries = _matrix(part.column("embedding"), j - i, dim)
+                for at in range(0, j - i, _STRIPE):
+                    now = _similarity(rows, queries[at:at + _STRIPE], metric)
+                    best, best_ids = _top(now, np.broadcast_to(ids, now.shape), k)
+                    index = np.repeat(np.arange(at, at + len(now)), best.shape[1])
+                    yield pa.RecordBatch.from_arrays([part.column("query_id").take(pa.array(index)), pa.array(best_ids.ravel()), pa.array(best.ravel())],
+                                                     names=["query_id", "id", "similarity"])
+
+    return scan
 
 
 def _block_top(vectors: DataFrame, block: DataFrame, query_type: str, k: int, metric: str) -> DataFrame:

@@ -76,6 +76,17 @@ class Corpus:
         elif (held.embed_model, held.embed_dim) != (model, dim):
             raise EmbeddingMismatch(f"the corpus holds {held.embed_model!r} with {held.embed_dim} dimensions, not {model!r} with {dim}")
 
+    def dim(self) -> int | None:
+        """Dimension of the stored vectors, which search calls hand on; None before the first use."""
+        held = self.spark.read.schema(MODEL).parquet(self._path("model")).first()
+        return held.embed_dim if held else None
+
+    def search(self, text: str, embed_query: Callable[[str], list[float]], as_of: str, **options) -> DataFrame:
+        """``operators.search.search`` over what is stored, with its keyword index and its model's dimension."""
+        from ..operators.search import search  # search reads corpora, this module stores them
+
+        return search(text, self.read("vectors"), self.read("articles"), self.keyword_index, embed_query, as_of, dim=self.dim(), **options)
+
     def is_committed(self, batch: str) -> bool:
         return not self.commits().where(F.col("batch") == batch).isEmpty()
 

@@ -223,3 +223,20 @@ def test_timeline(spark):
     assert timeline_all_topics(arts).agg(F.sum("count")).first()[0] == 6
     assert tuple(corpus_stats(arts, table, "m", 2).first()) == (6, 6, "m", 2)
     assert tuple(corpus_stats(arts.limit(0), table.limit(0), "m", 2).first()) == (0, 0, "m", 2)
+
+
+def test_grid_is_one_pass_and_checks_lengths(spark):
+    """Queries far beyond a block take one exchange of the vectors, whatever their number; wrong lengths are refused first."""
+    rows = [(i, [float((i * p) % 17 - 8) for p in (3, 5, 7)]) for i in range(300)]
+    stored = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = stored.withColumnsRenamed({"id": "query_id"}).withColumn("query_id", F.concat(F.lit("q"), F.col("query_id")))
+    one = V.nearest_batch(stored, asked, 5, Scratch(spark), "cosine")
+    grid = V.nearest_batch(stored, asked, 5, Scratch(spark), "cosine", block_queries=1, chunk_bytes=200)
+    order = ["query_id", "place"]
+    assert [(r.query_id, r.id, round(r.similarity, 9)) for r in one.orderBy(order).collect()] == [(r.query_id, r.id, round(r.similarity, 9)) for r in grid.orderBy(order).collect()]
+    plan = grid._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    with pytest.raises(V.EmbeddingMismatch):
+        V.nearest_batch(stored, asked, 5, Scratch(spark), dim=4)
+    with pytest.raises(V.EmbeddingMismatch):
+        S.semantic_search(stored, stored, [1.0, 2.0], "2026-01-01 00:00:00", dim=3)
