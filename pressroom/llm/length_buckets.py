@@ -1,11 +1,10 @@
 """Packing into optimal length buckets with token-budget batches.
 
-A histogram of all lengths (aggregated, at most some thousand cells) goes to the
-driver, where dynamic programming chooses the boundaries with the least padding:
-best[k][j] = min over i of best[k-1][i] + padding of cells i..j-1 under the
-boundary of cell j-1. Boundaries are lengths with eight significant bits (exact up to
-256 tokens, within 1/128 above), which bounds the histogram for any corpus; the
-padding is counted on true lengths.
+The histogram of true lengths goes to the driver: D different lengths need D(D+1)/2 tokens at least, so it
+has at most sqrt(2 * tokens) cells, some millions for a hundred terabytes of text. Dynamic programming then
+chooses the boundaries with the least padding: best[k][j] = min over i of best[k-1][i] + padding of cells
+i..j-1 under the boundary of cell j-1. The best i never falls as j grows, so each row is computed by halves,
+in m log m steps rather than m squared.
 
 Inside a bucket a batch has token_budget // boundary documents. A document longer than the
 budget is a batch of its own: nothing is cut or dropped.
@@ -24,7 +23,7 @@ from . import common
 
 BUCKETS = 8
 TOKEN_BUDGET = 65_536
-SIGNIFICANT_BITS = 8
+DIRECT = 64  # cells of a row that are computed at once
 
 
 def tokens(text: Column) -> Column:
@@ -32,36 +31,46 @@ def tokens(text: Column) -> Column:
     return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
 
 
-def cell(length: str) -> Column:
-    """The length rounded up to SIGNIFICANT_BITS significant bits."""
-    return F.expr(
-        f"shiftleft(shiftright({length} + shiftleft(1L, greatest(0, length(bin({length})) - {SIGNIFICANT_BITS})) - 1,"
-        f" greatest(0, length(bin({length})) - {SIGNIFICANT_BITS})), greatest(0, length(bin({length})) - {SIGNIFICANT_BITS}))"
-    )
-
-
 @dataclass(frozen=True)
 class Plan:
     boundaries: list[int]
     padding: int
 
 
+def _row(best: np.ndarray, cells: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """best[k] and the first best cut of each j from best[k-1]."""
+    m = len(cells)
+    now, cut = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
+    todo = [(k, m, k - 1, m - 1)]  # j from..to, cuts from..to
+    while todo:
+        low, high, first, last = todo.pop()
+        if low > high:
+            continue
+        if high - low < DIRECT and (high - low + 1) * (last - first + 1) <= 1 << 20:
+            j, i = np.arange(low, high + 1)[:, None], np.arange(first, last + 1)[None]
+            cost = np.where(i < j, best[i] + cells[j - 1] * (c[j] - c[i]) - (s[j] - s[i]), np.iinfo(np.int64).max)
+            at = cost.argmin(1)
+            now[low:high + 1], cut[low:high + 1] = cost[np.arange(high - low + 1), at], first + at
+            continue
+        j = (low + high) // 2
+        i = slice(first, min(last, j - 1) + 1)
+        cost = best[i] + cells[j - 1] * (c[j] - c[i]) - (s[j] - s[i])
+        at = first + int(cost.argmin())
+        now[j], cut[j] = cost[at - first], at
+        todo += [(low, j - 1, first, at), (j + 1, high, at, last)]
+    return now, cut
+
+
 def optimal(cells: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int = BUCKETS) -> Plan:
     """Boundaries (ascending cells) of at most ``buckets`` buckets with the least padding; of equal plans the one with the shortest buckets at the end split first."""
     m = len(cells)
     if not m:
         return Plan([], 0)
     c, s = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(sums)])
-    best = cells[np.arange(m)] * c[1:] - s[1:]  # one bucket over cells 0..j
-    best = np.concatenate([[0], best])
+    best = np.concatenate([[0], cells * c[1:] - s[1:]])  # one bucket over cells 0..j
     cuts = []
     for k in range(2, min(buckets, m) + 1):
-        now, cut = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
-        for j in range(k, m + 1):
-            cost = best[k - 1:j] + cells[j - 1] * (c[j] - c[k - 1:j]) - (s[j] - s[k - 1:j])
-            i = int(cost.argmin())
-            now[j], cut[j] = cost[i], k - 1 + i
-        best = now
+        best, cut = _row(best, cells, c, s, k)
         cuts.append(cut)
     at, ends = m, []
     for cut in reversed(cuts):
@@ -79,7 +88,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
     """
     scratch = scratch or Scratch(docs.sparkSession, "pack")
     rows = scratch.cut(docs.select("doc_id", tokens(F.col("text")).alias("n_tokens")), "lengths")
-    held = rows.groupBy(cell("n_tokens").alias("cell")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).orderBy("cell")
+    held = rows.groupBy(F.col("n_tokens").alias("cell")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).orderBy("cell")
     cells, counts, sums = common.arrays(held)
     plan = optimal(cells, counts, sums, buckets)
     placed = number_rows(rows, ["n_tokens", "doc_id"], scratch, start=0, name="place")

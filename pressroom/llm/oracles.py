@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import ns_kmeans
-from .length_buckets import BUCKETS, SIGNIFICANT_BITS, TOKEN_BUDGET
+from .length_buckets import BUCKETS, TOKEN_BUDGET
 from .queries import RULES
 from .url_terms import SOFT, STRICT, THRESHOLD, UPPER, LOW
 
@@ -43,7 +43,6 @@ def _op6() -> str:
 
 
 def _op8() -> str:
-    bits = f"greatest(0, length(bin(n)) - {SIGNIFICANT_BITS})"
     big = 1_000_000  # cost * big + split: the smallest cost, then the first split
     steps = [f"""d1 as (select j, cast(v as hugeint) * c - s as cost, cast(0 as bigint) as i from cells)"""]
     for k in range(2, BUCKETS + 1):
@@ -58,7 +57,7 @@ def _op8() -> str:
     ends = " union ".join(f"select j from b{k}" for k in range(1, BUCKETS + 1))
     return f"""
         with lengths as (select doc_id, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) + 1 as bigint) as n from documents),
-        sized as (select doc_id, n, ((n + (cast(1 as bigint) << {bits}) - 1) >> {bits}) << {bits} as v from lengths),
+        sized as (select doc_id, n, n as v from lengths),
         hist as (select v, count(*) as n, cast(sum(n) as bigint) as t from sized group by v),
         cells as (select row_number() over (order by v) as j, v, cast(sum(n) over (order by v) as bigint) as c, cast(sum(t) over (order by v) as bigint) as s from hist),
         {", ".join(steps)},

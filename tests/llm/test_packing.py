@@ -35,8 +35,16 @@ def test_pack(docs, rows, no_docs):
     assert lb.pack(no_docs).collect() == []
 
 
-def test_cells(spark):
-    got = spark.range(1, 5000).select("id", lb.cell("id").alias("c")).collect()
-    for n, c in got:
-        shift = max(0, n.bit_length() - 8)
-        assert c == -(-n >> shift) << shift and n <= c <= n * (1 + 1 / 128)
+def test_true_lengths_are_boundaries(spark):
+    """Texts of one length above 256 tokens need no padding; many lengths get the exact optimum of the plain recurrence."""
+    docs = spark.createDataFrame([(i, "w " * 1000) for i in range(10)], "doc_id long, text string")
+    assert [(r.boundary, r.padding) for r in lb.pack(docs).collect()] == [(1001, 0)] * 10
+    rng = np.random.default_rng(5)
+    lengths = np.concatenate([rng.integers(1, 4000, 900), rng.integers(30_000, 90_000, 60)])
+    cells, counts = np.unique(lengths, return_counts=True)
+    got = lb.optimal(cells, counts, cells * counts, 6)
+    c, s, m = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(cells * counts)]), len(cells)
+    best = [0, *(cells * c[1:] - s[1:]).tolist()]
+    for k in range(2, 7):
+        best = [0 if j < k else min(best[i] + int(cells[j - 1] * (c[j] - c[i]) - (s[j] - s[i])) for i in range(k - 1, j)) for j in range(m + 1)]
+    assert got.padding == best[m] == sum(int(min(e for e in got.boundaries if e >= x) - x) for x in lengths)
