@@ -11,7 +11,7 @@ Bundles of languages are integer sums, so they do not depend on how rows are spl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +25,9 @@ DIMENSION = 1024
 SEED = 20
 BLOCK_DOCS = 256
 DENSE = 1 << 22
+BLOCK_TRIGRAMS = 4096  # trigrams whose vectors are held at once: some 20 MB
+LEAST_SCORE = 0.08  # cosine below which a text is in none of the known languages
+ENOUGH_TRIGRAMS = 100  # a text with fewer different ones is too short or too uniform for its score to speak against it
 
 
 @lru_cache(maxsize=1)
@@ -79,6 +82,15 @@ def bound(letters: np.ndarray, dimension: int) -> np.ndarray:
     return base[at[0], 0] * base[at[1], 1] * base[at[2], 2]
 
 
+def bundled(counts: np.ndarray, letters: np.ndarray, dimension: int) -> np.ndarray:
+    """Sum of the trigrams' vectors for each row of counts, a block of trigrams at a time."""
+    out = np.zeros((len(counts), dimension), np.float32)
+    for at in range(0, counts.shape[1], BLOCK_TRIGRAMS):
+        part = slice(at, at + BLOCK_TRIGRAMS)
+        out += counts[:, part] @ bound(letters[:, part], dimension).astype(np.float32)
+    return out
+
+
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
     column = batch.column("text")
     _, at = common.flat(column)
@@ -88,28 +100,36 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
             yield k, end, [t or "" for t in column.slice(k, end - k).to_pylist()]
 
 
-def _bundle(dimension: int):
+def _bundle(dimension: int, level: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for i, j, texts in _blocks(batch):
                 counts, letters, _ = trigrams(texts)
-                vectors = bound(letters, dimension)
+                if level:
+                    counts = np.minimum(counts, 1)
                 own = np.array(langs[i:j])
-                for lang in np.unique(own):
-                    total = counts[own == lang].sum(0, dtype=np.float64)
-                    some = np.flatnonzero(total)
-                    sums[lang] = sums.get(lang, 0) + np.rint(total[some] @ vectors[some].astype(np.float64)).astype(np.int64)
+                names = np.unique(own)
+                totals = np.stack([counts[own == lang].sum(0, dtype=np.float64) for lang in names])
+                whole = np.zeros((len(names), dimension))
+                for at in range(0, totals.shape[1], BLOCK_TRIGRAMS):
+                    part = slice(at, at + BLOCK_TRIGRAMS)
+                    whole += totals[:, part] @ bound(letters[:, part], dimension).astype(np.float64)
+                for lang, v in zip(names, np.rint(whole).astype(np.int64)):
+                    sums[lang] = sums.get(lang, 0) + v
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * dimension), pa.array(np.arange(dimension, dtype=np.int32)), pa.array(np.broadcast_to(v, dimension))], names=["lang", "at", "sum"])
 
     return run
 
 
-def profiles(labelled: DataFrame, dimension: int = DIMENSION) -> dict[str, np.ndarray]:
-    """Prototype of each language of (text, lang) as a unit vector; null languages are left out."""
-    rows = labelled.where("lang is not null").select("text", "lang").mapInArrow(_bundle(dimension), "lang string, at int, sum long")
+def profiles(labelled: DataFrame, dimension: int = DIMENSION, level: bool = False) -> dict[str, np.ndarray]:
+    """Prototype of each language of (text, lang) as a unit vector; null languages are left out.
+
+    ``level``: a text counts each of its trigrams once, so a long text of repeats does not make the prototype.
+    """
+    rows = labelled.where("lang is not null").select("text", "lang").mapInArrow(_bundle(dimension, level), "lang string, at int, sum long")
     held = rows.groupBy("lang", "at").agg(F.sum("sum").alias("sum"))
     sums: dict[str, np.ndarray] = {}
     for lang, at, value in zip(*(c.tolist() for c in common.arrays(held))):  # languages x dimension
@@ -123,24 +143,25 @@ def _predict(shared, dimension: int, extra: list[str]):
         names = [*known, "und"]
         matrix = np.stack(list(known.values())).astype(np.float32).T if known else np.zeros((dimension, 0), np.float32)
         for batch in batches:
-            best, score = [], []
+            best, score, sizes = [], [], []
             for _, _, texts in _blocks(batch):
                 counts, letters, some = trigrams(texts)
-                whole = counts @ bound(letters, dimension).astype(np.float32)
+                whole = bundled(counts, letters, dimension)
                 length = np.sqrt(np.einsum("ij,ij->i", whole, whole))
                 cosine = (whole @ matrix) / np.maximum(length, 1e-9)[:, None]
                 at = cosine.argmax(1) if known else np.zeros(len(texts), np.int64)
                 top = cosine[np.arange(len(texts)), at] if known else np.zeros(len(texts))
                 fine = some & bool(known)
                 best += [names[k] if ok else "und" for k, ok in zip(at, fine)]
+                sizes += np.count_nonzero(counts, 1).tolist()
                 score += np.where(fine, np.clip(top, 0, 1), 0).astype(np.float64).round(6).tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*extra, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(sizes, pa.int64())], names=[*extra, "lang_pred", "score", "n_trigrams"])
 
     return run
 
 
 def identify(docs: DataFrame, learn, dimension: int = DIMENSION) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, lang): doc_id, learnt, lang_pred, score (cosine, 0 to 1).
+    """Per row of ``docs`` (doc_id, text, lang): doc_id, learnt, lang_pred, score (cosine, 0 to 1), n_trigrams (different ones).
 
     Profiles come from rows where the column ``learn`` is true and lang is not null. Text that is null or has no
     letter is ``und`` with score 0; so is every text if nothing could be learnt. Ties go to the first name.
@@ -149,21 +170,32 @@ def identify(docs: DataFrame, learn, dimension: int = DIMENSION) -> DataFrame:
     known = profiles(docs.where(learn).select("text", "lang"), dimension)
     shared = docs.sparkSession.sparkContext.broadcast(known)
     rows = docs.select("doc_id", "text", learn.alias("learnt"))
-    return rows.mapInArrow(_predict(shared, dimension, ["doc_id", "learnt"]), "doc_id long, learnt boolean, lang_pred string, score double")
+    return rows.mapInArrow(_predict(shared, dimension, ["doc_id", "learnt"]), "doc_id long, learnt boolean, lang_pred string, score double, n_trigrams long")
 
 
-def _keep(shared, dimension: int, names: list[str]):
+def _keep(shared, dimension: int, wanted: frozenset[str] | None, least: float):
     predict = _predict(shared, dimension, [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not shared.value:  # nothing learnt: only a text without a letter is in no language
+                some = [bool(x) for _, _, texts in _blocks(batch) for x in trigrams(texts)[2]]
+                yield batch.filter(pa.array(some, pa.bool_()))
+                continue
             for got in predict(iter([batch])):
-                yield batch.filter(pc.not_equal(got.column("lang_pred"), "und"))
+                near = pc.or_(pc.greater_equal(got.column("score"), least), pc.less(got.column("n_trigrams"), ENOUGH_TRIGRAMS))
+                keep = pc.and_(pc.not_equal(got.column("lang_pred"), "und"), near)
+                if wanted is not None:
+                    keep = pc.and_(keep, pc.is_in(got.column("lang_pred"), pa.array(sorted(wanted), pa.string())))
+                yield batch.filter(keep)
 
     return run
 
 
-def with_language(docs: DataFrame, learn, dimension: int = DIMENSION) -> DataFrame:
-    """Rows of ``docs`` that are in some language: those predicted ``und`` go; all columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(profiles(docs.where(F.coalesce(learn, F.lit(False))).select("text", "lang"), dimension))
-    return docs.mapInArrow(_keep(shared, dimension, docs.columns), docs.schema)
+def with_language(docs: DataFrame, learn, wanted: Iterable[str] | None = None, least: float = LEAST_SCORE, dimension: int = DIMENSION) -> DataFrame:
+    """Rows of ``docs`` whose predicted language is one of ``wanted`` (None: any) with a score of ``least`` or more; all columns stay.
+
+    Texts with fewer than ENOUGH_TRIGRAMS different trigrams are not rejected by their score. Null texts and those without a letter go. If nothing could be learnt there is no score to judge by: all texts with a letter stay.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(profiles(docs.where(F.coalesce(learn, F.lit(False))).select("text", "lang"), dimension, level=True))
+    return docs.mapInArrow(_keep(shared, dimension, None if wanted is None else frozenset(wanted), least), docs.schema)

@@ -155,3 +155,27 @@ def test_pairs_learn_what_single_features_cannot():
     model = gam.fit(x, y, rounds=10, pairs=1)
     assert list(model.pairs) == [(0, 1)]
     assert ((model.score(x) > 0.5) == y).mean() > 0.95
+
+
+def test_language_stage_rejects_through_the_method(spark):
+    """Long texts of unknown languages go, unwanted languages go if asked, and without a learnt language only letterless texts go."""
+    rng = np.random.default_rng(3)
+    foreign = " ".join("".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, 6)) for _ in range(60))
+    english = "the quick brown fox jumps over the lazy dog while seven wise owls watch from the old oak tree near the quiet river and nobody hears"
+    german = "der schnelle braune Fuchs springt über den faulen Hund während sieben weise Eulen von der alten Eiche am stillen Fluss zusehen"
+    rows = [(1, english, "en"), (2, german, "de"), (3, foreign, None), (4, "ok", None), (5, "12 34", "en"), (6, None, "en"), (7, "junk " * 5000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    learn = F.col("doc_id").isin(1, 2, 7)
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    assert ids(hyperdim.with_language(docs, learn)) == [1, 2, 4, 7]
+    assert 2 in ids(hyperdim.with_language(docs, learn, wanted=["de"]))
+    assert 1 not in ids(hyperdim.with_language(docs, learn, wanted=["de"]))
+    assert ids(hyperdim.with_language(docs.withColumn("lang", F.lit(None).cast("string")), learn)) == [1, 2, 3, 4, 7]
+    assert ids(hyperdim.with_language(docs, F.lit(False))) == [1, 2, 3, 4, 7]
+
+
+def test_blocks_of_trigrams_change_nothing(monkeypatch):
+    counts, letters, _ = hyperdim.trigrams(["one two three four five", "six seven eight nine ten", ""])
+    whole = counts @ hyperdim.bound(letters, 256).astype(np.float32)
+    monkeypatch.setattr(hyperdim, "BLOCK_TRIGRAMS", 3)
+    assert (hyperdim.bundled(counts, letters, 256) == whole).all()
