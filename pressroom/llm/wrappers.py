@@ -7,12 +7,18 @@ neighbouring blocks of one kind become a repeated group whose bodies are aligned
 children are aligned with the wrapper's by longest common subsequence: what both have is merged, what one
 lacks becomes optional, text that differs becomes a slot and text that is always the same stays template text.
 
-Alignment is a merge, so it needs no order: every task merges the pages of each host it sees,
-and the tasks' wrappers (as large as a page layout, whatever the number of pages) merge in two
-levels. The rules read off a wrapper name the slots of the article: those inside the
-element that holds it, without template text and without elements that mark menus, adverts and the like.
-
-Pages are then read once more, with their host's rules.
+Every task merges the pages of each host it sees, and the tasks' wrappers (as large as a page layout, whatever
+the number of pages) merge in two levels. The expression may place optional items differently when pages come in
+another order, but what is decided for a slot depends on its path and on sums over all pages only, so
+the text read is the same. Slots of the article are those inside the element that holds it, without
+elements that mark menus, adverts and the like; text that never changes stays there.
+
+Pages are then read once more and matched with their layout's expression: each block goes to the next item of its
+kind, a repeated group may go back, and the text is what stands in the article's slots. Pages without
+a host in their URL are of many sites; each is its own expression.
+
+An element that is marked by its class is no mark when it holds the article: article and main elements, what
+is around them, and whatever holds nearly all text of the page that is no link.
 """
 
 from __future__ import annotations
@@ -43,6 +49,8 @@ NOT_WORDS = set(
     "breadcrumb breadcrumbs footer foot masthead topbar toolbar notice notices cookie cookies consent gdpr alert popup modal overlay comment comments commentlist reply replies respond disqus "
     "discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login paywall widget widgets pagination pager skip complementary contentinfo "
     "dialog search hidden".split())
+# Words that only say where an element stands or what it is made of.
+PLACES = set("top left right bottom site page list item items box block wrap wrapper container section bar area link links button buttons unit slot inner outer col row primary secondary global main first last".split())
 HOLDERS = {"html", "body", "div", "section", "center", "table", "tbody", "tr", "td"}
 MAIN_WORDS = {"article", "post", "entry", "story", "content", "main", "articlebody"}
 
@@ -50,22 +58,30 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 MARKS = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 WORD = re.compile(r"[a-z]+")
 BLANK = re.compile(r"\s+")
+DEEPEST = 120  # elements below are read as part of the one at this depth; their texts are blocks as ever
+NEARLY_ALL = 0.9
+
+
+def is_mark(name: str) -> bool:
+    """Whether a whole class name says that its element is no article text: its words are all marks, or marks and names of places."""
+    words = WORD.findall(name)
+    return any(w in NOT_WORDS for w in words) and all(w in NOT_WORDS or w in PLACES for w in words)
 
 
 def label_of(tag: str, attributes: str) -> str:
     """Tag and the first six words of its class, id and role, without numbers, and those that say it holds the article; ``!`` marks what is no article text."""
-    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        words = []
-    else:
-        words = []
+    words, bad = [], tag in NOT_TEXT
+    if attributes and ("=" in attributes or "hidden" in attributes.lower()):
         for name, value in MARKS.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 words.append("hidden")
+                bad = True
             elif name in ("class", "id", "role", "itemprop"):
                 words += WORD.findall(value)
+                bad = bad or any(is_mark(x) for x in value.split())
     words = sorted(set(words))
-    bad = tag in NOT_TEXT or any(w in NOT_WORDS for w in words) and tag not in ("html", "body")
+    bad = bad and tag not in ("html", "body", "article", "main")
     return ("!" if bad else "") + tag + ("." + ".".join(words[:6] + [w for w in words[6:] if w in MAIN_WORDS]) if words else "")
 
 
@@ -74,15 +90,14 @@ class Block:
 
     __slots__ = ("path", "text", "links")
 
-    def __init__(self, path: tuple[str, ...], text: str, links: int) -> None:
-        self.path, self.text, self.links = path, text, links
+    def __init__(self, text: str, links: int) -> None:
+        self.path, self.text, self.links = (), text, links
 
 
 def parse(page: str) -> tuple[list, list[Block]]:
     """The tree of block elements, [label, children] with text leaves as Block, and the blocks in order."""
     root: list = ["", []]
     stack: list[tuple[str, list]] = [("", root)]
-    blocks: list[Block] = []
     held: list[str] = []
     links, in_link = 0, 0
 
@@ -91,9 +106,7 @@ def parse(page: str) -> tuple[list, list[Block]]:
         if held:
             text = BLANK.sub(" ", "".join(held)).strip()
             if text:
-                b = Block(tuple(n[0] for _, n in stack[1:]), text, min(links, len(text)))
-                blocks.append(b)
-                stack[-1][1][1].append(b)
+                stack[-1][1][1].append(Block(text, min(links, len(text))))
             held.clear()
             links = 0
 
@@ -107,6 +120,13 @@ def parse(page: str) -> tuple[list, list[Block]]:
                 return False
         return False
 
+    def down(tag: str, label: str) -> None:
+        node = stack[-1][1]
+        if len(stack) <= DEEPEST:
+            node[1].append(below := [label, []])
+            node = below
+        stack.append((tag, node))
+
     def marked(tag: str) -> int | None:
         """Place of the innermost open inline element of that tag on the stack (only marked ones are there); p ends with it, other blocks hold it open."""
         for k in range(len(stack) - 1, 0, -1):
@@ -173,9 +193,8 @@ def parse(page: str) -> tuple[list, list[Block]]:
                 continue
             # an inline element that marks an advert or the like is cut out as a block of its own
             flush()
-            stack[-1][1][1].append(node := [words, []])
             nested[len(stack)] = 0
-            stack.append((tag, node))
+            down(tag, words)
             continue
         flush()
         if tag == "br" or tag in VOID:
@@ -186,11 +205,49 @@ def parse(page: str) -> tuple[list, list[Block]]:
             close(other, SCOPE)
         if tag == "body":
             close("head")
-        node = [label_of(tag, m.group(3)), []]
-        stack[-1][1][1].append(node)
-        stack.append((tag, node))
+        down(tag, label_of(tag, m.group(3)))
     flush()
-    return root, blocks
+    protect(root)
+    return root, blocks_of(root)
+
+
+def _weigh(root: list) -> list[tuple[list, int, bool]]:
+    """Each element, the element before its children, with its text that is no link and whether it is or holds an article or main element."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node[1] if not isinstance(c, Block)]
+    weight: dict[int, tuple[int, bool]] = {}
+    for node in reversed(order):
+        own = sum(max(0, len(c.text) - c.links) for c in node[1] if isinstance(c, Block))
+        below = [weight[id(c)] for c in node[1] if not isinstance(c, Block)]
+        holds = node[0].split(".")[0] in ("article", "main") and own + sum(w for w, _ in below) > 0
+        weight[id(node)] = own + sum(w for w, _ in below), holds or any(h for _, h in below)
+    return [(node, *weight[id(node)]) for node in order]
+
+
+def protect(root: list) -> None:
+    """Take the mark off elements that hold the article: an article or main element with most of their text, or nearly all text of the page."""
+    weighed = _weigh(root)
+    total = weighed[0][1]
+    for node, text, holds in weighed:
+        if node[0].startswith("!") and text and (text >= NEARLY_ALL * total or holds and 2 * text >= total):
+            node[0] = node[0][1:]
+
+
+def blocks_of(root: list) -> list[Block]:
+    """The blocks in page order, with the labels of their elements."""
+    out, todo = [], [(root, ())]
+    while todo:
+        node, path = todo.pop()
+        if isinstance(node, Block):
+            node.path = path
+            out.append(node)
+        else:
+            below = (*path, node[0]) if node is not root else ()
+            todo += [(c, below) for c in reversed(node[1])]
+    return out
 
 
 # A wrapper item: [label, occurs, children, stats]. occurs: "1", "?", "+", "*". A text slot has label "#" and stats
@@ -299,61 +356,92 @@ def layout(blocks: list[Block]) -> int:
     return int(any(b.links < len(b.text) and article(b.path) and not any(w.startswith("!") for w in b.path) for b in blocks))
 
 
-def rules(wrapper: list) -> dict:
-    """What to take from pages of a wrapper: the paths of the article's slots, and template texts to leave out there."""
-    slots: list[tuple[tuple[str, ...], list, int]] = []
+def rules(wrapper: list) -> list:
+    """The expression as far as a page is matched with it: [label, whether it is a slot of the article, children]."""
+    slots: list[tuple[tuple[str, ...], list]] = []
 
     def walk(x: list, path: tuple[str, ...]) -> None:
         for c in x[2]:
             if c[0] == "#":
-                slots.append((path, c, wrapper[3][0]))
+                slots.append((path, c))
             else:
                 walk(c, (*path, c[0]))
 
     walk(wrapper, ())
-    good = [(p, s) for p, s, _ in slots if not any(w.startswith("!") for w in p)]
-
+    # sums by path are the same whatever the order in which pages were aligned
+    text: dict[tuple[str, ...], list[int]] = {}
+    for p, s in slots:
+        if not any(w.startswith("!") for w in p):
+            held = text.setdefault(p, [0, 0])
+            held[0] += s[3][0]
+            held[1] += s[3][1]
     weight: dict[tuple[str, ...], int] = {}
-    for p, s in good:
+    for p, (chars, links) in text.items():
         if k := article(p):
-            weight[p[:k]] = weight.get(p[:k], 0) + s[3][0] - s[3][1]
+            weight[p[:k]] = weight.get(p[:k], 0) + chars - links
     if any(w > 0 for w in weight.values()):
-        keep = [p for p, _ in good if article(p) and weight[p[:article(p)]] > 0]
+        keep = {p for p in text if article(p) and weight[p[:article(p)]] > 0}
     else:
         # no element says so: go down from the root while one child holds nearly all text that is no link
         top: tuple[str, ...] = ()
         while True:
             own: dict[tuple[str, ...], int] = {}
             total = 0
-            for p, s in good:
+            for p, (chars, links) in text.items():
                 if p[:len(top)] == top:
-                    text = max(0, s[3][0] - s[3][1])
-                    total += text
+                    rest = max(0, chars - links)
+                    total += rest
                     if len(p) > len(top):
-                        own[p[:len(top) + 1]] = own.get(p[:len(top) + 1], 0) + text
+                        own[p[:len(top) + 1]] = own.get(p[:len(top) + 1], 0) + rest
             best = max(own, key=lambda k: (own[k], k), default=())
-            if not best or not total or own[best] < 0.9 * total or best[-1].split(".")[0] not in HOLDERS:
+            if not best or not total or own[best] < NEARLY_ALL * total or best[-1].split(".")[0] not in HOLDERS:
                 break
             top = best
-        keep = [p for p, s in good if p[:len(top)] == top and 2 * s[3][1] <= s[3][0]]
-    pages = wrapper[3][0]
-    fixed = [[list(p), s[3][2]] for p, s in good if s[3][2] is not None and s[3][3] >= max(5, 0.9 * pages) and s[1] == "1"]
-    varies = sum(1 for p, s in good if p in set(keep) and s[3][2] is None)
-    return {"keep": sorted({"/".join(p) for p in keep}), "fixed": sorted("/".join(p) + "\n" + t for p, t in fixed) if varies else []}
+        keep = {p for p, (chars, links) in text.items() if p[:len(top)] == top and 2 * links <= chars}
 
+    def cut(x: list, path: tuple[str, ...]) -> list:
+        return [[c[0], int(path in keep), []] if c[0] == "#" else [c[0], 0, cut(c, (*path, c[0]))] for c in x[2]]
 
-def article_text(page: str, known: dict[str, dict] | None) -> str:
-    """Blocks of the page that the rules of its host's layout take, joined by line ends.
+    return cut(wrapper, ())
 
-    A page without any of the rules' slots is built in another way: its own wrapper says what to take.
+
+def matched(root: list, rule: list) -> list[str] | None:
+    """Texts of a page in the article's slots of the expression; None if the page is no match.
+
+    Children of an element go through its items in order: each to the next item of its kind, or, where a repeated
+    group begins again, to the first one.
+    """
+    out: list[str] = []
+    todo: list[tuple[list, list]] = [(root, rule)]
+    while todo:
+        node, items = todo.pop()
+        if isinstance(node, Block):
+            if items[1]:
+                out.append(node.text)
+            continue
+        at, found = 0, []
+        for child in node[1]:
+            label = "#" if isinstance(child, Block) else child[0]
+            here = next((i for i in range(at, len(items)) if items[i][0] == label), None)
+            if here is None:
+                here = next((i for i in range(at) if items[i][0] == label), None)
+            if here is None:
+                return None
+            at = here
+            found.append((child, items[here] if label == "#" else items[here][2]))
+        todo += reversed(found)
+    return out
+
+
+def article_text(page: str, known: dict[str, list] | None) -> str:
+    """The page matched with the expression of its host's layout, article slots joined by line ends.
+
+    A page that is no match, or has nothing in the article's slots, is built in another way: its own expression says what to take.
     """
     root, blocks = parse(page)
     rule = known.get(str(layout(blocks))) if known else None
-    paths = ["/".join(b.path) for b in blocks]
-    if rule is None or not any(path in rule["keep"] for path in paths):
-        rule = rules(item(root))
-    keep, fixed = rule["keep"], rule["fixed"]
-    return "\n".join(b.text for path, b in zip(paths, blocks) if path in keep and (not fixed or f"{path}\n{b.text}" not in fixed))
+    texts = matched(root, rule) if rule is not None else None
+    return "\n".join(texts or matched(root, rules(item(root))))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[str]:
@@ -361,6 +449,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[str]:
 
 
 HELD_HOSTS = 2000
+BROADCAST_CHARS = 16 << 20  # rules of all hosts that go to every task; beyond, they are joined
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,6 +463,8 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), _texts(batch)):
+            if not host:
+                continue
             root, blocks = parse(page)
             own, key = item(root), (host, layout(blocks))
             held[key] = merge(held[key], own) if key in held else own
@@ -421,7 +512,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 got = json.loads(raw)
                 if len(known) > HELD_HOSTS:
                     known.clear()
-                both = known[raw] = {kind: {k: frozenset(v) for k, v in json.loads(rule).items()} for kind, rule in got.items()}
+                both = known[raw] = {kind: json.loads(rule) for kind, rule in got.items()}
             texts.append(article_text(page, both))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url").cast(pa.string()), pa.array(texts, pa.string())], schema=EXTRACT_ROW)
 
@@ -429,7 +520,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
-    The host is what stands after ``://`` in the URL; pages without one share the host ''. A host has a wrapper for its pages
+    The host is what stands after ``://`` in the URL; a page without one is its own wrapper. A host has a wrapper for its pages
     with an element that says it holds the article, and one for those without. Null html is empty. A page
     whose blocks are all left out has an empty text.
     """
@@ -439,6 +530,6 @@ def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     known = infer(rows).select("host", F.col("layout").cast("string").alias("layout"), _rules("wrapper").alias("rules"))
     known = known.groupBy("host").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("layout", "rules")))).alias("rules"))  # two layouts at most
     known = scratch.cut(known, "rules")
-    few = known.limit(20_001).count() <= 20_000  # rules of a host are some kilobytes
+    few = (known.agg(F.sum(F.length("rules"))).first()[0] or 0) <= BROADCAST_CHARS
     read = rows.join(F.broadcast(known) if few else known, "host", "left").select("page_id", "url", "html", "rules")
     return read.mapInArrow(_extract, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))

@@ -1,6 +1,8 @@
 import hashlib
+from html.parser import HTMLParser
 
 import pytest
+from pyspark.sql import functions as F
 
 from pressroom.llm import arc, url_terms, wrappers
 from pressroom.llm.queries import RULES
@@ -130,3 +132,79 @@ def test_article_words_behind_many_classes():
             '<div class="post"><p>A teaser</p></div>')
     assert wrappers.label_of("div", ' class="bg-white col-md-8 flex mb-4 relative story"').endswith(".story")
     assert wrappers.article_text(page, None).startswith("The article itself")
+
+
+def test_class_words_do_not_drop_the_article():
+    """A class is a mark as a whole name only, and never on what holds the article."""
+    text = lambda page: wrappers.article_text(page, None)
+    line = "One paragraph of text that is long enough to be nearly all there is on such a page." * 2
+    body = f"<h1>Title</h1><p>{line}</p><p>Another one.</p>"
+    want = f"Title\n{line}\nAnother one."
+    for page in (f'<article class="post has-related">{body}</article>', f'<div id="content" class="no-sidebar">{body}</div>', f'<main class="layout-with-sidebar"><article>{body}</article></main>',
+                 f'<div class="hentry social-story">{body}</div>', f'<div class="content search-results">{body}</div>', f'<div class="widget-area">{body}</div>', f'<form id="aspnet"><div>{body}</div></form>',
+                 f'<div class="sidebar"><main>{body}</main></div>', f'<article class="sponsored">{body}</article>'):
+        assert text(page) == want, page
+        assert text(f'<nav><a href="/">Home</a></nav><div class="sidebar-left"><p>Side</p></div>{page}<div class="comment-list"><p>Me too</p></div><div class="widget"><p>W</p></div><footer>x</footer>') == want, page
+    assert wrappers.is_mark("sidebar-left") and wrappers.is_mark("ad-box") and not wrappers.is_mark("has-related") and not wrappers.is_mark("content-left")
+
+
+def test_number_of_pages_changes_nothing(spark):
+    """A line that is the same on all pages of a host stays in the article, with four pages and with forty."""
+    def pages(host, n):
+        return [(n * 100 + i, f"http://{host}.org/{i}", f"<nav><a>Home</a></nav><article><h1>Title {i}</h1><p>Same opening line.</p><p>Body {i}</p></article><div class='ad'>Buy</div>") for i in range(n)]
+    rows = pages("a", 4) + pages("b", 5) + pages("c", 40)
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert all(r.text == f"Title {r.page_id % 100}\nSame opening line.\nBody {r.page_id % 100}" for r in got) and len(got) == 49
+
+
+def test_deep_and_repeated_pages(spark):
+    deep = "<div>" * 5000 + "<p>At the bottom</p>" + "</div>" * 5000 + "<p>After</p>"
+    rows = [(1, "http://d.org/1", deep), (2, "http://d.org/2", "<div>" * 3000 + "open"), (3, "http://d.org/3", "<p>plain</p>"), (3, "http://d.org/3", "<p>plain</p>"), (None, "http://d.org/3", "<p>plain</p>"),
+            (4, "http://l.org", "<article>" + "<p>word word</p>" * 50_000 + "</article>")]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    texts = sorted((str(r.page_id), r.text) for r in got)
+    assert texts[:-1] == [("1", "At the bottom\nAfter"), ("2", "open"), ("3", "plain"), ("3", "plain"), ("4", "\n".join(["word word"] * 50_000))] and texts[-1] == ("None", "plain")
+
+
+class Outline(HTMLParser):
+    """The article as a plain parser sees it: text between block tags inside <article>, without marked elements."""
+
+    BLOCKS = {"article", "h1", "h2", "p", "br", "div", "ul", "li", "section"}
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.out, self.held = 0, [], ""
+
+    def flush(self):
+        if self.inside and self.held.split():
+            self.out.append(" ".join(self.held.split()))
+        self.held = ""
+
+    def handle_starttag(self, tag, attributes):
+        if tag in self.BLOCKS:
+            self.flush()
+        self.inside += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.flush()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        self.held += data
+
+
+@pytest.mark.parametrize("scale, parts", [("sf0.001", 1), ("sf0.001", 3), ("sf0.001", 8), ("sf0.01", 8)])
+def test_against_a_plain_parser(spark, scale, parts):
+    """All pages of the table, dealt out in several ways."""
+    rows = spark.read.parquet(f"/root/testdata/{scale}/pages.parquet")
+    want = {}
+    for r in rows.collect():
+        outline = Outline()
+        outline.feed(r.html or "")
+        want[r.page_id] = "\n".join(outline.out)
+    got = {r.page_id: r.text for r in wrappers.extract(rows.repartition(parts)).collect()}
+    assert got == want and len(want) >= 50
+    # without the article element's own name, the expression finds the same article
+    plain = rows.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article>", "<div>"), "</article>", "</div>"))
+    assert {r.page_id: r.text for r in wrappers.extract(plain.repartition(parts)).collect()} == want
