@@ -216,15 +216,16 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = _rows(batch)
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["label", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rows of ``labels`` (doc_id, label 0 or 1; others are left out), chosen by a hash of the id."""
+    """Fit on at most ``sample`` rows of ``labels`` (doc_id, label 0 or 1; others are left out), chosen by a hash of the id; rows that repeat an id count once."""
     few = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "label")
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", F.col("label").cast("int").alias("label"))
-    held = rows.mapInArrow(_measure, "label int, x array<double>").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    measured = rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_measure, "doc_id long, label int, x array<double>")
+    held = measured.groupBy("doc_id", "label").agg(F.min("x").alias("x")).select("label", "x").toArrow()
     label = held.column("label").to_numpy()
     x = held.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(label), len(FEATURES))
     order = np.lexsort((*x.T, label)) if len(x) else np.zeros(0, np.int64)  # the same sums whatever the order of tasks

@@ -179,3 +179,13 @@ def test_blocks_of_trigrams_change_nothing(monkeypatch):
     whole = counts @ hyperdim.bound(letters, 256).astype(np.float32)
     monkeypatch.setattr(hyperdim, "BLOCK_TRIGRAMS", 3)
     assert (hyperdim.bundled(counts, letters, 256) == whole).all()
+
+
+def test_repeated_rows_count_once_in_the_fit(spark):
+    rows = [(i, ("good words here " if i % 2 else "BAD!!! 111 ") * (3 + i), i % 2) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, label int")
+    again = docs.unionByName(docs.where("doc_id = 7").crossJoin(spark.range(500)).drop("id"))
+    once, many = gam.train(docs, labels, 20), gam.train(again, labels, 20)
+    x = np.random.default_rng(1).random((50, len(gam.FEATURES)))
+    assert (once.score(x) == many.score(x)).all()
