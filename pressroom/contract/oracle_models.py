@@ -19,7 +19,7 @@ def _verdicts(by: str, ranked: str, prompt: str = SENTIMENT_PROMPT, days: int |
 {p}blocks as (select {by}, string_agg({line}, chr(10) order by place) as block, string_agg(url, ' ' order by place) as urls, count(*) as article_count
   from {ranked} group by {by}),
 {p}prompts as (select *, {_fill(prompt, days)} as prompt from {p}blocks),
-{p}means as (select {by}, avg(weight) as mean, count(*) as known from (select {by}, unnest({_WORDS.format('prompt')}) as word from {p}prompts)
+{p}means as (select {by}, avg(weight) as mean, count(*) as known from (select {by}, unnest({_WORDS.format('block')}) as word from {p}prompts)
   join weights using (word) group by {by}),
 {p}scores as (select q.*, coalesce(known, 0) as n, round(-tanh(coalesce(mean, 0)), 3) as score from {p}prompts q left join {p}means using ({by})),
 {p}verdicts as (select *, case when score > 0.1 then 'positive' when score < -0.1 then 'negative' else 'neutral' end as overall,

@@ -15,8 +15,8 @@ Scorer = Callable[[DataFrame], DataFrame]  # adds ``reply`` to rows with ``promp
 
 BRIEF_PROMPT = (
     "You are preparing a desk note on {topic}, covering the past {days} days.\n\nSources (the number in brackets is the rank):\n"
-    "{block}\n\nReturn a single JSON object. Field summary: 200-400 words; each claim carries a markdown link to its source URL, and "
-    "where sources differ, say so. Field citations: the URLs used. Field sentiment: positive, negative, neutral or mixed."
+    "{block}\n\nReturn a single JSON object. Field summary: two or three paragraphs that name, in brackets, the rank of every source "
+    "they rest on. Field citations: the URLs used. Field sentiment: positive, negative, neutral or mixed."
 )
 SENTIMENT_PROMPT = (
     "How do these reports speak about {topic}?\n\n{block}\n\n"
@@ -134,13 +134,14 @@ def fit_polarity(labelled: DataFrame, least: int = 5) -> DataFrame:
 def polarity_scorer(weights: DataFrame, sure: float = 0.1) -> Scorer:
     """Scorer from word weights (word, weight; positive weights speak against): no language model is called.
 
-    The score of a prompt is minus the hyperbolic tangent of the mean weight of its known words. The reply has the
-    fields of both tasks.
+    The score is minus the hyperbolic tangent of the mean weight of the known words in the articles' ``block``; the
+    instruction around it has no say (bare prompts are read whole). What a score means is what the labels mean: with weights of toxic texts it tells how
+    toxic the reports are, which stands in for sentiment. The reply has the fields of both tasks.
     """
 
     def score(prompts: DataFrame) -> DataFrame:
         keyed = prompts.withColumn("__prompt", F.sha2("prompt", 256))
-        told = keyed.select("__prompt", F.explode(words(F.col("prompt"))).alias("word")).join(weights, "word")
+        told = keyed.select("__prompt", F.explode(words(F.col("block" if "block" in prompts.columns else "prompt"))).alias("word")).join(weights, "word")
         found = told.groupBy("__prompt").agg(F.avg("weight").alias("mean"), F.count("*").alias("known"))
         value = F.round(-F.tanh(F.coalesce("mean", F.lit(0.0))), 3)
         verdict = F.when(value > sure, "positive").when(value < -sure, "negative").otherwise("neutral")

@@ -8,7 +8,9 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, types as T
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..errors import EmbeddingMismatch
 
@@ -49,9 +51,36 @@ def hashed_words(dim: int) -> Callable[[], Encoder]:
     return load
 
 
+def _hash_words(dim: int, out: str):
+    """Vectors of word lists: each distinct word of a batch is hashed once, its occurrences are added up as arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("__words")
+            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            coded = lists.flatten().dictionary_encode()
+            digests = [hashlib.md5(w.encode()).hexdigest() for w in coded.dictionary.to_pylist()]
+            place = np.array([int(h[:8], 16) % dim for h in digests], np.int64)
+            sign = np.array([1 if h[8] < "8" else -1 for h in digests], np.int64)
+            code = coded.indices.to_numpy()
+            sums = np.bincount(row * dim + place[code], sign[code], len(lists) * dim).reshape(-1, dim)
+            unit = (sums / np.maximum(np.sqrt((sums * sums).sum(axis=1, keepdims=True)), 1e-12)).astype(np.float32)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * dim, pa.int32()), pa.array(unit.ravel()))
+            kept = [n for n in batch.schema.names if n != "__words"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), vectors], names=[*kept, out])
+
+    return run
+
+
 def word_embed(dim: int) -> Callable[[DataFrame], DataFrame]:
-    """The ``embed`` step of an ingest with hashed words."""
-    return lambda df: embed_texts(df, "document", hashed_words(dim), f"hashed-words-{dim}", dim)
+    """The ``embed`` step of an ingest with hashed words; texts are lower-cased and cut into words before they leave the JVM."""
+
+    def embed(df: DataFrame) -> DataFrame:
+        found = F.regexp_extract_all(F.lower(F.coalesce("document", F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+        schema = T.StructType(df.schema.fields + [T.StructField("embedding", T.ArrayType(T.FloatType()))])
+        return df.withColumn("__words", found).mapInArrow(_hash_words(dim, "embedding"), schema)
+
+    return embed
 
 
 def embed_query(text: str, dim: int) -> list[float]:
