@@ -9,11 +9,13 @@
 3. Leaves are compared exhaustively on their sketches, in arrays, never as emitted pairs: what
    leaves a leaf is one link per document to the smallest of its candidates. Nodes that are still
    large at the last level consist of near copies and count as candidates of each other.
-4. Each connected component of candidates brings the full sets of its documents together once.
-   There, every pair that the sketch does not rule out and that is not already connected
-   is checked on the full sets. Components above BLOCK documents or bytes are a grid of block pairs, so
-   no task holds more than two blocks.
-5. Components of the confirmed links are the result.
+4. In components of candidates above BLOCK documents or bytes, every document is first checked on the full sets against
+   one candidate, its smallest: a tree, so its traffic is two sets a document, and a family of near copies is connected at once.
+5. Components of candidates that are not or not yet connected bring their full sets together. Every pair of
+   different parts that the sketch does not rule out and that is not already connected is checked there.
+   Above BLOCK documents or bytes they are a grid of block pairs, so no task holds more than two blocks; documents of the
+   largest part meet those of the others only, never each other.
+6. Components of the confirmed links are the result.
 
 Nothing is capped: the bounds (LEAF, BLOCK) only decide how the work is split.
 """
@@ -42,6 +44,7 @@ BEHIND = 40  # similarity 0.62 to a node's first document: its near duplicates h
 TIED = 18  # and are tied to it from 0.28 on
 BLOCK_DOCS = 500
 BLOCK_BYTES = 24 << 20
+CHILDREN = 1000  # documents that one copy of their common candidate's set is compared with
 
 _A = common.mixed(np.arange(101, 101 + SKETCH, dtype=np.uint64)) | np.uint64(1)
 _B = common.mixed(np.arange(501, 501 + SKETCH, dtype=np.uint64))
@@ -226,11 +229,11 @@ def _full_sets(shared, width: int):
 
 def _confirm(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Spanning links of confirmed pairs in each cell (sorted stream of cell, side, id, sketch, shingles)."""
+        """Spanning links of confirmed pairs in each cell (sorted stream of cell, side, id, part, sketch, shingles)."""
         for table in _whole_groups(batches, "cell", 1):
             cells = table.column("cell").to_numpy()
             borders = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
-            ids, side = table.column("id").to_pylist(), table.column("side").to_numpy()
+            ids, side, parts_of = table.column("id").to_pylist(), table.column("side").to_numpy(), table.column("part").to_numpy()
             blobs = table.column("shingles").combine_chunks()
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
             out_a, out_b = [], []
@@ -239,7 +242,7 @@ def _confirm(similarity: int):
                 size = np.array([len(p) for p in parts])
                 own, mine = sketch[lo:hi], side[lo:hi]
                 cross = mine.any() and not mine.all()  # a cell of two blocks: only pairs across
-                root = np.arange(hi - lo)
+                root = np.unique(parts_of[lo:hi], return_inverse=True)[1]  # what is connected already
                 for i in range(hi - lo - 1):
                     rest = np.arange(i + 1, hi - lo)
                     rest = rest[root[rest] != root[i]]
@@ -261,22 +264,83 @@ def _confirm(similarity: int):
     return run
 
 
-def confirmed(docs: DataFrame, sets: DataFrame, groups: DataFrame, scratch: Scratch, width: int, similarity: int) -> DataFrame:
-    """Links (a, b) confirmed on full sets that span all true links inside the candidate ``groups`` (node, component)."""
-    sizes = groups.join(sets.select(F.col("id").alias("node"), "n"), "node").groupBy("component").agg(
-        F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("int")
-    members = groups.join(sizes.select("component", blocks.alias("blocks")), "component").join(sets.withColumnRenamed("id", "node"), "node")
-    members = scratch.cut(members.select(F.col("node").alias("id"), "component", "blocks", "sketch"), "members")
+def _similar(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
+    if 100 * min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+    return 100 * both >= similarity * (len(a) + len(b) - both)
+
+
+def _against_first(similarity: int):
+    """Confirmed links of documents with the candidate of their cell (sorted stream of cell, side, id, shingles; the candidate first)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, first, own = None, None, []
+        for batch in batches:
+            out_a, out_b = [], []
+            blobs = batch.column("shingles")
+            for k, (c, side, i) in enumerate(zip(batch.column("cell").to_pylist(), batch.column("side").to_pylist(), batch.column("id").to_pylist())):
+                if c != cell:
+                    cell, first, own = c, None, []
+                shingles = np.frombuffer(blobs[k].as_buffer(), np.uint64)
+                if side == 0:
+                    first = i
+                    own.append(shingles.copy())
+                elif any(_similar(shingles, x, similarity) for x in own):
+                    out_a.append(i)
+                    out_b.append(first)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def confirmed(docs: DataFrame, sets: DataFrame, links: DataFrame, groups: DataFrame, scratch: Scratch, width: int, similarity: int) -> DataFrame:
+    """Links (a, b) confirmed on full sets that span all true links inside the candidate ``groups`` (node, component) of ``links`` (a, b)."""
+    counted = groups.join(sets.select(F.col("id").alias("node"), "n"), "node").groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    is_large = (F.col("docs") > BLOCK_DOCS) | (F.col("shingles") * 8 > BLOCK_BYTES)
+    members = groups.join(counted.select("component", is_large.alias("large")), "component").join(sets.withColumnRenamed("id", "node"), "node")
+    members = scratch.cut(members.select(F.col("node").alias("id"), "component", "large", "n", "sketch"), "members")
     shared = docs.sparkSession.sparkContext.broadcast(common.bitmap(members.select(F.xxhash64("id").alias("mark"))))
     texts = docs.select("doc_id", F.xxhash64("doc_id").alias("mark"), "text").where("doc_id is not null")
-    full = texts.mapInArrow(_full_sets(shared, width), "id long, shingles binary").join(members, "id")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    spread = full.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = texts.mapInArrow(_full_sets(shared, width), "id long, shingles binary")
+    full = scratch.cut(full.join(members.select("id").distinct(), "id", "left_semi"), "full")
+
+    # one candidate for each document; the set of a candidate of many goes out once for every CHILDREN of them
+    tree = links.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("first")).where("id != first").groupBy("id").agg(F.min("first").alias("first"))
+    tree = scratch.cut(tree.join(members.where("large").select("id").distinct(), "id", "left_semi"), "tree")
+    salts = tree.groupBy("first").agg(F.ceil(F.count("*") / CHILDREN).cast("int").alias("salts"))
+    below = full.join(tree.join(salts, "first"), "id")
+    cell = F.xxhash64("first", "salt")
+    below = below.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).select(cell.alias("cell"), F.lit(1).alias("side"), "id", "shingles")
+    above = full.join(salts, full["id"] == salts["first"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    above = above.select(cell.alias("cell"), F.lit(0).alias("side"), "id", "shingles")
+    stream = above.unionByName(below).repartition("cell").sortWithinPartitions("cell", "side")
+    sure = scratch.cut(stream.mapInArrow(_against_first(similarity), "a long, b long"), "sure")
+
+    # what is still in several parts
+    parts = components(sure, scratch)
+    placed = members.join(parts.withColumnRenamed("node", "id").withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    sizes = scratch.cut(placed.groupBy("component", "part").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")), "parts")
+    largest = sizes.groupBy("component").agg(F.max(F.struct("docs", "part")).alias("x"), F.count("*").alias("k")).where("k > 1")
+    largest = largest.select("component", F.when(F.col("x.docs") > BLOCK_DOCS, F.col("x.part")).alias("major"))
+    is_major = F.coalesce(F.col("part") == F.col("major"), F.lit(False))
+    open_ = sizes.join(largest, "component").withColumn("is_major", is_major).groupBy("component").agg(
+        F.max("major").alias("major"), *[F.sum(F.when(F.col("is_major") == own, F.col(c))).alias(f"{c}_{own}".lower()) for c in ("docs", "shingles") for own in (True, False)])
+
+    def blocks(own: str):
+        found = F.greatest(F.ceil(F.col(f"docs_{own}") / BLOCK_DOCS), F.ceil(F.col(f"shingles_{own}") * 8 / BLOCK_BYTES))
+        return F.coalesce(found, F.lit(0)).cast("int")
+
+    open_ = open_.select("component", "major", blocks("true").alias("majors"), blocks("false").alias("minors"))
+    some = full.join(placed.join(open_, "component").select("id", "component", "part", "sketch", "major", "majors", "minors"), "id")
+    own = F.when(is_major, F.pmod(F.xxhash64("id"), F.greatest("majors", F.lit(1)))).otherwise(F.col("majors") + F.pmod(F.xxhash64("id"), F.greatest("minors", F.lit(1)))).cast("int")
+    meets = F.sequence(F.when(is_major, F.col("majors")).otherwise(F.lit(0)), F.col("majors") + F.col("minors") - 1)
+    spread = some.withColumn("block", own).withColumn("other", F.explode(meets))
     cell = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))
-    rows = spread.select(cell.alias("cell"), (F.col("block") > F.col("other")).alias("side"), "id", "sketch", "shingles")
+    rows = spread.select(cell.alias("cell"), (F.col("block") > F.col("other")).alias("side"), "id", "part", "sketch", "shingles")
     # more partitions than cores: a partition is read group by group, so its size does not matter
-    return rows.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_confirm(similarity), "a long, b long")
+    rest = rows.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_confirm(similarity), "a long, b long")
+    return sure.unionByName(rest)
 
 
 def near_components(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY, trees: int = TREES, scratch: Scratch | None = None) -> DataFrame:
@@ -293,8 +357,9 @@ def near_components(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     sets = some.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x"), F.count("*").alias("copies"))
     sets = scratch.cut(sets.select("digest", F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n"), "x.sketch", "copies"), "sets")
     narrow = sets.select("id", "n", "sketch")
-    groups = scratch.cut(components(candidates(narrow, scratch, trees), scratch), "groups")
-    links = confirmed(rows, narrow, groups, scratch, width, similarity)
+    likely = scratch.cut(candidates(narrow, scratch, trees), "likely")
+    groups = scratch.cut(components(likely, scratch), "groups")
+    links = confirmed(rows, narrow, likely, groups, scratch, width, similarity)
     copies = some.select("digest", "doc_id").join(sets.where("copies > 1").select("digest", "id"), "digest").select(
         F.col("doc_id").alias("a"), F.col("id").alias("b"))
     found = scratch.cut(components(links.unionByName(copies), scratch), "components")

@@ -52,6 +52,44 @@ def test_groups_larger_than_leaf_and_block(spark, monkeypatch):
     assert sorted(got, key=str) == brute(rows, 4)
 
 
+def test_a_family_of_near_copies_has_linear_traffic(spark, monkeypatch):
+    """A thousand near copies of one text are connected through one candidate each; only what that leaves open meets in blocks."""
+    monkeypatch.setattr(chosen_path, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(chosen_path, "CHILDREN", 50)
+    seen = []
+    confirm = chosen_path._confirm
+
+    def counted(similarity):
+        total = spark.sparkContext.accumulator(0)
+        seen.append(total)
+        inner = confirm(similarity)
+
+        def run(batches):
+            def count(batches):
+                for b in batches:
+                    total.add(b.num_rows)
+                    yield b
+            yield from inner(count(batches))
+        return run
+
+    monkeypatch.setattr(chosen_path, "_confirm", counted)
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1000):
+        w = list(base)
+        w[int(rng.integers(0, 150))] = f"v{i}"
+        rows.append((i, " ".join(w)))
+    far = list(base)  # some documents near the family but not of it
+    for at in range(0, 150, 18):
+        far[at] = "other"
+    rows += [(2000 + i, " ".join(far[:140 + i])) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in chosen_path.near_components(docs, width=4).collect()]
+    assert {r[2] for r in got if r[0] < 1000} == {0} and all(r[2] != 0 for r in got if r[0] >= 2000)
+    assert sum(x.value for x in seen) <= 4 * len(rows)
+
+
 def test_stage(docs):
     kept = {r.doc_id for r in chosen_path.near_dedup(docs).collect()}
     assert {1, 2, 3, None, 4, 9, 11, 14} <= kept and not kept & {5, 10, 12, 13, 17}
