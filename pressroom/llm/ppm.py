@@ -14,8 +14,8 @@ other by the escapes from its longest known context down. The MAX_NODES strings
 all texts are broadcast (16 MB for any corpus) and looked up in the task; the others, counted per
 document, meet their logs by a join.
 
-The word model (base score) is exact for all words: the HEAD_WORDS most frequent are looked
-up in the task, all others meet their counts by a join.
+The word model (base score) is exact for all words: the HEAD_WORDS most frequent of up to HEAD_BYTES
+bytes are looked up in the task, all others, long ones included, meet their counts by a join.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from . import common
 ORDER = 5
 MAX_NODES = 1 << 20
 HEAD_WORDS = 1 << 18
+HEAD_BYTES = 64  # of a word in the head: 16 MB of words at most
 FLUSH_WORDS = 300_000
 FLUSH_GRAMS = 800_000
 END = 0xFF  # no byte of UTF-8
@@ -220,74 +221,6 @@ class Table:
         return at
 
 
-class Trie:
-    """Log10 probabilities of symbols in context, from the nodes of all orders: the model of ``logs_of`` in one memory, for small corpora."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.grams: list[Table] = []
-        self.contexts: list[Table] = []
-        below: tuple[np.ndarray, np.ndarray] | None = None
-        below_t: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-        with np.errstate(divide="ignore"):
-            for k, (gram, n) in enumerate(levels):
-                context, first = np.unique(gram >> U8, return_index=True)
-                if len(gram):
-                    total, distinct = np.add.reduceat(n, first), np.diff(np.append(first, len(gram)))
-                    own = np.repeat(np.arange(len(context)), distinct)
-                else:
-                    total = distinct = own = np.zeros(0, np.int64)
-                if k == 0:
-                    rest, others = np.zeros(len(context), np.int64), 256 - distinct
-                else:
-                    mask = np.uint64((1 << 8 * k) - 1)
-                    inner = np.searchsorted(below[0], gram & mask)  # suffixes of a kept node are kept
-                    excluded = np.bincount(own, below[1][inner], len(context)).astype(np.int64)
-                    parent = np.searchsorted(below_t[0], context & (mask >> U8))
-                    rest, others = below_t[1][parent] - excluded, below_t[2][parent] - distinct
-                # seen plainly: (2c - 1) / den, escape; after an escape from this context: the shorter one without these symbols
-                den, esc = np.log10(2 * total), np.log10(distinct / np.maximum(2 * total, 1))
-                if k == 0:
-                    den1, esc1 = np.log10(np.maximum(others, 1)), np.zeros(len(context))
-                else:
-                    den1 = np.log10(np.maximum(2 * rest, 1))
-                    esc1 = np.where(rest > 0, np.log10(np.maximum(others, 1e-9) / np.maximum(2 * rest, 1)), 0.0)
-                one = np.uint64(1) << np.uint64(56)
-                log = np.log10(2 * n - 1)
-                self.grams.append(Table(gram | one, np.stack([log, log - den[own]], 1) if len(gram) else np.zeros((0, 2))))
-                self.contexts.append(Table(context | one, np.stack([den, esc, den1, esc1], 1)))
-                below, below_t = (gram, n), (context, total, distinct)
-
-    def logs(self, key: np.ndarray) -> np.ndarray:
-        """Log10 probability of the last byte of each gram of ORDER + 1 bytes."""
-        one = np.uint64(1) << np.uint64(56)
-        at = self.grams[ORDER].find(key | one)
-        out = self.grams[ORDER].columns[1][at].astype(np.float64)  # most are found in the longest context
-        todo = np.flatnonzero(at < 0)  # not coded yet
-        out[todo] = 0
-        den, esc = np.zeros(len(todo), np.float32), np.zeros(len(todo), np.float32)  # for the next shorter context, if something is excluded
-        fresh = np.ones(len(todo), bool)
-        for k in range(ORDER, -1, -1):
-            own = key[todo] & np.uint64((1 << 8 * (k + 1)) - 1)
-            if k < ORDER:
-                at = self.grams[k].find(own | one)
-                found = at >= 0
-                spot = at[found]
-                log, plain = (c[spot] for c in self.grams[k].columns)
-                out[todo[found]] += np.where(fresh[found], plain, log - den[found])
-                left = ~found
-                todo, own, fresh, den, esc = todo[left], own[left], fresh[left], den[left], esc[left]
-            if not len(todo):
-                return out
-            at = self.contexts[k].find((own >> U8) | one)
-            there = at >= 0
-            spot = at[there]
-            _, escape, den1, esc1 = (c[spot] for c in self.contexts[k].columns)
-            out[todo[there]] += np.where(fresh[there], escape, esc[there])
-            den[there], esc[there], fresh[there] = den1, esc1, False
-        out[todo] -= np.where(fresh, np.log10(256.0), den)
-        return out
-
-
 SCORE_ROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                        ("known_log", pa.float64()), ("score", pa.float64()), ("token", pa.binary()), ("gram", pa.int64()), ("k", pa.int64())])
 ONE = np.uint64(1) << np.uint64(56)  # keys of a table are never 0
@@ -358,14 +291,16 @@ def score(docs: DataFrame, held_out, max_nodes: int = MAX_NODES, scratch: Scratc
     grams_logs = logs_of(counts.where("gram is not null").select("gram", "n", "seen"), scratch)
     fewest = floor_of(grams_logs.select(F.col("seen").alias("n")), max_nodes)
     shared = spark.sparkContext.broadcast(tuple(common.arrays(grams_logs.where(F.col("seen") >= fewest).select("gram", "log"))))
-    least = floor_of(words, HEAD_WORDS)
-    top = words.where(F.col("n") >= least).toArrow()
+    brief = F.octet_length("token") <= HEAD_BYTES
+    least = floor_of(words.where(brief), HEAD_WORDS)
+    in_head = brief & (F.col("n") >= least)
+    top = words.where(in_head).toArrow()
     often = top.column("n").to_numpy()
     head = spark.sparkContext.broadcast(dict(zip(top.column("token").to_pylist(), np.log10(often + 1.0).tolist())))
     marked = rows.withColumn("uid", F.monotonically_increasing_id())
     scored = scratch.cut(marked.mapInArrow(
         _score(shared, head), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double, token binary, gram long, k long"), "scored")
-    rare = scored.where("token is not null").select("uid", "token", "k").join(words.where(F.col("n") < least), "token").select(
+    rare = scored.where("token is not null").select("uid", "token", "k").join(words.where(~in_head), "token").select(
         "uid", F.col("k").alias("more"), (F.col("k") * F.log10(F.col("n") + 1)).alias("more_log"), F.lit(0.0).alias("more_score"))
     far = scored.where("gram is not null").select("uid", "gram", "k").join(grams_logs.where(F.col("seen") < fewest), "gram").select(
         "uid", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("more_log"), (F.col("k") * F.col("log")).alias("more_score"))

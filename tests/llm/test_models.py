@@ -1,5 +1,5 @@
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pressroom.llm import gam, hyperdim, ppm
 from pressroom.llm.common import read, remainder
 from pressroom.llm.queries import QUERIES
+from pressroom.runtime import Scratch
 
 
 def plain_log(counts, context, symbol):
@@ -63,18 +64,31 @@ def test_ppm_against_the_textbook(docs, rows):
         assert a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-4, abs=1e-4)
 
 
-def test_ppm_sums_to_one():
+def test_ppm_sums_to_one(spark):
+    """After any context, known or not, the 256 symbols of the production table share a probability of one."""
     texts = [b"abracadabra abra", b"banana band", b"abba"]
     key, n = np.unique(np.concatenate([ppm.grams(*ppm.stream([t]))[0] for t in texts]), return_counts=True)
-    levels = []
-    for k in range(ppm.ORDER + 1):
-        gram, at = np.unique(key & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
-        levels.append((gram, np.bincount(at, n).astype(np.int64)))
-    trie = ppm.Trie(levels)
-    for context in (b"\xff\xff\xff\xff\xff", b"abrac", b"zzzba", b"zzzzz", b"banan"):
-        base = int.from_bytes(context, "big") << 8
-        keys = np.array([base | s for s in range(256)], np.uint64)
-        assert (10 ** trie.logs(keys)).sum() == pytest.approx(1, abs=1e-5)
+    contexts = [int.from_bytes(c, "big") for c in (b"\xff\xff\xff\xff\xff", b"abrac", b"zzzba", b"zzzzz", b"banan")]
+    trained = dict(zip(key.tolist(), n.tolist()))
+    asked = {c << 8 | s for c in contexts for s in range(256)}
+    counts = spark.createDataFrame([(g, trained.get(g, 0), 1) for g in sorted(asked | set(trained))], "gram long, n long, seen long")
+    logs = {r.gram: r.log for r in ppm.logs_of(counts, Scratch(spark)).collect()}
+    assert len(logs) == len(asked | set(trained))
+    for c in contexts:
+        assert sum(10 ** logs[c << 8 | s] for s in range(256)) == pytest.approx(1, abs=1e-9)
+
+
+def test_ppm_long_words_are_not_broadcast(spark):
+    """Words over HEAD_BYTES meet their counts by the join, however frequent, in text without blanks too."""
+    texts = ["x" * 200 + " a a", "X" * 200, "y" * 64 + " " + "x" * 200, "語" * 40, "語" * 40 + " a", "語" * 41]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in ppm.score(docs, F.col("doc_id") == 5).collect()}
+    words = Counter(w for t in texts[:5] for w in [*t.lower().split(), ""])
+    total, distinct = sum(words.values()), len(words)
+    for i, t in enumerate(texts):
+        tokens = [*t.lower().split(), ""]
+        base = sum(math.log10((words[w] + 1) / (total + distinct + 1)) for w in tokens)
+        assert got[i].n_known == sum(w in words for w in tokens) and got[i].base_score == pytest.approx(base, rel=1e-9)
 
 
 def test_ppm_rare_words_and_pruning(docs, monkeypatch):
