@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import zlib
 from html.parser import HTMLParser
 
 import pytest
@@ -54,6 +56,74 @@ def test_arc_versions():
             list(arc.arc_records(bad))
 
 
+def arc_file(*records, version=1):
+    head = f"{version} 0 X\n{arc.ARC_FIELDS[version]}\n".encode()
+    return b"filedesc://a 0.0.0.0 20000101000000 text/plain %d\n" % len(head) + head + b"\n" + b"\n".join(records) + b"\n"
+
+
+def line(url, body, date="20000101000000", kind="text/html"):
+    return f"{url} 1.2.3.4 {date} {kind} {len(body)}\n".encode() + body
+
+
+def test_bad_records_are_told_and_the_rest_is_read():
+    good = [line(f"http://h/{i}", b"HTTP/1.0 200 OK\n\nbody %d" % i) for i in range(5)]
+    data = arc_file(good[0], line("http://h/a b c", b"blank"), line("http://h/odd", b"xx", date="2000"), good[1], b"http://h/ 1.2.3.4 20000101000000 text/html many\nhttp://x y\n\0\xff",
+                    good[2], b"no fields 2\nab", good[3], line("http://h/cut", b"z" * 50)[:-9])
+    left_out = []
+    got = list(arc.arc_records(data, lambda *of: left_out.append(of)))
+    assert [r[1] for r in got] == ["http://h/0", "http://h/a b c", "http://h/1", "http://h/2", "http://h/3"]
+    assert [r[5] for r in got][2:] == [b"HTTP/1.0 200 OK\n\nbody %d" % i for i in (1, 2, 3)] and all(data[r[6]:].startswith(r[1].encode()) for r in got)
+    assert [data[at:at + 9] for at, _, _ in left_out] == [b"http://h/", b"http://h/", b"no fields", b"http://h/"]
+    assert [reason.split()[0] for _, _, reason in left_out] == ["date", "no", "version", "50"]
+    assert data[left_out[1][0]:][:left_out[1][1]].endswith(b"\0\xff\n")
+    zipped = b"".join(gzip.compress(data[i:i + 37]) for i in range(0, len(data), 37))  # members that end anywhere
+    assert [r[1:] for r in arc.arc_records(zipped, lambda *of: None)] == [r[1:] for r in got]
+    for broken in (zipped[:-5], zipped[:300] + b"\0" * 40, gzip.compress(data)[:-30]):
+        told = []
+        some = list(arc.arc_records(broken, lambda *of: told.append(of)))
+        assert told and [r[1] for r in some] == [r[1] for r in got][:len(some)]
+    assert list(arc.arc_records(b"")) == list(arc.arc_records(gzip.compress(b""))) == []
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Blocks that are no HTTP responses, two versions, bad records, and text of any bytes."""
+    (tmp_path / "a.arc").write_bytes(arc_file(line("dns:h", b"20000101000000\nh. 3600 IN A 1.2.3.4", kind="text/dns"), line("http://h/ü x", b"HTTP/1.0 200 OK\r\nA: b\r\n\r\n\0\xff\xfe"),
+                                              line("http://h/odd", b"xx", date="today"), line("http://h/none", b"")))
+    (tmp_path / "b.arc.gz").write_bytes(gzip.compress(arc_file(b"ftp://h/f 1.2.3.4 20000101000000 text/plain 200 - - 0 b 4\nHTTP", version=2)))
+    scratch = Scratch(spark)
+    wrong = arc.arc_to_warc(str(tmp_path), f"{scratch.root}/warc", scratch).collect()
+    assert [(r.file, r.error) for r in wrong] == [("a.arc", "date 'today'")]
+    got = {r.url: r for r in arc.read_warc(spark, f"{scratch.root}/warc").collect()}
+    assert {u: (r.record_type, bytes(r.http), bytes(r.payload)) for u, r in got.items()} == {
+        "dns:h": ("resource", b"", b"20000101000000\nh. 3600 IN A 1.2.3.4"), "http://h/ü%20x": ("response", b"HTTP/1.0 200 OK\r\nA: b\r\n\r\n", b"\0\xff\xfe"),
+        "http://h/none": ("resource", b"", b""), "ftp://h/f": ("resource", b"", b"HTTP")}
+    assert arc.index_warc(spark, f"{scratch.root}/warc").count() == 4
+
+
+def test_archives_are_rolled_by_bytes(spark, tmp_path):
+    """Each file opens with a warcinfo record, holds at most the given bytes or one record, and a gzip member per record."""
+    rows = [(i, f"http://h/{i}", chr(97 + i % 26) * (100 + 700 * (i % 5))) for i in range(60)] + [(1000, "http://h/long", "é" * 9_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    scratch = Scratch(spark)
+    arc.pages_to_arc(pages, f"{scratch.root}/arc", 1, 8000)
+    assert arc.arc_to_warc(f"{scratch.root}/arc", f"{scratch.root}/warc", scratch, 9000, 1 << 40).count() == 0
+    seen = 0
+    for file in (f for f in spark.read.format("binaryFile").load(f"{scratch.root}/warc").collect() if f.length):
+        blob, sizes = bytes(file.content), []
+        while blob:
+            unzip = zlib.decompressobj(31)
+            sizes.append(len(unzip.decompress(blob)))
+            blob = unzip.unused_data
+        records = list(arc.warc_records(bytes(file.content)))
+        assert [f["warc-type"] for f, _ in records] == ["warcinfo"] + ["response"] * (len(records) - 1)
+        assert [s for s in sizes if s] == [len(x) for x in gzip.decompress(file.content).replace(b"\r\n\r\nWARC/1.1\r\n", b"\r\n\r\n\0WARC/1.1\r\n").split(b"\0")]
+        assert len(records) == 2 or sum(sizes[1:]) <= 9000
+        seen += len(records) - 1
+    assert seen == 61
+    back = {r.url: bytes(r.payload).decode() for r in arc.read_warc(spark, f"{scratch.root}/warc").collect()}
+    assert back == {u: h for _, u, h in rows}
+
+
 def test_archive_empty(pages):
     assert arc.convert_pages(pages.limit(0)).collect() == []
 
