@@ -286,6 +286,13 @@ allv as (
   union all select id + 1000000, list_transform(e, lambda x: (x * 0.5::double)::float), label + 3 from s where label % 3 = 0)
 select id, label, round(e[1]::double, 6) as head, round(list_sum(e::double[]), 6) as total from allv""",
     "vector_delete": "select vec_id as id, label from embeddings where label <> 3",
+    "vectors_folded": """with s as (select vec_id as id, embedding as e, label from embeddings),
+allv as (
+  select id, e, label from s where label in (1, 2, 8, 9)
+  union all select id, list_transform(e, lambda x: (x * 4.0::double)::float), label from s where label = 3
+  union all select id + 1000000, list_transform(e, lambda x: (x * 0.5::double)::float), label from s where label = 3
+  union all select id, list_transform(e, lambda x: (x * -1.0::double)::float), label from s where label = 5)
+select id, label, round(e[1]::double, 6) as head, round(list_sum(e::double[]), 6) as total from allv""",
     "embedding_violations": f"""select vec_id as id, case when label = 4 then 63 else {DIM} end::integer as dim,
   case when label = 7 then 'other' else '{MODEL}' end as embed_model from embeddings where label in (4, 7)""",
     "knn_filtered": f"""with {VECTORS} select x.id, round({_COSINE}, 6) as similarity from vectors x, q

@@ -369,6 +369,29 @@ def vector_delete(spark, sf_dir):
     return V.delete(stored, stored.where("label = 3")).select("id", "label")
 
 
+@query
+def vectors_folded(spark, sf_dir):
+    """Vectors of three stored batches after two folds of changes, a batch emptied by one, and changes after both."""
+    corpus = Corpus.create(spark, Scratch(spark, "contract").path("corpus"), Settings(embed_model=MODEL, embed_dim=DIM))
+    empty = [F.lit(None).cast("string").alias(c) for c in ("country", "language", "publisher", "published_date", "title", "url", "document")]
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), "embedding", F.lit(MODEL).alias("embed_model"), F.lit(DIM).alias("embed_dim"), F.col("label").cast("string").alias("topic"), *empty)
+    of = lambda *labels: rows.where(F.col("topic").isin(*labels))
+    for name, labels in (("low", "0123"), ("middle", "456"), ("high", "789")):
+        corpus.publish(name, {"vectors": of(*labels)})
+    scaled = lambda some, by: some.withColumn("embedding", F.transform("embedding", lambda x: (x * F.lit(by)).cast("float")))
+    corpus.put_vectors(scaled(of(*"03"), 2.0))
+    corpus.put_vectors(scaled(of("3"), 0.5).withColumn("id", F.col("id") + 1_000_000))
+    corpus.delete_vectors(of(*"456"))
+    corpus.fold_vectors()
+    corpus.put_vectors(scaled(of("5"), -1.0))
+    corpus.delete_vectors(of("0"))
+    corpus.fold_vectors()
+    corpus.delete_vectors(of("7"))
+    corpus.put_vectors(scaled(of("3"), 4.0))
+    return _vector_columns(corpus.read("vectors").withColumn("label", F.col("topic").cast("int")))
+
+
 @query
 def embedding_violations(spark, sf_dir):
     """Vectors of label 4 lose a dimension, those of label 7 claim another model."""

@@ -38,6 +38,9 @@ MODEL = "embed_model STRING, embed_dim INT"
 # A change of stored vectors: rows put in or (with only an id) taken out.
 CHANGES = f"{VECTORS}, deleted BOOLEAN, change BIGINT"
 
+# Changes worked into the stored vectors: the last one, batch folders that no longer count, those written in their place.
+FOLDS = "through BIGINT, replaced ARRAY<STRING>, written ARRAY<STRING>"
+
 # Articles per topic and day of one batch, and those taken out since.
 DAILY = "topic STRING, day DATE, articles BIGINT"
 REMOVALS = "id BIGINT, topic STRING, day DATE"

@@ -6,12 +6,14 @@ is never seen and its rerun simply writes the same folders again.
 
 The run log is not part of that: it is appended to before and after the work, so
 a run that fails leaves its opening entry. Vectors can be put in and taken out
-after their batch: such changes are numbered and read over the batches' rows.
+after their batch: such changes are numbered and read over the batches' rows, until
+``fold_vectors`` writes the batches they touch anew.
 The corpus is locked to the embedding model it was first used with.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,7 +24,8 @@ from ..operators.crawl import latest_runs
 from ..operators.segments import KeywordIndex, Opened
 from ..operators.timeline import daily_parts, is_day, stamped, timeline, timeline_of_parts
 from ..operators.vectors import latest_by_id
-from ..schema import ARTICLES, CHANGES, COMMITS, CRAWL_RUNS, DAILY, MODEL, REMOVALS, SIGHTINGS, VECTORS
+from ..runtime import Scratch
+from ..schema import ARTICLES, CHANGES, COMMITS, CRAWL_RUNS, DAILY, FOLDS, MODEL, REMOVALS, SIGHTINGS, VECTORS
 
 TABLES = {
     "articles": ARTICLES,
@@ -46,7 +49,7 @@ class Corpus:
         corpus = cls(spark, root)
         for name, schema in TABLES.items():
             corpus._empty(schema).write.mode("ignore").parquet(f"{corpus._path(name)}/batch=__none__")
-        for name, schema in (("commits", COMMITS), ("run_log", CRAWL_RUNS), ("model", MODEL), ("vector_changes", CHANGES), ("article_removals", REMOVALS)):
+        for name, schema in (("commits", COMMITS), ("run_log", CRAWL_RUNS), ("model", MODEL), ("vector_changes", CHANGES), ("vector_folds", FOLDS), ("article_removals", REMOVALS)):
             corpus._empty(schema).write.mode("ignore").parquet(corpus._path(name))
         if settings is not None:
             corpus.check_model(settings.embed_model, settings.embed_dim)
@@ -115,6 +118,37 @@ class Corpus:
         empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in self._empty(VECTORS).schema if f.name != "id"]
         self._change(ids.select("id").distinct().select("id", *empty, F.lit(True).alias("deleted")))
 
+    def fold_vectors(self) -> int:
+        """Write the batches that changes have touched anew, changes worked in; the number of batches written or emptied.
+
+        Batches without a change stay as they are. New folders count, and old ones and the changes cease to, with the one
+        row that ends the fold, so a fold that fails leaves all as it was and readers see one state or the other. Ids that no
+        batch holds get a folder of their own. Changes made meanwhile stay for the next fold.
+        """
+        folded = self._folded()
+        pending = self._changes(folded)
+        through = pending.agg(F.max("change")).first()[0]
+        if through is None:
+            return 0
+        with Scratch(self.spark, "fold") as scratch:
+            changes = scratch.cut(latest_by_id(pending.where(F.col("change") <= through), "change"), "changes")
+            live = self._live("vectors")
+            homes = scratch.cut(live.select("id", "batch").join(changes.select("id"), "id", "left_semi"), "homes")
+            touched = homes.select("batch").distinct()
+            name = f"{through}-{uuid.uuid4().hex}"
+            kept = live.join(touched, "batch", "left_semi").join(changes.select("id"), "id", "left_anti")
+            put = changes.where("not deleted").join(homes.groupBy("id").agg(F.min("batch").alias("batch")), "id", "left").withColumn("batch", F.coalesce("batch", F.lit("put")))
+            columns = [f.name for f in self._empty(VECTORS).schema]
+            rows = kept.select(*columns, "batch").unionByName(put.select(*columns, "batch"))
+            rows.withColumn("batch", F.concat(F.split("batch", "~")[0], F.lit(f"~{name}"))).write.partitionBy("batch").mode("append").parquet(self._path("vectors"))
+            written = self._stored("vectors").where(F.endswith("batch", F.lit(f"~{name}"))).select("batch").distinct()
+            both = touched.select(F.col("batch").alias("replaced"), F.lit(None).cast("string").alias("written")).unionByName(
+                written.select(F.lit(None).cast("string").alias("replaced"), F.col("batch").alias("written")))
+            entry = both.agg(F.collect_list("replaced").alias("replaced"), F.collect_list("written").alias("written"))
+            entry = entry.select(F.lit(through).cast("bigint").alias("through"), "replaced", "written")
+            entry.coalesce(1).write.mode("append").parquet(self._path("vector_folds"))
+            return touched.count()
+
     def remove_articles(self, ids: DataFrame) -> None:
         """Take stored articles out by id, with their vectors; unknown ids are ignored. The sighting ledger keeps their keys."""
         gone = self.read("articles").join(ids.select("id").distinct(), "id", "left_semi")
@@ -152,17 +186,35 @@ class Corpus:
         numbered = rows.withColumn("change", F.lit(last + 1).cast("bigint"))
         numbered.select(*self._empty(CHANGES).columns).write.mode("append").parquet(self._path("vector_changes"))
 
+    def _folds(self) -> DataFrame:
+        return self.spark.read.schema(FOLDS).parquet(self._path("vector_folds"))
+
+    def _folded(self) -> int:
+        """The last change that is part of the stored batches."""
+        return self._folds().agg(F.max("through")).first()[0] or 0
+
+    def _changes(self, after: int) -> DataFrame:
+        return self.spark.read.schema(CHANGES).parquet(self._path("vector_changes")).where(F.col("change") > after)
+
+    def _live(self, table: str) -> DataFrame:
+        """Rows of a table in folders that count, with their ``batch``: committed ones, and for vectors those of folds."""
+        batches = self.commits().select("batch")
+        if table == "vectors":
+            told = lambda c: self._folds().select(F.explode(c).alias("batch"))
+            batches = batches.unionByName(told("written")).join(told("replaced"), "batch", "left_anti")
+        return self._stored(table).join(batches, "batch", "left_semi")
+
     def next_id(self) -> int:
         return (self.commits().agg(F.max("max_id")).first()[0] or 0) + 1
 
     def read(self, table: str) -> DataFrame:
         """All committed rows of a table; folders of other batches are pruned by the join with the commits."""
-        rows = self._stored(table).join(self.commits().select("batch"), "batch", "left_semi").drop("batch")
+        rows = self._live(table).drop("batch")
         if table == "articles":
             return rows.join(self._removals().select("id"), "id", "left_anti")
         if table != "vectors":
             return rows
-        changes = latest_by_id(self.spark.read.schema(CHANGES).parquet(self._path("vector_changes")), "change")
+        changes = latest_by_id(self._changes(self._folded()), "change")
         kept = rows.join(changes.select("id"), "id", "left_anti")
         return kept.unionByName(changes.where("not deleted").select(*rows.columns))
 

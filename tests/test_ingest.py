@@ -256,6 +256,44 @@ def test_model_lock_and_vector_changes(spark, tmp_path):
         corpus.put_vectors(one.withColumn("embedding", F.slice("embedding", 1, 4)))
 
 
+def test_vector_changes_are_folded_into_the_batches_they_touch(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "corpus")
+    corpus = Corpus.create(spark, root, SETTINGS)
+    for b in range(3):
+        ingest_into(corpus, f"day:{b}", raw(spark, tmp_path, [record(10 * b + i, f"Story {b} {i}") for i in range(3)], f"r{b}"), AS_OF, embed, SETTINGS)
+    state = lambda: {r.id: r.title for r in corpus.read("vectors").collect()}
+    assert corpus.fold_vectors() == 0 and len(before := state()) == 9
+    rows = corpus.read("vectors").where("id in (1, 5)")
+    corpus.put_vectors(rows.withColumn("title", F.lit("first")))
+    corpus.put_vectors(rows.where("id = 5").withColumn("title", F.lit("second")))
+    corpus.put_vectors(rows.where("id = 1").withColumn("id", F.lit(500).cast("long")))
+    corpus.delete_vectors(spark.createDataFrame([(2,), (77,)], "id long"))
+    want = before | {1: "first", 5: "second", 500: before[1]}
+    del want[2]
+    assert state() == want
+
+    # a fold that fails before its last row changes nothing, and the next one is right
+    with monkeypatch.context() as m:
+        m.setattr(corpus, "_stored", lambda t, whole=corpus._stored, calls=[]: calls.append(t) or (whole(t) if len(calls) < 2 else 1 / 0))
+        with pytest.raises(ZeroDivisionError):
+            corpus.fold_vectors()
+    assert state() == want and corpus._folded() == 0
+    assert corpus.fold_vectors() == 2 and state() == want and corpus.fold_vectors() == 0
+    assert corpus._changes(corpus._folded()).isEmpty()
+    live = {r.batch.split("~")[0]: "~" in r.batch for r in corpus._live("vectors").select("batch").distinct().collect()}
+    assert live == {"day:0": True, "day:1": True, "day:2": False, "put": True}
+
+    # changes after a fold, a batch that loses all its rows, and a batch written after it
+    corpus.delete_vectors(spark.createDataFrame([(4,), (5,), (6,)], "id long"))
+    corpus.put_vectors(corpus.read("vectors").where("id in (3, 500)").withColumn("title", F.lit("third")))
+    want = {k: v for k, v in want.items() if k not in (4, 5, 6)} | {3: "third", 500: "third"}
+    assert state() == want
+    assert corpus.fold_vectors() == 3 and state() == want
+    ingest_into(corpus, "day:3", raw(spark, tmp_path, [record(40, "Late story")], "r3"), AS_OF, embed, SETTINGS)
+    assert sorted(state()) == sorted([*want, 10])
+    assert Corpus(spark, root).read("vectors").count() == len(want) + 1
+
+
 def test_scratch_cleans_up(spark):
     import os
 
