@@ -7,12 +7,15 @@ from ..sources.derived import AS_OF, DIM, METHOD_OF_TOPIC, MODEL, SEARCH_AS_OF
 
 _METHODS = " ".join(f"when '{t}' then '{m}'" for t, m in METHOD_OF_TOPIC.items())
 
-FEED = rf"""runs_of as (select greatest(1, (select count(*) from events) // (select count(*) from documents)) as stride),
-slots as materialized (select event_id // stride as slot, max(ts) as ts, min_by(event_type, event_id) as event_type from events, runs_of group by 1),
+FEED = rf"""table_rows as (select greatest(1, (select count(*) from documents)) as nd, (select count(*) from events) as ne, (select count(*) from pages) as np),
+deal_steps as (select greatest(1, (ne + nd - 1) // nd) as stride, greatest(1, nd // greatest(1, np)) as step, nd, np from table_rows),
+deals as (select *, greatest(1, (np + nd // step - 1) // (nd // step)) as per_page from deal_steps),
+slots as materialized (select event_id // stride as slot, max(ts) as ts, min_by(event_type, event_id) as event_type from events, deals group by 1),
+page_slots as materialized (select page_id // per_page as slot, min(url) as url from pages, deals group by 1),
 feed as materialized (
   select strftime(e.ts, '%Y-%m-%d') as batch, case e.event_type {_METHODS} end as method, e.event_type as topic,
     d.doc_id as ord, trim(regexp_extract(d.text, '^[^.\n!?]*', 0)) as title,
-    case when d.doc_id % 10 = 0 then p.url
+    case when d.doc_id % step = 0 then p.url
          else 'https://news.example.com/a/' || d.doc_id || '?utm_source=rss' end as url,
     d.text as summary, strftime(e.ts, '%a, %d %b %Y %H:%M:%S GMT') as published_date,
     case when d.doc_id % 4 <> 0 or d.doc_id % 8 = 0 then d.source
@@ -21,9 +24,9 @@ feed as materialized (
     case d.lang when 'en' then 'US' when 'fr' then 'FR' when 'de' then 'DE' else 'ES' end as country,
     d.lang as language, '{MODEL}' as embed_model, {DIM}::integer as embed_dim,
     date_trunc('second', e.ts) as published_at
-  from documents d
+  from documents d cross join deals
   join slots e on e.slot = d.doc_id % (select count(*) from slots)
-  join pages p on p.page_id = d.doc_id // 10 % (select count(*) from pages))"""
+  left join page_slots p on p.slot = d.doc_id // step % (select count(*) from page_slots))"""
 
 
 def _slug(t: str) -> str:
@@ -232,23 +235,28 @@ from (select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as s, strftime(ts, '%Y-
   case when doc_id % 4 = 3 then null when doc_id % 3 = 0 then 'positive' else 'mixed' end as overall,
   case when doc_id % 4 <> 3 then round(doc_id % 200 / 100 - 1, 6) end as score,
   case when doc_id % 4 <> 3 then text end as rationale, doc_id % 4 = 3 as corrupt from documents""",
-    "webhook_screen": """with hooks as (select event_id, case event_id % 8
+    "webhook_screen": """with hooks as (select *, case event_id % 8
     when 0 then 'https://hooks.example.com/' || event_id
-    when 1 then 'http://' || ip || '/x' when 2 then 'ftp://' || ip when 3 then 'https:///' || event_id
+    when 1 then 'http://' || ip || '/x' when 2 then 'ftp://' || ip
+    when 3 then case when event_id % 16 = 3 then 'https:///' || event_id else 'https://[' || case form
+      when 0 then '::ffff:' || ip when 1 then x || '::1' when 2 then 'fe80::' || x || '%eth0' when 3 then '2001:db8:' || x || '::1'
+      when 4 then '2a00:1450:' || x || '::200e' when 5 then '2001:20::' || x when 6 then '2002:' || x || '::1' else '3fff:fff::' || x end || ']/hook' end
     when 4 then '' when 5 then 'https://METADATA.google.internal/' || event_id
-    else 'https://' || ip || ':8443/hook' end as webhook_url, a, b, c, d
-  from (select *, a || '.' || b || '.' || c || '.' || d as ip from (
+    else 'https://' || ip || ':8443/hook' end as webhook_url
+  from (select *, a || '.' || b || '.' || c || '.' || d as ip, format('{:x}', g) as x from (
     select event_id, event_id % 256 as a, event_id * 37 % 256 as b, event_id * 101 % 256 as c,
-      event_id * 11 % 256 as d from events)))
-select event_id, webhook_url, case event_id % 8
-  when 0 then null when 1 then 'https required' when 2 then 'scheme' when 3 then 'no host' when 4 then 'empty'
-  when 5 then 'metadata host'
-  else case when (a = 169 and b = 254 and c = 169 and d = 254) then 'metadata host'
-    when a in (0, 10, 127) or a >= 224 or (a = 169 and b = 254) or (a = 172 and b between 16 and 31)
+      event_id * 11 % 256 as d, event_id * 149 % 65536 as g, event_id // 16 % 8 as form from events))),
+judged as (select *, a in (0, 10, 127) or a >= 224 or (a = 169 and b = 254) or (a = 172 and b between 16 and 31)
       or (a = 192 and b = 168) or (a = 192 and b = 0 and c = 2)
       or (a = 192 and b = 0 and c = 0 and d not in (9, 10))
-      or (a = 198 and b in (18, 19)) or (a = 198 and b = 51 and c = 100) or (a = 203 and b = 0 and c = 113)
-    then 'blocked address' end end as reason from hooks""",
+      or (a = 198 and b in (18, 19)) or (a = 198 and b = 51 and c = 100) or (a = 203 and b = 0 and c = 113) as v4_blocked from hooks)
+select event_id, webhook_url, case event_id % 8
+  when 0 then null when 1 then 'https required' when 2 then 'scheme'
+  when 3 then case when event_id % 16 = 3 then 'no host' when case form
+      when 0 then v4_blocked when 1 then g not between 8192 and 16383 or g in (8193, 8194, 16383) when 4 then false when 5 then false else true end
+    then 'blocked address' end
+  when 4 then 'empty' when 5 then 'metadata host'
+  else case when (a = 169 and b = 254 and c = 169 and d = 254) then 'metadata host' when v4_blocked then 'blocked address' end end as reason from judged""",
     "dedup_accept": f"{WITH_ACCEPT} select ord, id from accepted",
     "articles_build": f"""{WITH_ACCEPT} select id, title, url, url_hash, publisher_name, publisher_href,
   published_date, strftime(published_at, '%Y-%m-%dT%H:%M:%S') as published_at, summary, country, language, topic,

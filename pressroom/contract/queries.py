@@ -170,18 +170,23 @@ def parse_replies(spark, sf_dir):
 
 @query
 def webhook_screen(spark, sf_dir):
-    """A webhook per event: host names, public and private addresses, wrong schemes."""
+    """A webhook per event: host names, public and private addresses of both kinds, wrong schemes."""
     n = F.col("event_id")
 
     def octet(factor: int, base: int = 0):
         return ((n * factor) % 256 + base).cast("string")
 
     address = F.concat_ws(".", octet(1), octet(37), octet(101), octet(11))
+    group = F.lower(F.hex((n * 149) % 65536))
+    forms = [("::ffff:", address, ""), ("", group, "::1"), ("fe80::", group, "%eth0"), ("2001:db8:", group, "::1"),
+             ("2a00:1450:", group, "::200e"), ("2001:20::", group, ""), ("2002:", group, "::1"), ("3fff:fff::", group, "")]
+    six = F.element_at(F.array(*[F.concat(F.lit(a), x, F.lit(b)) for a, x, b in forms]), (F.floor(n / 16) % 8 + 1).cast("int"))
     url = (
         F.when(n % 8 == 0, F.concat(F.lit("https://hooks.example.com/"), n))
         .when(n % 8 == 1, F.concat(F.lit("http://"), address, F.lit("/x")))
         .when(n % 8 == 2, F.concat(F.lit("ftp://"), address))
-        .when(n % 8 == 3, F.concat(F.lit("https:///"), n))
+        .when(n % 16 == 3, F.concat(F.lit("https:///"), n))
+        .when(n % 16 == 11, F.concat(F.lit("https://["), six, F.lit("]/hook")))
         .when(n % 8 == 4, F.lit(""))
         .when(n % 8 == 5, F.concat(F.lit("https://METADATA.google.internal/"), n))
         .otherwise(F.concat(F.lit("https://"), address, F.lit(":8443/hook")))

@@ -1,13 +1,16 @@
 """A news feed derived from the general test tables.
 
 Documents become feed records dated by events: all events are dealt out to the
-documents in equal runs, of which the last time and the first type count. Every
-document is used with its whole text; the joins are on equality, so the feed
-grows with the tables.
+documents in equal runs, of which the last time and the first type count. All
+pages are dealt out likewise, in runs of which the least URL counts, to evenly
+spaced documents; the others have URLs of their own. Every document is used with
+its whole text; the joins are on equality, so the feed grows with the tables.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..runtime import spread
@@ -28,6 +31,16 @@ METHOD_OF_TOPIC = {
 }
 
 
+class Deal(NamedTuple):
+    """How events and pages are dealt out: lengths and numbers of runs; every ``step``-th document gets pages."""
+
+    events: int
+    event_slots: int
+    step: int
+    pages: int
+    page_slots: int
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,16 +56,15 @@ def _method() -> Column:
     return choice
 
 
-def feed_from(documents: DataFrame, events: DataFrame, pages: DataFrame, stride: int, n_slots: int, n_pages: int) -> DataFrame:
-    """Raw feed of ``documents``; each gets a run of ``stride`` events, each tenth a page."""
-    runs = events.groupBy(F.expr(f"event_id div {stride}").alias("slot")).agg(
+def feed_from(documents: DataFrame, events: DataFrame, pages: DataFrame, deal: Deal) -> DataFrame:
+    """Raw feed of ``documents``: each gets a run of events, each ``deal.step``-th a run of pages."""
+    runs = events.groupBy(F.expr(f"event_id div {deal.events}").alias("slot")).agg(
         F.max("ts").alias("ts"), F.min_by("event_type", "event_id").alias("event_type"))
+    urls = pages.groupBy(F.expr(f"page_id div {deal.pages}").alias("page_slot")).agg(F.min("url").alias("page_url"))
     dated = documents.withColumns({
-        "slot": F.col("doc_id") % F.lit(n_slots),
-        "page_id": F.expr("doc_id div 10") % F.lit(n_pages),
-    }).join(runs, "slot").join(
-        pages.select("page_id", F.col("url").alias("page_url")), "page_id"
-    )
+        "slot": F.col("doc_id") % F.lit(deal.event_slots),
+        "page_slot": F.expr(f"doc_id div {deal.step}") % F.lit(deal.page_slots),
+    }).join(runs, "slot").join(urls, "page_slot", "left")
     own_url = F.concat(
         F.lit("https://news.example.com/a/"), F.col("doc_id").cast("string"), F.lit("?utm_source=rss")
     )
@@ -62,7 +74,7 @@ def feed_from(documents: DataFrame, events: DataFrame, pages: DataFrame, stride:
         F.col("event_type").alias("topic"),
         F.col("doc_id").alias("ord"),
         F.btrim(F.regexp_extract("text", r"^[^.\n!?]*", 0)).alias("title"),
-        F.when(F.col("doc_id") % 10 == 0, F.col("page_url")).otherwise(own_url).alias("url"),
+        F.when(F.col("doc_id") % deal.step == 0, F.col("page_url")).otherwise(own_url).alias("url"),
         F.col("text").alias("description"),
         F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("published date"),
         F.lit(None).cast("string").alias("published_date"),
@@ -82,11 +94,13 @@ def feed_from(documents: DataFrame, events: DataFrame, pages: DataFrame, stride:
 
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, events, pages = (table(spark, sf_dir, n) for n in ("documents", "events", "pages"))
-    return feed_from(spread(documents), events, pages, *sizes(events, documents, pages))
+    return feed_from(spread(documents), events, pages, deal_of(events, documents, pages))
 
 
-def sizes(events: DataFrame, documents: DataFrame, pages: DataFrame) -> tuple[int, int, int]:
-    """Events per document, runs of events, and pages; row counts come from file footers."""
-    n_events = events.count()
-    stride = max(1, n_events // max(1, documents.count()))
-    return stride, -(-n_events // stride), pages.count()
+def deal_of(events: DataFrame, documents: DataFrame, pages: DataFrame) -> Deal:
+    """Lengths of runs so that no event and no page is left over; row counts come from file footers."""
+    n_events, n_documents, n_pages = events.count(), max(1, documents.count()), pages.count()
+    run = max(1, -(-n_events // n_documents))
+    step = max(1, n_documents // max(1, n_pages))
+    pages_run = max(1, -(-n_pages // (n_documents // step)))
+    return Deal(run, max(1, -(-n_events // run)), step, pages_run, max(1, -(-n_pages // pages_run)))
