@@ -25,6 +25,7 @@ DIMENSION = 1024
 SEED = 20
 BLOCK_DOCS = 256
 DENSE = 1 << 22
+CELLS = 1 << 23  # of a matrix of counts (text x trigram): 64 MB while it is made
 BLOCK_TRIGRAMS = 4096  # trigrams whose vectors are held at once: some 20 MB
 LEAST_SCORE = 0.08  # cosine below which a text is in none of the known languages
 ENOUGH_TRIGRAMS = 100  # a text with fewer different ones is too short or too uniform for its score to speak against it
@@ -42,8 +43,8 @@ def letter(code: int, dimension: int) -> np.ndarray:
     return np.stack([np.roll(v, 2), np.roll(v, 1), v])
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts (text x trigram, float32) and the letters of each trigram; whether a text has a letter."""
+def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text and trigram of every occurrence, the letters of each trigram, and whether a text has a letter."""
     parts = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     codes = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -68,8 +69,25 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = place[key]
     else:
         there, at = np.unique(key, return_inverse=True)
-    counts = np.bincount(doc * max(1, len(there)) + at, minlength=len(texts) * len(there)).astype(np.float32).reshape(len(texts), len(there))
-    return counts, alphabet[np.stack([there // (a * a), there // a % a, there % a])] if len(there) else np.zeros((3, 0), np.int64), some
+    return doc, at, alphabet[np.stack([there // (a * a), there // a % a, there % a])] if len(there) else np.zeros((3, 0), np.int64), some
+
+
+def trigrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Counts (text x trigram, float32), the letters of each trigram, and whether a text has a letter, for runs of texts in order.
+
+    A run is halved until its counts have at most CELLS cells or it is one text: texts of scripts with many
+    letters share few trigrams.
+    """
+    doc, at, letters, some = _coded(texts)
+    width = letters.shape[1]
+    if len(texts) > 1 and len(texts) * width > CELLS:
+        del doc, at, letters
+        half = len(texts) // 2
+        yield from trigrams(texts[:half])
+        yield from trigrams(texts[half:])
+        return
+    counts = np.bincount(doc * max(1, width) + at, minlength=len(texts) * width)
+    yield counts.astype(np.float32).reshape(len(texts), width), letters, some
 
 
 def bound(letters: np.ndarray, dimension: int) -> np.ndarray:
@@ -106,18 +124,20 @@ def _bundle(dimension: int, level: bool = False):
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for i, j, texts in _blocks(batch):
-                counts, letters, _ = trigrams(texts)
-                if level:
-                    counts = np.minimum(counts, 1)
-                own = np.array(langs[i:j])
-                names = np.unique(own)
-                totals = np.stack([counts[own == lang].sum(0, dtype=np.float64) for lang in names])
-                whole = np.zeros((len(names), dimension))
-                for at in range(0, totals.shape[1], BLOCK_TRIGRAMS):
-                    part = slice(at, at + BLOCK_TRIGRAMS)
-                    whole += totals[:, part] @ bound(letters[:, part], dimension).astype(np.float64)
-                for lang, v in zip(names, np.rint(whole).astype(np.int64)):
-                    sums[lang] = sums.get(lang, 0) + v
+                own, done = np.array(langs[i:j]), 0
+                for counts, letters, _ in trigrams(texts):
+                    if level:
+                        counts = np.minimum(counts, 1)
+                    run_langs = own[done:done + len(counts)]
+                    done += len(counts)
+                    names = np.unique(run_langs)
+                    totals = np.stack([counts[run_langs == lang].sum(0, dtype=np.float64) for lang in names])
+                    whole = np.zeros((len(names), dimension))
+                    for at in range(0, totals.shape[1], BLOCK_TRIGRAMS):
+                        part = slice(at, at + BLOCK_TRIGRAMS)
+                        whole += totals[:, part] @ bound(letters[:, part], dimension).astype(np.float64)
+                    for lang, v in zip(names, np.rint(whole).astype(np.int64)):
+                        sums[lang] = sums.get(lang, 0) + v
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * dimension), pa.array(np.arange(dimension, dtype=np.int32)), pa.array(np.broadcast_to(v, dimension))], names=["lang", "at", "sum"])
 
@@ -144,13 +164,12 @@ def _predict(shared, dimension: int, extra: list[str]):
         matrix = np.stack(list(known.values())).astype(np.float32).T if known else np.zeros((dimension, 0), np.float32)
         for batch in batches:
             best, score, sizes = [], [], []
-            for _, _, texts in _blocks(batch):
-                counts, letters, some = trigrams(texts)
+            for counts, letters, some in (run for _, _, texts in _blocks(batch) for run in trigrams(texts)):
                 whole = bundled(counts, letters, dimension)
                 length = np.sqrt(np.einsum("ij,ij->i", whole, whole))
                 cosine = (whole @ matrix) / np.maximum(length, 1e-9)[:, None]
-                at = cosine.argmax(1) if known else np.zeros(len(texts), np.int64)
-                top = cosine[np.arange(len(texts)), at] if known else np.zeros(len(texts))
+                at = cosine.argmax(1) if known else np.zeros(len(counts), np.int64)
+                top = cosine[np.arange(len(counts)), at] if known else np.zeros(len(counts))
                 fine = some & bool(known)
                 best += [names[k] if ok else "und" for k, ok in zip(at, fine)]
                 sizes += np.count_nonzero(counts, 1).tolist()
@@ -179,7 +198,7 @@ def _keep(shared, dimension: int, wanted: frozenset[str] | None, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not shared.value:  # nothing learnt: only a text without a letter is in no language
-                some = [bool(x) for _, _, texts in _blocks(batch) for x in trigrams(texts)[2]]
+                some = [bool(x) for _, _, texts in _blocks(batch) for run in trigrams(texts) for x in run[2]]
                 yield batch.filter(pa.array(some, pa.bool_()))
                 continue
             for got in predict(iter([batch])):

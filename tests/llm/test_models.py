@@ -1,4 +1,7 @@
+import bisect
 import math
+import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -139,9 +142,9 @@ def test_language_of_odd_texts(docs, rows, no_docs):
 
 def test_trigram_counts_do_not_depend_on_the_path(monkeypatch):
     texts = ["Héllo wörld 12 a", "x", "", "żółw żółw", "The theory"]
-    dense = hyperdim.trigrams(texts)
+    (dense,) = hyperdim.trigrams(texts)
     monkeypatch.setattr(hyperdim, "DENSE", 0)
-    sparse = hyperdim.trigrams(texts)
+    (sparse,) = hyperdim.trigrams(texts)
     assert all((a == b).all() for a, b in zip(dense, sparse))
 
 
@@ -189,7 +192,7 @@ def test_language_stage_rejects_through_the_method(spark):
 
 
 def test_blocks_of_trigrams_change_nothing(monkeypatch):
-    counts, letters, _ = hyperdim.trigrams(["one two three four five", "six seven eight nine ten", ""])
+    ((counts, letters, _),) = hyperdim.trigrams(["one two three four five", "six seven eight nine ten", ""])
     whole = counts @ hyperdim.bound(letters, 256).astype(np.float32)
     monkeypatch.setattr(hyperdim, "BLOCK_TRIGRAMS", 3)
     assert (hyperdim.bundled(counts, letters, 256) == whole).all()
@@ -203,3 +206,112 @@ def test_repeated_rows_count_once_in_the_fit(spark):
     once, many = gam.train(docs, labels, 20), gam.train(again, labels, 20)
     x = np.random.default_rng(1).random((50, len(gam.FEATURES)))
     assert (once.score(x) == many.score(x)).all()
+
+
+def _plain_vector(text, dimension):
+    """A text's bundle by its definition, a trigram at a time."""
+    letters = []
+    for c in f" {(text or '').lower()} ":
+        code = ord(c) if c.isalpha() else 0
+        if code or not letters or letters[-1]:
+            letters.append(code)
+    signs = {c: np.random.default_rng([hyperdim.SEED, c]).integers(0, 2, dimension, np.int8).astype(np.int64) * 2 - 1 for c in set(letters)}
+    total = np.zeros(dimension, np.int64)
+    for x, y, z in zip(letters, letters[1:], letters[2:]):
+        if y:
+            total += np.roll(signs[x], 2) * np.roll(signs[y], 1) * signs[z]
+    return total
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 23])
+def test_language_against_brute_force(spark, docs, rows, monkeypatch, cells):
+    """Whole predictions: profiles, cosine and ties, whatever the runs that texts are counted in."""
+    monkeypatch.setattr(hyperdim, "CELLS", cells)
+    dimension = 64
+    vectors = [_plain_vector(text, dimension) for _, text, *_ in rows]
+    sums = {}
+    for v, (_, _, lang, *_) in zip(vectors, rows):
+        if lang is not None:
+            sums[lang] = sums.get(lang, 0) + v
+    known = {lang: v / np.linalg.norm(v) for lang, v in sorted(sums.items()) if v.any()}
+
+    def predicted(text, v):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        near = {lang: float(v @ p) / max(np.linalg.norm(v), 1e-9) for lang, p in known.items()}
+        best = max(near, key=near.get)
+        return best, round(min(max(near[best], 0), 1), 4)
+
+    key = lambda r: (str(r[0]), r[1], r[2])
+    want = sorted(((r[0], *predicted(r[1], v)) for r, v in zip(rows, vectors)), key=key)
+    got = sorted(((r.doc_id, r.lang_pred, round(r.score, 4)) for r in hyperdim.identify(docs, F.lit(True), dimension).collect()), key=key)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(abs(a[2] - b[2]) < 2e-4 for a, b in zip(got, want))
+
+
+def test_counts_of_scripts_with_many_letters_stay_small():
+    """256 short texts that share hardly a trigram: one matrix of their counts would take half a gigabyte."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 650))) for _ in range(256)]
+    tracemalloc.start()
+    widths = [counts.shape for counts, _, _ in hyperdim.trigrams(texts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for n, _ in widths) == 256 and all(n * w <= hyperdim.CELLS for n, w in widths) and peak < 150e6
+
+
+def _plain_features(text):
+    """The features by their definition, with Python's own strings."""
+    data = text.encode()
+    if not data:
+        return [0.0] * len(gam.FEATURES)
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", data) if w]
+    low = [w.lower() for w in words]
+    lines = data.split(b"\n")[:-1] if data.endswith(b"\n") else data.split(b"\n")
+    is_letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    count = lambda chars: sum(c in chars for c in data)
+    upper, pairs, n = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", list(zip(low, low[1:])), max(1, len(words))
+    return [
+        math.log1p(len(data)), math.log1p(len(words)), sum(map(len, words)) / n, count(upper) / max(1, sum(map(is_letter, data))), count(b"0123456789") / len(data),
+        count(b"#$%&*+<=>@[\\]^_`{}~") / len(data), count(b"!?") / n, sum(c >= 128 for c in data) / len(data), len(set(low)) / n, max(Counter(low).values(), default=0) / n,
+        sum(a == b for a, b in pairs) / n, 1 - len(set(pairs)) / max(1, len(pairs)), 1 - len(set(lines)) / len(lines), len(words) / len(lines),
+        sum(not any(map(is_letter, w)) for w in words) / n, sum(w[0] in upper for w in words) / n, count(b".;:") / n, count(b"|/") / n,
+    ]
+
+
+def test_quality_against_brute_force(spark, docs, rows):
+    """Scores of all texts from the learnt tables, looked up one by one; the tables have pairs and are not flat."""
+    rng = np.random.default_rng(2)
+    made = [(i, " ".join(rng.choice(["Alpha", "beta", "42", "x!", "gamma.", "a|b", "beta"], int(rng.integers(3, 60)))) + "\nend" * int(rng.integers(0, 4)), int(i % 3 > 0)) for i in range(400)]
+    made = [(i, t + " WOW!!! " * (9 if not y and i % 2 else 1), y) for i, t, y in made]
+    corpus = spark.createDataFrame([m[:2] for m in made], "doc_id long, text string").unionByName(docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 1000))
+    labels = spark.createDataFrame([(i, y) for i, _, y in made], "doc_id long, label int")
+    model = gam.train(corpus, labels)
+    assert model.pairs and any(t.any() for t in model.tables)
+
+    def scored(text):
+        x = _plain_features(text or "")
+        total = model.base + sum(t[bisect.bisect_right(e.tolist(), v)] for t, e, v in zip(model.tables, model.edges, x))
+        total += sum(t[bisect.bisect_right(model.coarse[a].tolist(), x[a]), bisect.bisect_right(model.coarse[b].tolist(), x[b])] for (a, b), t in model.pairs.items())
+        return 1 / (1 + math.exp(-min(max(total, -30), 30)))
+
+    want = sorted([scored(t) for _, t, _ in made] + [scored(r[1]) for r in rows])
+    got = sorted(r.score for r in gam.quality(corpus, labels, F.lit(False)).collect())
+    assert np.allclose(got, want, atol=1e-9)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_tree_takes_the_best_cut(seed):
+    """Of all first cuts the tree takes one with the largest gain, then likewise on each side."""
+    rng = np.random.default_rng(seed)
+    g, h, n = rng.normal(0, 5, 9), rng.random(9) * 10, rng.integers(5, 40, 9)
+    score = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)
+
+    def grow(a, b, depth):
+        cuts = [(score(a, c) + score(c, b), -c) for c in range(a + 1, b) if n[a:c].sum() >= gam.LEAST and n[c:b].sum() >= gam.LEAST]
+        if not depth or not cuts or max(cuts)[0] <= score(a, b):
+            return [g[a:b].sum() / (h[a:b].sum() + 1)] * (b - a)
+        cut = -max(cuts)[1]
+        return grow(a, cut, depth - 1) + grow(cut, b, depth - 1)
+
+    assert np.allclose(gam._tree(g, h, n), grow(0, 9, 2))
