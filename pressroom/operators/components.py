@@ -21,7 +21,7 @@ def _with_low(rows: DataFrame, low: DataFrame, total: int, scratch: Scratch) ->
         return rows.join(low.drop("n"), "a")
     low = scratch.cut(low, "low")
     hubs = low.where(F.col("n") > max(FLOOR_LINKS // SHARE, total // SHARE)).select("a")
-    return join_unique(rows, low.drop("n"), "a", None if hubs.isEmpty() else hubs, "inner")
+    return join_unique(rows, low.drop("n"), "a", None if hubs.isEmpty() else hubs, "inner", total)
 
 
 def _size(links: DataFrame) -> tuple:

@@ -25,7 +25,7 @@ from ..errors import FeedError
 from ..runtime import Scratch
 from ..sources.feed import is_valid
 from .components import components
-from .skew import FLOOR_ROWS, heavy_values, join_unique
+from .skew import FLOOR_ROWS, heavy_values, join_unique, shuffled
 
 ROUNDS = 3  # before the remainder is cut into components
 # A component of at most so many rows (of some 100 bytes) is walked by one task.
@@ -99,7 +99,7 @@ def first_accepts(
             raise FeedError("no record comes first for its key and its URL: ord is null or repeated")
         before = left
         if rounds and rounds % ROUNDS == 0:
-            small, live = _components(live, scratch, component_rows)
+            small, live = _components(live, scratch, component_rows, left)
             _walk(small).write.parquet(f"{won_path}/round={rounds}-small")
             if live is None:
                 break
@@ -107,10 +107,11 @@ def first_accepts(
         # two sides have in common is found on one long per key and URL.
         by_key = live.groupBy("composite_key").agg(F.min("ord").alias("ord")).select("ord")
         by_url = live.groupBy("url_hash").agg(F.min("ord").alias("ord")).select("ord")
-        live.join(by_key.join(by_url, "ord"), "ord", "left_semi").write.parquet(f"{won_path}/round={rounds}")
+        both = by_key.join(shuffled(by_url, left), "ord")
+        live.join(shuffled(both, left), "ord", "left_semi").write.parquet(f"{won_path}/round={rounds}")
         won = reader.schema(schema).parquet(f"{won_path}/round={rounds}")
-        rest = join_unique(live, won.select("composite_key"), "composite_key", heavy_keys, "left_anti")
-        rest = join_unique(rest, won.select("url_hash"), "url_hash", heavy_urls, "left_anti")
+        rest = join_unique(live, won.select("composite_key"), "composite_key", heavy_keys, "left_anti", left)
+        rest = join_unique(rest, won.select("url_hash"), "url_hash", heavy_urls, "left_anti", left)
         live = scratch.cut(rest.select(*live.columns), "live")
         rounds += 1
     return reader.schema(schema).parquet(won_path).select("ord", "composite_key", "url_hash")
@@ -142,8 +143,8 @@ def check_order(rows: DataFrame) -> None:
         raise FeedError(f"{found['rows'] - found['numbers']} records repeat the ord of another")
 
 
-def _components(live: DataFrame, scratch: Scratch, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of components with at most ``most`` rows, with their component, and the other rows (None if none).
+def _components(live: DataFrame, scratch: Scratch, most: int, total: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of components with at most ``most`` of the ``total`` rows, with their component, and the other rows (None if none).
 
     Keys and URLs are nodes numbered by hash; two nodes with one number would
     only be walked together, which changes nothing.
@@ -151,7 +152,7 @@ def _components(live: DataFrame, scratch: Scratch, most: int) -> tuple[DataFrame
     nodes = live.withColumn("a", F.xxhash64(F.lit("key"), "composite_key"))
     links = nodes.select("a", F.xxhash64(F.lit("url"), "url_hash").alias("b"))
     label = components(links, scratch)
-    placed = scratch.cut(nodes.join(label, nodes["a"] == label["node"]).select(*live.columns, "component"), "placed")
+    placed = scratch.cut(nodes.join(shuffled(label, total), nodes["a"] == label["node"]).select(*live.columns, "component"), "placed")
     sizes = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most)
     large = scratch.cut(sizes.select("component"), "large")
     if large.isEmpty():

@@ -7,7 +7,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from pressroom.operators import components as C
+from pressroom.operators import components as C, skew
 from pressroom.runtime import Scratch
 
 
@@ -61,3 +61,13 @@ def test_core_queries_survive_a_missing_library():
     code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; from pressroom.contract.queries import QUERIES; assert set(e.queries()) == set(QUERIES), e.queries().keys()"
     done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+def test_many_rows_are_not_broadcast_by_their_file_size(spark):
+    # written keys compress to some kilobytes, far below what Spark broadcasts
+    scratch = Scratch(spark, "test")
+    unique = scratch.cut(spark.range(skew.BROADCAST_ROWS * 2).select(F.col("id").alias("k")), "unique")
+    plan = lambda most: skew.join_unique(unique, unique, "k", None, "left_semi", most)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan(0) and "BroadcastExchange" in plan(skew.BROADCAST_ROWS)
+    assert "BroadcastExchange" not in plan(skew.BROADCAST_ROWS * 2)
+    assert skew.join_unique(unique, unique, "k", None, "left_semi", skew.BROADCAST_ROWS * 2).count() == skew.BROADCAST_ROWS * 2
